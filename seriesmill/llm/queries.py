@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash
+from . import mixing, simhash, tokens
 from .common import materialise, table, word_count
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the public vocabulary files are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents: weights 2 and 1/2 for labelled good and bad quality, 1 elsewhere."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
@@ -19,6 +26,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as sorted-string-table shards and read back."""
+    return tokens.token_table(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -27,6 +39,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_tokens": op6_tokens,
     "op8_simhash": op8_simhash,
     "op3_mixing": op3_mixing,
 }
