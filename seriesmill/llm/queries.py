@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, tokens, topk, warc
+from . import decontaminate, mixing, simhash, tokens, topk, warc
 from .common import materialise, table, word_count
 
 
@@ -49,7 +49,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and how similar the best window is."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op10_decontaminate": op10_decontaminate,
     "op2_warc": op2_warc,
     "op4_topk": op4_topk,
     "op6_tokens": op6_tokens,
