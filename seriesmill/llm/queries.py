@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash, tokens, topk, warc
+from . import decontaminate, mixing, pii, simhash, tokens, topk, warc
 from .common import materialise, table, word_count
 
 
@@ -37,6 +37,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data, and of terms that reveal them, in all documents."""
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as sorted-string-table shards and read back."""
     return tokens.token_table(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
@@ -55,6 +60,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_pii": op5_pii,
     "op10_decontaminate": op10_decontaminate,
     "op2_warc": op2_warc,
     "op4_topk": op4_topk,
