@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import bucket_links
+from .buckets import bucket_links, forest
 from .common import materialise, small_batches
 from .components import connected_components
 
@@ -126,13 +126,13 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _compare(t: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     fp, home, side = t["id"].to_numpy(), t["home"].to_numpy(), t["_g"].to_numpy()
     i, j = t["i"].to_numpy(), t["j"].to_numpy()
-    left, right = [], []
+    left, right, held = [], [], 0
     u = fp.view(np.uint64)
     for s, e in zip(bounds[:-1], bounds[1:]):
         if e - s < 2:
             continue
         homes = s + np.flatnonzero(home[s:e])
-        step = max(1, (1 << 20) // (e - s))
+        step = max(1, (1 << 18) // (e - s))
         for k in range(0, len(homes), step):
             h = homes[k : k + step]
             close = np.bitwise_count(u[h][:, None] ^ u[s:e][None, :]) <= RADIUS
@@ -143,9 +143,12 @@ def _compare(t: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 keep &= side[x] != side[y]
             x, y = x[keep], y[keep]
             if len(x):
-                a, b = fp[x], fp[y]
-                left.append(a)
-                right.append(b)
+                left.append(fp[x])
+                right.append(fp[y])
+                held += len(x)
+            if held > 1 << 18:  # a large group of close prints: keep a forest of its links only
+                a, b = forest(np.concatenate(left), np.concatenate(right))
+                left, right, held = [a], [b], len(a)
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
