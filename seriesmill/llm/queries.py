@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, simhash, tokens, topk, warc
+from . import decontaminate, mixing, pii, simhash, tokens, topk, toxicity, warc
 from .common import materialise, table, word_count
 
 
@@ -47,6 +47,12 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents by a model of the labelled rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -60,6 +66,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_toxicity": op7_toxicity,
     "op5_pii": op5_pii,
     "op10_decontaminate": op10_decontaminate,
     "op2_warc": op2_warc,
