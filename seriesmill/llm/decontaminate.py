@@ -6,6 +6,7 @@ and seen as shingles of five words (items of fewer words: one shingle of all of
 1. Screen, without loss: a window whose weighted-shingle similarity to an item is above 0 shares a shingle with it. So
    every shingle of every document is looked up among the items' shingles, and each hit fixes where a window of the
    item's size would begin. Only those windows go on; a text without hits is never windowed.
+   Windows with fewer hits in line than the similarity needs are left out at once, which loses none that reach it.
 2. Every such window (as many words as the item) gets a 64-bit SimHash of its shingles, repeats included.
 3. Multi-index: fingerprints are cut into radius + 1 blocks; two within the radius agree on at least one. Windows join
    the items of their size on (size, block, value), and a pair counts at the first block on which it agrees.
@@ -101,8 +102,13 @@ def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity:
     else:
         seen = seen.select("key", F.size("w").alias("n"), F.explode(_sized(F.col("w"), sizes)).alias("s")).select("key", "n", "s.k", F.posexplode("s.h").alias("pos", "h"))
     hits = seen.join(F.broadcast(starts) if bounded else starts, ["k", "h"])
-    place = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at.off"), F.col("n") - F.col("at.length")))
-    hits = hits.select("key", "k", "pos", "n", F.explode("ats").alias("at")).select("key", "k", place.alias("start"), F.col("at.length").alias("length")).distinct()
+    # A window that reaches the similarity holds `similarity` of the item's shingles, and each break in how it lines up
+    # with the item costs at least SHINGLE - 1 of those that may be missing: so one alignment has this many hits.
+    of_item = F.col("length") - F.col("k") + 1
+    least = F.floor(similarity * of_item / (1 + (1 - similarity) * of_item / (SHINGLE - 1)))
+    hits = hits.select("key", "k", "pos", "n", F.explode("ats").alias("at")).groupBy("key", "k", "n", (F.col("pos") - F.col("at.off")).alias("start"), F.col("at.length").alias("length")).agg(F.count(F.lit(1)).alias("votes"))
+    place = F.greatest(F.lit(0), F.least(F.col("start"), F.col("n") - F.col("length")))
+    hits = hits.where(F.col("votes") >= least).select("key", "k", place.alias("start"), "length").distinct()
     windows = hits.groupBy("key").agg(F.collect_list(F.struct("k", "start", "length")).alias("windows"))
     windows = materialise(windows.withColumnRenamed("key", "_key"), "windows")
 

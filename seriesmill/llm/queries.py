@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, simhash, tokens, topk, toxicity, warc
+from . import decontaminate, mixing, pii, simhash, substrings, tokens, topk, toxicity, warc
 from .common import materialise, table, word_count
 
 
@@ -16,6 +16,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of passages that repeat across documents, with their class and whether they are removed."""
+    return substrings.repeated(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records, read back."""
     read = warc.round_trip(table(spark, sf_dir, "pages"))
@@ -66,6 +71,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op7_toxicity": op7_toxicity,
     "op5_pii": op5_pii,
     "op10_decontaminate": op10_decontaminate,
