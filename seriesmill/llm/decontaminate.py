@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialise
+from .common import materialise
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -36,7 +36,7 @@ BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def shingles(w: Column, size: int) -> Column:
@@ -113,10 +113,14 @@ def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity:
     windows = materialise(windows.withColumnRenamed("key", "_key"), "windows")
 
     # One pass more over the texts, of which those with hits alone go on; no text is windowed twice.
+    # Each step is written, so that no array is computed again for every window or bit.
     found = text.join(windows, key == F.col("_key")).select("doc_id", words(F.col("text")).alias("w"), "windows")
-    found = found.select("doc_id", _sized(F.col("w"), sizes).alias("s"), F.size("w").alias("n"), F.explode("windows").alias("win"))
+    found = materialise(found, "found")
+    found = materialise(found.select("doc_id", _sized(F.col("w"), sizes).alias("s"), "windows"), "found-shingles")
+    found = found.select("doc_id", "s", F.explode("windows").alias("win"))
     all_h = F.expr("filter(s, x -> x.k = win.k)[0].h")
     found = found.select("doc_id", F.col("win.start").alias("start"), F.col("win.length").alias("length"), F.slice(all_h, F.col("win.start") + 1, F.greatest(F.lit(1), F.col("win.length") - F.col("win.k") + 1)).alias("doc_h"))
+    found = materialise(found, "found-windows")
     found = found.withColumn("fp", simhash("doc_h")).withColumn("b", F.explode(block_values(F.col("fp"), radius)))
     index = listed.select("item_id", F.col("length").alias("_length"), "item_h", "item_fp", F.explode(block_values(F.col("item_fp"), radius)).alias("_b"))
     pairs = found.join(index, (F.col("length") == F.col("_length")) & (F.col("b.block") == F.col("_b.block")) & (F.col("b.value") == F.col("_b.value")))

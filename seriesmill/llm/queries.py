@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, simhash, substrings, tokens, topk, toxicity, warc
+from . import ctw, decontaminate, mixing, pii, simhash, substrings, tokens, topk, toxicity, warc
 from .common import materialise, table, word_count
 
 
@@ -65,12 +65,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code lengths of all documents under the context-tree model and the unigram baseline."""
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item and how similar the best window is."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "op9_ctw": op9_ctw,
     "op1_substrings": op1_substrings,
     "op7_toxicity": op7_toxicity,
     "op5_pii": op5_pii,
