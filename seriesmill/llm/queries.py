@@ -32,13 +32,18 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def quality_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with _weight: 2 and 1/2 for labelled good and bad quality, 1 elsewhere."""
+    marks = labels.groupBy(F.col("doc_id").alias("_l")).agg(F.max("quality").alias("_quality"))
+    docs = docs.join(marks, F.col("doc_id") == F.col("_l"), "left").drop("_l")
+    return docs.withColumn("_weight", F.when(F.col("_quality") == 1, 2.0).when(F.col("_quality") == 0, 0.5).otherwise(1.0)).drop("_quality")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mix of all documents: weights 2 and 1/2 for labelled good and bad quality, 1 elsewhere."""
+    """Mix of all documents, weighted by labelled quality."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
-    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    docs = docs.join(marks, "doc_id", "left")
-    docs = docs.select("doc_id", "source", "words", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("weight"))
-    mixed = mixing.mix(materialise(docs, "mix-rows"), weight="weight", size="words")
+    docs = quality_weight(docs, table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(materialise(docs, "mix-rows"), weight="_weight", size="words")
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 

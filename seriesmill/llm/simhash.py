@@ -34,6 +34,9 @@ SEED = 42
 BLOCKS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 RADIUS = 4
 HAMMING = 15
+#: The same for each word of the wide fingerprints, for similarity 0.8 of five-word shingles.
+WIDE_BLOCKS = ((0, 16, 1), (16, 16, 1), (32, 16, 1), (48, 16, 1))
+WIDE_RADIUS, WIDE_SHINGLE = 20, 5
 _CHUNK = 1 << 15
 
 
@@ -101,11 +104,11 @@ def _syndromes(n: int = HAMMING) -> np.ndarray:
     return table
 
 
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(fps: np.ndarray, blocks: tuple = BLOCKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket key, index into fps, home) for every anchor that a fingerprint goes to."""
     u, table = fps.view(np.uint64), _syndromes()
     keys, index, home = [], [], []
-    for number, (first, bits, threshold) in enumerate(BLOCKS):
+    for number, (first, bits, threshold) in enumerate(blocks):
         block = (u >> np.uint64(first)) & np.uint64((1 << bits) - 1)
         code, rest = block & np.uint64((1 << HAMMING) - 1), block >> np.uint64(HAMMING)
         syndrome = table[code.astype(np.int64)]
@@ -169,11 +172,96 @@ def fingerprint_links(fps: DataFrame, limit: int = 2000) -> DataFrame:
     return bucket_links(materialise(rows, "anchors"), _compare, limit, ("home",))
 
 
+def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, text_key, fp, low, high): 128 bits in two words; fp is a hash of both."""
+    small_batches(docs.sparkSession)
+
+    def work(batches):
+        for b in batches:
+            low, high = [], []
+            for t in b.column("text"):
+                h = shingle_hashes(t.as_py(), size)
+                low.append(fingerprint(h))
+                high.append(fingerprint(second_word(h)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["doc_id", "text_key", "low", "high"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(work, f"doc_id {kind}, text_key long, low long, high long")
+    return out.select("doc_id", "text_key", F.xxhash64("low", "high").alias("fp"), "low", "high")
+
+
+def second_word(hashes: np.ndarray) -> np.ndarray:
+    """A second 64-bit hash of each shingle, mixed from the first."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _compare_wide(t: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ids, home, side = t["id"].to_numpy(), t["home"].to_numpy(), t["_g"].to_numpy()
+    i, j, low, high = t["i"].to_numpy(), t["j"].to_numpy(), t["low"].to_numpy().view(np.uint64), t["high"].to_numpy().view(np.uint64)
+    left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for s, e in zip(bounds[:-1], bounds[1:]):
+        homes = s + np.flatnonzero(home[s:e]) if e - s > 1 else ()
+        step = max(1, (1 << 18) // (e - s))
+        for k in range(0, len(homes), step):
+            h = homes[k : k + step]
+            far = np.bitwise_count(low[h][:, None] ^ low[s:e][None, :]) + np.bitwise_count(high[h][:, None] ^ high[s:e][None, :])
+            x, y = np.nonzero(far <= WIDE_RADIUS)
+            x, y = h[x], s + y
+            keep = ids[x] != ids[y]
+            if i[s] != j[s]:
+                keep &= side[x] != side[y]
+            left.append(ids[x[keep]])
+            right.append(ids[y[keep]])
+            held += int(keep.sum())
+            if held > 1 << 18:
+                a, b = forest(np.concatenate(left), np.concatenate(right))
+                left, right, held = [a], [b], len(a)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def wide_links(fps: DataFrame, limit: int = 2000) -> DataFrame:
+    """Distinct (fp, low, high) -> links (a, b) between fingerprints of at most WIDE_RADIUS differing bits.
+
+    Sure up to 15 bits (eight blocks, two bits each but one); beyond, a pair is found if one block has at most one.
+    """
+
+    def spread(batches):
+        for b in batches:
+            fp, low, high = (b.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "low", "high"))
+            for k in range(0, len(fp), 4096):
+                part = slice(k, k + 4096)
+                for number, word in enumerate((low, high)):
+                    key, index, home = anchors(word[part], WIDE_BLOCKS)
+                    key = key | (number << 50)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[part][index]), pa.array(low[part][index]), pa.array(high[part][index]), pa.array(home)], ["key", "id", "low", "high", "home"])
+
+    rows = fps.select("fp", "low", "high").mapInArrow(spread, "key long, id long, low long, high long, home boolean")
+    return bucket_links(materialise(rows, "anchors"), _compare_wide, limit, ("low", "high", "home"))
+
+
+def similar_documents(docs: DataFrame, size: int = WIDE_SHINGLE, limit: int = 2000) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, text_key, fp, component_id): classes of shingle similarity of about 0.8 or more.
+
+    Shingles of five words by default and 128-bit fingerprints: at similarity 0.8 the angle between two texts' shingle
+    vectors makes 15 % of the bits differ, which is WIDE_RADIUS.
+    """
+    prints = materialise(wide_fingerprints(docs, size), "fingerprints")
+    one = prints.groupBy("fp", "low", "high").agg(F.min("doc_id").alias("least"))
+    return _classes(prints, one, wide_links(one, limit))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, limit: int = 2000) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, text_key, fp, component_id): one row per row of docs."""
     prints = materialise(fingerprints(docs, size), "fingerprints")
     one = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parts = connected_components(fingerprint_links(one, limit))
+    return _classes(prints, one, fingerprint_links(one, limit))
+
+
+def _classes(prints: DataFrame, one: DataFrame, links: DataFrame) -> DataFrame:
+    parts = connected_components(links)
     one = one.join(parts, one["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     of = one.groupBy("component").agg(F.min("least").alias("component_id"))
     one = one.join(of, "component").select(F.col("fp").alias("_fp"), "component_id")
