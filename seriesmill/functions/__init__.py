@@ -1 +1 @@
-
+"""Column expressions without windows: numbers, moments, time, text of payloads."""
