@@ -42,13 +42,22 @@ def quantile(ordered: Column, n: int, q: float) -> Column:
     return a if at == low else a + (F.get(ordered, F.lit(low + 1)) - a) * F.lit(at - low)
 
 
-def entropy(values: Column, bins: int) -> Column:
-    """Shannon entropy (natural log) of a histogram of `bins` equal bins between least and greatest value."""
-    low, high = F.array_min(values), F.array_max(values)
-    at = F.transform(values, lambda v: F.least(F.floor(div(v - low, high - low) * bins), F.lit(bins - 1)).cast("int"))
-    share = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(at, lambda x: x == b)) / F.size(at))
-    total = F.aggregate(share, F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.ln(p)).otherwise(0.0))
-    return F.when(low == high, 0.0).otherwise(total)
+def entropy(ordered: Column, bins: int) -> Column:
+    """Shannon entropy (natural log) of a sorted array's histogram of `bins` equal bins between least and greatest value.
+
+    One fold: values of a bin follow each other, so the state is the bin, its count and the sum of c ln c so far.
+    """
+    n, low, high = F.size(ordered), F.get(ordered, F.lit(0)), F.element_at(ordered, -1)
+    start = F.struct(F.lit(0).alias("b"), F.lit(0).alias("c"), F.lit(0.0).alias("s"))
+    part = lambda c: F.when(c > 0, c * F.ln(c.cast("double"))).otherwise(0.0)
+
+    def step(a: Column, v: Column) -> Column:
+        b = F.least(F.floor(div(v - low, high - low) * bins).cast("int"), F.lit(bins - 1))
+        same = b == a["b"]
+        return F.struct(b.alias("b"), F.when(same, a["c"] + 1).otherwise(1).alias("c"), F.when(same, a["s"]).otherwise(a["s"] + part(a["c"])).alias("s"))
+
+    total = F.aggregate(ordered, start, step, lambda a: F.ln(n) - (a["s"] + part(a["c"])) / n)
+    return F.when(low == high, 0.0).otherwise(F.when(n > 0, total))
 
 
 def log_return(x: Column, before: Column) -> Column:

@@ -98,7 +98,7 @@ def compute_rolling(df: DataFrame, s: Series, column: str, metric: str, window:
         q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).over(w)
         return df.withColumn("_q", F.when(enough, q)).withColumn(name, F.get("_q", F.lit(1)) - F.get("_q", F.lit(0))).drop("_q")
     if metric == "entropy":
-        return df.withColumn("_v", F.when(enough, F.collect_list(x).over(w))).withColumn(name, entropy(F.col("_v"), bins)).drop("_v")
+        return df.withColumn("_v", F.when(enough, F.sort_array(F.collect_list(x).over(w)))).withColumn(name, entropy(F.col("_v"), bins)).drop("_v")
     if metric == "autocorr":
         rows = df.withColumn("_l", s.lag(column, lag))
         return rows.withColumn(name, pair_stats(s, x, F.col("_l"), window, least)[0]).drop("_l")
