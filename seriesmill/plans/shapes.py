@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..operators import align, spectral, tda, windows
 from ..series import bounded, row_numbers
-from .inputs import BARS, BARS_SQL, POINTS, S_BARS, S_POINTS, Sql, bars, finish, points, query, r, rounded, table
+from .inputs import BARS, BARS_SQL, POINTS, S_BARS, S_POINTS, bars, finish, points, query, r, rounded, table
 
 N, STEP = 24, 12
 _WIN = f"""q AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar) - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM feat),
@@ -199,5 +197,3 @@ def tda_persistence(spark, sf_dir):
     """Total persistence of delay embeddings of the hourly close; tested against brute force."""
     return finish(bounded(bars(spark, sf_dir), BARS, 240, lambda d, s: tda.rolling_persistence_profile(d, s, "close", 30)), "symbol", "bar", "persistence")
 
-
-__all__ = ["Sql", "reduce"]
