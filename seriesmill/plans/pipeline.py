@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,12 +50,22 @@ def catalogue(payloads: DataFrame) -> DataFrame:
     return ingest.classify(ingest.decide(ingest.route(found).withColumn("has_ohlc", F.col("data_type") == "candlestick")))
 
 
-def long_series(blocks: DataFrame, candles: DataFrame) -> DataFrame:
-    """(source_name, metric, ordinal, ts, pos, value) of metrics and candle columns; close, then value, come first."""
-    names = ("close", "open", "high", "low", "volume", "notional_volume")
-    cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in names])
-    flat = candles.select(*BLOCK, "ts", "pos", F.inline(cells)).where("value is not null")
-    rows = ingest.metrics(blocks).unionByName(flat, allowMissingColumns=True)
+def melted(df: DataFrame, names: tuple, label: Column) -> DataFrame:
+    """Columns of a frame as rows (source_name, ts, pos, metric, value)."""
+    cells = F.array(*[F.struct(F.concat(label, F.lit(c)).alias("metric"), F.col(c).alias("value")) for c in names])
+    return df.select(*BLOCK, "ts", "pos", F.inline(cells)).where("value is not null")
+
+
+def long_series(blocks: DataFrame, candles: DataFrame, levels: DataFrame, trades: DataFrame) -> DataFrame:
+    """(source_name, metric, ordinal, ts, pos, value) of every numeric column; close, then value, come first.
+
+    Levels of a book count as rows from the best price on.
+    """
+    none = F.lit("")
+    ranked = microstructure.book_levels(levels, BLOCK, "pos").withColumns({"ts": F.lit(None).cast("timestamp"), "pos": F.col("level")})
+    rows = ingest.metrics(blocks).unionByName(melted(candles, ("close", "open", "high", "low", "volume", "notional_volume"), none))
+    rows = rows.unionByName(melted(trades, ("price", "quantity", "notional", "age_seconds", "active_duration_seconds"), none))
+    rows = rows.unionByName(melted(ranked, ("price", "quantity", "notional"), F.concat(F.col("side"), F.lit("_"))))
     return rows.withColumn("ordinal", F.when(F.col("metric") == "close", 0).when(F.col("metric") == "value", 1).otherwise(2))
 
 
@@ -80,8 +90,8 @@ def blocks_of(spark: SparkSession, payloads: DataFrame) -> DataFrame:
     """One row a block with all nested frames and sections that families are written from."""
     cat = materialise(catalogue(payloads), "catalogue")
     candles = materialise(ingest.candles(cat).where("ts is not null"), "candles")
-    series = materialise(long_series(cat, candles), "series")
-    levels, trades = ingest.levels(cat), materialise(ingest.trades(cat), "trades")
+    levels, trades = materialise(ingest.levels(cat), "levels"), materialise(ingest.trades(cat), "trades")
+    series = materialise(long_series(cat, candles, levels, trades), "series")
     bar = Series(tuple(BLOCK), ("ts", "pos"))
 
     stats, regs, flags = statistics(series)

@@ -147,7 +147,7 @@ def write_family_outputs(blocks: DataFrame, path: str, has_volume: Column | None
     for shape in sorted({r["target_shape"] for r in index}):
         mine = routed.where(F.col("target_shape") == shape)
         for family in sorted({r["target_family"] for r in index if r["target_shape"] == shape}):
-            serialise(mine.where(F.col("target_family") == family), shape).write.mode("overwrite").json(f"{path}/{family}/{shape}")
+            serialise(mine.where(F.col("target_family") == family), shape).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{family}/{shape}")
     active = {r["target_family"] for r in index}
     return {"families_root": path, "active_families": [f for f in OFFICIAL_FAMILIES if f in active], "inactive_families": [f for f in OFFICIAL_FAMILIES if f not in active], "outputs": [r.asDict() for r in index]}
 
