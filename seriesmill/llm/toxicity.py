@@ -1,12 +1,14 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of ordinary and one of toxic text.
 
 Training takes a bounded, documented sample of labelled rows (SAMPLE per class, the least by a hash of doc_id). Two
-thirds of it make the dictionaries: the toxic one is built from words of toxic documents that carry a five-byte run
-which at least MIN_SHARE of the toxic documents hold and which is MIN_RATIO times as frequent there as in ordinary
-ones (with MIN_EVIDENCE nats of evidence); the ordinary one from ordinary words of the same amount. Both share a body of frequent ordinary words and end
-with one fixed lead-in. A window is that lead-in and one word (very long words are cut into windows of 64 bytes): its
-distance is how many bytes shorter it gets with the toxic dictionary. The last third calibrates: a table of evidence
-for each distance and a logistic curve over a text's largest distances, counts and summed evidence give the score.
+thirds of it make the dictionaries: the toxic one is built from words of toxic documents that carry a byte run which
+at least MIN_SHARE of the toxic documents hold and which is MIN_RATIO times as frequent there as in ordinary ones (with
+MIN_EVIDENCE nats of evidence). Runs are of five bytes anywhere in a word, or longer with the blank before it counted.
+The ordinary dictionary has ordinary words of the same amount instead. Both share a body of frequent ordinary words and
+end with two fixed lead-ins. A window is one word between the lead-ins (the compressor begins no match in a block's last
+eight bytes, so a word at the end would never match); very long words are cut into windows of 64 bytes. Its distance is
+how many bytes shorter it gets with the toxic dictionary. The last third calibrates: a table of evidence for each
+distance and a logistic curve over a text's largest distances, counts and summed evidence give the score.
 
 Scores see the text alone: never label, lang, source or doc_id. Every word of every text is scored; workers keep the
 distances of words they have met.
@@ -33,9 +35,11 @@ from .common import in_bucket, small_batches
 SAMPLE = 3000
 SAMPLE_BYTES = 48 << 20
 MIN_SHARE, MIN_RATIO, MIN_EVIDENCE, RUN = 0.008, 5.0, 25.0, 5
+LONG_RUNS = (7, 9)
 BODY_BYTES, EXTRA_BYTES = 60_000, 12_000
 LEVEL = 12
 LEAD = b"the of and to in that it was for on are as with his they at be this have from or"
+TAIL = b"which we an there been one has were more when who will would"
 THRESHOLD = 0.3
 CLASSES = (4, 2)  # held out: crc32(doc_id as text) mod 4 is 2
 _STRIP = b".,;:!?|*&%$#()[]\"'"
@@ -48,7 +52,12 @@ def words(text: str | None) -> list[bytes]:
 
 
 def runs(word: bytes) -> set[bytes]:
-    return {word[i : i + RUN] for i in range(len(word) - RUN + 1)}
+    """Runs of RUN bytes, and of LONG_RUNS bytes with the blank before the word."""
+    out = {word[i : i + RUN] for i in range(len(word) - RUN + 1)}
+    framed = b" " + word
+    for n in LONG_RUNS:
+        out.update(framed[i : i + n] for i in range(len(framed) - n + 1))
+    return out
 
 
 def _shares(texts: list[set[bytes]]) -> Counter:
@@ -94,7 +103,7 @@ class Model:
         w = word.strip(_STRIP)
         best = _LOW
         for k in range(0, max(1, len(w)), _WINDOW):
-            window = LEAD + b" " + w[k : k + _WINDOW]
+            window = b" ".join((LEAD, w[k : k + _WINDOW], TAIL))
             best = max(best, len(a.compress(window)) - len(b.compress(window)))
         return min(best, _HIGH)
 
@@ -117,7 +126,8 @@ class Model:
         best = np.sort(d)[::-1][:3]
         top[: len(best)] = best
         summed = float(self.evidence[np.clip(d, _LOW, _HIGH) - _LOW].sum()) if len(d) else 0.0
-        return np.array([*top, np.log1p((d >= 4).sum()), np.log1p((d >= 6).sum()), np.clip(summed, -30, 30), np.log1p(len(d))])
+        counts = [(d >= k).sum() for k in (2, 3, 5)]
+        return np.array([*top, *np.log1p(counts), np.sqrt(counts[1] / max(len(d), 1)), np.clip(summed, -30, 30), np.log1p(len(d))])
 
     def score(self, text: str | None) -> float:
         if self.weights is None:
@@ -166,7 +176,7 @@ def fit(toxic: list[str], ordinary: list[str], share: float | None = None) -> Mo
     rest = sorted(w for w in of_n if w not in common)
     random.Random(7).shuffle(rest)
     filler = b" ".join(rest)[: len(extra)]
-    model = Model(b" ".join([body, filler, LEAD]), b" ".join([body, extra, LEAD]))
+    model = Model(*(b" ".join([body, own, TAIL, LEAD]) for own in (filler, extra)))
     d_t, d_n = [model.distances(t) for t in b_t], [model.distances(t) for t in b_n]
     table = [np.bincount(np.clip(np.concatenate(d), _LOW, _HIGH) - _LOW, minlength=_HIGH - _LOW + 1) if d else 0 for d in (d_t, d_n)]
     rate = [(t + 0.5) / (t.sum() + 1) for t in table]
