@@ -24,11 +24,9 @@ bit has probability one half, and N = V = 0; an empty table gives no rows; other
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as pads
 import xxhash
 from pyspark.errors import AnalysisException
@@ -41,22 +39,56 @@ from .common import in_bucket, materialise, new_path, open_fs, small_batches
 DEPTH = 6
 CLASSES = (7, 2)  # held out: crc32(doc_id as text) mod 7 is 2
 END = b"\xff"
-_UNITS = re.compile(rb"[^\x20\x09-\x0D\xff]*[\x20\x09-\x0D\xff]")
 _MOST = 600_000
 _LOG10 = np.log(10.0)
 
 
 #: What a unit knows of the one before: whether a sentence or line ended, and the kind of its last byte.
-_KIND = bytes(1 if c in b".!?\n" else 2 if c in b"ao" else 3 if c >= 128 else 4 for c in range(256))
-_FIRST = [bytes([k]) for k in range(5)]
+_KIND = np.array([1 if c in b".!?\n" else 2 if c in b"ao" else 3 if c >= 128 else 4 for c in range(256)], np.uint8)
+_GAP = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E), END[0]])
+
+
+def binary_array(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary array over one buffer of bytes."""
+    offsets = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def units(text: str | None) -> list[bytes]:
-    """Units, each behind one byte for the kind of unit before it; that byte is context and isn't coded."""
-    found = _UNITS.findall((text or "").encode("utf-8", "surrogatepass") + END)
-    kind, first = _KIND, _FIRST
-    before = [first[1], *[first[1 if u[-1] == 10 else kind[u[-2]] if len(u) > 1 else 4] for u in found[:-1]]]
-    return list(map(bytes.__add__, before, found))
+def flat_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, sizes) of a binary array without nulls."""
+    values = values.cast(pa.large_binary())
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data = values.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(units of all texts, number of units of each text), without a loop over units.
+
+    Each unit stands behind one byte for the kind of unit before it; that byte is context and isn't coded.
+    """
+    values = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    data, sizes = flat_bytes(values)
+    ends = np.cumsum(sizes)
+    flat = np.insert(data, ends, END[0]) if len(sizes) else data
+    gap = _GAP[flat]
+    stop = np.flatnonzero(gap) + 1
+    size = np.diff(stop, prepend=0)
+    by, last = flat[stop - 1], flat[np.maximum(stop - 2, 0)]
+    own = np.where(by == 10, 1, np.where(size > 1, _KIND[last], 4)).astype(np.uint8)
+    own[by == END[0]] = 1  # a text begins like a sentence
+    before = np.empty_like(own)
+    if len(own):
+        before[0], before[1:] = 1, own[:-1]
+    framed = np.empty(len(flat) + len(size), np.uint8)
+    heads = np.cumsum(size + 1) - size - 1
+    rest = np.ones(len(framed), bool)
+    rest[heads] = False
+    framed[heads], framed[rest] = before, flat
+    counts = np.diff(np.cumsum(gap)[ends + np.arange(len(ends))], prepend=0) if len(ends) else np.zeros(0, np.int64)
+    return binary_array(framed, size + 1), counts
 
 
 def token(unit: bytes) -> int:
@@ -82,13 +114,14 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - np.log(np.pi)
 
 
-def grams(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def grams(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(context << 8 | byte of every coded byte of the units, index of its unit); the nearest context byte is the lowest."""
-    sizes = np.fromiter(map(len, batch), np.int64, len(batch)) - 1
-    pad = bytes(DEPTH)
-    flat = np.frombuffer(pad + pad.join(batch), np.uint8).astype(np.int64)
-    of = np.repeat(np.arange(len(batch)), sizes)
-    at = np.arange(int(sizes.sum())) + (of + 1) * (DEPTH + 1)
+    data, sizes = flat_bytes(batch)
+    each = np.repeat(np.arange(len(sizes)), sizes)
+    flat = np.zeros(len(data) + DEPTH * (len(sizes) + 1), np.int64)
+    flat[np.arange(len(data)) + DEPTH * (each + 1)] = data
+    of = np.repeat(np.arange(len(sizes)), sizes - 1)
+    at = np.arange(len(of)) + (of + 1) * (DEPTH + 1)
     out = flat[at]
     for k in range(1, DEPTH + 1):
         out |= flat[at - k] << (8 * k)
@@ -173,32 +206,43 @@ def located(docs: DataFrame) -> DataFrame:
         return materialise(docs.select("doc_id", "text"), "texts").select("doc_id", "text", name)
 
 
+def _merged(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    """Unit counts of several batches as one: each unit once."""
+    t = pa.table({"unit": pa.chunked_array([p[0] for p in parts]), "n": pa.chunked_array([pa.array(p[1]) for p in parts])})
+    t = t.group_by("unit").aggregate([("n", "sum")]).combine_chunks()
+    return t["unit"].combine_chunks(), t["n_sum"].to_numpy()
+
+
 def _count_units(docs: DataFrame) -> DataFrame:
     """(block, unit, tok, n): units of every block with their count in training rows; counts may come in parts."""
 
     def work(batches):
-        seen: dict[int, Counter] = {}
+        held: dict[int, list] = {}
+        size = 0
         for b in batches:
-            for text, block, train in zip(b.column("text").to_pylist(), b.column("block").to_pylist(), b.column("train").to_pylist()):
-                c = seen.setdefault(block, Counter())
-                found = units(text)
-                if train:
-                    c.update(found)
-                else:
-                    for u in found:
-                        if u not in c:
-                            c[u] = 0
-            if sum(map(len, seen.values())) > _MOST:
-                yield from parts(seen)
-                seen = {}
-        yield from parts(seen)
-
-    def parts(seen):
-        for block, c in seen.items():
-            listed = list(c)
-            for k in range(0, len(listed), 20_000):
-                us = listed[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(us), pa.int64()), pa.array(us, pa.binary()), pa.array([token(u) for u in us], pa.int64()), pa.array([c[u] for u in us], pa.int64())], ["block", "unit", "tok", "n"])
+            blocks = b.column("block").to_numpy(zero_copy_only=False)
+            for block in np.unique(blocks):
+                mine = b.filter(pa.array(blocks == block)) if (blocks != block).any() else b
+                found, counts = units(mine.column("text"))
+                train = mine.column("train").to_numpy(zero_copy_only=False).astype(bool)
+                code = found.dictionary_encode()
+                n = np.bincount(code.indices.to_numpy()[np.repeat(train, counts)], minlength=len(code.dictionary))
+                held.setdefault(int(block), []).append((code.dictionary, n))
+                size += len(code.dictionary)
+            if size > _MOST:
+                held = {k: [_merged(v)] for k, v in held.items()}
+                size = sum(len(v[0][0]) for v in held.values())
+                if size > _MOST // 2:
+                    yield from parts(held)
+                    held, size = {}, 0
+        yield from parts(held)
+
+    def parts(held):
+        for block, found in held.items():
+            every, n = _merged(found)
+            for k in range(0, len(every), 20_000):
+                us = every[k : k + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(us), block)), us.cast(pa.binary()), pa.array([token(u) for u in us.to_pylist()], pa.int64()), pa.array(n[k : k + 20_000], pa.int64())], ["block", "unit", "tok", "n"])
 
     train = ~in_bucket(F.col("doc_id"), *CLASSES)
     return docs.select("text", "block", train.alias("train")).mapInArrow(work, "block long, unit binary, tok long, n long")
@@ -224,7 +268,7 @@ def _unit_scores(listed: DataFrame) -> DataFrame:
 
     def ask(batches):
         for b in batches:
-            gram, of = grams(b.column("unit").to_pylist())
+            gram, of = grams(b.column("unit"))
             n, part = b.column("n").to_numpy(zero_copy_only=False), b.column("part").to_numpy(zero_copy_only=False)
             keys, at = np.unique(gram, return_inverse=True)
             count = np.bincount(at, n[of], len(keys)).astype(np.int64)
@@ -267,7 +311,7 @@ def _unit_scores(listed: DataFrame) -> DataFrame:
     def score(batches):
         held, keys, lp = None, None, None
         for b in batches:
-            gram, of = grams(b.column("unit").to_pylist())
+            gram, of = grams(b.column("unit"))
             part = b.column("part").to_numpy(zero_copy_only=False)
             out = np.zeros(b.num_rows)
             for p in np.unique(part):
@@ -286,7 +330,7 @@ def _unit_scores(listed: DataFrame) -> DataFrame:
 def score(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 20_000)
     rows = located(docs)
     ends = rows.where(~in_bucket(F.col("doc_id"), *CLASSES)).count()
     counted = materialise(_count_units(rows), "unit-counts")
@@ -298,28 +342,29 @@ def score(docs: DataFrame) -> DataFrame:
     listed = materialise(listed.withColumn("part", F.spark_partition_id().cast("long")), "units")
     n, v = listed.where("tok <> 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("lead") & (F.col("c") > 0), 1)), F.lit(0))).first()
     n, v = n + ends, v + (ends > 0)
-    small_batches(spark, 20_000)
     scored = _unit_scores(listed).select(F.explode("blocks").alias("block"), "unit", "lp", "c")
     path = _answers(scored, "block", "unit-scores")
-    small_batches(spark)
 
     def work(batches):
-        held, index, lp, c = None, {}, None, None
+        held = known = lp = c = base = None
         for b in batches:
-            out = []
-            for text, block in zip(b.column("text").to_pylist(), b.column("block").to_pylist()):
-                if block != held:
-                    t = _load(path, "block", block)
-                    lp, c, held = t["lp"].to_numpy(), t["c"].to_numpy(), block
-                    index = dict(zip(t["unit"].to_pylist(), range(t.num_rows)))
-                found = units(text)
-                at = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
-                word = np.fromiter((len(u) > 2 for u in found), bool, len(found))
-                counts = c[at[word]]
-                base = float(np.log10((counts + 1.0) / (n + v + 1.0)).sum() + np.log10((ends + 1.0) / (n + v + 1.0)))
-                out.append((len(counts) + 1, int((counts > 0).sum()) + int(ends > 0), base, float(lp[at].sum())))
-            cols = list(zip(*out)) if out else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            blocks = b.column("block").to_numpy(zero_copy_only=False)
+            runs = np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1)) if len(blocks) else []
+            for start, stop in zip(runs, [*runs[1:], len(blocks)]):
+                mine = b.slice(start, stop - start)
+                if blocks[start] != held:
+                    held = int(blocks[start])
+                    t = _load(path, "block", held)
+                    known, lp, c = t["unit"].combine_chunks().cast(pa.large_binary()), t["lp"].to_numpy(), t["c"].to_numpy()
+                    base = np.log10((c + 1.0) / (n + v + 1.0))
+                found, counts = units(mine.column("text"))
+                size = np.diff(np.frombuffer(found.buffers()[1], np.int64))
+                at = pc.index_in(found, value_set=known).to_numpy()
+                word = size > 2
+                first = np.cumsum(counts) - counts
+                total = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
+                cols = [total(word.astype(np.int64)) + 1, total((word & (c[at] > 0)).astype(np.int64)) + int(ends > 0), total(np.where(word, base[at], 0.0)) + np.log10((ends + 1.0) / (n + v + 1.0)), total(lp[at])]
+                yield pa.RecordBatch.from_arrays([mine.column("doc_id"), *map(pa.array, cols)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = rows.mapInArrow(work, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
