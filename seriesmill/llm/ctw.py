@@ -2,8 +2,9 @@
 
 A text is cut into units: a run of non-gap bytes and the gap byte behind it; the last unit ends with an end symbol
 (byte 0xFF, which UTF-8 never has). A byte is coded as eight binary decisions. The context of a decision is the bits
-of the byte so far and up to DEPTH bytes before it in the unit; before the unit stands one byte for the kind of the unit
-before it (sentence or line end, or the kind of its last byte), and zero bytes. Every node of the
+of the byte so far and up to DEPTH symbols before it in the unit: the SINGLE nearest bytes, then pairs of bytes (each by
+its lower four bits), so that a context reaches SPAN bytes back. Before the unit stands one byte for the kind of the
+unit before it (sentence or line end, or the kind of its last byte), and zero bytes. Every node of the
 context tree keeps how often the training text decided 0 and 1 there; a node's Krichevsky-Trofimov probability P_e is
 weighted against the product of its children's: P_w = P_e / 2 + prod P_w(children) / 2. With all counts fixed, a
 decision's probability is the mixture over all depths that these weights imply; below the last node that training
@@ -34,9 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import in_bucket, materialise, new_path, open_fs, small_batches
+from .common import drop, in_bucket, materialise, new_path, open_fs, small_batches
 
-DEPTH = 6
+DEPTH, SINGLE = 7, 4
+#: Bytes before a byte that its context reaches back.
+SPAN = SINGLE + 2 * (DEPTH - SINGLE)
 CLASSES = (7, 2)  # held out: crc32(doc_id as text) mod 7 is 2
 END = b"\xff"
 _MOST = 600_000
@@ -115,16 +118,21 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 def grams(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(context << 8 | byte of every coded byte of the units, index of its unit); the nearest context byte is the lowest."""
+    """(context << 8 | byte of every coded byte of the units, index of its unit); the nearest context byte is the lowest.
+
+    Context symbols are the SINGLE nearest bytes, and beyond them pairs of bytes, each by its lower four bits.
+    """
     data, sizes = flat_bytes(batch)
     each = np.repeat(np.arange(len(sizes)), sizes)
-    flat = np.zeros(len(data) + DEPTH * (len(sizes) + 1), np.int64)
-    flat[np.arange(len(data)) + DEPTH * (each + 1)] = data
+    flat = np.zeros(len(data) + SPAN * (len(sizes) + 1), np.int64)
+    flat[np.arange(len(data)) + SPAN * (each + 1)] = data
+    pairs = flat & 15
+    pairs[1:] |= (flat[:-1] & 15) << 4
     of = np.repeat(np.arange(len(sizes)), sizes - 1)
-    at = np.arange(len(of)) + (of + 1) * (DEPTH + 1)
+    at = np.arange(len(of)) + (of + 1) * (SPAN + 1)
     out = flat[at]
     for k in range(1, DEPTH + 1):
-        out |= flat[at - k] << (8 * k)
+        out |= (flat[at - k] if k <= SINGLE else pairs[at - SINGLE - 2 * (k - SINGLE) + 1]) << (8 * k)
     return out, of
 
 
@@ -208,6 +216,8 @@ def located(docs: DataFrame) -> DataFrame:
 
 def _merged(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
     """Unit counts of several batches as one: each unit once."""
+    if len(parts) == 1:
+        return parts[0]
     t = pa.table({"unit": pa.chunked_array([p[0] for p in parts]), "n": pa.chunked_array([pa.array(p[1]) for p in parts])})
     t = t.group_by("unit").aggregate([("n", "sum")]).combine_chunks()
     return t["unit"].combine_chunks(), t["n_sum"].to_numpy()
@@ -230,11 +240,8 @@ def _count_units(docs: DataFrame) -> DataFrame:
                 held.setdefault(int(block), []).append((code.dictionary, n))
                 size += len(code.dictionary)
             if size > _MOST:
-                held = {k: [_merged(v)] for k, v in held.items()}
-                size = sum(len(v[0][0]) for v in held.values())
-                if size > _MOST // 2:
-                    yield from parts(held)
-                    held, size = {}, 0
+                yield from parts(held)
+                held, size = {}, 0
         yield from parts(held)
 
     def parts(held):
@@ -278,7 +285,7 @@ def _unit_scores(listed: DataFrame) -> DataFrame:
             held = count > 0
             yield pa.RecordBatch.from_arrays([pa.array(keys[held]), pa.array(count[held]), pa.array(np.full(int(held.sum()), -1, np.int64))], ["gram", "n", "part"])
 
-    asked = materialise(listed.select("unit", "n", "part").mapInArrow(ask, "gram long, n long, part long"), "grams")
+    asked = asked_all = materialise(listed.select("unit", "n", "part").mapInArrow(ask, "gram long, n long, part long"), "grams")
     sub = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("sub")
     leaves = materialise(asked.where("part = -1").groupBy("gram").agg(F.sum("n").alias("n")), "leaves")
     asked = asked.where("part >= 0").select("gram", "part").distinct()
@@ -307,6 +314,8 @@ def _unit_scores(listed: DataFrame) -> DataFrame:
     both = leaves.select("gram", "n", F.lit(-1).cast("long").alias("part")).unionByName(asked.select("gram", F.lit(0).cast("long").alias("n"), "part"))
     told = both.repartition(parts, sub).select("gram", "n", "part").mapInArrow(lambda it: answer(list(it)), "part long, gram long, lp double")
     path = _answers(told, "part", "gram-scores")
+    drop(asked_all)
+    drop(leaves)
 
     def score(batches):
         held, keys, lp = None, None, None
@@ -330,7 +339,7 @@ def _unit_scores(listed: DataFrame) -> DataFrame:
 def score(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = docs.sparkSession
-    small_batches(spark, 20_000)
+    small_batches(spark, 10_000, 6 << 20)
     rows = located(docs)
     ends = rows.where(~in_bucket(F.col("doc_id"), *CLASSES)).count()
     counted = materialise(_count_units(rows), "unit-counts")
@@ -340,6 +349,7 @@ def score(docs: DataFrame) -> DataFrame:
     of_token = W.partitionBy("tok")
     listed = listed.withColumn("c", F.sum("n").over(of_token)).withColumn("lead", F.row_number().over(of_token.orderBy("unit")) == 1)
     listed = materialise(listed.withColumn("part", F.spark_partition_id().cast("long")), "units")
+    drop(counted)
     n, v = listed.where("tok <> 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("lead") & (F.col("c") > 0), 1)), F.lit(0))).first()
     n, v = n + ends, v + (ends > 0)
     scored = _unit_scores(listed).select(F.explode("blocks").alias("block"), "unit", "lp", "c")

@@ -133,5 +133,5 @@ def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity:
 
 def decontaminate(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """docs without the rows whose doc_id has a match; rows with a null doc_id that match share that id and go too."""
-    bad = matches(docs, items, radius, similarity).select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti").select(*docs.columns)
+    bad = matches(docs, items, radius, similarity).select(F.col("doc_id").alias("__sm_d")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__sm_d")), "left_anti").select(*docs.columns)

@@ -64,24 +64,24 @@ def mix(docs: DataFrame, weight: str | None = None, size: str | None = None, tot
     taken is the number of words the mix takes of the row: epochs times its size, and in the fractional epoch its
     size, or as many of its first words as the budget still holds, or nothing.
     """
-    own = [c for c in docs.columns if c not in {"size", "source_size", "target", "epochs", "taken", "_key", "_bucket", "_before"}]
+    own = [c for c in docs.columns if c not in {"size", "source_size", "target", "epochs", "taken"}]
     words = (F.coalesce(F.col(size), F.lit(0)) if size else word_count(F.col("text"))).cast("long")
     w = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
-    rows = docs.select(*own, words.alias("_size"), draw(F.col("doc_id"), w).alias("_key")).withColumnRenamed("_size", "size")
+    rows = docs.select(*own, words.alias("__sm_size"), draw(F.col("doc_id"), w).alias("__sm_key")).withColumnRenamed("__sm_size", "size")
     buckets = max(1, math.ceil(docs.count() / bucket_rows))
-    rows = rows.withColumn("_bucket", F.least(F.floor((1 - F.exp(-F.col("_key"))) * buckets), F.lit(buckets - 1)).cast("int"))
-    part = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
-    t = targets(part.groupBy("source").agg(F.sum("_sum").alias("source_size")), total_share, ceiling, shares)
-    t = t.withColumnRenamed("source", "_s")
-    run = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    part = part.select("source", "_bucket", F.coalesce(F.sum("_sum").over(run), F.lit(0)).alias("_start"))
-    part = part.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumnsRenamed({"source": "_s", "_bucket": "_b"})
-    rows = rows.join(part, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).drop("_s", "_b")
-    inside = W.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.col("_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.withColumn("__sm_bucket", F.least(F.floor((1 - F.exp(-F.col("__sm_key"))) * buckets), F.lit(buckets - 1)).cast("int"))
+    part = rows.groupBy("source", "__sm_bucket").agg(F.sum("size").alias("__sm_sum"))
+    t = targets(part.groupBy("source").agg(F.sum("__sm_sum").alias("source_size")), total_share, ceiling, shares)
+    t = t.withColumnRenamed("source", "__sm_s")
+    run = W.partitionBy("source").orderBy("__sm_bucket").rowsBetween(W.unboundedPreceding, -1)
+    part = part.select("source", "__sm_bucket", F.coalesce(F.sum("__sm_sum").over(run), F.lit(0)).alias("__sm_start"))
+    part = part.join(t, F.col("source").eqNullSafe(F.col("__sm_s"))).drop("__sm_s").withColumnsRenamed({"source": "__sm_s", "__sm_bucket": "__sm_b"})
+    rows = rows.join(part, F.col("source").eqNullSafe(F.col("__sm_s")) & (F.col("__sm_bucket") == F.col("__sm_b"))).drop("__sm_s", "__sm_b")
+    inside = W.partitionBy("source", "__sm_bucket").orderBy("__sm_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("__sm_before", F.col("__sm_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     budget = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
-    rows = rows.withColumn("taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("_before"))))
+    rows = rows.withColumn("taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("__sm_before"))))
     return rows.select(*own, "size", "source_size", "target", "epochs", "taken")
 
 
@@ -89,4 +89,4 @@ def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix as rows: each document as often as it is taken, the cut one when at least half of it is."""
     part = F.col("taken") - F.col("epochs") * F.col("size")
     times = F.col("epochs") + F.when((part > 0) & (2 * part >= F.col("size")), 1).otherwise(0)
-    return mixed.withColumn("_times", times.cast("int")).where("_times > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*columns)
+    return mixed.withColumn("__sm_times", times.cast("int")).where("__sm_times > 0").withColumn("__sm_n", F.explode(F.sequence(F.lit(1), F.col("__sm_times")))).select(*columns)

@@ -153,10 +153,10 @@ def sanitise(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     found = find(docs) if found is None else found
     tag = "transform({k}, s -> named_struct('start', s.start, 'kind', {n}, 'end', s.end, 'tag', '[{t}]'))"
     tags = F.concat(*[F.expr(tag.format(k=k, n=n, t=k.upper())) for n, k in enumerate((*KINDS, "term"))])
-    spans = found.select(F.col("text_key").alias("_key"), F.array_sort(tags).alias("s")).dropDuplicates(["_key"])
-    spans = spans.withColumn("s", F.expr("filter(s, (x, i) -> not exists(slice(s, 1, i), y -> y.end > x.start))"))
+    spans = found.select(F.col("text_key").alias("__sm_key"), F.array_sort(tags).alias("__sm_s")).dropDuplicates(["__sm_key"])
+    spans = spans.withColumn("__sm_s", F.expr("filter(__sm_s, (x, i) -> not exists(slice(__sm_s, 1, i), y -> y.end > x.start))"))
     text = F.coalesce("text", F.lit(""))
-    out = docs.join(spans, F.xxhash64(text) == F.col("_key"), "left")
-    pieces = "transform(s, (x, i) -> concat(substring(text, cast(if(i = 0, 0L, s[i - 1].end) as int) + 1, cast(x.start - if(i = 0, 0L, s[i - 1].end) as int)), x.tag))"
-    whole = F.expr(f"if(s is null or size(s) = 0, text, concat(array_join({pieces}, ''), substring(text, cast(s[size(s) - 1].end as int) + 1)))")
+    out = docs.join(spans, F.xxhash64(text) == F.col("__sm_key"), "left")
+    pieces = "transform(__sm_s, (x, i) -> concat(substring(text, cast(if(i = 0, 0L, __sm_s[i - 1].end) as int) + 1, cast(x.start - if(i = 0, 0L, __sm_s[i - 1].end) as int)), x.tag))"
+    whole = F.expr(f"if(__sm_s is null or size(__sm_s) = 0, text, concat(array_join({pieces}, ''), substring(text, cast(__sm_s[size(__sm_s) - 1].end as int) + 1)))")
     return out.withColumn("text", whole).select(*docs.columns)

@@ -34,16 +34,16 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with _weight: 2 and 1/2 for labelled good and bad quality, 1 elsewhere."""
-    marks = labels.groupBy(F.col("doc_id").alias("_l")).agg(F.max("quality").alias("_quality"))
-    docs = docs.join(marks, F.col("doc_id") == F.col("_l"), "left").drop("_l")
-    return docs.withColumn("_weight", F.when(F.col("_quality") == 1, 2.0).when(F.col("_quality") == 0, 0.5).otherwise(1.0)).drop("_quality")
+    marks = labels.groupBy(F.col("doc_id").alias("__sm_l")).agg(F.max("quality").alias("__sm_quality"))
+    docs = docs.join(marks, F.col("doc_id") == F.col("__sm_l"), "left").drop("__sm_l")
+    return docs.withColumn("__sm_weight", F.when(F.col("__sm_quality") == 1, 2.0).when(F.col("__sm_quality") == 0, 0.5).otherwise(1.0)).drop("__sm_quality")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents, weighted by labelled quality."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
     docs = quality_weight(docs, table(spark, sf_dir, "labels"))
-    mixed = mixing.mix(materialise(docs, "mix-rows"), weight="_weight", size="words")
+    mixed = mixing.mix(materialise(docs, "mix-rows"), weight="__sm_weight", size="words")
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 

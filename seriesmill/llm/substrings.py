@@ -187,14 +187,14 @@ def repeated(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
 def remove(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """docs with the removed lines cut out of their texts; rows and other columns stay."""
     found = repeated(docs) if found is None else found
-    cut = found.where("removed").groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).agg(F.collect_set("start").alias("_cut"))
-    out = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left")
+    cut = found.where("removed").groupBy(F.col("doc_id").alias("__sm_d"), F.col("text_key").alias("__sm_t")).agg(F.collect_set("start").alias("__sm_cut"))
+    out = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("__sm_d")) & (F.xxhash64("text") == F.col("__sm_t")), "left")
     small_batches(docs.sparkSession)
 
     def work(batches):
         for b in batches:
             texts = []
-            for text, gone in zip(b.column("text").to_pylist(), b.column("_cut").to_pylist()):
+            for text, gone in zip(b.column("text").to_pylist(), b.column("__sm_cut").to_pylist()):
                 if text is not None and gone:
                     at, kept, gone = 0, [], set(gone)
                     for line in text.split("\n"):
@@ -205,6 +205,6 @@ def remove(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
                 texts.append(text)
             i = b.schema.get_field_index("text")
             b = b.set_column(i, b.schema.field(i), pa.array(texts, b.column(i).type))
-            yield b.select([c for c in b.schema.names if c != "_cut"])
+            yield b.select([c for c in b.schema.names if c != "__sm_cut"])
 
-    return out.select(*docs.columns, "_cut").mapInArrow(work, docs.schema)
+    return out.select(*docs.columns, "__sm_cut").mapInArrow(work, docs.schema)

@@ -235,7 +235,8 @@ class WordTokenizer:
 
     The file's tokenizer drops white space and never merges across it, so a text's ids are those of its words. Words
     made of ASCII and Latin letters up to U+024F are cut here by the rules that the file states and given to its merge
-    model; any other word goes through the whole tokenizer. The cache is dropped when it holds `most` words.
+    model; any other word, and one with a marker like <|endoftext|> that the tokenizer knows, goes through the whole
+    tokenizer. The cache is dropped when it holds `most` words.
     """
 
     def __init__(self, path: str, end: int | None = 1, most: int = 1_000_000):
@@ -243,7 +244,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.marks = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
         self.end = b"" if end is None else int(end).to_bytes(self.width, "little")
         self.merge, self.most, self.cache, self.pieces = self.whole.model.tokenize, most, {}, {}
@@ -270,7 +271,7 @@ class WordTokenizer:
         return out
 
     def word(self, word: str) -> bytes:
-        if self.known and self.plain.fullmatch(word) and "İ" not in word:
+        if self.known and self.plain.fullmatch(word) and not any(m in word.lower() for m in self.marks):
             return b"".join(map(self._piece, self.cut.findall(word.lower())))
         return self._pack(self.whole.encode(word, add_special_tokens=False).ids)
 
