@@ -11,6 +11,12 @@ least RUN_WORDS words together are the repeated passages; every line of such a r
 first line of each class (by doc_id, then place) are marked for removal. Lone short lines, like a licence note, are
 left alone.
 
+A passage can also lie inside long lines that differ otherwise. So lines of more than LONG_LINE words are winnowed as
+well: of the hashes of all windows of WINDOW words the least of every SPREAD neighbours is kept, which keeps at least one
+window of any run of WINDOW + SPREAD - 1 = 51 equal words, wherever it stands. Kept windows that stand in two different
+documents are result rows too (with the place of the window); those of lines that are rows already are left out, and so
+are windows of fewer than DISTINCT different words, like one word over and over.
+
 Buckets of any size are compared in bounded memory (buckets.py); lines travel as hashes, and texts of those that
 collide only are fetched in a second pass.
 
@@ -22,6 +28,7 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +44,13 @@ from .components import connected_components
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 2, 8
 RUN_WORDS = 40
+LONG_LINE, WINDOW, SPREAD, DISTINCT = 48, 40, 12, 8
 SEED = 42
 _RNG = np.random.default_rng(11)
 _MUL = _RNG.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def shingles(line: bytes) -> list[int]:
@@ -111,6 +120,83 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, f"doc_id {kind}, text_key long, para int, start long, end long, n_words int, key long, bands array<long>")
 
 
+def kept_windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, hashes) of the windows that winnowing keeps of a lower-cased line's words.
+
+    A window's hash is a polynomial in the hashes of its words, from wrapping prefix sums.
+    """
+    n = len(words) - WINDOW + 1
+    seen: dict[bytes, int] = {}
+    h = xxhash.xxh3_64_intdigest
+    ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
+    x = np.fromiter((h(w) for w in seen), np.uint64, len(seen))[ids]
+    power = np.full(len(x), _BASE, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(x * power)])
+    back = np.full(n, _BASE_INVERSE, np.uint64)
+    back[0] = 1
+    v = (total[WINDOW:] - total[:n]) * np.multiply.accumulate(back)
+    v ^= v >> np.uint64(31)
+    v *= _MIX
+    v ^= v >> np.uint64(29)
+    w = min(SPREAD, n)
+    near = np.lib.stride_tricks.sliding_window_view(v, w)
+    at = np.unique(near.argmin(1) + np.arange(len(near)))
+    new = np.array([len(np.unique(ids[i : i + WINDOW])) >= DISTINCT for i in at], bool)
+    return at[new], v[at[new]].view(np.int64)
+
+
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, text_key, para, start, end, key): kept windows of long lines."""
+    small_batches(docs.sparkSession)
+    names = ["doc_id", "text_key", "para", "start", "end", "key"]
+
+    def work(batches):
+        for b in batches:
+            row, para, start, end, key = [], [], [], [], []
+            for r, text in enumerate(b.column("text").to_pylist()):
+                place = n = 0
+                for line in text.split("\n"):
+                    raw = line.encode("utf-8", "surrogatepass").lower()
+                    words = raw.split()
+                    if len(words) > LONG_LINE:
+                        at, keys = kept_windows(words)
+                        if len(at):
+                            spans = [m.span() for m in _WORD.finditer(line)]
+                            row += [r] * len(at)
+                            para += [n] * len(at)
+                            start += [place + spans[i][0] for i in at]
+                            end += [place + spans[i + WINDOW - 1][1] for i in at]
+                            key.append(keys)
+                    n += bool(words)
+                    place += len(line) + 1
+            take = pa.array(row, pa.int64())
+            keys = pa.array(np.concatenate(key) if key else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("text_key").take(take), pa.array(para, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), keys], names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(work, f"doc_id {kind}, text_key long, para int, start long, end long, key long")
+
+
+def repeated_windows(docs: DataFrame, lines_hit: DataFrame) -> DataFrame:
+    """Kept windows that stand in two different documents, outside of lines that are hits themselves."""
+    rows = materialise(windows(docs).dropDuplicates(["doc_id", "text_key", "start"]), "windows")
+    doc = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
+    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "start")
+    shared = rows.groupBy(F.col("key").alias("_k")).agg(F.min(doc).alias("low"), F.max(doc).alias("high"), F.min(first).alias("first")).where("low < high")
+    hit = rows.join(shared, F.col("key") == F.col("_k"))
+    known = lines_hit.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.col("para").alias("_p")).distinct()
+    hit = hit.join(known, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t")) & (F.col("para") == F.col("_p")), "left_anti")
+    stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key")) & (F.col("first.start") == F.col("start"))
+    return hit.select("doc_id", "para", "start", "end", F.lit(WINDOW).alias("n_words"), F.col("key").alias("class_id"), (~stays).alias("removed"), "text_key")
+
+
 def _compare(t: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of whole buckets: a row is held against members of each other component until one is similar."""
     ids, raw, i, j = t["id"].to_numpy(), t["s"].to_pylist(), t["i"].to_numpy(), t["j"].to_numpy()
@@ -164,9 +250,10 @@ def line_links(rows: DataFrame, docs: DataFrame, limit: int = 500) -> DataFrame:
 
 
 def repeated(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """docs (doc_id, text) -> lines of repeated passages: (doc_id, para, start, end, n_words, class_id, removed, text_key).
+    """docs (doc_id, text) -> repeated passages: (doc_id, para, start, end, n_words, class_id, removed, text_key, part).
 
-    class_id is the least line key of a class.
+    part is line, or window for a stretch inside a long line; class_id is the least line key of a class, or the
+    window's hash.
     """
     rows = materialise(lines(docs).dropDuplicates(["doc_id", "text_key", "para"]), "lines")
     parts = connected_components(line_links(rows, docs))
@@ -181,28 +268,34 @@ def repeated(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     hit = hit.withColumn("run", F.col("para") - F.row_number().over(doc.orderBy("para")))
     hit = hit.withColumn("run_words", F.sum("n_words").over(W.partitionBy("doc_id", "text_key", "run"))).where(F.col("run_words") >= run_words)
     stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key")) & (F.col("first.para") == F.col("para"))
-    return hit.select("doc_id", "para", "start", "end", "n_words", "class_id", (~stays).alias("removed"), "text_key")
+    whole = materialise(hit.select("doc_id", "para", "start", "end", "n_words", "class_id", (~stays).alias("removed"), "text_key"), "line-hits")
+    return whole.withColumn("part", F.lit("line")).unionByName(repeated_windows(docs, whole).withColumn("part", F.lit("window")))
 
 
 def remove(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """docs with the removed lines cut out of their texts; rows and other columns stay."""
+    """docs with removed lines and windows cut out of their texts; rows and other columns stay."""
     found = repeated(docs) if found is None else found
-    cut = found.where("removed").groupBy(F.col("doc_id").alias("__sm_d"), F.col("text_key").alias("__sm_t")).agg(F.collect_set("start").alias("__sm_cut"))
+    cut = found.where("removed").groupBy(F.col("doc_id").alias("__sm_d"), F.col("text_key").alias("__sm_t"))
+    cut = cut.agg(F.array_sort(F.collect_set(F.struct("start", F.col("end").alias("stop"), (F.col("part") == "line").alias("line")))).alias("__sm_cut"))
     out = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("__sm_d")) & (F.xxhash64("text") == F.col("__sm_t")), "left")
     small_batches(docs.sparkSession)
 
+    def without(text: str, spans: list[dict]) -> str:
+        at, kept = 0, []
+        for x in spans:
+            if x["stop"] > at:
+                kept.append(text[at : max(at, x["start"])])
+                at = x["stop"]
+                if x["line"]:  # with its line end, or the one before it at the end of a text
+                    if at < len(text):
+                        at += 1
+                    elif kept[-1].endswith("\n"):
+                        kept[-1] = kept[-1][:-1]
+        return "".join([*kept, text[at:]])
+
     def work(batches):
         for b in batches:
-            texts = []
-            for text, gone in zip(b.column("text").to_pylist(), b.column("__sm_cut").to_pylist()):
-                if text is not None and gone:
-                    at, kept, gone = 0, [], set(gone)
-                    for line in text.split("\n"):
-                        if at not in gone:
-                            kept.append(line)
-                        at += len(line) + 1
-                    text = "\n".join(kept)
-                texts.append(text)
+            texts = [without(t, x) if t is not None and x else t for t, x in zip(b.column("text").to_pylist(), b.column("__sm_cut").to_pylist())]
             i = b.schema.get_field_index("text")
             b = b.set_column(i, b.schema.field(i), pa.array(texts, b.column(i).type))
             yield b.select([c for c in b.schema.names if c != "__sm_cut"])

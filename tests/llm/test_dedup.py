@@ -190,7 +190,7 @@ def plain_repeats(rows, run_words=substrings.RUN_WORDS):
 
 
 def test_repeated_paragraphs_on_awkward_documents(docs, awkward):
-    got = {(r["doc_id"], r["para"]) for r in substrings.repeated(docs).collect()}
+    got = {(r["doc_id"], r["para"]) for r in substrings.repeated(docs).where("part = 'line'").collect()}
     assert got == plain_repeats([(d, t) for d, t, *_ in awkward])
 
 
@@ -198,11 +198,53 @@ def test_repeated_paragraphs_against_brute_force(spark):
     from seriesmill.llm import queries
 
     sf = sample_data()
-    got = {(r["doc_id"], r["para"]) for r in queries.op1_substrings(spark, sf).collect()}
+    got = {(r["doc_id"], r["para"]) for r in queries.op1_substrings(spark, sf).where("part = 'line'").collect()}
     want = plain_repeats([(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def shared_runs(rows, n):
+    """Documents that share a run of n words with another text."""
+    seen = {}
+    for d, t in rows:
+        w = [x.encode() for x in WORD.findall(lower(t or ""))]
+        for i in range(len(w) - n + 1):
+            if len(set(w[i : i + n])) >= substrings.DISTINCT:
+                seen.setdefault(tuple(w[i : i + n]), set()).add((d, t))
+    return {d for s in seen.values() if len(s) > 1 for d, _ in s}
+
+
+def test_passages_inside_long_lines(spark):
+    """Every run of 51 words is found wherever it stands; nothing shorter than a window is."""
+    r, rows = random.Random(9), []
+    for k in range(40):
+        passage = prose((51, 52, 60, 39, 30)[k % 5], 300 + k)
+        for side in range(2):
+            before, after = prose(r.randrange(20, 150), 7000 + 2 * k + side), prose(r.randrange(20, 150), 8000 + 2 * k + side)
+            rows.append((2 * k + side, f"{before} {passage} {after}"))
+    rows += [(900, "same " * 300), (901, "x " + "same " * 300), (902, "é " * 60 + prose(55, 1)), (903, "ü " * 60 + prose(55, 1).upper())]
+    got = {}
+    for x in substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(x["doc_id"], []).append(x)
+    assert shared_runs(rows, 51) <= set(got) <= shared_runs(rows, 40)
+    texts = dict(rows)
+    for d, found in got.items():
+        for x in found if d < 900 else ():
+            mate = texts[d ^ 1]
+            assert x["part"] == "window" and lower(texts[d][x["start"] : x["end"]]) in lower(mate) and len(texts[d][x["start"] : x["end"]].split()) == 40
+    cut = {x["doc_id"]: x["text"] for x in substrings.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert cut[0] == texts[0] and len(cut[1].split()) <= len(texts[1].split()) - 40
+
+
+def test_windows_are_those_of_plain_winnowing():
+    words = [w.encode() for w in prose(200, 5).split()]
+    at, keys = substrings.kept_windows(words)
+    other, same = substrings.kept_windows(words[37:])
+    both = dict(zip(at.tolist(), keys.tolist()))
+    assert all(both[i + 37] == k for i, k in zip(other.tolist(), same.tolist()) if i + 37 in both) and len(set(keys.tolist())) == len(keys)
+    assert np.diff(at).max() <= substrings.SPREAD and len(set(both) & {i + 37 for i in other.tolist()}) > 5
+
+
 def test_removal_leaves_the_first_copy(spark, empty, clashing):
     p = prose(60, 8)
     df = spark.createDataFrame([(1, f"{p}\nown line one"), (2, f"start\n{p}"), (3, "nothing here"), (4, None)], "doc_id long, text string")
