@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 
 K = 5
 SCALE = 256
@@ -184,7 +184,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id
                 yield pa.RecordBatch.from_arrays([pa.array([r["dim"]] * len(found), pa.int32()), pa.array([r["qb"]] * len(found), pa.int32()), *(pa.array(c, pa.int64()) for c in cols)], ["dim", "qb", "row", "vec", "score"])
 
     shape = "dim int, qb int, row long, vec long, score long"
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    small_batches(spark, 64)
     q = asked.select(F.col("dim").alias("q_dim"), "qb", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("n").alias("q_n"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
