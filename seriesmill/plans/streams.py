@@ -18,8 +18,8 @@ _TOP = "(SELECT max(epoch_us(ts)) // 1000000 * 1000000 - 3600000000 FROM events)
 
 def closed(df, sf_dir, spark):
     """Windows that ended an hour before the last event, which is when the watermark has surely passed them."""
-    top = table(spark, sf_dir, "events").agg((F.expr("unix_micros(cast(max(ts) as timestamp)) div 1000000 * 1000000") - 3_600_000_000).alias("top"))
-    return df.crossJoin(F.broadcast(top)).where(F.unix_micros("end") <= F.col("top")).drop("top")  # one row
+    top = table(spark, sf_dir, "events").agg(F.expr("unix_micros(cast(max(ts) as timestamp)) div 1000000 * 1000000")).first()[0]
+    return df.where(F.unix_micros("end") <= F.lit((top or 0) - 3_600_000_000))
 
 
 @query("stream_bars", f"""
