@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .buckets import groups
 from .common import drop, in_bucket, materialise, new_path, open_fs, small_batches
 
 DEPTH, SINGLE = 7, 4
@@ -43,6 +44,8 @@ SPAN = SINGLE + 2 * (DEPTH - SINGLE)
 CLASSES = (7, 2)  # held out: crc32(doc_id as text) mod 7 is 2
 END = b"\xff"
 _MOST = 600_000
+#: Rows of subtrees that a worker holds, about, or one larger subtree.
+_SUBTREE = 1 << 16
 _LOG10 = np.log(10.0)
 
 
@@ -290,29 +293,33 @@ def _unit_scores(listed: DataFrame) -> DataFrame:
     leaves = materialise(asked.where("part = -1").groupBy("gram").agg(F.sum("n").alias("n")), "leaves")
     asked = asked.where("part >= 0").select("gram", "part").distinct()
 
+    def subtrees(rows: DataFrame) -> DataFrame:
+        """Rows of whole subtrees side by side, so that a worker streams through them."""
+        return rows.withColumn("sub", sub).repartition(parts, "sub").sortWithinPartitions("sub")
+
     def upper(batches):
-        t = pa.Table.from_batches(batches, pa.schema([("gram", pa.int64()), ("n", pa.int64())]))
-        keys, n0, n1, below, *_ = levels(t["gram"].to_numpy(), t["n"].to_numpy())[2]
-        key, of = np.unique((keys >> 8 & 255) << 8 | keys & 255, return_inverse=True)
-        sums = [np.bincount(of, x, len(key)) for x in (n0, n1, below)]
-        yield pa.RecordBatch.from_arrays([pa.array(key >> 8), pa.array(key & 255), *map(pa.array, sums)], ["ctx", "node", "n0", "n1", "s"])
+        for t in groups(batches, ["sub"], _SUBTREE):
+            keys, n0, n1, below, *_ = levels(t["gram"].to_numpy(), t["n"].to_numpy())[2]
+            key, of = np.unique((keys >> 8 & 255) << 8 | keys & 255, return_inverse=True)
+            sums = [np.bincount(of, x, len(key)) for x in (n0, n1, below)]
+            yield pa.RecordBatch.from_arrays([pa.array(key >> 8), pa.array(key & 255), *map(pa.array, sums)], ["ctx", "node", "n0", "n1", "s"])
 
-    high = leaves.repartition(parts, sub).select("gram", "n").mapInArrow(lambda it: upper(list(it)), "ctx long, node long, n0 double, n1 double, s double")
+    high = subtrees(leaves).select("sub", "gram", "n").mapInArrow(upper, "ctx long, node long, n0 double, n1 double, s double")
     # At most 256 * 255 rows, whatever the corpus.
     top = crown([tuple(r) for r in high.groupBy("ctx", "node").agg(F.sum("n0"), F.sum("n1"), F.sum("s")).collect()])
     sent = spark.sparkContext.broadcast(top)
 
     def answer(batches):
-        t = pa.Table.from_batches(batches, pa.schema([("gram", pa.int64()), ("n", pa.int64()), ("part", pa.int64())]))
-        gram, n, part = (t[c].to_numpy() for c in ("gram", "n", "part"))
-        own = part < 0
-        tree, wanted = levels(gram[own], n[own]), np.flatnonzero(~own)
-        for k in range(0, len(wanted), 100_000):
-            some = wanted[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part[some]), pa.array(gram[some]), pa.array(log_probability(gram[some], tree, sent.value))], ["part", "gram", "lp"])
+        for t in groups(batches, ["sub"], _SUBTREE):
+            gram, n, part = (t[c].to_numpy() for c in ("gram", "n", "part"))
+            own = part < 0
+            tree, wanted = levels(gram[own], n[own]), np.flatnonzero(~own)
+            for k in range(0, len(wanted), 50_000):
+                some = wanted[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part[some]), pa.array(gram[some]), pa.array(log_probability(gram[some], tree, sent.value))], ["part", "gram", "lp"])
 
     both = leaves.select("gram", "n", F.lit(-1).cast("long").alias("part")).unionByName(asked.select("gram", F.lit(0).cast("long").alias("n"), "part"))
-    told = both.repartition(parts, sub).select("gram", "n", "part").mapInArrow(lambda it: answer(list(it)), "part long, gram long, lp double")
+    told = subtrees(both).select("sub", "gram", "n", "part").mapInArrow(answer, "part long, gram long, lp double")
     path = _answers(told, "part", "gram-scores")
     drop(asked_all)
     drop(leaves)
@@ -352,8 +359,10 @@ def score(docs: DataFrame) -> DataFrame:
     drop(counted)
     n, v = listed.where("tok <> 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("lead") & (F.col("c") > 0), 1)), F.lit(0))).first()
     n, v = n + ends, v + (ends > 0)
+    small_batches(spark, 20_000, 6 << 20)
     scored = _unit_scores(listed).select(F.explode("blocks").alias("block"), "unit", "lp", "c")
     path = _answers(scored, "block", "unit-scores")
+    small_batches(spark, 10_000, 6 << 20)
 
     def work(batches):
         held = known = lp = c = base = None
