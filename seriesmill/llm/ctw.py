@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .buckets import groups
 from .common import drop, in_bucket, materialise, new_path, open_fs, small_batches
 
-DEPTH, SINGLE = 7, 4
+DEPTH, SINGLE = 6, 6
 #: Bytes before a byte that its context reaches back.
 SPAN = SINGLE + 2 * (DEPTH - SINGLE)
 CLASSES = (7, 2)  # held out: crc32(doc_id as text) mod 7 is 2
@@ -46,6 +46,8 @@ END = b"\xff"
 _MOST = 600_000
 #: Rows of subtrees that a worker holds, about, or one larger subtree.
 _SUBTREE = 1 << 16
+#: Grams that a task holds before it tells them.
+_GRAMS = 3_000_000
 _LOG10 = np.log(10.0)
 
 
@@ -277,21 +279,38 @@ def _unit_scores(listed: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def ask(batches):
+        """Grams of each part once, and grams with their training counts, as far as memory allows: repeats do no harm."""
+        wanted: dict[int, np.ndarray] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def tell():
+            for p, mine in wanted.items():
+                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(np.zeros(len(mine), np.int64)), pa.array(np.full(len(mine), p, np.int64))], ["gram", "n", "part"])
+            if held:
+                keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+                count = np.bincount(at, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(count), pa.array(np.full(len(keys), -1, np.int64))], ["gram", "n", "part"])
+
         for b in batches:
             gram, of = grams(b.column("unit"))
             n, part = b.column("n").to_numpy(zero_copy_only=False), b.column("part").to_numpy(zero_copy_only=False)
             keys, at = np.unique(gram, return_inverse=True)
             count = np.bincount(at, n[of], len(keys)).astype(np.int64)
+            held.append((keys[count > 0], count[count > 0]))
             for p in np.unique(part):
-                mine = np.unique(gram[part[of] == p])
-                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(np.zeros(len(mine), np.int64)), pa.array(np.full(len(mine), p, np.int64))], ["gram", "n", "part"])
-            held = count > 0
-            yield pa.RecordBatch.from_arrays([pa.array(keys[held]), pa.array(count[held]), pa.array(np.full(int(held.sum()), -1, np.int64))], ["gram", "n", "part"])
+                mine = np.unique(gram[part[of] == p]) if (part != p).any() else keys
+                wanted[int(p)] = np.union1d(wanted[int(p)], mine) if int(p) in wanted else mine
+            size += len(held[-1][0])
+            if size > _GRAMS or sum(map(len, wanted.values())) > _GRAMS:
+                yield from tell()
+                wanted, held, size = {}, [], 0
+        yield from tell()
 
     asked = asked_all = materialise(listed.select("unit", "n", "part").mapInArrow(ask, "gram long, n long, part long"), "grams")
     sub = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("sub")
     leaves = materialise(asked.where("part = -1").groupBy("gram").agg(F.sum("n").alias("n")), "leaves")
-    asked = asked.where("part >= 0").select("gram", "part").distinct()
+    asked = asked.where("part >= 0").select("gram", "part")
 
     def subtrees(rows: DataFrame) -> DataFrame:
         """Rows of whole subtrees side by side, so that a worker streams through them."""
