@@ -251,3 +251,24 @@ def frame_pipeline_blocks(spark, sf_dir):
 
     b = blocks_of(spark, frame_payloads(spark, sf_dir))
     return b.select("source_name", "data_type", "family_key", F.size("statistics").alias("statistics"), F.size("technical_indicators").alias("technical"), F.size("microstructure").alias("microstructure"), F.size("patterns").alias("patterns"), "flags.mean_reversion_zone")
+
+
+@query("report_previews", "WITH n AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT event_type, event_id, value FROM n WHERE k <= 5")
+def report_previews(spark, sf_dir):
+    """The last five rows of each series."""
+    e = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
+    return sinks.previews(e, ["event_type"], ("ts", "event_id"), 5).drop("ts")
+
+
+@query("report_columns", "SELECT event_type AS metric, count(DISTINCT user_id % 4) AS blocks FROM events GROUP BY 1")
+def report_columns(spark, sf_dir):
+    """In how many blocks each metric occurs."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("block"), F.col("event_type").alias("metric"))
+    return sinks.column_frequency(e, ["block"])
+
+
+@query("first_known", "SELECT event_type, first(value ORDER BY ts, event_id) FILTER (event_id % 3 <> 0) AS value FROM events GROUP BY 1")
+def first_known(spark, sf_dir):
+    """The first value that isn't null of each series."""
+    e = table(spark, sf_dir, "events").withColumn("value", F.when(F.col("event_id") % 3 != 0, F.col("value")))
+    return ingest.first_non_null(e, ["event_type"], "value", ("ts", "event_id"))

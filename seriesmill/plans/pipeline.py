@@ -95,7 +95,6 @@ def blocks_of(spark: SparkSession, payloads: DataFrame) -> DataFrame:
     bar = Series(tuple(BLOCK), ("ts", "pos"))
 
     stats, regs, flags = statistics(series)
-    tech = last_map(indicators.technical(tail(candles, bar, HALO), bar), bar, list(indicators.TECHNICAL), "technical_indicators")
     book = microstructure.orderbook_metrics(levels, BLOCK, tie="pos")
     flow = microstructure.event_flow_metrics(trades, BLOCK)
     as_map = lambda df: df.select(*BLOCK, F.map_filter(F.map_from_entries(F.array(*[F.struct(F.lit(c), F.col(c).cast("double")) for c in df.columns if c not in BLOCK])), lambda _, v: v.isNotNull()).alias("microstructure"))
@@ -116,12 +115,15 @@ def blocks_of(spark: SparkSession, payloads: DataFrame) -> DataFrame:
     ref = series.withColumn("_r", F.min(F.struct("ordinal", "metric")).over(W.partitionBy(*BLOCK))).where("metric = _r.metric").drop("_r")
     flat = ref.select(*BLOCK, "ts", "pos", *[F.col("value").alias(c) for c in ("open", "high", "low", "close")], F.lit(None).cast("double").alias("volume"))
     bars = flat.join(candles.select(*BLOCK).distinct(), BLOCK, "left_anti").unionByName(candles.select(*BLOCK, "ts", "pos", "open", "high", "low", "close", "volume"))
+    # Indicators of candles, and of the candles that other blocks are seen as, from one plan.
+    tech = last_map(indicators.technical(tail(bars, bar, HALO), bar), bar, list(indicators.TECHNICAL), "view_technical")
     side = lambda k, name: nested(levels.where(F.col("side") == k).drop("side"), BLOCK, name, ("pos",))
     frame = nested(series.select(*BLOCK, "ts", "pos", "metric", "value"), BLOCK, "series", ("ts", "pos", "metric"))
 
     out = cat.drop("payload")
     for part in (stats, regs, flags, tech, micro, pats, evs, nested(bars, BLOCK, "bars", ("ts", "pos")), side("bid", "bids"), side("ask", "asks"), frame, candles.groupBy(*BLOCK).agg((F.count("volume") > 0).alias("has_volume"))):
         out = out.join(part, BLOCK, "left")
+    out = out.withColumn("technical_indicators", F.when(F.col("apply_technical_indicators"), F.col("view_technical")))
     snapshot = lambda c: F.coalesce(F.transform_values(c, lambda _, v: v.try_cast("double")), F.create_map().cast("map<string,double>"))
     return out.withColumn("feature_snapshot", F.map_filter(F.map_concat(snapshot("technical_indicators"), snapshot("microstructure"), snapshot("statistics")), lambda _, v: v.isNotNull()))
 

@@ -213,3 +213,25 @@ def regime_flags(spark, sf_dir):
     rows = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.col(f"zscore_{n}").alias("zscore"), F.col(f"regime_{n}").alias("regime"), F.col(f"rolling_skewness_{n}").alias("skewness"), F.col(f"rolling_kurtosis_{n}").alias("kurtosis")) for i, n in enumerate(WINDOWS)])
     return regimes.regime_flags(g.select("symbol", F.inline(rows)), ["symbol"])
 
+
+
+@query("stat_safe_returns", f"WITH {POINTS_SQL}, a AS (SELECT *, {S_POINTS.lag('value')} AS x1 FROM points) SELECT {P}, {rounded({'pct': 'value / nullif(x1, 0) - 1', 'log': 'CASE WHEN value > 0 AND x1 > 0 THEN ln(value / x1) END'})} FROM a")
+def stat_safe_returns(spark, sf_dir):
+    run = lambda d, s: rolling.safe_returns(rolling.safe_returns(d, s, "value", "pct", "pct"), s, "value", "log", "log")
+    return finish(bounded(points(spark, sf_dir), POINTS, 1, run), "series", "event_id", "pct", "log")
+
+
+_TAGS = {"mean_reversion_extreme": "abs(first_z) >= 2", "high_volatility_regime": "high", "fat_tail_risk": "fat"}
+
+
+@query("regime_tags", f"""
+WITH {regime_sql(BARS_SQL, 'bars', S_BARS, 'close')}, m AS (SELECT *, {_MOM} FROM regime), f AS ({_FLAG_ROWS}),
+g AS (SELECT symbol, coalesce(bool_or(contains(label, 'high_volatility')), false) AS high, coalesce(first(z ORDER BY ordinal) FILTER (z IS NOT NULL), 0) AS first_z, coalesce(bool_or(ku >= 3), false) AS fat FROM f GROUP BY symbol)
+{' UNION ALL '.join(f"SELECT symbol, '{k}' AS tag FROM g WHERE {x}" for k, x in _TAGS.items())}""")
+def regime_tags(spark, sf_dir):
+    """Statistical tags of each series from its first z-score and its flags."""
+    from ..operators import patterns
+
+    z = f"close__zscore_{WINDOWS[0]}"
+    first = regimes.last_regimes(bars(spark, sf_dir), BARS, ["close"], WINDOWS[:1]).select("symbol", F.col(z).alias("zscore"))
+    return patterns.statistical_tags(regime_flags(spark, sf_dir).join(first, "symbol"), ["symbol"])

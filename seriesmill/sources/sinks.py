@@ -80,8 +80,11 @@ def _have(blocks: DataFrame, *names: str) -> list[str]:
 def math_for(blocks: DataFrame, shape: str) -> Column:
     """The sections of math that a shape may hold."""
     full = ("technical_indicators", "statistics", "statistical_regimes", "microstructure", "feature_snapshot")
-    if shape in {"time_series", "candlestick", "candlestick_derived", "cvd_candlestick_derived"}:
+    if shape in {"time_series", "candlestick"}:
         cells = [F.col(c) for c in _have(blocks, *full)]
+    elif shape in {"candlestick_derived", "cvd_candlestick_derived"}:
+        derived = [F.col("view_technical").alias("technical_indicators")] if "view_technical" in blocks.columns else []
+        cells = derived + [F.col(c) for c in _have(blocks, *full[1:])]
     elif shape == "regimes":
         cells = [F.col(c) for c in _have(blocks, "statistical_regimes")]
     elif shape in {"event_list", "orderbook"}:
@@ -177,7 +180,7 @@ def data_type_counts(blocks: DataFrame) -> DataFrame:
 def math_summary(blocks: DataFrame) -> DataFrame:
     """One row: how many blocks have each section of math."""
     n = lambda c: F.count_if(F.col(c).isNotNull()).alias(f"records_with_{c}") if c in blocks.columns else F.lit(0).cast("long").alias(f"records_with_{c}")
-    return blocks.agg(F.count(F.lit(1)).alias("records_processed"), *[n(c) for c in ("technical_indicators", "statistics", "statistical_regimes", "microstructure", "feature_snapshot", "flags")])
+    return blocks.agg(F.count(F.lit(1)).alias("records_processed"), *[n(c) for c in ("technical_indicators", "view_technical", "statistics", "statistical_regimes", "microstructure", "feature_snapshot", "flags")])
 
 
 def column_frequency(long_rows: DataFrame, block: list[str], column: str = "metric") -> DataFrame:

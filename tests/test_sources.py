@@ -147,6 +147,8 @@ def test_whole_run(spark, tmp_path):
     assert set(rep["families"]["active_families"]) == {"prices_ohlcv", "volume_orderflow", "liquidity_microstructure", "liquidations"}
     ev = spark.read.json(str(tmp_path / "out/families/liquidations/event_list")).first()
     assert ev["events"][0]["event_type"] == "liquidation_spike"
+    derived = spark.read.json(str(tmp_path / "out/families/liquidations/candlestick_derived")).first()
+    assert float(derived["math"]["technical_indicators"]["sma_20"]) > 0 and len(derived["candles"]) == 120
     book = spark.read.json(str(tmp_path / "out/families/liquidity_microstructure/orderbook")).where("source_name = 'book.json'").first()
     assert book["liquidity_metrics"]["best_bid"] == 100
 
