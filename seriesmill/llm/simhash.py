@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_links, forest
-from .common import materialise, small_batches
+from .common import drop, materialise, small_batches
 from .components import connected_components
 
 SHINGLE = 4
@@ -34,8 +34,8 @@ SEED = 42
 BLOCKS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 RADIUS = 4
 HAMMING = 15
-#: The same for each word of the wide fingerprints, for similarity 0.8 of five-word shingles.
-WIDE_BLOCKS = ((0, 16, 1), (16, 16, 1), (32, 16, 1), (48, 16, 1))
+#: The same for both words of the wide fingerprints, for similarity 0.8 of five-word shingles.
+WIDE_BLOCKS = tuple((k, 16, 1) for k in range(0, 64, 16)), tuple((k, 16, 0) for k in range(0, 64, 16))
 WIDE_RADIUS, WIDE_SHINGLE = 22, 5
 _CHUNK = 1 << 15
 
@@ -169,7 +169,15 @@ def fingerprint_links(fps: DataFrame, limit: int = 2000) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[index]), pa.array(home)], ["key", "id", "home"])
 
     rows = fps.select("fp").mapInArrow(spread, "key long, id long, home boolean")
-    return bucket_links(materialise(rows, "anchors"), _compare, limit, ("home",))
+    return _found(rows, _compare, limit, ("home",))
+
+
+def _found(rows: DataFrame, compare, limit: int, columns: tuple) -> DataFrame:
+    """The links among anchored rows, as a table; the rows' own table, which is far larger, goes."""
+    rows = materialise(rows, "anchors")
+    links = materialise(bucket_links(rows, compare, limit, columns), "found-links")
+    drop(rows)
+    return links
 
 
 def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
@@ -225,7 +233,8 @@ def _compare_wide(t: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def wide_links(fps: DataFrame, limit: int = 2000) -> DataFrame:
     """Distinct (fp, low, high) -> links (a, b) between fingerprints of at most WIDE_RADIUS differing bits.
 
-    Sure up to 15 bits (eight blocks, two bits each but one); beyond, a pair is found if one block has at most one.
+    Sure up to 11 bits: of the first word's four blocks one differs by at most a bit, or one of the second word's not at
+    all. Beyond, a pair is found if one of the eight blocks does so.
     """
 
     def spread(batches):
@@ -234,12 +243,12 @@ def wide_links(fps: DataFrame, limit: int = 2000) -> DataFrame:
             for k in range(0, len(fp), 4096):
                 part = slice(k, k + 4096)
                 for number, word in enumerate((low, high)):
-                    key, index, home = anchors(word[part], WIDE_BLOCKS)
+                    key, index, home = anchors(word[part], WIDE_BLOCKS[number])
                     key = key | (number << 50)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[part][index]), pa.array(low[part][index]), pa.array(high[part][index]), pa.array(home)], ["key", "id", "low", "high", "home"])
 
     rows = fps.select("fp", "low", "high").mapInArrow(spread, "key long, id long, low long, high long, home boolean")
-    return bucket_links(materialise(rows, "anchors"), _compare_wide, limit, ("low", "high", "home"))
+    return _found(rows, _compare_wide, limit, ("low", "high", "home"))
 
 
 def similar_documents(docs: DataFrame, size: int = WIDE_SHINGLE, limit: int = 2000) -> DataFrame:
