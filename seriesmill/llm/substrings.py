@@ -143,7 +143,11 @@ def kept_windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     w = min(SPREAD, n)
     near = np.lib.stride_tricks.sliding_window_view(v, w)
     at = np.unique(near.argmin(1) + np.arange(len(near)))
-    new = np.array([len(np.unique(ids[i : i + WINDOW])) >= DISTINCT for i in at], bool)
+    order = np.argsort(ids, kind="stable")
+    before = np.full(len(ids), -1)
+    same = ids[order[1:]] == ids[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]  # where each word stood last
+    new = (before[at[:, None] + np.arange(WINDOW)] < at[:, None]).sum(1) >= DISTINCT
     return at[new], v[at[new]].view(np.int64)
 
 
