@@ -10,6 +10,9 @@ is 1, and all values of the rest. A fingerprint's home is its nearest anchor; it
 covering radius plus the block's threshold, so a partner's home is always among them. Per anchor, homes are compared
 with the copies on all 64 bits. Equal fingerprints are one item from the start, so copies cost nothing here.
 
+Similarity 0.8 (similar_documents): sets of five-word shingles meet by MinHash bands, their 128-bit prints leave out
+what is far apart, and the rest is verified by the exact Jaccard similarity of the sets.
+
 Defined results: null and empty texts have fingerprint 0 and link like any other; rows that repeat a doc_id are all
 kept; a null doc_id is never the least of a component unless all are null; an empty table gives an empty result.
 """
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import bucket_links, forest
+from .buckets import bucket_links, forest, groups, split_hot, starts
 from .common import drop, materialise, small_batches
 from .components import connected_components
 
@@ -34,9 +37,16 @@ SEED = 42
 BLOCKS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 RADIUS = 4
 HAMMING = 15
-#: The same for both words of the wide fingerprints, for similarity 0.8 of five-word shingles.
-WIDE_BLOCKS = tuple((k, 16, 1) for k in range(0, 64, 16)), tuple((k, 16, 0) for k in range(0, 64, 16))
-WIDE_RADIUS, WIDE_SHINGLE = 22, 5
+#: Blocks for both words of the wide fingerprints. Anchors can't cover WIDE_RADIUS; wide_links() meets by bands instead.
+WIDE_BLOCKS = (tuple((k, 16, 1) for k in range(0, 64, 16)),) * 2
+#: At similarity 0.8 19 of the 128 bits differ in the mean (spread 4; 24 for sets of five); beyond, nothing is verified.
+WIDE_RADIUS, WIDE_SHINGLE = 44, 5
+BAND_ROWS, BANDS = 4, 32
+BROADCAST_ROWS = 500_000
+_RNG = np.random.default_rng(13)
+_MUL = _RNG.integers(1, 1 << 63, BAND_ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
+_ADD = _RNG.integers(0, 1 << 63, BAND_ROWS * BANDS, dtype=np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 15
 
 
@@ -180,22 +190,48 @@ def _found(rows: DataFrame, compare, limit: int, columns: tuple) -> DataFrame:
     return links
 
 
+def minhash_bands(hashes: np.ndarray) -> np.ndarray:
+    """Band keys (int64) of a set of shingle hashes; of the empty set: none."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for k in range(0, len(hashes), 2048):
+        v = (hashes[None, k : k + 2048] ^ _ADD[:, None]) * _MUL[:, None]
+        v ^= v >> np.uint64(29)
+        v *= _MIX
+        np.minimum(least, v.min(axis=1), out=least)
+    least = least.reshape(BANDS, BAND_ROWS)
+    key = np.arange(BANDS, dtype=np.uint64) * _MIX
+    for r in range(BAND_ROWS):
+        key = (key ^ least[:, r]) * _MIX
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
+
+
 def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, text_key, fp, low, high): 128 bits in two words; fp is a hash of both."""
+    """docs (doc_id, text) -> (doc_id, text_key, fp, n, low, high, bands) of the sets of shingles.
+
+    fp is a hash of the whole set of n shingles, low and high are its 128-bit print, bands its MinHash band keys.
+    """
     small_batches(docs.sparkSession)
 
     def work(batches):
         for b in batches:
-            low, high = [], []
+            fp, n, low, high, bands = [], [], [], [], []
             for t in b.column("text"):
-                h = shingle_hashes(t.as_py(), size)
+                h = np.unique(shingle_hashes(t.as_py(), size))
+                fp.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                n.append(len(h))
                 low.append(fingerprint(h))
                 high.append(fingerprint(second_word(h)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["doc_id", "text_key", "low", "high"])
+                bands.append(minhash_bands(h))
+            ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *bands])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), listed], ["doc_id", "text_key", "fp", "n", "low", "high", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(work, f"doc_id {kind}, text_key long, low long, high long")
-    return out.select("doc_id", "text_key", F.xxhash64("low", "high").alias("fp"), "low", "high")
+    rows = docs.select("doc_id", text_key().alias("text_key"), "text")
+    return rows.mapInArrow(work, f"doc_id {kind}, text_key long, fp long, n int, low long, high long, bands array<long>")
 
 
 def second_word(hashes: np.ndarray) -> np.ndarray:
@@ -206,60 +242,118 @@ def second_word(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _compare_wide(t: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ids, home, side = t["id"].to_numpy(), t["home"].to_numpy(), t["_g"].to_numpy()
+def _met(t: pa.Table, bounds: np.ndarray, every: bool):
+    """Pairs (a, b), a > b, of bucket members that may be similar, in pieces.
+
+    All pairs of different parts if `every`; otherwise, for each member, that with the least id and the closest one.
+    """
+    ids, side, n, part = (t[c].to_numpy() for c in ("id", "_g", "n", "part"))
     i, j, low, high = t["i"].to_numpy(), t["j"].to_numpy(), t["low"].to_numpy().view(np.uint64), t["high"].to_numpy().view(np.uint64)
-    left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    for s, e in zip(bounds[:-1], bounds[1:]):
-        homes = s + np.flatnonzero(home[s:e]) if e - s > 1 else ()
+
+    def close(x, y):
+        """(whether y may be similar to x and has a lesser id, differing bits)."""
+        far = np.bitwise_count(low[x] ^ low[y]) + np.bitwise_count(high[x] ^ high[y])
+        fits = (far <= WIDE_RADIUS) & (ids[x] > ids[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+        return fits & ((i[x] == j[x]) | (side[x] != side[y])) & ((part[x] != part[y]) | (not every)), far
+
+    sizes = np.diff(bounds)
+    two = bounds[:-1][sizes == 2]
+    x, y = np.concatenate([two, two + 1]), np.concatenate([two + 1, two])
+    keep = close(x, y)[0]
+    left, right, held = [ids[x[keep]]], [ids[y[keep]]], 0
+    for k in np.flatnonzero(sizes > 2):
+        s, e = bounds[k], bounds[k + 1]
         step = max(1, (1 << 18) // (e - s))
-        for k in range(0, len(homes), step):
-            h = homes[k : k + step]
-            far = np.bitwise_count(low[h][:, None] ^ low[s:e][None, :]) + np.bitwise_count(high[h][:, None] ^ high[s:e][None, :])
-            x, y = np.nonzero(far <= WIDE_RADIUS)
-            x, y = h[x], s + y
-            keep = ids[x] != ids[y]
-            if i[s] != j[s]:
-                keep &= side[x] != side[y]
-            left.append(ids[x[keep]])
-            right.append(ids[y[keep]])
-            held += int(keep.sum())
+        others = np.arange(s, e)
+        for first in range(s, e, step):
+            mine = np.arange(first, min(e, first + step))
+            fits, far = close(mine[:, None], others[None, :])
+            if every:
+                x, y = np.nonzero(fits)
+            else:
+                x = np.flatnonzero(fits.any(axis=1))
+                fits, far = fits[x], far[x]
+                least = np.where(fits, ids[s:e][None, :], np.iinfo(np.int64).max).argmin(axis=1)
+                near = np.where(fits, far, 255).argmin(axis=1)
+                x, y = np.concatenate([x, x]), np.concatenate([least, near])
+            left.append(ids[mine[x]])
+            right.append(ids[s + y])
+            held += len(x)
             if held > 1 << 18:
-                a, b = forest(np.concatenate(left), np.concatenate(right))
-                left, right, held = [a], [b], len(a)
-    return np.concatenate(left), np.concatenate(right)
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, held = [], [], 0
+    if left:
+        yield np.concatenate(left), np.concatenate(right)
 
 
-def wide_links(fps: DataFrame, limit: int = 2000) -> DataFrame:
-    """Distinct (fp, low, high) -> links (a, b) between fingerprints of at most WIDE_RADIUS differing bits.
+def wide_candidates(rows: DataFrame, every: bool, limit: int) -> DataFrame:
+    """rows (key, id, n, low, high, part) -> different pairs (a, b) that meet in a bucket, as _met() picks them."""
+    by = ["key", "i", "j"]
+    rows = split_hot(rows, limit).select(*by, "_g", "id", "n", "low", "high", "part")
 
-    Sure up to 11 bits: of the first word's four blocks one differs by at most a bit, or one of the second word's not at
-    all. Beyond, a pair is found if one of the eight blocks does so.
-    """
+    def work(batches):
+        for t in groups(batches, by):
+            for a, b in _met(t, np.append(starts(t, by), t.num_rows), every):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def spread(batches):
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return rows.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(work, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, items: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Those of pairs (a, b) whose sets of shingles have a Jaccard similarity of at least 0.8, from the texts themselves."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    wanted = materialise(items.join(wanted, F.col("fp") == F.col("_id"), "left_semi").select("fp", F.col("least_text").alias("_t")), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    text = docs.select(text_key().alias("text_key"), "text").join(F.broadcast(wanted) if few else wanted, F.col("text_key") == F.col("_t"))
+
+    def sets(batches):
         for b in batches:
-            fp, low, high = (b.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "low", "high"))
-            for k in range(0, len(fp), 4096):
-                part = slice(k, k + 4096)
-                for number, word in enumerate((low, high)):
-                    key, index, home = anchors(word[part], WIDE_BLOCKS[number])
-                    key = key | (number << 50)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[part][index]), pa.array(low[part][index]), pa.array(high[part][index]), pa.array(home)], ["key", "id", "low", "high", "home"])
+            s = [np.unique(shingle_hashes(t.as_py(), size)).view(np.int64) for t in b.column("text")]
+            ends = np.cumsum([0, *map(len, s)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *s])))], ["fp", "s"])
+
+    # Copies of a text give the same set; one row of it goes on.
+    s = materialise(text.select("fp", "text").mapInArrow(sets, "fp long, s array<long>").groupBy("fp").agg(F.any_value("s").alias("s")), "shingle-sets")
+    both = pairs.join(s.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(s.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    links = materialise(both.where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "found-links")
+    drop(s)
+    drop(wanted)
+    return links
+
+
+def wide_links(items: DataFrame, docs: DataFrame, size: int = WIDE_SHINGLE, limit: int = 2000) -> DataFrame:
+    """Distinct (fp, n, low, high, bands, least_text) -> links (a, b) that connect all pairs of similarity 0.8 or more.
 
-    rows = fps.select("fp", "low", "high").mapInArrow(spread, "key long, id long, low long, high long, home boolean")
-    return _found(rows, _compare_wide, limit, ("low", "high", "home"))
+    A pair of similarity 0.8 shares none of the bands with probability (1 - 0.8 ** BAND_ROWS) ** BANDS, under 1e-7. What
+    meets and lies within WIDE_RADIUS is verified on the sets: first one or two partners of each member of a bucket,
+    then, once those are linked, all pairs of members that aren't in one component yet.
+    """
+    rows = items.select(F.explode("bands").alias("key"), F.col("fp").alias("id"), "n", "low", "high")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    rows = materialise(rows.join(shared, "key", "left_semi"), "band-rows")
+    first = materialise(wide_candidates(rows.withColumn("part", F.col("id")), False, limit), "candidates")
+    links = _verified(first, items, docs, size)
+    parts = connected_components(links)
+    left = rows.join(parts, rows["id"] == parts["node"], "left").select(*rows.columns, F.coalesce("component", "id").alias("part"))
+    rest = materialise(wide_candidates(left, True, limit).join(first, ["a", "b"], "left_anti"), "candidates")
+    drop(rows)
+    more = _verified(rest, items, docs, size)
+    drop(first)
+    drop(rest)
+    return links.union(more)
 
 
 def similar_documents(docs: DataFrame, size: int = WIDE_SHINGLE, limit: int = 2000) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, text_key, fp, component_id): classes of shingle similarity of about 0.8 or more.
+    """docs (doc_id, text) -> (doc_id, text_key, fp, component_id, component): classes of shingle similarity 0.8 or more.
 
-    Shingles of five words by default and 128-bit fingerprints: at similarity 0.8 the angle between two texts' shingle
-    vectors makes 19 bits differ in the mean (spread 4); WIDE_RADIUS lies somewhat beyond.
+    Shingles of five words by default; a class is what pairs with an exact Jaccard similarity of 0.8 or more connect.
     """
     prints = materialise(wide_fingerprints(docs, size), "fingerprints")
-    one = prints.groupBy("fp", "low", "high").agg(F.min("doc_id").alias("least"))
-    return _classes(prints, one, wide_links(one, limit))
+    one = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("least_text"), *[F.min(c).alias(c) for c in ("n", "low", "high", "bands")])
+    one = materialise(one, "items")
+    return _classes(prints, one, wide_links(one, docs, size, limit))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, limit: int = 2000) -> DataFrame:

@@ -155,10 +155,26 @@ def test_similar_documents_at_08(spark):
         far.append(jaccard(rows[-3][1], rows[-1][1]))
     assert min(near) > 0.85 and max(far) < 0.5
     comp = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(comp[3 * k + 1] == 3 * k for k in range(30)) >= 26
+    assert sum(comp[3 * k + 1] == 3 * k for k in range(30)) >= 27
     assert all(comp[3 * k + 2] == 3 * k + 2 for k in range(30))
 
 
+def test_similarity_is_exact_at_the_threshold(spark):
+    """Pairs just above 0.8 are linked, all of them; pairs just below aren't, and chain nothing."""
+    rows, similar = [], {}
+    for k in range(60):
+        w = prose(300, 20_000 + k).split()
+        n = 32 if k % 2 else 40  # of 296 shingles n go and n come
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:-n], *(f"new{i}" for i in range(n))]))]
+        similar[2 * k + 1] = jaccard(rows[-2][1], rows[-1][1])
+    assert 0.7 < min(similar.values()) < 0.8 <= min(s for d, s in similar.items() if d // 2 % 2) < 0.81
+    w = prose(400, 3).split()  # a chain over a hot bucket: neighbours are similar, ends aren't
+    rows += [(1000 + i, " ".join(w[4 * i : 4 * i + 200])) for i in range(30)]
+    comp = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), limit=5).collect()}
+    assert {d for d, s in similar.items() if comp[d] == d - 1} == {d for d, s in similar.items() if s >= 0.8}
+    assert all(comp[d] == 1000 for d in range(1000, 1030))
+
+
 # --- paragraphs --------------------------------------------------------------------------------------------
 
 
