@@ -357,7 +357,10 @@ def similar_documents(docs: DataFrame, size: int = WIDE_SHINGLE, limit: int = 20
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, limit: int = 2000) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, text_key, fp, component_id): one row per row of docs."""
+    """docs (doc_id, text) -> (doc_id, text_key, fp, component_id, component): one row per row of docs.
+
+    component_id is the least doc_id of a component, which others can share (null or repeated ids); component is its own.
+    """
     prints = materialise(fingerprints(docs, size), "fingerprints")
     one = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     return _classes(prints, one, fingerprint_links(one, limit))
@@ -367,8 +370,8 @@ def _classes(prints: DataFrame, one: DataFrame, links: DataFrame) -> DataFrame:
     parts = connected_components(links)
     one = one.join(parts, one["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     of = one.groupBy("component").agg(F.min("least").alias("component_id"))
-    one = one.join(of, "component").select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(one, prints["fp"] == one["_fp"]).select("doc_id", "text_key", "fp", "component_id")
+    one = one.join(of, "component").select(F.col("fp").alias("_fp"), "component_id", "component")
+    return prints.join(one, prints["fp"] == one["_fp"]).select("doc_id", "text_key", "fp", "component_id", "component")
 
 
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -377,9 +380,9 @@ def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
     Rows that repeat both id and text are one document and leave one row.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
-    best = classes.groupBy(F.col("component_id").alias("_c")).agg(F.min(rank).alias("_best"))
-    marked = classes.groupBy("component_id", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    marked = marked.join(best, F.col("component_id").eqNullSafe(F.col("_c")))
+    best = classes.groupBy(F.col("component").alias("_c")).agg(F.min(rank).alias("_best"))
+    marked = classes.groupBy("component", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    marked = marked.join(best, F.col("component") == F.col("_c"))
     lead = F.col("doc_id").eqNullSafe(F.col("_best.doc_id")) & (F.col("text_key") == F.col("_best.text_key"))
     marked = materialise(marked.select(F.col("doc_id").alias("__sm_d"), F.col("text_key").alias("__sm_t"), lead.alias("lead"), "n").where("n > 1 or not lead"), "marked")
     same = F.col("doc_id").eqNullSafe(F.col("__sm_d")) & (text_key() == F.col("__sm_t"))

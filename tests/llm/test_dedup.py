@@ -135,6 +135,14 @@ def test_keep_one(docs, awkward, empty, clashing):
     assert out.columns == clashing.columns and 0 < out.count() < len(awkward)
 
 
+def test_keep_one_leaves_unrelated_rows_with_null_or_repeated_ids(spark):
+    rows = [(None, prose(80, 50 + k)) for k in range(4)] + [(7, prose(80, 60 + k)) for k in range(3)] + [(None, prose(80, 50)), (9, prose(80, 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for find in (simhash.near_duplicates, simhash.similar_documents):
+        kept = [tuple(r) for r in simhash.keep_one(df, find(df)).collect()]
+        assert sorted(kept, key=str) == sorted(set(rows) - {(9, prose(80, 60))}, key=str)
+
+
 def jaccard(a, b, n=5):
     x, y = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (WORD.findall(lower(a)), WORD.findall(lower(b))))
     return len(x & y) / len(x | y)
