@@ -20,7 +20,7 @@ df(c near t) / df(t) >= (df(c) / N) ** (1 - ALPHA). Estimates need at least MIN_
 All occurrences of such a t in a text that has it near c become spans of kind `term`; spans that touch a base span are
 left out. sanitise() replaces base spans by their kind and generalises revealing terms.
 
-Counts are over all documents. Pairs (entity, term) exist for terms near an entity only, so they grow with the number
+Counts are over the different texts of all documents (N, too); copies of a text add nothing. Pairs (entity, term) exist for terms near an entity only, so they grow with the number
 of base spans, not with squares of groups; hot entities and hot terms are aggregated before they are shuffled.
 
 Defined results: a null text is an empty one; equal texts get equal spans; rows are kept one for one whatever doc_id
@@ -112,7 +112,7 @@ def find(docs: DataFrame, alpha: float = ALPHA, min_texts: int = MIN_TEXTS) -> D
     near = f"named_struct('entity', xxhash64(s.value), 'terms', transform({_near_sql('text', 's')}, w -> xxhash64(w)))"
     tagged = tagged.withColumn("_e", every).withColumn("pairs", F.expr(f"transform(_e, s -> {near})"))
     tagged = materialise(tagged.select("doc_id", "text_key", *KINDS, "pairs"), "base-spans")
-    total = tagged.count()
+    total = tagged.select("text_key").distinct().count()
 
     occurs = tagged.where(F.size("pairs") > 0).select("text_key", F.explode("pairs").alias("p")).select("text_key", "p.entity", "p.terms")
     of_entity = occurs.select("text_key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_c")).where(F.col("df_c") >= min_texts)
@@ -121,7 +121,8 @@ def find(docs: DataFrame, alpha: float = ALPHA, min_texts: int = MIN_TEXTS) -> D
     joint = materialise(joint.join(of_entity, "entity"), "joint")
     wanted = materialise(joint.select("term").distinct(), "terms")
     n = wanted.count()
-    seen = rows.select(F.explode(terms()).alias("term"))
+    # Copies of a text count once, as in df_c and df_ct.
+    seen = rows.select("text_key", terms().alias("terms")).groupBy("text_key").agg(F.any_value("terms").alias("terms")).select(F.explode("terms").alias("term"))
     of_term = seen.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
     share = F.pow(F.col("df_c") / F.lit(float(max(total, 1))), F.lit(1.0 - alpha))
     reveals = joint.join(of_term, "term").where(F.col("df_ct") / F.col("df_t") >= share).select("entity", "term")

@@ -306,6 +306,16 @@ def test_revealing_terms(spark):
     assert "[EMAIL]" in clean[0] and "[TERM]" in clean[0] and "zebrafish" not in clean[0] and "z@y.org" not in clean[0] and "office" in clean[0]
 
 
+def test_copies_of_a_text_do_not_hide_a_term(spark):
+    said = [f"{prose(5, i)} contact zebrafish office at z@y.org today {prose(5, 100 + i)}" for i in range(2)]
+    texts = [*said, *(prose(12, 200 + i) for i in range(100))]
+    df = spark.createDataFrame(list(enumerate([*texts, *[said[0]] * 400])), "doc_id long, text string")
+    want = {w for c, w in plain_terms(list(enumerate(texts))) if c == "z@y.org"}
+    got = {r["doc_id"]: {s["value"].lower() for s in r["term"]} for r in pii.find(df).collect()}
+    assert "zebrafish" in want and all("zebrafish" in got[i] for i in (0, 1, *range(102, 502)))
+    assert {w for s in got.values() for w in s} == want
+
+
 def test_pii_of_awkward_documents(docs, awkward, empty, clashing):
     assert pii.find(docs).count() == len(awkward) and pii.find(empty).count() == 0
     out = pii.sanitise(clashing)
