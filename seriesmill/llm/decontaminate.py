@@ -83,6 +83,14 @@ def weighted_similarity(a: str, b: str) -> Column:
 
 def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """docs (doc_id, text), items (item_id, text) -> (doc_id, item_id, similarity, first_word, words, windows)."""
+    pairs = matching_windows(docs, items, radius, similarity)
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "length"))
+    out = pairs.groupBy("doc_id", "item_id").agg(best.alias("best"), F.count(F.lit(1)).alias("windows"))
+    return out.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("first_word"), F.col("best.length").alias("words"), "windows")
+
+
+def matching_windows(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs, items -> (doc_id, text_key, item_id, similarity, start, length) of every window that reaches the similarity."""
     w = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     w = w.select("item_id", F.size("w").alias("length"), F.least(F.size("w"), F.lit(SHINGLE)).alias("k"), "w")
     by_size = F.lit(None).cast("array<bigint>")
@@ -114,24 +122,23 @@ def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity:
 
     # One pass more over the texts, of which those with hits alone go on; no text is windowed twice.
     # Each step is written, so that no array is computed again for every window or bit.
-    found = text.join(windows, key == F.col("_key")).select("doc_id", words(F.col("text")).alias("w"), "windows")
+    found = text.join(windows, key == F.col("_key")).select("doc_id", F.col("_key").alias("text_key"), words(F.col("text")).alias("w"), "windows")
     found = materialise(found, "found")
-    found = materialise(found.select("doc_id", _sized(F.col("w"), sizes).alias("s"), "windows"), "found-shingles")
-    found = found.select("doc_id", "s", F.explode("windows").alias("win"))
+    found = materialise(found.select("doc_id", "text_key", _sized(F.col("w"), sizes).alias("s"), "windows"), "found-shingles")
+    found = found.select("doc_id", "text_key", "s", F.explode("windows").alias("win"))
     all_h = F.expr("filter(s, x -> x.k = win.k)[0].h")
-    found = found.select("doc_id", F.col("win.start").alias("start"), F.col("win.length").alias("length"), F.slice(all_h, F.col("win.start") + 1, F.greatest(F.lit(1), F.col("win.length") - F.col("win.k") + 1)).alias("doc_h"))
+    found = found.select("doc_id", "text_key", F.col("win.start").alias("start"), F.col("win.length").alias("length"), F.slice(all_h, F.col("win.start") + 1, F.greatest(F.lit(1), F.col("win.length") - F.col("win.k") + 1)).alias("doc_h"))
     found = materialise(found, "found-windows")
     found = found.withColumn("fp", simhash("doc_h")).withColumn("b", F.explode(block_values(F.col("fp"), radius)))
     index = listed.select("item_id", F.col("length").alias("_length"), "item_h", "item_fp", F.explode(block_values(F.col("item_fp"), radius)).alias("_b"))
     pairs = found.join(index, (F.col("length") == F.col("_length")) & (F.col("b.block") == F.col("_b.block")) & (F.col("b.value") == F.col("_b.value")))
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius) & (first_common(F.col("fp"), F.col("item_fp"), radius) == F.col("b.block"))
     pairs = pairs.where(near).withColumn("similarity", weighted_similarity("doc_h", "item_h")).where(F.col("similarity") >= similarity)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "length"))
-    out = pairs.groupBy("doc_id", "item_id").agg(best.alias("best"), F.count(F.lit(1)).alias("windows"))
-    return out.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("first_word"), F.col("best.length").alias("words"), "windows")
+    return pairs.select("doc_id", "text_key", "item_id", "similarity", "start", "length")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without the rows whose doc_id has a match; rows with a null doc_id that match share that id and go too."""
-    bad = matches(docs, items, radius, similarity).select(F.col("doc_id").alias("__sm_d")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__sm_d")), "left_anti").select(*docs.columns)
+    """docs without the rows whose own text has a match; other rows of the same doc_id, null or not, stay."""
+    bad = matching_windows(docs, items, radius, similarity).select(F.col("doc_id").alias("__sm_d"), F.col("text_key").alias("__sm_t")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__sm_d")) & (F.xxhash64("text") == F.col("__sm_t"))
+    return docs.join(bad, same, "left_anti").select(*docs.columns)

@@ -170,6 +170,13 @@ def test_matches_against_brute_force(spark, docs, awkward):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {d for d, *_ in awkward} - {d for d, _ in want}
 
 
+def test_clean_rows_that_share_an_id_with_a_match_stay(spark):
+    item = prose(40, 77)
+    rows = [(i, t) for i in (None, 5) for t in (f"{prose(9, 1)} {item}", prose(50, 3), prose(50, 4), None)]
+    left = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(str, (tuple(r) for r in left.collect()))) == sorted(str(r) for r in rows if item not in (r[1] or ""))
+
+
 def test_empty_tables(spark, docs, empty, clashing):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.matches(docs, bench).count() == 0 and decontaminate.decontaminate(docs, bench).count() == docs.count()
