@@ -11,11 +11,12 @@ least RUN_WORDS words together are the repeated passages; every line of such a r
 first line of each class (by doc_id, then place) are marked for removal. Lone short lines, like a licence note, are
 left alone.
 
-A passage can also lie inside long lines that differ otherwise. So lines of more than LONG_LINE words are winnowed as
-well: of the hashes of all windows of WINDOW words the least of every SPREAD neighbours is kept, which keeps at least one
-window of any run of WINDOW + SPREAD - 1 = 51 equal words, wherever it stands. Kept windows that stand in two different
-documents are result rows too (with the place of the window); those of lines that are rows already are left out, and so
-are windows of fewer than DISTINCT different words, like one word over and over.
+A passage can also begin and end inside lines, or be broken over lines otherwise. So the words of every text are
+winnowed as well, across line ends: of the hashes of all windows of WINDOW words the least of every SPREAD neighbours is
+kept, which keeps at least one window of any run of WINDOW + SPREAD - 1 = 51 equal words, wherever it stands. Kept
+windows that stand in two different documents are result rows too (with the place of the window, and the line that it
+begins in); those that lie in a run of lines that are rows already are left out, and so are windows of fewer than
+DISTINCT different words, like one word over and over.
 
 Buckets of any size are compared in bounded memory (buckets.py); lines travel as hashes, and texts of those that
 collide only are fetched in a second pass.
@@ -44,7 +45,7 @@ from .components import connected_components
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 2, 8
 RUN_WORDS = 40
-LONG_LINE, WINDOW, SPREAD, DISTINCT = 48, 40, 12, 8
+WINDOW, SPREAD, DISTINCT = 40, 12, 8
 SEED = 42
 _RNG = np.random.default_rng(11)
 _MUL = _RNG.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
@@ -121,7 +122,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def kept_windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, hashes) of the windows that winnowing keeps of a lower-cased line's words.
+    """(first words, hashes) of the windows that winnowing keeps of WINDOW or more lower-cased words.
 
     A window's hash is a polynomial in the hashes of its words, from wrapping prefix sums.
     """
@@ -147,7 +148,8 @@ def kept_windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     before = np.full(len(ids), -1)
     same = ids[order[1:]] == ids[order[:-1]]
     before[order[1:][same]] = order[:-1][same]  # where each word stood last
-    new = (before[at[:, None] + np.arange(WINDOW)] < at[:, None]).sum(1) >= DISTINCT
+    parts = np.split(at, range(1 << 16, len(at), 1 << 16))
+    new = np.concatenate([(before[k[:, None] + np.arange(WINDOW)] < k[:, None]).sum(1) >= DISTINCT for k in parts])
     return at[new], v[at[new]].view(np.int64)
 
 
@@ -156,47 +158,51 @@ _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, text_key, para, start, end, key): kept windows of long lines."""
+    """docs (doc_id, text) -> (doc_id, text_key, para, last, start, end, key): kept windows of whole texts.
+
+    para and last are the lines of a window's first and last word.
+    """
     small_batches(docs.sparkSession)
-    names = ["doc_id", "text_key", "para", "start", "end", "key"]
+    names = ["doc_id", "text_key", "para", "last", "start", "end", "key"]
 
     def work(batches):
         for b in batches:
-            row, para, start, end, key = [], [], [], [], []
+            empty = np.zeros(0, np.int64)
+            row, para, last, start, end, key = ([empty] for _ in range(6))
             for r, text in enumerate(b.column("text").to_pylist()):
-                place = n = 0
-                for line in text.split("\n"):
-                    raw = line.encode("utf-8", "surrogatepass").lower()
-                    words = raw.split()
-                    if len(words) > LONG_LINE:
-                        at, keys = kept_windows(words)
-                        if len(at):
-                            spans = [m.span() for m in _WORD.finditer(line)]
-                            row += [r] * len(at)
-                            para += [n] * len(at)
-                            start += [place + spans[i][0] for i in at]
-                            end += [place + spans[i + WINDOW - 1][1] for i in at]
-                            key.append(keys)
-                    n += bool(words)
-                    place += len(line) + 1
-            take = pa.array(row, pa.int64())
-            keys = pa.array(np.concatenate(key) if key else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("text_key").take(take), pa.array(para, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), keys], names)
+                lines = [x for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n") if (x := line.split())]
+                words = list(itertools.chain.from_iterable(lines))
+                at, keys = kept_windows(words) if len(words) >= WINDOW else (empty, empty)
+                if len(at):
+                    ends = np.cumsum([len(x) for x in lines])
+                    spans = np.array([m.span() for m in _WORD.finditer(text)])
+                    row.append(np.full(len(at), r))
+                    para.append(np.searchsorted(ends, at, "right"))
+                    last.append(np.searchsorted(ends, at + WINDOW - 1, "right"))
+                    start.append(spans[at, 0])
+                    end.append(spans[at + WINDOW - 1, 1])
+                    key.append(keys)
+            take, *rest = (pa.array(np.concatenate(x)) for x in (row, para, last, start, end, key))
+            rest[:2] = (x.cast(pa.int32()) for x in rest[:2])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("text_key").take(take), *rest], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(work, f"doc_id {kind}, text_key long, para int, start long, end long, key long")
+    return rows.mapInArrow(work, f"doc_id {kind}, text_key long, para int, last int, start long, end long, key long")
 
 
 def repeated_windows(docs: DataFrame, lines_hit: DataFrame) -> DataFrame:
-    """Kept windows that stand in two different documents, outside of lines that are hits themselves."""
-    rows = materialise(windows(docs).dropDuplicates(["doc_id", "text_key", "start"]), "windows")
+    """Kept windows that stand in two different documents, outside of runs of lines that are hits themselves."""
+    rows = materialise(windows(docs), "windows")
     doc = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "start")
     shared = rows.groupBy(F.col("key").alias("_k")).agg(F.min(doc).alias("low"), F.max(doc).alias("high"), F.min(first).alias("first")).where("low < high")
-    hit = rows.join(shared, F.col("key") == F.col("_k"))
-    known = lines_hit.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.col("para").alias("_p")).distinct()
-    hit = hit.join(known, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t")) & (F.col("para") == F.col("_p")), "left_anti")
+    hit = rows.join(shared, F.col("key") == F.col("_k")).dropDuplicates(["doc_id", "text_key", "start"])
+    known = lines_hit.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.col("para").alias("_p"))
+    known = known.withColumn("_r", F.col("_p") - F.row_number().over(W.partitionBy("_d", "_t").orderBy("_p")))
+    known = known.withColumn("_e", F.max("_p").over(W.partitionBy("_d", "_t", "_r")))
+    inside = (F.col("text_key") == F.col("_t")) & (F.col("para") == F.col("_p")) & (F.col("last") <= F.col("_e"))
+    hit = hit.join(known, F.col("doc_id").eqNullSafe(F.col("_d")) & inside, "left_anti")
     stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key")) & (F.col("first.start") == F.col("start"))
     return hit.select("doc_id", "para", "start", "end", F.lit(WINDOW).alias("n_words"), F.col("key").alias("class_id"), (~stays).alias("removed"), "text_key")
 
@@ -256,7 +262,7 @@ def line_links(rows: DataFrame, docs: DataFrame, limit: int = 500) -> DataFrame:
 def repeated(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """docs (doc_id, text) -> repeated passages: (doc_id, para, start, end, n_words, class_id, removed, text_key, part).
 
-    part is line, or window for a stretch inside a long line; class_id is the least line key of a class, or the
+    part is line, or window for a stretch of words of any lines; class_id is the least line key of a class, or the
     window's hash.
     """
     rows = materialise(lines(docs).dropDuplicates(["doc_id", "text_key", "para"]), "lines")

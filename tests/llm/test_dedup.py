@@ -260,6 +260,28 @@ def test_passages_inside_long_lines(spark):
     assert cut[0] == texts[0] and len(cut[1].split()) <= len(texts[1].split()) - 40
 
 
+def test_passages_across_line_ends(spark):
+    """Runs of 51 words that begin and end inside short lines, or are broken over lines differently."""
+    own = lambda k: prose(10, 40_000 + k)
+    cut = lambda k, *at: "\n".join(" ".join(prose(70, 500 + k).split()[a:b]) for a, b in zip((0, *at), (*at, 70)))
+    rows = [(0, f"{own(0)} {cut(0, 25)} {own(1)}"), (1, f"{own(2)} {cut(0, 25)} {own(3)}"), (2, f"{own(4)} {cut(1, 15, 54)} {own(5)}"), (3, f"{own(6)}\n\n{cut(1, 15, 54)} {own(7)}")]
+    rows += [(4, cut(2)), (5, cut(2, 12, 24, 36, 48, 60)), (6, own(8) + "\n" + own(9)), (7, f"{cut(3, 30)}\n{own(10)}"), (8, f"{own(11)}\n{cut(3, 30)}")]
+    df = spark.createDataFrame(rows + rows[:1], "doc_id long, text string")
+    texts, got = dict(rows), {}
+    for x in substrings.repeated(df).collect():
+        got.setdefault(x["doc_id"], []).append(x)
+    assert set(got) == {0, 1, 2, 3, 4, 5, 7, 8} == shared_runs(rows, 51)
+    for d in range(6):
+        for x in got[d]:
+            said = texts[d][x["start"] : x["end"]].split()
+            assert x["part"] == "window" and len(said) == 40 and " ".join(said) in " ".join(texts[d ^ 1].split())
+            assert texts[d][: x["start"]].strip() == "" or x["para"] == len([t for t in texts[d][: x["start"]].split("\n")[:-1] if t.strip()])
+        assert len({x["start"] for x in got[d]}) == len(got[d])
+    assert {x["part"] for d in (7, 8) for x in got[d]} == {"line"}  # windows in runs of such lines say nothing more
+    left = {x["doc_id"]: x["text"] for x in substrings.remove(df).collect()}
+    assert all(left[d] == texts[d] for d in (0, 2, 4, 6, 7)) and all(len(left[d].split()) <= len(texts[d].split()) - 40 for d in (1, 3, 5, 8))
+
+
 def test_windows_are_those_of_plain_winnowing():
     words = [w.encode() for w in prose(200, 5).split()]
     at, keys = substrings.kept_windows(words)
