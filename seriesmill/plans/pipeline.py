@@ -116,7 +116,11 @@ def blocks_of(spark: SparkSession, payloads: DataFrame) -> DataFrame:
     flat = ref.select(*BLOCK, "ts", "pos", *[F.col("value").alias(c) for c in ("open", "high", "low", "close")], F.lit(None).cast("double").alias("volume"))
     bars = flat.join(candles.select(*BLOCK).distinct(), BLOCK, "left_anti").unionByName(candles.select(*BLOCK, "ts", "pos", "open", "high", "low", "close", "volume"))
     # Indicators of candles, and of the candles that other blocks are seen as, from one plan.
-    tech = last_map(indicators.technical(tail(bars, bar, HALO), bar), bar, list(indicators.TECHNICAL), "view_technical")
+    # Running sums begin at a series' first row: they see all of it, what is bounded or forgets its tail.
+    sums = ["vwap", "obv"]
+    tech = last_map(indicators.technical(tail(bars, bar, HALO), bar), bar, [c for c in indicators.TECHNICAL if c not in sums], "_near")
+    tech = tech.join(last_map(indicators.obv(indicators.vwap(bars, bar), bar), bar, sums, "_whole"), BLOCK)
+    tech = tech.select(*BLOCK, F.map_concat("_near", "_whole").alias("view_technical"))
     side = lambda k, name: nested(levels.where(F.col("side") == k).drop("side"), BLOCK, name, ("pos",))
     frame = nested(series.select(*BLOCK, "ts", "pos", "metric", "value"), BLOCK, "series", ("ts", "pos", "metric"))
 

@@ -153,6 +153,20 @@ def test_whole_run(spark, tmp_path):
     assert book["liquidity_metrics"]["best_bid"] == 100
 
 
+def test_running_sums_of_long_blocks(spark):
+    """vwap and obv count from a block's first bar, beyond the tail that the other indicators see."""
+    n = pipeline.HALO + 300
+    bars = [{"timestamp_utc": synthetic.BASE_TS + 60 * i, "open": 100, "high": 110 + i % 5, "low": 90, "close": 100 + i * i % 13 + i // 1000, "volume_btc": 1 + i % 4} for i in range(n)]
+    payload = json.dumps({"metadata": {"data_type": "ohlcv", "symbol": "BTC", "timeframe": "1m"}, "candles": bars})
+    got = pipeline.blocks_of(spark, spark.createDataFrame([("c.json", payload)], "source_name string, payload string")).select("technical_indicators").first()[0]
+    volume = [b["volume_btc"] for b in bars]
+    typical = [(b["high"] + b["low"] + b["close"]) / 3 for b in bars]
+    sign = [0, *((b["close"] > a["close"]) - (b["close"] < a["close"]) for a, b in zip(bars, bars[1:]))]
+    assert float(got["vwap"]) == pytest.approx(sum(t * v for t, v in zip(typical, volume)) / sum(volume), rel=1e-9)
+    assert float(got["obv"]) == sum(s * v for s, v in zip(sign, volume))
+    assert float(got["sma_20"]) == pytest.approx(sum(b["close"] for b in bars[-20:]) / 20)
+
+
 def test_archives_of_payloads(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         z.writestr("a.json", '{"candles": []}')
