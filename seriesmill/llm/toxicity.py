@@ -1,6 +1,7 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of ordinary and one of toxic text.
 
-Training takes a bounded, documented sample of labelled rows (SAMPLE per class, the least by a hash of doc_id). Two
+Training takes a bounded, documented sample of labelled rows (SAMPLE per class, the least by a hash of doc_id, and of
+those, in that order, what fits SAMPLE_BYTES // 2 = 25.2 million characters; a text that doesn't fit ends nothing). Two
 thirds of it make the dictionaries: the toxic one is built from words of toxic documents that carry a byte run which
 at least MIN_SHARE of the toxic documents hold and which is MIN_RATIO times as frequent there as in ordinary ones (with
 MIN_EVIDENCE nats of evidence). Runs are of five bytes anywhere in a word, or longer with the blank before it counted.
@@ -199,16 +200,34 @@ def fit(toxic: list[str], ordinary: list[str], share: float | None = None) -> Mo
 
 
 def sample(docs: DataFrame, labels: DataFrame, toxic: int, most: int = SAMPLE) -> list[str]:
-    """Texts of up to `most` labelled rows outside the held-out class: the least by a hash of doc_id."""
+    """Texts of up to `most` labelled rows outside the held-out class: the least by a hash of doc_id.
+
+    In that order texts are taken while SAMPLE_BYTES // 2 characters hold them; one that doesn't fit is passed over, and
+    only if none fits the first one gives its beginning.
+    """
     marked = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = marked.where((F.col("toxic") == toxic) & ~in_bucket(F.col("doc_id"), *CLASSES)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").where("text is not null")  # ids: at most `most`
-    held, size = [], 0
-    for r in rows.toLocalIterator():
-        size += len(r["text"])
-        if size > SAMPLE_BYTES // 2:
-            break
-        held.append((r["doc_id"], r["text"]))
+    room, size, skipped, first, taken = SAMPLE_BYTES // 2, 0, 0, None, Counter()
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    for r in rows.select("doc_id", "key", F.length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "key").toLocalIterator():
+        at = (r["doc_id"], r["key"])
+        first = first or at
+        if size + r["n"] <= room:
+            taken[at] += 1
+            size += r["n"]
+        else:
+            skipped += 1
+    if skipped:
+        taken = taken or Counter([first])
+        wanted = docs.sparkSession.createDataFrame(list(taken), rows.select("doc_id", "key").schema)
+        rows = rows.join(F.broadcast(wanted), ["doc_id", "key"], "left_semi")  # of `room` characters together
+    held = []
+    for r in rows.select("doc_id", "key", F.substring("text", 1, room).alias("text")).toLocalIterator():
+        at = (r["doc_id"], r["key"])
+        if taken[at]:
+            taken[at] -= 1
+            held.append((r["doc_id"], r["text"]))
     held.sort(key=lambda r: (str(r[0])[::-1], r[1]))  # one order in every run, apart from that of the table
     return [t for _, t in held]
 

@@ -77,6 +77,22 @@ def test_training_leaves_held_out_rows_alone(spark):
     assert toxicity.sample(df, labels, 1, most=40) == got
 
 
+def test_a_huge_text_does_not_end_the_sample(spark, monkeypatch):
+    ids = [i for i in range(60) if bucket(i, 4) != 2]
+    df = spark.createDataFrame([(i, prose(40, i)) for i in ids], "doc_id long, text string")
+    order = [r["doc_id"] for r in df.orderBy(F.xxhash64("doc_id")).collect()]
+    huge = df.withColumn("text", F.when(F.col("doc_id") == order[0], F.repeat("text", 1000)).otherwise(F.col("text")))
+    texts = {r["doc_id"]: r["text"] for r in huge.collect()}
+    labels = spark.createDataFrame([(i, 0, 1) for i in ids], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2 * sum(len(texts[i]) for i in order[1:]))
+    assert sorted(toxicity.sample(huge, labels, 1)) == sorted(texts[i] for i in order[1:])
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2 * sum(len(texts[i]) for i in order[1:11]))
+    for table in (huge, huge.orderBy(F.desc(F.xxhash64("doc_id")))):  # whatever is read first
+        assert set(toxicity.sample(table, labels, 1)) == {texts[i] for i in order[1:11]}
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 200)
+    assert toxicity.sample(huge.where(F.col("doc_id") == order[0]), labels, 1) == [texts[order[0]][:100]]
+
+
 def test_held_out_accuracy_on_the_sample_data(spark):
     import os
 
