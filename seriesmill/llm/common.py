@@ -75,6 +75,12 @@ def word_count(text: Column) -> Column:
     return (F.size(F.split(t, GAP)) - ends).cast("long")
 
 
+def text_keys(text: Column) -> list[Column]:
+    """t1, t2: two independent 64-bit hashes that stand for a text; null counts as empty."""
+    t = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(t).alias("t1"), F.xxhash64(F.lit(7), t).alias("t2")]
+
+
 def in_bucket(doc_id: Column, parts: int, rest: int) -> Column:
     """Whether crc32 of doc_id as text leaves this remainder; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % parts == rest

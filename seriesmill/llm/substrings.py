@@ -1,57 +1,61 @@
-"""Substring dedup: paragraphs that repeat across documents, exactly or nearly, by MinHash banding.
+"""Substring dedup: passages that repeat across documents, nearly by MinHash banding and exactly by shared windows.
 
 A paragraph is a line that holds words. Lines are lower-cased (A-Z) and seen as sets of five-word shingles (fewer
 words: the whole line is one). MinHash with ROWS hashes a band and BANDS bands: a pair of similarity 0.8 shares no
 band with probability (1 - 0.8 ** ROWS) ** BANDS, under 0.0003 for 2 and 8. Lines that collide in a band are verified
-by the exact Jaccard similarity of their shingle sets; links go through connected components. Equal lines are one item
-from the start.
-
-A class of lines repeats if it stands in two different documents. Runs of neighbouring repeated lines that have at
-least RUN_WORDS words together are the repeated passages; every line of such a run is a result row, and all but the
-first line of each class (by doc_id, then place) are marked for removal. Lone short lines, like a licence note, are
-left alone.
+by the exact Jaccard similarity of their shingle sets; links go through connected components, which give the classes
+of paragraphs. A passage of paragraphs is the shortest run of neighbouring lines from some line on that has PASSAGE
+words; it repeats if the same run of classes stands in two different texts. Lines of such runs are result rows.
 
 A passage can also begin and end inside lines, or be broken over lines otherwise. So the words of every text are
 winnowed as well, across line ends: of the hashes of all windows of WINDOW words the least of every SPREAD neighbours is
-kept, which keeps at least one window of any run of WINDOW + SPREAD - 1 = 51 equal words, wherever it stands. Kept
-windows that stand in two different documents are result rows too (with the place of the window, and the line that it
-begins in); those that lie in a run of lines that are rows already are left out, and so are windows of fewer than
-DISTINCT different words, like one word over and over.
+kept, which keeps at least one window of any run of PASSAGE = WINDOW + SPREAD - 1 = 51 equal words, wherever it stands.
+Where a kept window stands in two texts, all windows of PASSAGE words around it are compared by two independent
+64-bit hashes; those that stand in two texts are joined into stretches, which are the maximal repeated ones: every run
+of PASSAGE or more equal words, to its last word, and nothing else. Stretches that share a window are one class, and
+so are a stretch and the paragraphs of others that lie inside of it.
+
+A text that several documents have is one whole passage of them (PASSAGE words or more).
 
-Buckets of any size are compared in bounded memory (buckets.py); lines travel as hashes, and texts of those that
-collide only are fetched in a second pass.
+removed marks what can be cut without losing anything: the words of windows (lines of passages, whole copies) that an
+earlier document has as well. The order is that of doc_id, null last, then of the text's hashes; the first document of
+each keeps them. A stretch is cut into rows where that changes.
 
-Defined results: null and empty texts have no lines; rows that repeat doc_id and text are one document; rows of one
-doc_id with different texts are different documents; null ids come last in the order that decides which line stays;
-an empty table gives no rows; other columns are ignored.
+Nothing is left out for being frequent: windows and lines travel as hashes and meet in aggregates and joins, line
+buckets of any size are compared in bounded memory (buckets.py), and copies of a text are one item from the start.
+
+Defined results: null and empty texts have no passages; rows that repeat doc_id and text are one document; rows of one
+doc_id with different texts are different documents; what repeats inside one text alone isn't reported; an empty
+table gives no rows; other columns are ignored. Texts are told apart by 128 bits of hashes.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import bucket_links
-from .common import materialise, small_batches
+from .buckets import bucket_links, groups, starts
+from .common import drop, materialise, small_batches, text_keys
 from .components import connected_components
+from .flat import Words, chunks
 
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 2, 8
-RUN_WORDS = 40
-WINDOW, SPREAD, DISTINCT = 40, 12, 8
+PASSAGE = 51
+WINDOW, SPREAD = 40, 12
 SEED = 42
 _RNG = np.random.default_rng(11)
 _MUL = _RNG.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
+TEXT = ["t1", "t2"]
 
 
 def shingles(line: bytes) -> list[int]:
@@ -68,148 +72,225 @@ def shingles(line: bytes) -> list[int]:
     return [h(flat[s:e]) for s, e in zip(begins, ends[SHINGLE - 1 :])]
 
 
-def bands(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Band keys (int64) of the sets that begin at `starts` in hashes."""
-    if not len(starts):
+def bands(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Band keys (int64) of the sets that begin at `at` in hashes."""
+    if not len(at):
         return np.zeros((0, BANDS), np.int64)
-    out = np.empty((len(starts), ROWS * BANDS), np.uint64)
+    out = np.empty((len(at), ROWS * BANDS), np.uint64)
     x = hashes ^ (hashes >> np.uint64(31))
     for k in range(ROWS * BANDS):
         v = (x ^ _ADD[k]) * _MUL[k]
         v ^= v >> np.uint64(29)
-        out[:, k] = np.minimum.reduceat(v * _MIX, starts)
-    out = out.reshape(len(starts), BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64) * _MIX + np.zeros((len(starts), 1), np.uint64)
+        out[:, k] = np.minimum.reduceat(v * _MIX, at)
+    out = out.reshape(len(at), BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64) * _MIX + np.zeros((len(at), 1), np.uint64)
     for r in range(ROWS):
         key = (key ^ out[:, :, r]) * _MIX
         key ^= key >> np.uint64(32)
     return key.view(np.int64)
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, text_key, para, start, end, n_words, key, bands): one row a line with words."""
+def kept_windows(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, hashes) of the windows that winnowing keeps; windows stay inside their text."""
+    last = w.first[w.text + 1]  # behind the text of each word
+    at = np.arange(len(w.start))
+    fits = at + WINDOW <= last
+    v = np.full(len(at) + SPREAD, _FAR)
+    v[at[fits]] = w.runs(at[fits], at[fits] + WINDOW)
+    two = np.minimum(v[:-1], v[1:])
+    four = np.minimum(two[:-2], two[2:])
+    eight = np.minimum(four[:-4], four[4:])
+    least = np.minimum(eight[: len(at)], four[8 : 8 + len(at)])  # of each window and the SPREAD - 1 behind it
+    whole = (at + WINDOW + SPREAD - 1 <= last) | ((at == w.first[w.text]) & fits)
+    # A window is kept if it is the least of one of the groups that it stands in: the greatest of their least ones.
+    m = np.zeros(len(at) + SPREAD - 1, np.uint64)
+    m[SPREAD - 1 :][whole] = least[whole]
+    two = np.maximum(m[:-1], m[1:])
+    four = np.maximum(two[:-2], two[2:])
+    eight = np.maximum(four[:-4], four[4:])
+    best = np.maximum(eight[: len(at)], four[8 : 8 + len(at)])
+    keep = np.flatnonzero(fits & (best == v[: len(at)]))
+    return keep, v[keep].view(np.int64)
+
+
+assert SPREAD == 12 and WINDOW + SPREAD - 1 == PASSAGE  # kept_windows() builds 12 from 8 and 4
+
+
+def _listed(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """values as lists of so many each."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, kind))
+
+
+def _line_columns(w: Words, raw: bytes, n: int) -> list[pa.Array]:
+    """For each of n texts: lists of lines' begins, ends (code points of the text), words, keys, and all band keys."""
+    newline = np.flatnonzero(w.data == 10)
+    number = np.searchsorted(newline, w.start)
+    new = np.ones(len(w.start), bool)
+    new[1:] = (number[1:] != number[:-1]) | (w.text[1:] != w.text[:-1])
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(w.start)))
+    text = w.text[head]
+    edges = np.concatenate([[-1], newline, [len(w.data)]])
+    start = np.maximum(edges[number[head]] + 1, w.begins[text])
+    end = np.minimum(edges[number[head] + 1], w.ends[text])
+    chars = w.characters()
+    own = chars[w.begins[text]]
+    keys = np.fromiter((xxhash.xxh64_intdigest(raw[s:e], SEED) for s, e in zip(start.tolist(), end.tolist())), np.uint64, len(head))
+    count = np.maximum(size - SHINGLE + 1, 1)
+    at = np.cumsum(count) - count
+    first = np.arange(count.sum()) - np.repeat(at - head, count)
+    found = bands(w.runs(first, np.minimum(first + SHINGLE, np.repeat(head + size, count))), at)
+    lines = np.bincount(text, minlength=n)
+    return [*(_listed(x, lines, pa.int32()) for x in (chars[start] - own, chars[end] - own, size)), _listed(keys.view(np.int64), lines, pa.int64()), _listed(found.ravel(), lines * BANDS, pa.int64())]
+
+
+_PARSED = "t1 long, t2 long, n_words int, at array<int>, seed array<long>, start array<int>, end array<int>, size array<int>, line array<long>, bands array<long>"
+_NAMES = [c.split()[0] for c in _PARSED.split(", ")]
+
+
+def parsed(docs: DataFrame) -> DataFrame:
+    """One row a text with words: its kept windows and its lines. Texts that a task has met it leaves out."""
     small_batches(docs.sparkSession)
 
     def work(batches):
+        met: set[tuple[int, int]] = set()
         for b in batches:
-            ids, keys, para, start, end, size, line_key, hashes, at = [], [], [], [], [], [], [], [], []
-            for doc, tkey, text in zip(b.column("doc_id"), b.column("text_key"), b.column("text").to_pylist()):
-                place = n = 0
-                for line in text.split("\n"):
-                    raw = line.encode("utf-8", "surrogatepass")
-                    s = shingles(raw.lower())
-                    if s:
-                        ids.append(doc)
-                        keys.append(tkey)
-                        para.append(n)
-                        start.append(place)
-                        end.append(place + len(line))
-                        size.append(len(raw.split()))
-                        line_key.append(xxhash.xxh64_intdigest(raw, SEED))
-                        at.append(len(hashes))
-                        hashes += s
-                        n += 1
-                    place += len(line) + 1
-            found = bands(np.array(hashes, np.uint64), np.array(at, np.int64))
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, BANDS, dtype=np.int32)), pa.array(found.ravel()))
-            ids = pa.array([i.as_py() for i in ids], b.column("doc_id").type)
-            rest = [pa.array([k.as_py() for k in keys], pa.int64()), *(pa.array(x, t) for x, t in ((para, pa.int32()), (start, pa.int64()), (end, pa.int64()), (size, pa.int32()))), pa.array(np.array(line_key, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([ids, *rest, listed], ["doc_id", "text_key", "para", "start", "end", "n_words", "key", "bands"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(work, f"doc_id {kind}, text_key long, para int, start long, end long, n_words int, key long, bands array<long>")
-
-
-def kept_windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, hashes) of the windows that winnowing keeps of WINDOW or more lower-cased words.
-
-    A window's hash is a polynomial in the hashes of its words, from wrapping prefix sums.
-    """
-    n = len(words) - WINDOW + 1
-    seen: dict[bytes, int] = {}
-    h = xxhash.xxh3_64_intdigest
-    ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
-    x = np.fromiter((h(w) for w in seen), np.uint64, len(seen))[ids]
-    power = np.full(len(x), _BASE, np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(x * power)])
-    back = np.full(n, _BASE_INVERSE, np.uint64)
-    back[0] = 1
-    v = (total[WINDOW:] - total[:n]) * np.multiply.accumulate(back)
-    v ^= v >> np.uint64(31)
-    v *= _MIX
-    v ^= v >> np.uint64(29)
-    w = min(SPREAD, n)
-    near = np.lib.stride_tricks.sliding_window_view(v, w)
-    at = np.unique(near.argmin(1) + np.arange(len(near)))
-    order = np.argsort(ids, kind="stable")
-    before = np.full(len(ids), -1)
-    same = ids[order[1:]] == ids[order[:-1]]
-    before[order[1:][same]] = order[:-1][same]  # where each word stood last
-    parts = np.split(at, range(1 << 16, len(at), 1 << 16))
-    new = np.concatenate([(before[k[:, None] + np.arange(WINDOW)] < k[:, None]).sum(1) >= DISTINCT for k in parts])
-    return at[new], v[at[new]].view(np.int64)
-
-
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
-def windows(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, text_key, para, last, start, end, key): kept windows of whole texts.
-
-    para and last are the lines of a window's first and last word.
-    """
+            keys = list(zip(b.column("t1").to_pylist(), b.column("t2").to_pylist()))
+            new = [i for i, k in enumerate(keys) if k not in met and not met.add(k)]
+            if len(met) > 1_000_000:
+                met.clear()
+            b = b.take(pa.array(new, pa.int64()))
+            for first, stop, texts in chunks(b.column("text")):
+                w = Words(texts)
+                at, seed = kept_windows(w)
+                text = w.text[at]
+                kept = np.bincount(text, minlength=len(texts))
+                cols = [pa.array(np.diff(w.first), pa.int32()), _listed(at - w.first[text], kept, pa.int32()), _listed(seed, kept, pa.int64()), *_line_columns(w, b"".join(texts), len(texts))]
+                yield pa.RecordBatch.from_arrays([b.column("t1").slice(first, stop - first), b.column("t2").slice(first, stop - first), *cols], _NAMES)
+
+    return _texts(docs).mapInArrow(work, _PARSED).where("n_words > 0")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where("text is not null").select(*text_keys(F.col("text")), "text")
+
+
+def lines(texts: DataFrame) -> DataFrame:
+    """parsed() -> (t1, t2, para, start, end, size, line, bands): one row a line with words."""
+    rows = texts.select(*TEXT, "bands", F.posexplode(F.arrays_zip("start", "end", "size", "line")).alias("para", "x")).select(*TEXT, "para", "x.*", "bands")
+    return rows.withColumn("bands", F.slice("bands", F.col("para") * BANDS + 1, BANDS)).dropDuplicates([*TEXT, "para"])
+
+
+def _different(t1: str = "t1", t2: str = "t2") -> list[Column]:
+    return [F.min(t1).alias("_a"), F.max(t1).alias("_b"), F.min(t2).alias("_c"), F.max(t2).alias("_d")]
+
+
+_SHARED = "_a < _b or _c < _d"
+
+
+# --- exact stretches ---------------------------------------------------------------------------------------
+
+
+def candidates(texts: DataFrame, leads: DataFrame) -> DataFrame:
+    """Texts with a kept window that another text has: (ord, t1, t2, none, lead, n_docs, at); ord grows in document order."""
+    seeds = texts.select(*TEXT, F.explode(F.arrays_zip("seed", "at")).alias("x")).select(*TEXT, "x.seed", "x.at")
+    shared = seeds.groupBy("seed").agg(*_different()).where(_SHARED).select("seed")
+    found = seeds.join(shared, "seed", "left_semi").groupBy(*TEXT).agg(F.sort_array(F.collect_set("at")).alias("at"))
+    found = found.join(leads, TEXT).orderBy("none", "lead", *TEXT)
+    return materialise(found.select(F.monotonically_increasing_id().alias("ord"), *TEXT, "none", "lead", "n_docs", "at"), "candidates")
+
+
+def windows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """All windows of PASSAGE words that hold a shared kept window: (k1, k2, ord, pos, start, end)."""
     small_batches(docs.sparkSession)
-    names = ["doc_id", "text_key", "para", "last", "start", "end", "key"]
+    names = ["k1", "k2", "ord", "pos", "start", "end"]
 
     def work(batches):
         for b in batches:
-            empty = np.zeros(0, np.int64)
-            row, para, last, start, end, key = ([empty] for _ in range(6))
-            for r, text in enumerate(b.column("text").to_pylist()):
-                lines = [x for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n") if (x := line.split())]
-                words = list(itertools.chain.from_iterable(lines))
-                at, keys = kept_windows(words) if len(words) >= WINDOW else (empty, empty)
-                if len(at):
-                    ends = np.cumsum([len(x) for x in lines])
-                    spans = np.array([m.span() for m in _WORD.finditer(text)])
-                    row.append(np.full(len(at), r))
-                    para.append(np.searchsorted(ends, at, "right"))
-                    last.append(np.searchsorted(ends, at + WINDOW - 1, "right"))
-                    start.append(spans[at, 0])
-                    end.append(spans[at + WINDOW - 1, 1])
-                    key.append(keys)
-            take, *rest = (pa.array(np.concatenate(x)) for x in (row, para, last, start, end, key))
-            rest[:2] = (x.cast(pa.int32()) for x in rest[:2])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("text_key").take(take), *rest], names)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(work, f"doc_id {kind}, text_key long, para int, last int, start long, end long, key long")
-
-
-def repeated_windows(docs: DataFrame, lines_hit: DataFrame) -> DataFrame:
-    """Kept windows that stand in two different documents, outside of runs of lines that are hits themselves."""
-    rows = materialise(windows(docs), "windows")
-    doc = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
-    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "start")
-    shared = rows.groupBy(F.col("key").alias("_k")).agg(F.min(doc).alias("low"), F.max(doc).alias("high"), F.min(first).alias("first")).where("low < high")
-    hit = rows.join(shared, F.col("key") == F.col("_k")).dropDuplicates(["doc_id", "text_key", "start"])
-    known = lines_hit.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.col("para").alias("_p"))
-    known = known.withColumn("_r", F.col("_p") - F.row_number().over(W.partitionBy("_d", "_t").orderBy("_p")))
-    known = known.withColumn("_e", F.max("_p").over(W.partitionBy("_d", "_t", "_r")))
-    inside = (F.col("text_key") == F.col("_t")) & (F.col("para") == F.col("_p")) & (F.col("last") <= F.col("_e"))
-    hit = hit.join(known, F.col("doc_id").eqNullSafe(F.col("_d")) & inside, "left_anti")
-    stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key")) & (F.col("first.start") == F.col("start"))
-    return hit.select("doc_id", "para", "start", "end", F.lit(WINDOW).alias("n_words"), F.col("key").alias("class_id"), (~stays).alias("removed"), "text_key")
+            for first, stop, texts in chunks(b.column("text")):
+                w, chars = Words(texts), None
+                size = np.diff(w.first)
+                some = b.column("at").slice(first, stop - first)
+                of = np.repeat(np.arange(len(texts)), pc.list_value_length(some).to_numpy(zero_copy_only=False))
+                at = some.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + w.first[of]
+                near = np.zeros(len(w.start) + 1, np.int64)  # windows that begin up to SPREAD - 1 words before
+                np.add.at(near, np.maximum(at - SPREAD + 1, w.first[of]), 1)
+                np.add.at(near, at + 1, -1)
+                pos = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+                text = w.text[pos]
+                pos, text = pos[pos - w.first[text] + PASSAGE <= size[text]], text[pos - w.first[text] + PASSAGE <= size[text]]
+                chars = w.characters()
+                own = chars[w.begins[text]]
+                ord_ = b.column("ord").slice(first, stop - first).take(pa.array(text))
+                cols = [*(pa.array(w.runs(pos, pos + PASSAGE, k).view(np.int64)) for k in (0, 1)), ord_, *(pa.array(x.astype(np.int32)) for x in (pos - w.first[text], chars[w.start[pos]] - own, chars[w.end[pos + PASSAGE - 1]] - own))]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    one = _texts(docs).groupBy(*TEXT).agg(F.any_value("text").alias("text"))
+    rows = one.join(found.select(*TEXT, "ord", "at"), TEXT).select("ord", "text", "at")
+    return rows.mapInArrow(work, "k1 long, k2 long, ord long, pos int, start int, end int")
+
+
+def _stretches(batches):
+    """Sorted hits (ord, pos, start, end, first, there) -> stretches and what they are made of.
+
+    kind 0: a row of a stretch (from, start, end, n_words, removed); kind 1: a stretch (from, and its last word in
+    n_words, start, end); kind 2: a link of a stretch to the text `other`, which has a window of it at `there`.
+    """
+    names = ["kind", "ord", "from", "start", "end", "n_words", "removed", "other", "there"]
+    for t in groups(batches, ["ord"], 1 << 17):
+        ids, pos, start, end, first, there = (t[c].to_numpy() for c in ("ord", "pos", "start", "end", "first", "there"))
+        new = np.ones(len(ids), bool)  # whether a stretch begins
+        new[1:] = (ids[1:] != ids[:-1]) | (pos[1:] - pos[:-1] > PASSAGE)
+        head = np.flatnonzero(new)
+        stop = np.append(head[1:], len(ids))
+        number = np.cumsum(new) - 1
+        out = [(np.full(len(head), 1), ids[head], pos[head], start[head], end[stop - 1], pos[stop - 1] + PASSAGE, np.zeros(len(head), bool), ids[head], pos[head])]
+        # Rows of a stretch: where windows of an earlier document cover it, and what is left between them.
+        kind, row = [], []
+        away = first != ids
+        for k, (s, e) in enumerate(zip(head.tolist(), stop.tolist())):
+            cut = s + np.flatnonzero(away[s:e])
+            at, at_char = int(pos[s]), int(start[s])
+            last, last_char = int(pos[e - 1]) + PASSAGE, int(end[e - 1])
+            if len(cut):
+                parts = np.flatnonzero(np.diff(pos[cut], prepend=-PASSAGE - 1) > PASSAGE)
+                for a, b in zip(cut[parts].tolist(), cut[np.append(parts[1:], len(cut)) - 1].tolist()):
+                    if pos[a] > at:
+                        row.append((k, at_char, int(start[a]), int(pos[a]) - at, False))
+                    row.append((k, int(start[a]), int(end[b]), int(pos[b]) + PASSAGE - int(pos[a]), True))
+                    at, at_char = int(pos[b]) + PASSAGE, int(end[b])
+            if at < last:
+                row.append((k, at_char, last_char, last - at, False))
+        k, a, b, n, gone = (np.array(x) for x in zip(*row))
+        out.append((np.zeros(len(k), int), ids[head][k], pos[head][k], a, b, n, gone.astype(bool), ids[head][k], pos[head][k]))
+        # Links: the first of all neighbouring windows that stand in the same text, as far apart as here.
+        fresh = new.copy()
+        fresh[1:] |= (first[1:] != first[:-1]) | (there[1:] - there[:-1] != pos[1:] - pos[:-1]) | (pos[1:] - pos[:-1] > 1)
+        i = np.flatnonzero(fresh & away)
+        out.append((np.full(len(i), 2), ids[i], pos[head][number[i]], start[i], end[i], pos[i], away[i], first[i], there[i]))
+        cols = [np.concatenate(c) for c in zip(*out)]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+
+def stretches(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """candidates() -> what _stretches() tells of them, as a table."""
+    rows = materialise(windows(docs, found), "windows")
+    shared = rows.groupBy("k1", "k2").agg(F.min("ord").alias("first"), F.max("ord").alias("_last"), F.min_by("pos", "ord").alias("there")).where("first < _last").drop("_last")
+    hits = rows.join(shared, ["k1", "k2"]).select("ord", "pos", "start", "end", "first", "there")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hits = hits.repartition(parts, "ord").sortWithinPartitions("ord", "pos")
+    out = materialise(hits.mapInArrow(_stretches, 'kind int, ord long, from int, start int, end int, n_words int, removed boolean, other long, there int'), "stretches")
+    drop(rows)
+    return out
+
+
+# --- paragraphs --------------------------------------------------------------------------------------------
 
 
 def _compare(t: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of whole buckets: a row is held against members of each other component until one is similar."""
-    ids, raw, i, j = t["id"].to_numpy(), t["s"].to_pylist(), t["i"].to_numpy(), t["j"].to_numpy()
+    ids, raw = t["id"].to_numpy(), t["s"].to_pylist()
     a, b = [], []
     for s, e in zip(bounds[:-1], bounds[1:]):
         if e - s < 2:
@@ -240,11 +321,12 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def line_links(rows: DataFrame, docs: DataFrame, limit: int = 500) -> DataFrame:
-    """Links (a, b) between keys of different lines that are similar."""
-    spread = rows.groupBy("key").agg(F.any_value("bands").alias("bands")).select(F.col("key").alias("id"), F.explode("bands").alias("key"))
-    spread = materialise(spread, "bands")
+    """lines() -> links (a, b) between keys of different lines that are similar."""
+    once = materialise(rows.groupBy(F.col("line").alias("id")).agg(F.any_value("bands").alias("bands")), "line-bands")
+    spread = once.select("id", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     met = materialise(spread.join(shared, "key", "left_semi"), "collisions")
+    drop(once)
     wanted = materialise(met.select(F.col("id").alias("_id")).distinct(), "colliding")
     text = docs.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line").alias("id"), "line")
     text = text.join(wanted, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
@@ -255,39 +337,103 @@ def line_links(rows: DataFrame, docs: DataFrame, limit: int = 500) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(s, pa.binary())], ["sid", "s"])
 
     s = materialise(text.mapInArrow(sets, "sid long, s binary"), "sets")
-    met = met.join(s, met["id"] == s["sid"]).select("key", "id", "s")
-    return bucket_links(met, _compare, limit, ("s",))
-
-
-def repeated(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """docs (doc_id, text) -> repeated passages: (doc_id, para, start, end, n_words, class_id, removed, text_key, part).
-
-    part is line, or window for a stretch of words of any lines; class_id is the least line key of a class, or the
-    window's hash.
-    """
-    rows = materialise(lines(docs).dropDuplicates(["doc_id", "text_key", "para"]), "lines")
+    both = met.join(s, met["id"] == s["sid"]).select("key", "id", "s")
+    return bucket_links(both, _compare, limit, ("s",))
+
+
+def _passages(batches):
+    """Sorted lines (t1, t2, para, size, class) -> (t1, t2, para, until, passage): the shortest runs of neighbouring
+    lines of PASSAGE words, and the same with one line more, since the other text's lines may be longer."""
+    names = ["t1", "t2", "para", "until", "passage"]
+    for t in groups(batches, TEXT, 1 << 16):
+        para, size, cls = (t[c].to_numpy() for c in ("para", "size", "class"))
+        bounds = [*starts(t, TEXT), t.num_rows]
+        row, last, key = [], [], []
+        for s, e in zip(bounds[:-1], bounds[1:]):
+            alone = np.flatnonzero(np.diff(para[s:e], prepend=-2) != 1)
+            for a, b in zip(alone + s, [*(alone[1:] + s), e]):
+                total = np.concatenate([[0], np.cumsum(size[a:b])])
+                for i in range(a, b):
+                    j = a + int(np.searchsorted(total, total[i - a] + PASSAGE))
+                    for stop in {j, j + 1}:
+                        if stop <= b:
+                            row.append(i)
+                            last.append(para[stop - 1])
+                            key.append(xxhash.xxh64_intdigest(cls[i:stop].tobytes()))
+        at = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(t[c].take(at).combine_chunks() for c in ("t1", "t2", "para")), pa.array(last, pa.int32()), pa.array(np.array(key, np.uint64).view(np.int64))], names)
+
+
+def paragraphs(texts: DataFrame, docs: DataFrame, leads: DataFrame) -> DataFrame:
+    """Lines of repeated passages: (t1, t2, none, lead, para, start, end, n_words, class, removed)."""
+    rows = materialise(lines(texts), "lines")
     parts = connected_components(line_links(rows, docs))
-    where = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
-    of_key = rows.groupBy("key").agg(F.min(where).alias("low"), F.max(where).alias("high"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "para")).alias("first"))
-    of_key = of_key.join(parts, of_key["key"] == parts["node"], "left").withColumn("class_id", F.coalesce("component", "key"))
-    of_key = materialise(of_key.select("key", "class_id", "low", "high", "first"), "line-classes")
-    classes = of_key.groupBy("class_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")).where("low < high").select(F.col("class_id").alias("_c"), "first")
-    members = of_key.join(classes, F.col("class_id") == F.col("_c")).select(F.col("key").alias("_k"), "class_id", classes["first"])
-    hit = rows.drop("bands").join(members, F.col("key") == F.col("_k"))
-    doc = W.partitionBy("doc_id", "text_key")  # the repeated lines of one text
-    hit = hit.withColumn("run", F.col("para") - F.row_number().over(doc.orderBy("para")))
-    hit = hit.withColumn("run_words", F.sum("n_words").over(W.partitionBy("doc_id", "text_key", "run"))).where(F.col("run_words") >= run_words)
-    stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key")) & (F.col("first.para") == F.col("para"))
-    whole = materialise(hit.select("doc_id", "para", "start", "end", "n_words", "class_id", (~stays).alias("removed"), "text_key"), "line-hits")
-    return whole.withColumn("part", F.lit("line")).unionByName(repeated_windows(docs, whole).withColumn("part", F.lit("window")))
+    rows_of = rows.select(*TEXT, "para", "start", "end", "size", "line").join(parts, rows["line"] == parts["node"], "left").select(*TEXT, "para", "start", "end", "size", F.coalesce("component", "line").alias("class"))
+    classed = materialise(rows_of, "line-classes")
+    drop(rows)
+    shared = classed.groupBy("class").agg(*_different()).where(_SHARED).select("class")
+    known = materialise(classed.join(shared, "class", "left_semi"), "shared-lines")
+    drop(classed)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = known.select(*TEXT, "para", "size", "class").repartition(n, *TEXT).sortWithinPartitions(*TEXT, "para")
+    runs = materialise(runs.mapInArrow(_passages, "t1 long, t2 long, para int, until int, passage long").join(leads, TEXT), "passages")
+    order = F.struct("none", "lead", *TEXT)
+    first = runs.groupBy(F.col("passage").alias("_p")).agg(F.min(order).alias("_first"), F.max(order).alias("_last")).where("_first < _last")
+    hit = runs.join(first, F.col("passage") == F.col("_p")).select(*TEXT, "none", "lead", F.explode(F.sequence("para", "until")).alias("para"), (order != F.col("_first")).alias("removed"))
+    hit = hit.groupBy(*TEXT, "none", "lead", "para").agg(F.max("removed").alias("removed"))
+    return materialise(hit.join(known, [*TEXT, "para"]).withColumnRenamed("size", "n_words"), "line-hits")
+
+
+# --- all -----------------------------------------------------------------------------------------------------
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, para, start, end, n_words, class_id, removed, part, text_key, text_check).
+
+    part is run (a row of an exact stretch), line (a line of a passage of similar lines, outside of exact stretches;
+    para is its number among the lines with words) or text (a whole text that several documents have).
+    """
+    ids = materialise(docs.where("text is not null").select("doc_id", *text_keys(F.col("text"))).distinct(), "ids")
+    where = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("lead"))
+    leads = ids.groupBy(*TEXT).agg(F.min(where).alias("x"), F.count(F.lit(1)).alias("n_docs"))
+    leads = materialise(leads.select(*TEXT, "x.none", "x.lead", "n_docs"), "leads")
+    texts = materialise(parsed(docs), "parsed")
+    like = paragraphs(texts, docs, leads)
+    found = candidates(texts, leads)
+    told = stretches(docs, found)
+    node = F.xxhash64("ord", "from")
+    named = found.select("ord", *TEXT, "none", "lead")
+    whole = told.where("kind = 1").select(F.col("ord").alias("_o"), "from", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("n_words").alias("until"), F.xxhash64("ord", "from").alias("node"))
+    whole = materialise(whole.join(named.select("ord", *TEXT), F.col("_o") == F.col("ord")).drop("ord").withColumnsRenamed({"t1": "_t1", "t2": "_t2"}), "whole")
+
+    mate = (F.col("other") == F.col("_o")) & (F.col("there") >= F.col("from")) & (F.col("there") < F.col("until"))
+    links = told.where("kind = 2").select(node.alias("a"), "other", "there").join(whole, mate).select("a", F.col("node").alias("b"))
+    inside = (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")) & (F.col("start") >= F.col("_s")) & (F.col("end") <= F.col("_e"))
+    like = materialise(like.join(whole, inside, "left").select(*like.columns, "node"), "lines-and-runs")
+    links = links.union(like.where("node is not null").select("class", "node"))
+
+    copied = leads.where("n_docs > 1").select(*TEXT, "none", "lead")
+    size = texts.where(F.col("n_words") >= PASSAGE).select(*TEXT, "n_words", F.element_at("start", 1).alias("start"), F.element_at("end", -1).alias("end")).dropDuplicates(TEXT)
+    copied = materialise(copied.join(size, TEXT).withColumn("class", F.xxhash64(*TEXT)), "copied")
+    links = links.union(copied.join(whole, (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))).select("class", "node"))
+    parts = connected_components(links)
+
+    first = F.col("lead").alias("doc_id")
+    runs = told.where("kind = 0").join(named, "ord").select(first, F.lit(None).cast("int").alias("para"), "start", "end", "n_words", node.alias("class"), "removed", F.lit("run").alias("part"), *TEXT)
+    alike = like.where("node is null").select(first, "para", "start", "end", "n_words", "class", "removed", F.lit("line").alias("part"), *TEXT)
+    lead = F.col("doc_id").eqNullSafe(F.col("lead"))
+    texts_ = ids.join(copied, TEXT).select("doc_id", F.lit(None).cast("int").alias("para"), "start", "end", "n_words", "class", (~lead).alias("removed"), F.lit("text").alias("part"), *TEXT)
+    out = runs.unionByName(alike).unionByName(texts_).join(parts, F.col("class") == F.col("node"), "left")
+    return out.select("doc_id", "para", "start", "end", "n_words", F.coalesce("component", "class").alias("class_id"), "removed", "part", F.col("t1").alias("text_key"), F.col("t2").alias("text_check"))
 
 
 def remove(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """docs with removed lines and windows cut out of their texts; rows and other columns stay."""
     found = repeated(docs) if found is None else found
-    cut = found.where("removed").groupBy(F.col("doc_id").alias("__sm_d"), F.col("text_key").alias("__sm_t"))
-    cut = cut.agg(F.array_sort(F.collect_set(F.struct("start", F.col("end").alias("stop"), (F.col("part") == "line").alias("line")))).alias("__sm_cut"))
-    out = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("__sm_d")) & (F.xxhash64("text") == F.col("__sm_t")), "left")
+    cut = found.where("removed").groupBy(F.col("doc_id").alias("__sm_d"), F.col("text_key").alias("__sm_1"), F.col("text_check").alias("__sm_2"))
+    cut = cut.agg(F.array_sort(F.collect_set(F.struct("start", F.col("end").alias("stop"), (F.col("part") != "run").alias("line")))).alias("__sm_cut"))
+    t1, t2 = text_keys(F.col("text"))
+    out = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("__sm_d")) & (t1 == F.col("__sm_1")) & (t2 == F.col("__sm_2")), "left")
     small_batches(docs.sparkSession)
 
     def without(text: str, spans: list[dict]) -> str:
@@ -299,8 +445,8 @@ def remove(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
                 if x["line"]:  # with its line end, or the one before it at the end of a text
                     if at < len(text):
                         at += 1
-                    elif kept[-1].endswith("\n"):
-                        kept[-1] = kept[-1][:-1]
+                    else:
+                        kept = ["".join(kept).removesuffix("\n")]
         return "".join([*kept, text[at:]])
 
     def work(batches):

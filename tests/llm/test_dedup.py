@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import random
 import re
@@ -12,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from seriesmill.llm import buckets, components, simhash, substrings
+from seriesmill.llm.flat import Words
 
 from .conftest import prose, sample_data
 
@@ -143,8 +145,16 @@ def test_keep_one_leaves_unrelated_rows_with_null_or_repeated_ids(spark):
         assert sorted(kept, key=str) == sorted(set(rows) - {(9, prose(80, 60))}, key=str)
 
 
-def jaccard(a, b, n=5):
-    x, y = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (WORD.findall(lower(a)), WORD.findall(lower(b))))
+@functools.cache
+def shingle_set(t, n=5):
+    w = WORD.findall(lower(t))
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1)))
+
+
+def jaccard(a, b):
+    x, y = shingle_set(a), shingle_set(b)
+    if not 4 * max(len(x), len(y)) <= 5 * min(len(x), len(y)):
+        return 0.0 if x.isdisjoint(y) else len(x & y) / len(x | y)
     return len(x & y) / len(x | y)
 
 
@@ -183,81 +193,135 @@ def test_similarity_is_exact_at_the_threshold(spark):
     assert all(comp[d] == 1000 for d in range(1000, 1030))
 
 
-# --- paragraphs --------------------------------------------------------------------------------------------
-
-
-def plain_repeats(rows, run_words=substrings.RUN_WORDS):
-    """Brute force: lines of each (doc, text), classes by exact Jaccard, runs of lines that repeat across documents."""
-    lines = []
-    for d, t in sorted({(d, t) for d, t in rows if t is not None}, key=str):
-        n = 0
-        for line in t.split("\n"):
-            if WORD.findall(line):
-                lines.append((d, t, n, line))
-                n += 1
-    texts = sorted({x[3] for x in lines})
-    comp = dict(zip(texts, plain_components([(t, t) for t in texts], lambda a, b: jaccard(a, b) >= 0.8)))
-    owners = {}
-    for d, t, _, line in lines:
-        owners.setdefault(comp[line], set()).add((d, t))
-    hit = {(d, t, n): len(WORD.findall(line)) for d, t, n, line in lines if len(owners[comp[line]]) > 1}
-    out = set()
-    for d, t, n in hit:
-        lo = hi = n
-        while (d, t, lo - 1) in hit:
-            lo -= 1
-        while (d, t, hi + 1) in hit:
-            hi += 1
-        if sum(hit[(d, t, i)] for i in range(lo, hi + 1)) >= run_words:
-            out.add((d, n))
+# --- passages ----------------------------------------------------------------------------------------------
+
+
+def plain_stretches(rows, n=substrings.PASSAGE):
+    """Brute force: {(doc, text): spans of words} of all runs of n words that another text holds as well."""
+    seen, words = {}, {}
+    for d, t in {(d, t) for d, t in rows if t}:
+        words[d, t] = [x.encode() for x in WORD.findall(lower(t))]
+        for i in range(len(words[d, t]) - n + 1):
+            seen.setdefault(tuple(words[d, t][i : i + n]), set()).add(t)
+    out = {}
+    for (d, t), w in words.items():
+        held = [False] * len(w)
+        for i in range(len(w) - n + 1):
+            if len(seen[tuple(w[i : i + n])]) > 1:
+                held[i : i + n] = [True] * n
+        spans = [(m.start(), m.end()) for m in re.finditer("1+", "".join("01"[x] for x in held))]
+        if spans:
+            out[d, t] = spans
+    return out
+
+
+def plain_passages(rows, n=substrings.PASSAGE):
+    """Brute force: lines of the shortest runs of n words from each line on whose classes stand in two texts."""
+    texts = sorted({t for _, t in rows if t})
+    lines = {t: [x for x in t.split("\n") if WORD.findall(x)] for t in texts}
+    every = sorted({x for v in lines.values() for x in v})
+    comp = dict(zip(every, plain_components([(x, x) for x in every], lambda a, b: jaccard(a, b) >= 0.8)))
+    owners, runs = {}, []
+    for t, own in lines.items():
+        for i in range(len(own)):
+            for j in range(i + 1, len(own) + 1):
+                if sum(len(WORD.findall(x)) for x in own[i:j]) >= n:
+                    for stop in range(j, min(j + 1, len(own)) + 1):
+                        key = tuple(comp[x] for x in own[i:stop])
+                        owners.setdefault(key, set()).add(t)
+                        runs.append((t, i, stop, key))
+                    break
+    return {(t, p) for t, i, stop, key in runs if len(owners[key]) > 1 for p in range(i, stop)}
+
+
+def said(found, rows):
+    """{(doc, text): words of each stretch} of rows of kind run; every row's words are counted."""
+    by_key = {}
+    for r in found:
+        if r["part"] == "run":
+            by_key.setdefault((r["doc_id"], r["text_key"]), []).append(r)
+    texts = {}
+    for d, t in rows:
+        texts.setdefault(d, set()).add(t)
+    out = {}
+    for (d, _), parts in by_key.items():
+        fits = [t for t in texts[d] if t and all(len(t[x["start"] : x["end"]].split()) == x["n_words"] for x in parts)]
+        covered = lambda t: [any(x["start"] <= m.start() and m.end() <= x["end"] for x in parts) for m in WORD.finditer(t)]  # noqa: B023, E731
+        t = fits[0]
+        out[d, t] = [(m.start(), m.end()) for m in re.finditer("1+", "".join("01"[x] for x in covered(t)))]
     return out
 
 
-def test_repeated_paragraphs_on_awkward_documents(docs, awkward):
-    got = {(r["doc_id"], r["para"]) for r in substrings.repeated(docs).where("part = 'line'").collect()}
-    assert got == plain_repeats([(d, t) for d, t, *_ in awkward])
+def leads(rows):
+    """Of documents with equal texts the first one: its rows hold the stretches."""
+    first = {}
+    for d, t in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)):
+        first.setdefault(t, d)
+    return {(d, t) for t, d in first.items()}
 
 
-def test_repeated_paragraphs_against_brute_force(spark):
+def test_passages_on_awkward_documents(spark, docs, awkward):
+    rows = [(d, t) for d, t, *_ in awkward]
+    found = substrings.repeated(docs).collect()
+    assert said(found, rows) == {k: v for k, v in plain_stretches(rows).items() if k in leads(rows)}
+    whole = {(r["doc_id"], r["removed"]) for r in found if r["part"] == "text"}
+    assert whole == {(1, False), (2, True), (None, True)}
+
+
+def test_passages_against_brute_force(spark):
     from seriesmill.llm import queries
 
-    sf = sample_data()
-    got = {(r["doc_id"], r["para"]) for r in queries.op1_substrings(spark, sf).where("part = 'line'").collect()}
-    want = plain_repeats([(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
-    assert got <= want and len(got) >= 0.99 * len(want)
+    sf = sample_data().replace("sf0.001", "sf0.01")
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    found = queries.op1_substrings(spark, sf).collect()
+    want = plain_stretches(rows)
+    assert said(found, rows) == {k: v for k, v in want.items() if k in leads(rows)}
+    hit = {r["doc_id"] for r in found}
+    copied = {d for d, t in rows if len(WORD.findall(t or "")) >= 51 and sum(t == u for _, u in rows) > 1}
+    assert {d for d, _ in want} | copied <= hit
+    assert {r["doc_id"] for r in found if r["part"] == "text"} == copied
 
 
-def shared_runs(rows, n):
-    """Documents that share a run of n words with another text."""
-    seen = {}
-    for d, t in rows:
-        w = [x.encode() for x in WORD.findall(lower(t or ""))]
-        for i in range(len(w) - n + 1):
-            if len(set(w[i : i + n])) >= substrings.DISTINCT:
-                seen.setdefault(tuple(w[i : i + n]), set()).add((d, t))
-    return {d for s in seen.values() if len(s) > 1 for d, _ in s}
+def test_paragraphs_against_brute_force(spark):
+    """Lines of passages of similar lines are rows, if they don't lie in a stretch; no other line is."""
+    from seriesmill.llm import queries
+
+    sf = sample_data()
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    texts, of, want = dict(rows), {t: d for d, t in leads(rows)}, plain_stretches(rows)
+    like = {(r["doc_id"], r["para"]) for r in queries.op1_substrings(spark, sf).collect() if r["part"] == "line"}
+    outside = set()
+    for t, p in plain_passages(list(leads(rows))):
+        lines = [m for m in re.finditer(r"[^\n]+", t) if WORD.search(m.group())]
+        inside = [i for i, m in enumerate(WORD.finditer(t)) if lines[p].start() <= m.start() and m.end() <= lines[p].end()]
+        if not any(a <= inside[0] and inside[-1] < b for a, b in want.get((of[t], t), ())):
+            outside.add((of[t], p))
+    assert all(texts[d] for d, _ in like) and like == outside
 
 
 def test_passages_inside_long_lines(spark):
-    """Every run of 51 words is found wherever it stands; nothing shorter than a window is."""
+    """Every run of 51 words is found wherever it stands, to its last word; nothing shorter is."""
     r, rows = random.Random(9), []
     for k in range(40):
-        passage = prose((51, 52, 60, 39, 30)[k % 5], 300 + k)
+        passage = prose((51, 52, 60, 50, 30)[k % 5], 300 + k)
         for side in range(2):
             before, after = prose(r.randrange(20, 150), 7000 + 2 * k + side), prose(r.randrange(20, 150), 8000 + 2 * k + side)
             rows.append((2 * k + side, f"{before} {passage} {after}"))
-    rows += [(900, "same " * 300), (901, "x " + "same " * 300), (902, "é " * 60 + prose(55, 1)), (903, "ü " * 60 + prose(55, 1).upper())]
-    got = {}
-    for x in substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        got.setdefault(x["doc_id"], []).append(x)
-    assert shared_runs(rows, 51) <= set(got) <= shared_runs(rows, 40)
+    rows += [(900, "same " * 300), (901, "x " + "same " * 300), (902, prose(60, 98).replace("a", "é") + " " + prose(55, 1)), (903, prose(60, 99).replace("a", "ü") + " " + prose(55, 1).upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substrings.repeated(df).collect()
+    assert said(found, rows) == plain_stretches(rows)
     texts = dict(rows)
-    for d, found in got.items():
-        for x in found if d < 900 else ():
-            mate = texts[d ^ 1]
-            assert x["part"] == "window" and lower(texts[d][x["start"] : x["end"]]) in lower(mate) and len(texts[d][x["start"] : x["end"]].split()) == 40
-    cut = {x["doc_id"]: x["text"] for x in substrings.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert cut[0] == texts[0] and len(cut[1].split()) <= len(texts[1].split()) - 40
+    for x in found:
+        if x["doc_id"] < 80:
+            assert x["removed"] == (x["doc_id"] % 2 == 1) and x["n_words"] in (51, 52, 60)
+            assert lower(texts[x["doc_id"]][x["start"] : x["end"]]) in lower(texts[x["doc_id"] ^ 1])
+    mates = {}
+    for x in found:
+        mates.setdefault(x["class_id"], set()).add(x["doc_id"])
+    assert sorted(map(sorted, mates.values())) == sorted([[2 * k, 2 * k + 1] for k in range(40) if k % 5 < 3] + [[900, 901], [902, 903]])
+    cut = {x["doc_id"]: x["text"] for x in substrings.remove(df).collect()}
+    assert cut[0] == texts[0] and len(cut[1].split()) == len(texts[1].split()) - 51
 
 
 def test_passages_across_line_ends(spark):
@@ -267,34 +331,67 @@ def test_passages_across_line_ends(spark):
     rows = [(0, f"{own(0)} {cut(0, 25)} {own(1)}"), (1, f"{own(2)} {cut(0, 25)} {own(3)}"), (2, f"{own(4)} {cut(1, 15, 54)} {own(5)}"), (3, f"{own(6)}\n\n{cut(1, 15, 54)} {own(7)}")]
     rows += [(4, cut(2)), (5, cut(2, 12, 24, 36, 48, 60)), (6, own(8) + "\n" + own(9)), (7, f"{cut(3, 30)}\n{own(10)}"), (8, f"{own(11)}\n{cut(3, 30)}")]
     df = spark.createDataFrame(rows + rows[:1], "doc_id long, text string")
-    texts, got = dict(rows), {}
-    for x in substrings.repeated(df).collect():
-        got.setdefault(x["doc_id"], []).append(x)
-    assert set(got) == {0, 1, 2, 3, 4, 5, 7, 8} == shared_runs(rows, 51)
-    for d in range(6):
-        for x in got[d]:
-            said = texts[d][x["start"] : x["end"]].split()
-            assert x["part"] == "window" and len(said) == 40 and " ".join(said) in " ".join(texts[d ^ 1].split())
-            assert texts[d][: x["start"]].strip() == "" or x["para"] == len([t for t in texts[d][: x["start"]].split("\n")[:-1] if t.strip()])
-        assert len({x["start"] for x in got[d]}) == len(got[d])
-    assert {x["part"] for d in (7, 8) for x in got[d]} == {"line"}  # windows in runs of such lines say nothing more
+    texts, found = dict(rows), substrings.repeated(df).collect()
+    assert {(x["doc_id"], x["n_words"], x["part"], x["removed"]) for x in found} == {(d, 70, "run", d in (1, 3, 5, 8)) for d in (0, 1, 2, 3, 4, 5, 7, 8)}
+    assert said(found, rows) == plain_stretches(rows)
     left = {x["doc_id"]: x["text"] for x in substrings.remove(df).collect()}
-    assert all(left[d] == texts[d] for d in (0, 2, 4, 6, 7)) and all(len(left[d].split()) <= len(texts[d].split()) - 40 for d in (1, 3, 5, 8))
+    assert all(left[d] == texts[d] for d in (0, 2, 4, 6, 7)) and all(len(left[d].split()) == len(texts[d].split()) - 70 for d in (1, 3, 5, 8))
+
+
+def test_similar_paragraphs(spark):
+    """Passages of lines that are similar but nowhere equal over 51 words; lone similar lines aren't passages."""
+    edit = lambda t, *at: " ".join("edit" if i in at else w for i, w in enumerate(t.split()))
+    a, b, c, d = (prose(n, 70 + n) for n in (40, 41, 30, 45))
+    rows = [(1, f"{a}\n{b}\nown end one"), (2, f"first words\n{edit(a, 39)}\n{edit(b, 40)}"), (3, c + "\n" + prose(40, 1)), (4, c + "\n" + prose(40, 2)), (5, edit(d, 44)), (6, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substrings.repeated(df).collect()
+    assert {(x["doc_id"], x["para"], x["removed"], x["part"]) for x in found} == {(1, 0, False, "line"), (1, 1, False, "line"), (2, 1, True, "line"), (2, 2, True, "line")}
+    assert {(lower(t), p) for t, p in plain_passages(rows)} == {(lower(dict(rows)[x["doc_id"]]), x["para"]) for x in found}
+    assert {x["doc_id"]: x["text"] for x in substrings.remove(df, substrings.repeated(df)).collect()}[2] == "first words"
+
+
+def test_stretches_are_cut_where_an_earlier_document_ends(spark):
+    """Two passages of different documents side by side in a third: one stretch, removed but for what is its own."""
+    x, y, z = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(1, f"{x} {prose(30, 4)}"), (2, f"{x} {y} {z}"), (3, f"{prose(30, 5)} {y}"), (4, z), (5, f"{prose(30, 6)} {z} {x}")]
+    found = substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {d: [(r["n_words"], r["removed"]) for r in sorted(found, key=lambda r: r["start"]) if r["doc_id"] == d] for d in range(1, 6)}
+    assert got == {1: [(60, False)], 2: [(60, True), (120, False)], 3: [(60, True)], 4: [(60, True)], 5: [(120, True)]}
+    assert len({r["class_id"] for r in found}) == 1
 
 
 def test_windows_are_those_of_plain_winnowing():
-    words = [w.encode() for w in prose(200, 5).split()]
-    at, keys = substrings.kept_windows(words)
-    other, same = substrings.kept_windows(words[37:])
-    both = dict(zip(at.tolist(), keys.tolist()))
-    assert all(both[i + 37] == k for i, k in zip(other.tolist(), same.tolist()) if i + 37 in both) and len(set(keys.tolist())) == len(keys)
-    assert np.diff(at).max() <= substrings.SPREAD and len(set(both) & {i + 37 for i in other.tolist()}) > 5
+    texts = [prose(200, 5), "", prose(39, 6), prose(40, 7), prose(45, 8), prose(51, 9), "a b"]
+    w = Words([t.encode() for t in texts])
+    at, keys = substrings.kept_windows(w)
+    held = dict(zip(at.tolist(), keys.view(np.uint64).tolist()))
+    want = {}
+    for first, stop in zip(w.first[:-1], w.first[1:]):
+        v = {i: int(w.runs(np.array([i]), np.array([i + 40]))[0]) for i in range(first, stop - 39)}
+        for i in v:
+            group = [k for k in range(i, i + 12) if k in v]
+            if len(group) == 12 or i == first:
+                best = min(group, key=v.get)
+                want[best] = v[best]
+    assert held == want
+
+
+def test_hashes_of_words():
+    texts = ["Hello wörld  a\nb", "", "  ", "x", "Hello WÖRLD", "a b c d e f", " lead", "trail "]
+    w = Words([t.encode() for t in texts])
+    got = [[] for _ in texts]
+    for s, e, t in zip(w.start, w.end, w.text):
+        got[t].append(bytes(w.data[s:e]))
+    assert got == [t.encode().lower().split() for t in texts] and [len(g) for g in got] == list(np.diff(w.first))
+    assert w.hash[0] == w.hash[w.first[4]] and len(set(w.hash.tolist())) == len({x for g in got for x in g})
+    two = w.runs(np.array([w.first[5], w.first[0] + 2]), np.array([w.first[5] + 2, w.first[0] + 4]))
+    assert two[0] == two[1]  # a b
 
 
 def test_removal_leaves_the_first_copy(spark, empty, clashing):
     p = prose(60, 8)
     df = spark.createDataFrame([(1, f"{p}\nown line one"), (2, f"start\n{p}"), (3, "nothing here"), (4, None)], "doc_id long, text string")
-    out = {r["doc_id"]: r["text"] for r in substrings.remove(df).collect()}
+    out = {r["doc_id"]: r["text"].strip() if r["text"] else None for r in substrings.remove(df).collect()}
     assert out == {1: f"{p}\nown line one", 2: "start", 3: "nothing here", 4: None}
     assert substrings.repeated(empty).count() == 0 and substrings.remove(empty).count() == 0
     assert substrings.remove(clashing).columns == clashing.columns
@@ -307,8 +404,7 @@ def test_large_bucket_of_near_lines(spark):
     w = prose(60, 12).split()
     rows = [(i, " ".join([*w[: i % 60], f"e{i}", *w[i % 60 + 1 :]])) for i in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    lines = substrings.lines(df)
-    links = substrings.line_links(lines, df, limit=20)
+    links = substrings.line_links(substrings.lines(substrings.parsed(df)), df, limit=20)
     comp = components.connected_components(links)
     texts = [t for _, t in rows]
     want = plain_components([(i, t) for i, t in enumerate(texts)], lambda a, b: jaccard(a, b) >= 0.8)
