@@ -1,20 +1,24 @@
 """Scoring texts with a byte model by context-tree weighting, beside a unigram baseline.
 
-A text is cut into units: a run of non-gap bytes and the gap byte behind it; the last unit ends with an end symbol
-(byte 0xFF, which UTF-8 never has). A byte is coded as eight binary decisions. The context of a decision is the bits
-of the byte so far and up to DEPTH symbols before it in the unit: the SINGLE nearest bytes, then pairs of bytes (each by
-its lower four bits), so that a context reaches SPAN bytes back. Before the unit stands one byte for the kind of the
-unit before it (sentence or line end, or the kind of its last byte), and zero bytes. Every node of the
-context tree keeps how often the training text decided 0 and 1 there; a node's Krichevsky-Trofimov probability P_e is
-weighted against the product of its children's: P_w = P_e / 2 + prod P_w(children) / 2. With all counts fixed, a
-decision's probability is the mixture over all depths that these weights imply; below the last node that training
-has seen it is one half, as for any unseen node. A text's score is the log10 probability of all its bytes.
-
-Everything scales with the corpus and nothing of its size is broadcast. Units are counted by input block first, then
-by unit. The tree is cut into subtrees by the last two context bytes and dealt out by them; only the two upper levels
-(at most 256 * 255 nodes) pass through the driver. What a block needs (the scores of the units it holds, and before
-that the probabilities of the byte grams that a set of units holds) is asked for by (block, key), answered by a
-shuffle, and written as one folder a block, which the task of that block reads.
+The model's text is what the baseline counts: the words, lower-cased (A-Z), each with one blank behind it, and one end
+symbol (byte 0xFF, which UTF-8 never has). A byte is coded as eight binary decisions. The context of a decision is the
+bits of the byte so far and the bytes before it, word after word: DEPTH symbols, the SINGLE nearest bytes and beyond them
+pairs of bytes (each by its lower four bits), so that a context reaches SPAN bytes back, or to the last two bytes of the
+word before. Every node of the context tree keeps how often the training text decided 0 and 1 there; a node's
+Krichevsky-Trofimov probability P_e is weighted against the product of its children's: P_w = P_e / 2 + prod
+P_w(children) / 2. With all counts fixed, a decision's probability is the mixture over all depths that these weights
+imply; below the last node that training has seen it is one half, as for any unseen node. A text's score is the log10
+probability of all its bytes, so it can be set against the baseline's.
+
+A unit is a word with its blank (or the end symbol) behind the three bytes before it: the last two of the word before
+(blank where it has one only) and its blank; 0, 0 and a line feed at the beginning of a text. All that the contexts of
+its bytes can hold stands in a unit, so units that repeat are scored once.
+
+Everything scales with the corpus and nothing of its size is broadcast. Units are counted by input block. The tree is
+cut into subtrees by the last two context bytes and dealt out by them; only the two upper levels (at most 256 * 255
+nodes) pass through the driver. What a block needs (the scores of the units it holds, and before that the probabilities
+of the byte grams that a set of units holds) is asked for by (block, key), answered by a shuffle, and written as one
+folder a block, which the task of that block reads.
 
 Baseline: words lower-cased (A-Z) and one end per text; sum of log10((c + 1) / (N + V + 1)) over a text's tokens.
 
@@ -32,13 +36,13 @@ import pyarrow.dataset as pads
 import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .buckets import groups
 from .common import drop, in_bucket, materialise, new_path, open_fs, small_batches
+from .flat import Words, chunks
 
-DEPTH, SINGLE = 6, 6
+DEPTH, SINGLE = 7, 4
 #: Bytes before a byte that its context reaches back.
 SPAN = SINGLE + 2 * (DEPTH - SINGLE)
 CLASSES = (7, 2)  # held out: crc32(doc_id as text) mod 7 is 2
@@ -51,9 +55,8 @@ _GRAMS = 3_000_000
 _LOG10 = np.log(10.0)
 
 
-#: What a unit knows of the one before: whether a sentence or line ended, and the kind of its last byte.
-_KIND = np.array([1 if c in b".!?\n" else 2 if c in b"ao" else 3 if c >= 128 else 4 for c in range(256)], np.uint8)
-_GAP = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E), END[0]])
+#: Bytes before a unit that it carries along, and what they are at the beginning of a text.
+BEFORE, _BEGIN = 3, np.array([0, 0, 10], np.uint8)
 
 
 def binary_array(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -72,36 +75,33 @@ def flat_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], np.diff(offsets)
 
 
-def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """(units of all texts, number of units of each text), without a loop over units.
-
-    Each unit stands behind one byte for the kind of unit before it; that byte is context and isn't coded.
-    """
-    values = pc.fill_null(texts.cast(pa.large_binary()), b"")
-    data, sizes = flat_bytes(values)
-    ends = np.cumsum(sizes)
-    flat = np.insert(data, ends, END[0]) if len(sizes) else data
-    gap = _GAP[flat]
-    stop = np.flatnonzero(gap) + 1
-    size = np.diff(stop, prepend=0)
-    by, last = flat[stop - 1], flat[np.maximum(stop - 2, 0)]
-    own = np.where(by == 10, 1, np.where(size > 1, _KIND[last], 4)).astype(np.uint8)
-    own[by == END[0]] = 1  # a text begins like a sentence
-    before = np.empty_like(own)
-    if len(own):
-        before[0], before[1:] = 1, own[:-1]
-    framed = np.empty(len(flat) + len(size), np.uint8)
-    heads = np.cumsum(size + 1) - size - 1
-    rest = np.ones(len(framed), bool)
-    rest[heads] = False
-    framed[heads], framed[rest] = before, flat
-    counts = np.diff(np.cumsum(gap)[ends + np.arange(len(ends))], prepend=0) if len(ends) else np.zeros(0, np.int64)
-    return binary_array(framed, size + 1), counts
+def units(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """(units of all texts, number of units of each text), without a loop over units."""
+    w = Words(texts)
+    n, size = len(w.start), w.end - w.start
+    at = np.arange(n) + w.text  # of the words among the units; each text before has one end more
+    ends = w.first[1:] + np.arange(len(texts))
+    length = np.empty(n + len(texts), np.int64)
+    length[at], length[ends] = size + BEFORE + 1, BEFORE + 1
+    head = np.cumsum(length) - length
+    out = np.full(int(length.sum()), 0x20, np.uint8)
+    mine = np.repeat(head[at] + BEFORE - w.start, size)
+    byte = np.arange(int(size.sum())) + np.repeat(w.start - (np.cumsum(size) - size), size)
+    out[mine + byte] = w.data[byte]
+    out[head[ends] + BEFORE] = END[0]
+    # The last two bytes of the word before; a word of one byte leaves the blank.
+    follows = head[at] + length[at]
+    out[follows + 1] = w.data[w.end - 1] if n else 0
+    long = size > 1
+    out[follows[long]] = w.data[w.end[long] - 2]
+    first = np.append(0, ends[:-1] + 1)[: len(texts)]
+    out[head[first][:, None] + np.arange(BEFORE)] = _BEGIN
+    return binary_array(out, length), np.diff(w.first) + 1
 
 
 def token(unit: bytes) -> int:
-    """Key of the baseline's token in a unit: a hash of the lower-cased word; 0 if the unit has no word."""
-    word = unit[1:-1].lower()
+    """Key of the baseline's token in a unit: a hash of the word; 0 for the end."""
+    word = unit[BEFORE:-1]
     return (xxhash.xxh3_64_intdigest(word) >> 1 or 1) if word else 0
 
 
@@ -133,8 +133,8 @@ def grams(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     flat[np.arange(len(data)) + SPAN * (each + 1)] = data
     pairs = flat & 15
     pairs[1:] |= (flat[:-1] & 15) << 4
-    of = np.repeat(np.arange(len(sizes)), sizes - 1)
-    at = np.arange(len(of)) + (of + 1) * (SPAN + 1)
+    of = np.repeat(np.arange(len(sizes)), sizes - BEFORE)
+    at = np.arange(len(of)) + (of + 1) * (SPAN + BEFORE)
     out = flat[at]
     for k in range(1, DEPTH + 1):
         out |= (flat[at - k] if k <= SINGLE else pairs[at - SINGLE - 2 * (k - SINGLE) + 1]) << (8 * k)
@@ -238,15 +238,19 @@ def _count_units(docs: DataFrame) -> DataFrame:
             blocks = b.column("block").to_numpy(zero_copy_only=False)
             for block in np.unique(blocks):
                 mine = b.filter(pa.array(blocks == block)) if (blocks != block).any() else b
-                found, counts = units(mine.column("text"))
-                train = mine.column("train").to_numpy(zero_copy_only=False).astype(bool)
-                code = found.dictionary_encode()
-                n = np.bincount(code.indices.to_numpy()[np.repeat(train, counts)], minlength=len(code.dictionary))
-                held.setdefault(int(block), []).append((code.dictionary, n))
-                size += len(code.dictionary)
-            if size > _MOST:
-                yield from parts(held)
-                held, size = {}, 0
+                for first, stop, texts in chunks(mine.column("text")):
+                    found, counts = units(texts)
+                    train = mine.column("train").slice(first, stop - first).to_numpy(zero_copy_only=False).astype(bool)
+                    code = found.dictionary_encode()
+                    n = np.bincount(code.indices.to_numpy()[np.repeat(train, counts)], minlength=len(code.dictionary))
+                    held.setdefault(int(block), []).append((code.dictionary, n))
+                    size += len(code.dictionary)
+            if size > _MOST:  # as far as memory allows: what repeats across batches is counted once more
+                held = {k: [_merged(v)] for k, v in held.items()}
+                size = sum(len(v[0][0]) for v in held.values())
+                if size > _MOST // 2:
+                    yield from parts(held)
+                    held, size = {}, 0
         yield from parts(held)
 
     def parts(held):
@@ -274,7 +278,7 @@ def _load(path: str, by: str, value: int) -> pa.Table:
 
 
 def _unit_scores(listed: DataFrame) -> DataFrame:
-    """listed (unit, n, c, blocks, part) -> (unit, lp, c, blocks): log10 probability of every unit."""
+    """listed (block, unit, n, c, part) -> (block, unit, lp, c): log10 probability of every unit."""
     spark = listed.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -346,8 +350,9 @@ def _unit_scores(listed: DataFrame) -> DataFrame:
     def score(batches):
         held, keys, lp = None, None, None
         for b in batches:
-            gram, of = grams(b.column("unit"))
-            part = b.column("part").to_numpy(zero_copy_only=False)
+            code = b.column("unit").dictionary_encode()
+            gram, of = grams(code.dictionary)
+            which, part = code.indices.to_numpy(), b.column("part").to_numpy(zero_copy_only=False)
             out = np.zeros(b.num_rows)
             for p in np.unique(part):
                 if p != held:
@@ -355,11 +360,14 @@ def _unit_scores(listed: DataFrame) -> DataFrame:
                     keys, lp, held = t["gram"].to_numpy(), t["lp"].to_numpy(), p
                     order = np.argsort(keys)
                     keys, lp = keys[order], lp[order]
-                mine = part[of] == p
-                out += np.bincount(of[mine], lp[np.searchsorted(keys, gram[mine])], b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("unit"), pa.array(out), b.column("c"), b.column("blocks")], ["unit", "lp", "c", "blocks"])
+                mine = np.zeros(len(code.dictionary), bool)
+                mine[which[part == p]] = True
+                each = np.flatnonzero(mine[of])
+                total = np.bincount(of[each], lp[np.searchsorted(keys, gram[each])], len(code.dictionary))
+                out[part == p] = total[which[part == p]]
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("unit"), pa.array(out), b.column("c")], ["block", "unit", "lp", "c"])
 
-    return listed.select("unit", "c", "blocks", "part").mapInArrow(score, "unit binary, lp double, c long, blocks array<long>")
+    return listed.select("block", "unit", "c", "part").mapInArrow(score, "block long, unit binary, lp double, c long")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -369,18 +377,16 @@ def score(docs: DataFrame) -> DataFrame:
     rows = located(docs)
     ends = rows.where(~in_bucket(F.col("doc_id"), *CLASSES)).count()
     counted = materialise(_count_units(rows), "unit-counts")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Dealt by token: units, their sums and their tokens' counts come from one shuffle.
-    listed = counted.repartition(parts, "tok").groupBy("tok", "unit").agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks"))
-    of_token = W.partitionBy("tok")
-    listed = listed.withColumn("c", F.sum("n").over(of_token)).withColumn("lead", F.row_number().over(of_token.orderBy("unit")) == 1)
-    listed = materialise(listed.withColumn("part", F.spark_partition_id().cast("long")), "units")
-    drop(counted)
-    n, v = listed.where("tok <> 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("lead") & (F.col("c") > 0), 1)), F.lit(0))).first()
+    tokens = materialise(counted.groupBy("tok").agg(F.sum("n").alias("c")), "tokens")
+    n, v = tokens.where("tok <> 0 and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = n + ends, v + (ends > 0)
+    # Rows of one token come together, those of a very frequent one in several parts.
+    listed = counted.join(tokens, "tok").select("block", "unit", "n", "c", F.spark_partition_id().cast("long").alias("part"))
+    listed = materialise(listed, "units")
+    drop(counted)
     small_batches(spark, 20_000, 6 << 20)
-    scored = _unit_scores(listed).select(F.explode("blocks").alias("block"), "unit", "lp", "c")
-    path = _answers(scored, "block", "unit-scores")
+    path = _answers(_unit_scores(listed), "block", "unit-scores")
+    drop(listed)
     small_batches(spark, 10_000, 6 << 20)
 
     def work(batches):
@@ -395,14 +401,15 @@ def score(docs: DataFrame) -> DataFrame:
                     t = _load(path, "block", held)
                     known, lp, c = t["unit"].combine_chunks().cast(pa.large_binary()), t["lp"].to_numpy(), t["c"].to_numpy()
                     base = np.log10((c + 1.0) / (n + v + 1.0))
-                found, counts = units(mine.column("text"))
-                size = np.diff(np.frombuffer(found.buffers()[1], np.int64))
-                at = pc.index_in(found, value_set=known).to_numpy()
-                word = size > 2
-                first = np.cumsum(counts) - counts
-                total = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
-                cols = [total(word.astype(np.int64)) + 1, total((word & (c[at] > 0)).astype(np.int64)) + int(ends > 0), total(np.where(word, base[at], 0.0)) + np.log10((ends + 1.0) / (n + v + 1.0)), total(lp[at])]
-                yield pa.RecordBatch.from_arrays([mine.column("doc_id"), *map(pa.array, cols)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                for some, until, texts in chunks(mine.column("text")):
+                    found, counts = units(texts)
+                    code = found.dictionary_encode()
+                    at = pc.index_in(code.dictionary, value_set=known).to_numpy()[code.indices.to_numpy()]
+                    word = np.diff(np.frombuffer(found.buffers()[1], np.int64)) > BEFORE + 1
+                    first = np.cumsum(counts) - counts
+                    total = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
+                    cols = [total(word.astype(np.int64)) + 1, total((word & (c[at] > 0)).astype(np.int64)) + int(ends > 0), total(np.where(word, base[at], 0.0)) + np.log10((ends + 1.0) / (n + v + 1.0)), total(lp[at])]
+                    yield pa.RecordBatch.from_arrays([mine.column("doc_id").slice(some, until - some), *map(pa.array, cols)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = rows.mapInArrow(work, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
