@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,13 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the setting is absent (a local session, as in tests) one temporary folder per process stands in.
+    Where the setting is absent in a local session, as in tests, one temporary folder per process stands in; a
+    cluster has no such folder, and so it is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if "tmp" not in _OWN:
             _OWN["tmp"] = tempfile.mkdtemp(prefix="seriesmill-")
             import shutil
@@ -55,10 +59,18 @@ def drop(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500, size: int = 16 << 20) -> None:
-    """Bound what one Arrow batch may hold, so that very long texts fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def free(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that are over: Spark deletes them once the driver's JVM collects their handles."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch may hold, so that very long texts fit a Python worker.
+
+    The bound is the same for every operator: a plan that runs late meets the limits that it was built with.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 6 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,15 +1,18 @@
 """Exact top-k inner products: norm-sorted candidates, SVD-rotated partial sums, Cauchy-Schwarz bounds.
 
-Vectors are turned into integers first (floor(scale * x), so scores are exact). Candidates are put into blocks by
-descending length. The d x d sum of outer products of all candidates gives the rotation that gathers most of the mass
-in the first coordinates; a score is then at most the partial sum over those plus the product of the lengths of what
-is left. Round one scores every query against the block of longest vectors, which gives each query the k-th best score
-that it surely reaches. Round two takes the other blocks: a block, a query or a pair whose bound lies below that score
-is not computed; survivors are scored exactly in integers.
+Vectors are turned into integers first (floor(scale * x), so scores are exact). Candidates are sorted by descending
+length and packed into blocks of BLOCK_ROWS in that order; a block knows its greatest length. The d x d sum of outer
+products of all candidates gives the rotation that gathers most of the mass in the first coordinates; a score is then
+at most the partial sum over those plus the product of the lengths of what is left. Queries are packed in the same way.
 
-Queries are packed in blocks too, and each (query block, candidate block) pair is one unit of work: block rows join by
-a block number that the query blocks are dealt out to. Nothing is sent to the driver but the number of blocks and one
-d x d matrix per dimension.
+Round one scores every query against the block of longest vectors, which gives each query the k-th best score that it
+surely reaches: its floor. A query block then needs the candidate blocks whose greatest length, times its own, reaches
+the floor of one of its queries; this is decided on a table of blocks without vectors, and only pairs that pass are
+shipped. They are dealt out in runs of up to RUN blocks of descending length, along which the floors rise: a block, a
+query or a pair whose bound lies below is not computed; survivors are scored exactly in integers.
+
+Blocks, pairs and floors live in tables. What reaches the driver is one d x d matrix per dimension and two counts, and
+no plan grows with the number of rows.
 
 Defined results: null vectors and vectors with a null or non-finite component take no part; only vectors of equal
 dimension are compared; rows equal in id and vector are one row; several rows of one id are rows of their own, and
@@ -31,7 +34,11 @@ from .common import materialise, small_batches
 K = 5
 SCALE = 256
 BLOCK_ROWS = 8192
-QUERY_ROWS = 1024
+QUERY_ROWS = 256
+#: Candidate blocks that one task takes one after another for a query block, about.
+RUN = 32
+#: Tasks that add up the matrices of all others.
+MERGERS = 16
 #: Share of the mass that the first coordinates of the rotation hold.
 MASS = 0.6
 LIMIT = 1 << 25
@@ -47,34 +54,39 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCA
     return out.select("id", "v", F.size("v").alias("dim"), norm.alias("norm2"))
 
 
-def _pack(rows: DataFrame, block: Column, name: str) -> DataFrame:
-    """Rows of one block as one row (dim, block, ids, norms, data): int64 and int32 buffers."""
-    rows = rows.withColumn(name, block)
+def _packed(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """Rows by descending length as blocks (block, dim, n, top, ids, data): int64 and int32 buffers, top the greatest length."""
 
     def pack(batches):
-        for t in _groups(batches, ["dim", name]):
-            flat = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i4")
-            yield pa.RecordBatch.from_arrays([t["dim"][:1].combine_chunks(), t[name][:1].combine_chunks(), pa.array([t["id"].to_numpy().astype("<i8").tobytes()]), pa.array([flat.tobytes()]), pa.array([t.num_rows], pa.int32())], ["dim", name, "ids", "data", "n"])
-
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("dim", name, "id", "v").repartition(n, "dim", name).sortWithinPartitions("dim", name, "id")
-    return rows.mapInArrow(pack, f"dim int, {name} int, ids binary, data binary, n int")
-
-
-def _groups(batches, by: list[str]):
-    """One table for each group of sorted batches; groups are blocks and so bounded."""
-    from .buckets import groups, starts
-
-    for t in groups(batches, by, 1):
-        at = [*starts(t, by), t.num_rows]
-        for s, e in zip(at[:-1], at[1:]):
-            yield t.slice(s, e - s).combine_chunks()
+        held, n = None, 0  # rows of one dimension that wait for their block to fill
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            dims = t["dim"].to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(dims)) + 1).tolist(), len(dims)]
+            held = None
+            for s, e in zip(edges[:-1], edges[1:]):
+                for k in range(s, e, most):
+                    if e == len(dims) and e - k < most:
+                        held = t.slice(k, e - k)
+                    else:
+                        yield one(t.slice(k, min(most, e - k)))
+        if held is not None and held.num_rows:
+            yield one(held)
+
+    def one(t):
+        flat = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i4")
+        return pa.RecordBatch.from_arrays([t["dim"][:1].combine_chunks(), pa.array([t.num_rows], pa.int32()), pa.array([float(np.sqrt(max(t["norm2"].to_pylist())))]), pa.array([t["id"].to_numpy().astype("<i8").tobytes()]), pa.array([flat.tobytes()])], ["dim", "n", "top", "ids", "data"])
+
+    ordered = rows.select("dim", "id", "v", "norm2").orderBy("dim", F.desc("norm2"), "id")
+    packed = ordered.mapInArrow(pack, "dim int, n int, top double, ids binary, data binary")
+    return materialise(packed.select(F.monotonically_increasing_id().alias("block"), "*"), name)
 
 
 def rotations(rows: DataFrame) -> dict[int, tuple[np.ndarray, int]]:
     """For each dimension: the rotation and how many of its coordinates hold MASS of all squared length.
 
-    Tasks add up d x d sums; what reaches the driver is one matrix per dimension and task.
+    Tasks add up d x d sums.
     """
 
     def add(batches):
@@ -89,7 +101,16 @@ def rotations(rows: DataFrame) -> dict[int, tuple[np.ndarray, int]]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([sums[k].tobytes() for k in keys], pa.binary())], ["dim", "g"])
 
     total: dict[int, np.ndarray] = {}
-    for r in rows.select("dim", "v").mapInArrow(add, "dim int, g binary").toLocalIterator():
+    def merge(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                sums[r["dim"]] = sums.get(r["dim"], 0) + np.frombuffer(r["g"]).reshape(r["dim"], r["dim"])
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["dim", "g"])
+
+    # Tasks' sums are merged by a few tasks first, so the driver sees MERGERS matrices a dimension at most.
+    sums = rows.select("dim", "v").mapInArrow(add, "dim int, g binary").withColumn("p", F.pmod(F.spark_partition_id(), F.lit(MERGERS)))
+    for r in sums.repartition(MERGERS, "p").select("dim", "g").mapInArrow(merge, "dim int, g binary").collect():
         total[r.dim] = total.get(r.dim, 0) + np.frombuffer(r.g).reshape(r.dim, r.dim)
     out = {}
     for d, g in total.items():
@@ -145,82 +166,64 @@ def best_in_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.nda
     return out
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """The k best candidates of every row that `queries` (a condition on column id) holds for."""
     spark = vectors.sparkSession
     rows = materialise(quantised(vectors, id_col, vector_col, scale), "vectors")
-    turns = rotations(rows)
-    counts = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-    # Blocks by descending length: the length's share of rows above it, from quantiles, so no global sort is needed.
-    cuts = {d: sorted(set(rows.where(F.col("dim") == d).approxQuantile("norm2", [i / -(-n // block_rows) for i in range(1, -(-n // block_rows))], 0.001))) if n > block_rows else [] for d, n in counts.items()}
-    block = F.lit(0)
-    for d, edges in cuts.items():
-        if edges:
-            above = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e >= F.col("norm2")))
-            # Many vectors of one length share a block number; such a block is cut by id.
-            block = F.when(F.col("dim") == d, above).otherwise(block)
-    rows = rows.withColumn("_b", block)
-    sizes = {(r["dim"], r["_b"]): r["n"] for r in rows.groupBy("dim", "_b").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-    place, total = F.lit(0), {}
-    for (d, b), n in sorted(sizes.items()):
-        parts, at = max(1, -(-n // (2 * block_rows))), total.get(d, 0)
-        total[d] = at + parts
-        place = F.when((F.col("dim") == d) & (F.col("_b") == b), F.pmod(F.xxhash64("id"), F.lit(parts)) + at).otherwise(place)
-    blocks = materialise(_pack(rows, place.cast("int"), "cb"), "blocks")
-    asked = rows.where(queries)
-    q_parts = max(1, -(-asked.count() // QUERY_ROWS))
-    asked = materialise(_pack(asked, F.pmod(F.xxhash64("id", F.lit(3)), F.lit(q_parts)).cast("int"), "qb"), "queries")
-    state = spark.sparkContext.broadcast(turns)  # d x d floats per dimension
+    sent = spark.sparkContext.broadcast(rotations(rows))  # d x d floats per dimension
+    small_batches(spark)
+    blocks = _packed(rows, block_rows, "blocks")
+    asked = _packed(rows.where(queries), query_rows, "queries").withColumnsRenamed({"block": "qb", "n": "q_n", "top": "q_top", "ids": "q_ids", "data": "q_data"})
+    meta = materialise(blocks.select("block", "dim", "top"), "block-table")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shape = "qb long, row int, query_id long, vec long, score long"
 
     def score(batches):
+        """Rows by (qb, run, descending top): floors rise from block to block of one (qb, run)."""
+        at, floor, best = None, None, None
         for b in batches:
             for r in b.to_pylist():
-                q = np.frombuffer(r["q_data"], "<i4").reshape(r["q_n"], r["dim"])
-                x = np.frombuffer(r["data"], "<i4").reshape(r["n"], r["dim"])
+                q, x = np.frombuffer(r["q_data"], "<i4").reshape(r["q_n"], r["dim"]), np.frombuffer(r["data"], "<i4").reshape(r["n"], r["dim"])
                 q_ids, x_ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                floor = np.frombuffer(r["floor"], "<f8") if r.get("floor") is not None else None
-                found = best_in_block(q, q_ids, x, x_ids, floor, k, state.value[r["dim"]])
-                cols = list(zip(*found)) if found else [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array([r["dim"]] * len(found), pa.int32()), pa.array([r["qb"]] * len(found), pa.int32()), *(pa.array(c, pa.int64()) for c in cols)], ["dim", "qb", "row", "vec", "score"])
-
-    shape = "dim int, qb int, row long, vec long, score long"
-    small_batches(spark, 64)
-    q = asked.select(F.col("dim").alias("q_dim"), "qb", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("n").alias("q_n"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def pairs(q: DataFrame, these: DataFrame) -> DataFrame:
-        """One row for each query block and candidate block of one dimension, dealt by both."""
-        return these.join(q, (F.col("dim") == F.col("q_dim")) & (F.col("cb") == F.col("to_cb"))).drop("q_dim", "to_cb").repartition(parts, "qb", "cb")
-
-    first = pairs(q.withColumn("to_cb", F.lit(0)), blocks.where("cb = 0")).mapInArrow(score, shape)
-    ranked = W.partitionBy("dim", "qb", "row").orderBy(F.desc("score"), "vec")
-    first = materialise(first, "first")
-    kth = first.groupBy("dim", "qb", "row").agg(F.sort_array(F.collect_list("score"), False).alias("s"))
-    kth = kth.groupBy(F.col("dim").alias("f_dim"), F.col("qb").alias("f_qb")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("row"), F.when(F.size("s") >= k, F.element_at("s", k))))).alias("m"))
-    every = F.transform(F.sequence(F.lit(0), F.col("q_n") - 1), lambda i: F.coalesce(F.element_at("m", i.cast("long")).cast("double"), F.lit(float("-inf"))))
-    later = q.join(kth, (F.col("q_dim") == F.col("f_dim")) & (F.col("qb") == F.col("f_qb")), "left").withColumn("floors", F.when(F.col("m").isNull(), F.transform(F.sequence(F.lit(0), F.col("q_n") - 1), lambda _: F.lit(float("-inf")))).otherwise(every)).drop("m", "f_dim", "f_qb")
-    most = F.lit(0)
-    for d, n in total.items():
-        most = F.when(F.col("q_dim") == d, F.lit(n - 1)).otherwise(most)
-    later = later.where(most >= 1).withColumn("to_cb", F.explode(F.sequence(F.lit(1), most)))
-
-    def floors(batches):
-        for b in batches:
-            f = b.column("floors")
-            at = b.schema.get_field_index("floors")
-            raw = pa.array([np.array(v, "<f8").tobytes() for v in f.to_pylist()], pa.binary())
-            yield b.set_column(at, "floor", raw)
-
-    later = later.mapInArrow(floors, "q_dim int, qb int, q_ids binary, q_data binary, q_n int, floor binary, to_cb int")
-    second = pairs(later, blocks.where("cb > 0")).mapInArrow(score, shape)
-    best = first.union(second).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-
-    def name(batches):
+                if at != (r["qb"], r["run"]):
+                    at, best = (r["qb"], r["run"]), [[] for _ in q_ids]
+                    floor = np.frombuffer(r["floors"], "<f8").copy() if r["floors"] is not None else None
+                found = best_in_block(q, q_ids, x, x_ids, floor, k, sent.value[r["dim"]])
+                for row, _, s in found if floor is not None else ():
+                    best[row] = sorted([*best[row], s], reverse=True)[:k]
+                    if len(best[row]) == k:
+                        floor[row] = max(floor[row], best[row][-1])
+                rows_, vec, s = zip(*found) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array([r["qb"]] * len(found), pa.int64()), pa.array(rows_, pa.int32()), pa.array(q_ids[list(rows_)], pa.int64()), pa.array(vec, pa.int64()), pa.array(s, pa.int64())], ["qb", "row", "query_id", "vec", "score"])
+
+    # Round one: the block of longest vectors of each dimension.
+    longest = meta.groupBy("dim").agg(F.min_by("block", F.struct(-F.col("top"), "block")).alias("block"))
+    heads = asked.join(longest, "dim").join(blocks.drop("dim"), "block").withColumns({"run": F.lit(0), "floors": F.lit(None).cast("binary")})
+    first = materialise(heads.repartition(parts, "qb").mapInArrow(score, shape), "first")
+
+    def needed(batches):
+        """Floors of all queries of a block, and the least length that a candidate of one of them must have."""
         for b in batches:
             for r in b.to_pylist():
-                ids = np.frombuffer(r["q_ids"], "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([r["q_dim"]] * len(ids), pa.int32()), pa.array([r["qb"]] * len(ids), pa.int32()), pa.array(np.arange(len(ids))), pa.array(ids)], ["n_dim", "n_qb", "n_row", "query_id"])
-
-    names = q.select("q_dim", "qb", "q_ids").mapInArrow(name, "n_dim int, n_qb int, n_row long, query_id long")
-    out = best.join(names, (F.col("dim") == F.col("n_dim")) & (F.col("qb") == F.col("n_qb")) & (F.col("row") == F.col("n_row")))
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec").alias("vec_id"), "score")
+                q = np.frombuffer(r["q_data"], "<i4").reshape(r["q_n"], r["dim"]).astype(float)
+                length, floor = np.sqrt((q**2).sum(1)), np.full(r["q_n"], -np.inf)
+                for row, s in dict(r["known"] or ()).items():
+                    floor[row] = s
+                least = np.divide(floor - 1, length, out=np.full(len(floor), -np.inf), where=length > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([r["qb"]], pa.int64()), pa.array([r["dim"]], pa.int32()), pa.array([floor.astype("<f8").tobytes()]), pa.array([float(least.min())])], ["qb", "dim", "floors", "least"])
+
+    kth = first.groupBy("qb", "row").agg(F.sort_array(F.collect_list("score"), False).alias("s")).where(F.size("s") >= k)
+    kth = kth.groupBy(F.col("qb").alias("f_qb")).agg(F.map_from_entries(F.collect_list(F.struct("row", F.element_at("s", k)))).alias("known"))
+    floors = asked.join(kth, F.col("qb") == F.col("f_qb"), "left").select("qb", "dim", "q_n", "q_data", "known")
+    floors = materialise(floors.mapInArrow(needed, "qb long, dim int, floors binary, least double"), "floors")
+
+    # Pairs of blocks by numbers alone. Candidate blocks are dealt into runs, so that no dimension is one hot key.
+    runs = max(1, -(-meta.count() // RUN))
+    rest = meta.join(longest.select(F.col("block").alias("_l")), F.col("block") == F.col("_l"), "left_anti").withColumn("run", F.pmod(F.xxhash64("block"), F.lit(runs)).cast("int"))
+    wanted = floors.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    pairs = rest.join(wanted, ["dim", "run"]).where(F.col("top") * (1 + 1e-9) >= F.col("least")).select("block", "top", "qb", "run", "floors")
+    work = pairs.join(blocks.select("block", "dim", "n", "ids", "data"), "block").join(asked.drop("dim", "q_top"), "qb")
+    work = work.repartition(parts, "qb", "run").sortWithinPartitions("qb", "run", F.desc("top"), "block")
+    ranked = W.partitionBy("qb", "row").orderBy(F.desc("score"), "vec")
+    best = first.unionByName(work.mapInArrow(score, shape)).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec").alias("vec_id"), "score")

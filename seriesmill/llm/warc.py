@@ -176,7 +176,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, archive
     A task writes archives of up to about archive_bytes. Archives get their final name when complete and the manifest
     names those of successful tasks only, so repeated attempts add nothing.
     """
-    small_batches(pages.sparkSession, 200)
+    small_batches(pages.sparkSession)
 
     def work(batches):
         out, n, done = None, 0, []

@@ -122,6 +122,26 @@ def test_top_k_against_brute_force(spark, block):
     assert run_top(spark, rows, block_rows=block) == plain_top([(i, v) for i, v, _ in rows])
 
 
+def test_top_k_over_many_blocks(spark):
+    """200 candidate blocks and more; the plan is the same as for few."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 1, 6) * (1 + 4 * rng.random())], 0) for i in range(1700)]
+    assert run_top(spark, rows, block_rows=8, query_rows=4) == plain_top([(i, v) for i, v, _ in rows])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    sizes = {len(re.findall(r"\n", topk.top_k(df.where(f"vec_id < {n}"), F.col("id") % 50 == 0, block_rows=8)._jdf.queryExecution().executedPlan().toString())) for n in (400, 1700)}
+    assert len(sizes) == 1
+
+
+def test_top_k_ignores_other_columns(spark):
+    rows = [(i, [float(i % 7), 1.0], 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    clashing = df.select("*", *[F.lit("x").alias(c) for c in ("id", "v", "dim", "norm2", "block", "qb", "top", "run", "floors")])
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(clashing, F.col("id") % 50 == 0).collect())
+    assert got == plain_top([(i, v) for i, v, _ in rows])
+    wide = [(i, [float(np.float32(x)) for x in np.random.default_rng(i).normal(0, 1, 3000)], 0) for i in range(4)]
+    assert run_top(spark, wide) == plain_top([(i, v) for i, v, _ in wide])
+
+
 def test_top_k_edges(spark):
     assert run_top(spark, []) == []
     assert run_top(spark, [(0, [1.0], 0)]) == []
