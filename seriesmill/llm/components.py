@@ -19,7 +19,8 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """links (a, b) -> (node, component): every node of a link with the smallest node that it reaches.
 
-    Nulls and self-links are left out; repeated and reversed links count once; no links give an empty table.
+    Nulls and self-links are left out; repeated and reversed links count once; no links give an empty table. Rounds grow
+    with the logarithm of the longest path; it is an error if max_rounds don't do.
     """
     edges = links.where("a is not null and b is not null and a <> b")
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -36,5 +37,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         was, state = state, _state(edges)
         if was == state:
             break
+    else:
+        if state[0]:
+            raise RuntimeError(f"components haven't settled after {max_rounds} rounds")
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

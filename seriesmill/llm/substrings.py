@@ -37,11 +37,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_links, groups, starts
-from .common import drop, materialise, small_batches, text_keys
+from .common import drop, free, materialise, small_batches, text_keys
 from .components import connected_components
 from .flat import Words, chunks
 
@@ -176,16 +176,20 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def lines(texts: DataFrame) -> DataFrame:
-    """parsed() -> (t1, t2, para, start, end, size, line, bands): one row a line with words."""
-    rows = texts.select(*TEXT, "bands", F.posexplode(F.arrays_zip("start", "end", "size", "line")).alias("para", "x")).select(*TEXT, "para", "x.*", "bands")
-    return rows.withColumn("bands", F.slice("bands", F.col("para") * BANDS + 1, BANDS)).dropDuplicates([*TEXT, "para"])
+    """parsed() -> (t1, t2, para, start, end, size, line): one row a line with words, again for texts parsed again."""
+    rows = texts.select(*TEXT, F.posexplode(F.arrays_zip("start", "end", "size", "line")).alias("para", "x"))
+    return rows.select(*TEXT, "para", "x.*")
 
 
-def _different(t1: str = "t1", t2: str = "t2") -> list[Column]:
-    return [F.min(t1).alias("_a"), F.max(t1).alias("_b"), F.min(t2).alias("_c"), F.max(t2).alias("_d")]
+def line_bands(texts: DataFrame) -> DataFrame:
+    """parsed() -> (id, bands): different lines and their band keys."""
+    rows = texts.select("bands", F.posexplode("line").alias("para", "id"))
+    return rows.select("id", F.slice("bands", F.col("para") * BANDS + 1, BANDS).alias("bands")).groupBy("id").agg(F.any_value("bands").alias("bands"))
 
 
-_SHARED = "_a < _b or _c < _d"
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that stand in two different texts. Of texts with one key 64 bits tell any two apart."""
+    return rows.groupBy(key).agg(F.min("t1").alias("_a"), F.max("t1").alias("_b")).where("_a < _b").select(key)
 
 
 # --- exact stretches ---------------------------------------------------------------------------------------
@@ -194,8 +198,7 @@ _SHARED = "_a < _b or _c < _d"
 def candidates(texts: DataFrame, leads: DataFrame) -> DataFrame:
     """Texts with a kept window that another text has: (ord, t1, t2, none, lead, n_docs, at); ord grows in document order."""
     seeds = texts.select(*TEXT, F.explode(F.arrays_zip("seed", "at")).alias("x")).select(*TEXT, "x.seed", "x.at")
-    shared = seeds.groupBy("seed").agg(*_different()).where(_SHARED).select("seed")
-    found = seeds.join(shared, "seed", "left_semi").groupBy(*TEXT).agg(F.sort_array(F.collect_set("at")).alias("at"))
+    found = seeds.join(_shared(seeds, "seed"), "seed", "left_semi").groupBy(*TEXT).agg(F.sort_array(F.collect_set("at")).alias("at"))
     found = found.join(leads, TEXT).orderBy("none", "lead", *TEXT)
     return materialise(found.select(F.monotonically_increasing_id().alias("ord"), *TEXT, "none", "lead", "n_docs", "at"), "candidates")
 
@@ -282,6 +285,7 @@ def stretches(docs: DataFrame, found: DataFrame) -> DataFrame:
     hits = hits.repartition(parts, "ord").sortWithinPartitions("ord", "pos")
     out = materialise(hits.mapInArrow(_stretches, 'kind int, ord long, from int, start int, end int, n_words int, removed boolean, other long, there int'), "stretches")
     drop(rows)
+    free(docs.sparkSession)
     return out
 
 
@@ -320,9 +324,10 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return both >= SIMILARITY * (n + m - both)
 
 
-def line_links(rows: DataFrame, docs: DataFrame, limit: int = 500) -> DataFrame:
-    """lines() -> links (a, b) between keys of different lines that are similar."""
-    once = materialise(rows.groupBy(F.col("line").alias("id")).agg(F.any_value("bands").alias("bands")), "line-bands")
+def line_links(texts: DataFrame, docs: DataFrame, limit: int = 500) -> DataFrame:
+    """parsed() -> links (a, b) between keys of different lines that are similar."""
+    once = materialise(line_bands(texts), "line-bands")
+    free(docs.sparkSession)
     spread = once.select("id", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     met = materialise(spread.join(shared, "key", "left_semi"), "collisions")
@@ -366,14 +371,15 @@ def _passages(batches):
 
 def paragraphs(texts: DataFrame, docs: DataFrame, leads: DataFrame) -> DataFrame:
     """Lines of repeated passages: (t1, t2, none, lead, para, start, end, n_words, class, removed)."""
-    rows = materialise(lines(texts), "lines")
-    parts = connected_components(line_links(rows, docs))
-    rows_of = rows.select(*TEXT, "para", "start", "end", "size", "line").join(parts, rows["line"] == parts["node"], "left").select(*TEXT, "para", "start", "end", "size", F.coalesce("component", "line").alias("class"))
-    classed = materialise(rows_of, "line-classes")
-    drop(rows)
-    shared = classed.groupBy("class").agg(*_different()).where(_SHARED).select("class")
-    known = materialise(classed.join(shared, "class", "left_semi"), "shared-lines")
+    parts = connected_components(line_links(texts, docs))
+    free(docs.sparkSession)
+    rows = lines(texts)
+    classed = rows.join(parts, rows["line"] == parts["node"], "left").select(*TEXT, "para", "start", "end", "size", F.coalesce("component", "line").alias("class"))
+    classed = materialise(classed, "line-classes")
+    known = classed.join(_shared(classed, "class"), "class", "left_semi").dropDuplicates([*TEXT, "para"])
+    known = materialise(known, "shared-lines")
     drop(classed)
+    free(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = known.select(*TEXT, "para", "size", "class").repartition(n, *TEXT).sortWithinPartitions(*TEXT, "para")
     runs = materialise(runs.mapInArrow(_passages, "t1 long, t2 long, para int, until int, passage long").join(leads, TEXT), "passages")
@@ -398,9 +404,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     leads = ids.groupBy(*TEXT).agg(F.min(where).alias("x"), F.count(F.lit(1)).alias("n_docs"))
     leads = materialise(leads.select(*TEXT, "x.none", "x.lead", "n_docs"), "leads")
     texts = materialise(parsed(docs), "parsed")
-    like = paragraphs(texts, docs, leads)
     found = candidates(texts, leads)
+    free(docs.sparkSession)
     told = stretches(docs, found)
+    like = paragraphs(texts, docs, leads)
     node = F.xxhash64("ord", "from")
     named = found.select("ord", *TEXT, "none", "lead")
     whole = told.where("kind = 1").select(F.col("ord").alias("_o"), "from", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("n_words").alias("until"), F.xxhash64("ord", "from").alias("node"))

@@ -120,6 +120,8 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**dict.fromkeys((1, 2, 3), 1), **dict.fromkeys((4, 5), 4), **dict.fromkeys(range(100, 141), 100), **dict.fromkeys(range(200, 251), 200)}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError):
+        components.connected_components(spark.createDataFrame(pairs, "a long, b long"), max_rounds=1)
 
 
 def test_forest_keeps_components():
@@ -404,7 +406,7 @@ def test_large_bucket_of_near_lines(spark):
     w = prose(60, 12).split()
     rows = [(i, " ".join([*w[: i % 60], f"e{i}", *w[i % 60 + 1 :]])) for i in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    links = substrings.line_links(substrings.lines(substrings.parsed(df)), df, limit=20)
+    links = substrings.line_links(substrings.parsed(df), df, limit=20)
     comp = components.connected_components(links)
     texts = [t for _, t in rows]
     want = plain_components([(i, t) for i, t in enumerate(texts)], lambda a, b: jaccard(a, b) >= 0.8)
