@@ -61,7 +61,15 @@ def runs(word: bytes) -> set[bytes]:
     return out
 
 
-def _shares(texts: list[set[bytes]]) -> Counter:
+def _word_sets(texts: list[str]) -> list[tuple[bytes, ...]]:
+    """The different words of each text; equal sets, like those of copies, once. Equal words are one object."""
+    one: dict[bytes, bytes] = {}
+    sets = (tuple(sorted({w.strip(_STRIP) for w in words(t)})) for t in texts)
+    return list(dict.fromkeys(tuple(one.setdefault(w, w) for w in s) for s in sets))
+
+
+def _shares(texts: list[tuple[bytes, ...]]) -> Counter:
+    """How many texts hold each run of bytes."""
     out: Counter = Counter()
     for t in texts:
         seen: set[bytes] = set()
@@ -159,8 +167,7 @@ def fit(toxic: list[str], ordinary: list[str], share: float | None = None) -> Mo
     a_t, b_t = part(toxic, True), part(toxic, False) or toxic
     a_n, b_n = part(ordinary, True), part(ordinary, False) or ordinary
     # Equal sets of words are copies of one text: they say no more than one of them.
-    sets_t = list({frozenset(w.strip(_STRIP) for w in words(t)) for t in a_t})
-    sets_n = list({frozenset(w.strip(_STRIP) for w in words(t)) for t in a_n})
+    sets_t, sets_n = _word_sets(a_t), _word_sets(a_n)
     n_t, n_n = _shares(sets_t), _shares(sets_n)
 
     def telling(n: int, m: int) -> bool:
@@ -203,31 +210,24 @@ def sample(docs: DataFrame, labels: DataFrame, toxic: int, most: int = SAMPLE) -
     """Texts of up to `most` labelled rows outside the held-out class: the least by a hash of doc_id.
 
     In that order texts are taken while SAMPLE_BYTES // 2 characters hold them; one that doesn't fit is passed over, and
-    only if none fits the first one gives its beginning.
+    only if none fits the first one gives its beginning. Rows that repeat doc_id and text count once.
     """
     marked = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = marked.where((F.col("toxic") == toxic) & ~in_bucket(F.col("doc_id"), *CLASSES)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").where("text is not null")  # ids: at most `most`
-    room, size, skipped, first, taken = SAMPLE_BYTES // 2, 0, 0, None, Counter()
     rows = rows.withColumn("key", F.xxhash64("text"))
-    for r in rows.select("doc_id", "key", F.length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "key").toLocalIterator():
-        at = (r["doc_id"], r["key"])
-        first = first or at
+    # What is collected is bounded: `most` lengths, then texts of `room` characters together.
+    room, size, taken, listed = SAMPLE_BYTES // 2, 0, [], []
+    for r in rows.select("doc_id", "key", F.length("text").alias("n")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(most).collect():
+        listed.append((r["doc_id"], r["key"]))
         if size + r["n"] <= room:
-            taken[at] += 1
+            taken.append(listed[-1])
             size += r["n"]
-        else:
-            skipped += 1
-    if skipped:
-        taken = taken or Counter([first])
-        wanted = docs.sparkSession.createDataFrame(list(taken), rows.select("doc_id", "key").schema)
-        rows = rows.join(F.broadcast(wanted), ["doc_id", "key"], "left_semi")  # of `room` characters together
-    held = []
-    for r in rows.select("doc_id", "key", F.substring("text", 1, room).alias("text")).toLocalIterator():
-        at = (r["doc_id"], r["key"])
-        if taken[at]:
-            taken[at] -= 1
-            held.append((r["doc_id"], r["text"]))
+    if not listed:
+        return []
+    wanted = docs.sparkSession.createDataFrame(taken or listed[:1], rows.select("doc_id", "key").schema)
+    rows = rows.join(F.broadcast(wanted), ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.any_value(F.substring("text", 1, room)).alias("text"))
+    held = [(r["doc_id"], r["text"]) for r in rows.collect()]
     held.sort(key=lambda r: (str(r[0])[::-1], r[1]))  # one order in every run, apart from that of the table
     return [t for _, t in held]
 
