@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import materialise, text_keys, word_count
 
 #: Rows that one (source, bucket) window holds, about.
 BUCKET_ROWS = 50_000
@@ -85,8 +85,39 @@ def mix(docs: DataFrame, weight: str | None = None, size: str | None = None, tot
     return rows.select(*own, "size", "source_size", "target", "epochs", "taken")
 
 
+def _times() -> Column:
+    """How often a row is taken: whole epochs, and once more when at least half of it is in the fractional one."""
+    part = F.col("taken") - F.col("epochs") * F.col("size")
+    return (F.col("epochs") + F.when((part > 0) & (2 * part >= F.col("size")), 1).otherwise(0)).cast("int")
+
+
+def _exploded(rows: DataFrame, times: Column, columns: list[str]) -> DataFrame:
+    return rows.withColumn("__sm_times", times.cast("int")).where("__sm_times > 0").withColumn("__sm_n", F.explode(F.sequence(F.lit(1), F.col("__sm_times")))).select(*columns)
+
+
+def narrow(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, t1, t2, words) of docs: all that a mix has to move."""
+    return docs.select("doc_id", "source", *text_keys(F.col("text")), word_count(F.col("text")).alias("words"))
+
+
+def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """docs as often as a mix of narrow(docs) takes them; texts are moved once.
+
+    Rows equal in doc_id, source and text share what the mix takes of them evenly; one of them gets the rest.
+    """
+    names = {"doc_id": "__sm_d", "source": "__sm_s", "t1": "__sm_1", "t2": "__sm_2"}
+    of = mixed.groupBy(*names).agg(F.sum(_times()).alias("__sm_sum"), F.count(F.lit(1)).alias("__sm_rows"))
+    of = materialise(of.where("__sm_sum > 0").withColumnsRenamed(names), "mix-times")
+    t1, t2 = text_keys(F.col("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__sm_d")) & F.col("source").eqNullSafe(F.col("__sm_s")) & (t1 == F.col("__sm_1")) & (t2 == F.col("__sm_2"))
+    out = _exploded(docs.join(of, same), F.floor(F.col("__sm_sum") / F.col("__sm_rows")), docs.columns)
+    uneven = of.where("__sm_sum % __sm_rows > 0")
+    if uneven.isEmpty():
+        return out
+    one = docs.join(uneven, same).groupBy(*names.values(), "__sm_sum", "__sm_rows").agg(F.any_value(F.struct(*docs.columns)).alias("__sm_row"))
+    return out.unionByName(_exploded(one, F.col("__sm_sum") % F.col("__sm_rows"), ["__sm_row.*"]))
+
+
 def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix as rows: each document as often as it is taken, the cut one when at least half of it is."""
-    part = F.col("taken") - F.col("epochs") * F.col("size")
-    times = F.col("epochs") + F.when((part > 0) & (2 * part >= F.col("size")), 1).otherwise(0)
-    return mixed.withColumn("__sm_times", times.cast("int")).where("__sm_times > 0").withColumn("__sm_n", F.explode(F.sequence(F.lit(1), F.col("__sm_times")))).select(*columns)
+    return _exploded(mixed, _times(), columns)
