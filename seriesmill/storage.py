@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,9 +14,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; one temporary folder per process where it is unset (local sessions)."""
+    """spark.checkpoint.dir of the session; unset, a temporary folder in local sessions, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if "tmp" not in _OWN:
             _OWN["tmp"] = tempfile.mkdtemp(prefix="seriesmill-core-")
             atexit.register(shutil.rmtree, _OWN["tmp"], True)
