@@ -190,6 +190,21 @@ def test_matches_against_brute_force(spark, docs, awkward):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {d for d, *_ in awkward} - {d for d, _ in want}
 
 
+def test_windows_meet_few_items(spark):
+    """Of all pairs of windows and items almost only those that match are compared, though items share shingles."""
+    sf = sample_data().replace("sf0.001", "sf0.01")
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    _, mates, _ = decontaminate.candidates(docs, items)
+    windows = mates.select("key", "start", "length").distinct().count()
+    assert 0 < windows <= mates.count() < max(1.05 * windows, 0.01 * windows * items.count())
+    head = prose(20, 5)  # twenty words that all items share
+    like = spark.createDataFrame([(i, f"{head} {prose(30, 100 + i)}") for i in range(50)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{prose(20, 900 + i)} {head} {prose(30, 100 + i)}") for i in range(50)], "doc_id long, text string")
+    _, mates, _ = decontaminate.candidates(docs, like)
+    assert mates.count() == 50
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, like).collect()} == {(i, i) for i in range(50)}
+
+
 def test_clean_rows_that_share_an_id_with_a_match_stay(spark):
     item = prose(40, 77)
     rows = [(i, t) for i in (None, 5) for t in (f"{prose(9, 1)} {item}", prose(50, 3), prose(50, 4), None)]
