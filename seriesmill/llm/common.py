@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import tempfile
@@ -60,7 +61,8 @@ def drop(df: DataFrame | None) -> None:
 
 
 def free(spark: SparkSession) -> None:
-    """Let go of the shuffle files of jobs that are over: Spark deletes them once the driver's JVM collects their handles."""
+    """Let go of the shuffle files of jobs that are over: Spark deletes them once the driver has collected their handles."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
