@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import div, first_true, log_return, quantile
+from ..functions.scalar import first_true, log_return
 from ..series import Series
-from .rolling import WINDOWS
+from .rolling import WINDOWS, Windows, arrow_pass, by_block, ratio
 
 FLAGS = (
     "high_volatility_regime", "low_volatility_regime", "trend_expansion", "mean_reversion_zone", "outlier_positive", "outlier_negative",
@@ -23,20 +24,39 @@ def label(z: Column, vol: Column, drawdown: Column, low: Column, high: Column) -
     )
 
 
+def classify_columns(df: DataFrame, s: Series, columns: list[str], windows: tuple = WINDOWS) -> DataFrame:
+    """df with {column}__{zscore, volatility, drawdown, regime}_{n}; quartiles are those of the volatility in the window.
+
+    One Arrow pass makes the numbers of all columns and windows.
+    """
+    rows = df.withColumns({f"_x_{c}": F.col(c) for c in columns} | {f"_lr_{c}": log_return(F.col(c), s.lag(c)) for c in columns})
+    numbers, quartiles = ("zscore", "volatility", "drawdown"), ("q1", "q3")
+
+    def statistics(v: dict, n: int) -> dict:
+        x = Windows(v["x"], n)
+        now = x.w[:, -1]
+        return {"zscore": ratio(now - x.mean, np.sqrt(x.var)), "volatility": np.sqrt(Windows(v["lr"], n).var), "drawdown": ratio(now, x.high) - 1}
+
+    def work(p: dict) -> dict:
+        out = {}
+        for c in columns:
+            for n in windows:
+                found = by_block({"x": p[f"_x_{c}"], "lr": p[f"_lr_{c}"]}, n, numbers, lambda v, n=n: statistics(v, n))
+                spread = by_block({"v": found["volatility"]}, n, quartiles, lambda v, n=n: (lambda w: {"q1": w.quantile(0.25), "q3": w.quantile(0.75)})(Windows(v["v"], n)))
+                out |= {f"{c}__{k}_{n}": found[k] for k in numbers} | {f"_{k}_{c}_{n}": spread[k] for k in quartiles}
+        return out
+
+    of = [(c, n) for c in columns for n in windows]
+    hidden = [f"_{k}_{c}_{n}" for c, n in of for k in quartiles]
+    names = [f"{c}__{k}_{n}" for c, n in of for k in numbers]
+    rows = arrow_pass(rows, s, [f"_{k}_{c}" for c in columns for k in ("x", "lr")], [*names, *hidden], work)
+    labels = {f"{c}__regime_{n}": label(*[F.col(f"{c}__{k}_{n}") for k in numbers], F.col(f"_q1_{c}_{n}"), F.col(f"_q3_{c}_{n}")) for c, n in of}
+    return rows.withColumns(labels).drop(*hidden, *(f"_{k}_{c}" for c in columns for k in ("x", "lr")))
+
+
 def classify_series(df: DataFrame, s: Series, column: str, windows: tuple = WINDOWS) -> DataFrame:
-    """df with {column}__{zscore, volatility, drawdown, regime}_{n}; quartiles are those of the volatility in the window."""
-    x = F.col(column)
-    rows = df.withColumn("_lr", log_return(x, s.lag(column)))
-    made = {}
-    for n in windows:
-        w = s.last(n)
-        full = F.count(x).over(w) >= n
-        made |= {f"{column}__zscore_{n}": F.when(full, div(x - F.avg(x).over(w), F.stddev_samp(x).over(w))), f"{column}__volatility_{n}": s.std("_lr", n), f"{column}__drawdown_{n}": F.when(full, div(x, F.max(x).over(w)) - 1)}
-    rows = rows.withColumns(made)
-    rows = rows.withColumns({f"_vs_{n}": F.sort_array(s.values(f"{column}__volatility_{n}", n)) for n in windows})
-    names = {n: [F.col(f"{column}__{k}_{n}") for k in ("zscore", "volatility", "drawdown")] for n in windows}
-    rows = rows.withColumns({f"{column}__regime_{n}": label(*names[n], quantile(F.col(f"_vs_{n}"), n, 0.25), quantile(F.col(f"_vs_{n}"), n, 0.75)) for n in windows})
-    return rows.drop("_lr", *(f"_vs_{n}" for n in windows))
+    """classify_columns() of one column."""
+    return classify_columns(df, s, [column], windows)
 
 
 def classify_statistical_regime(df: DataFrame, s: Series, column: str, window: int = 20) -> DataFrame:
@@ -46,10 +66,8 @@ def classify_statistical_regime(df: DataFrame, s: Series, column: str, window: i
 
 def last_regimes(df: DataFrame, s: Series, columns: list[str], windows: tuple = WINDOWS) -> DataFrame:
     """One row a series with the last values and labels of every column and window."""
-    made = []
-    for c in columns:
-        df = classify_series(df, s, c, windows)
-        made += [f"{c}__{k}_{n}" for n in windows for k in ("zscore", "volatility", "drawdown", "regime")]
+    df = classify_columns(df, s, columns, windows)
+    made = [f"{c}__{k}_{n}" for c in columns for n in windows for k in ("zscore", "volatility", "drawdown", "regime")]
     at = F.struct(*s.order)
     return df.groupBy(*s.keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in made])
 

@@ -6,6 +6,11 @@ named {column}__{metric}_{n}. All frames of a Series share one exchange and one
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,46 +38,151 @@ def pair_stats(s: Series, x: Column, y: Column, n: int, min_periods: int | None
     return F.when(enough, div(cov, F.stddev_samp(a).over(w) * F.stddev_samp(b).over(w))), F.when(enough, cov)
 
 
+#: Metrics that frames of built-in aggregates give at little cost; all others come from one Arrow pass over the series.
+FRAMED = ("rolling_mean", "rolling_std", "rolling_var", "rolling_zscore", "rolling_min", "rolling_max", "rolling_range", "rolling_drawdown")
+#: Values of all windows that the Arrow pass holds at a time.
+_HELD = 4_000_000
+
+
+def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.full(np.broadcast(a, b).shape, np.nan), where=b != 0)
+
+
+class Windows:
+    """All windows of n values of one column, as rows: missing values make a window's results missing."""
+
+    def __init__(self, v: np.ndarray, n: int):
+        self.n, self.w = n, np.lib.stride_tricks.sliding_window_view(v, n)
+        self.low, self.high = self.w.min(1), self.w.max(1)
+        self.flat, self.mean = self.low == self.high, self.w.mean(1)
+
+    @functools.cached_property
+    def centred(self) -> np.ndarray:
+        return np.where(self.flat[:, None], 0.0, self.w - self.mean[:, None])
+
+    @functools.cached_property
+    def var(self) -> np.ndarray:
+        return (self.centred**2).sum(1) / max(self.n - 1, 1) if self.n > 1 else np.full(len(self.mean), np.nan)
+
+    @functools.cached_property
+    def ordered(self) -> np.ndarray:
+        return np.sort(self.w, axis=1)
+
+    def moment(self, k: int) -> np.ndarray:
+        return ratio((self.centred**k).mean(1), ((self.centred**2).mean(1)) ** (k / 2))
+
+    def skewness(self) -> np.ndarray:
+        n = self.n
+        return np.where(self.flat, 0.0, np.sqrt(n * (n - 1)) / (n - 2) * self.moment(3)) if n > 2 else np.full(len(self.mean), np.nan)
+
+    def kurtosis(self) -> np.ndarray:
+        n = self.n
+        return np.where(self.flat, -3.0, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (self.moment(4) - 3) + 6)) if n > 3 else np.full(len(self.mean), np.nan)
+
+    def quantile(self, q: float) -> np.ndarray:
+        at = q * (self.n - 1)
+        low = int(at)
+        a, b = self.ordered[:, low], self.ordered[:, min(low + 1, self.n - 1)]
+        return np.where(np.isnan(self.mean), np.nan, a + (b - a) * (at - low))
+
+    def entropy(self, bins: int) -> np.ndarray:
+        """Of a histogram of `bins` equal bins between the least and the greatest value."""
+        span = np.where(self.flat | np.isnan(self.mean), 1.0, self.high - self.low)
+        at = np.minimum(np.floor(np.nan_to_num((self.w - self.low[:, None]) / span[:, None] * bins)), bins - 1).astype(np.int64)
+        rows = len(at)
+        p = np.bincount((at + np.arange(rows)[:, None] * bins).ravel(), minlength=rows * bins).reshape(rows, bins) / self.n
+        return np.where(np.isnan(self.mean), np.nan, np.where(self.flat, 0.0, -(p * np.log(np.where(p > 0, p, 1.0))).sum(1)))
+
+    def covariance(self, other: Windows) -> np.ndarray:
+        return (self.centred * other.centred).sum(1) / (self.n - 1) if self.n > 1 else np.full(len(self.mean), np.nan)
+
+    def correlation(self, other: Windows) -> np.ndarray:
+        return ratio(self.covariance(other), np.sqrt(self.var) * np.sqrt(other.var))
+
+
+def _window_metrics(v: dict[str, np.ndarray], n: int, bins: int, metrics: tuple) -> dict[str, np.ndarray]:
+    """Metrics of every whole window of n rows, from the last row of the first on."""
+    x = Windows(v["x"], n)
+    both = {k: np.where(np.isnan(v["ret"]) | np.isnan(v["ref"]), np.nan, v[k]) for k in ("ret", "ref")} if {"rolling_corr", "rolling_cov", "rolling_beta"} & {*metrics} else {}
+    a, b = (Windows(both[k], n) for k in ("ret", "ref")) if both else (None, None)
+    now = x.w[:, -1]
+    lagged = lambda: (Windows(np.where(np.isnan(v["x1"]), np.nan, v["x"]), n), Windows(np.where(np.isnan(v["x"]), np.nan, v["x1"]), n))
+    volatility = functools.cache(lambda: np.sqrt(Windows(v["lr"], n).var))
+    every = {
+        "rolling_mean": lambda: x.mean, "rolling_std": lambda: np.sqrt(x.var), "rolling_var": lambda: x.var, "rolling_skewness": x.skewness, "rolling_kurtosis": x.kurtosis,
+        "rolling_zscore": lambda: ratio(now - x.mean, np.sqrt(x.var)), "rolling_min": lambda: x.low, "rolling_max": lambda: x.high, "rolling_range": lambda: x.high - x.low,
+        "rolling_quantile_25": lambda: x.quantile(0.25), "rolling_quantile_75": lambda: x.quantile(0.75), "rolling_iqr": lambda: x.quantile(0.75) - x.quantile(0.25),
+        "rolling_autocorr": lambda: (lambda p: p[0].correlation(p[1]))(lagged()), "rolling_entropy": lambda: x.entropy(bins), "rolling_drawdown": lambda: ratio(now, x.high) - 1,
+        "rolling_volatility": volatility, "realized_volatility": lambda: volatility() * np.sqrt(n),
+        "rolling_corr": lambda: a.correlation(b), "rolling_cov": lambda: a.covariance(b), "rolling_beta": lambda: ratio(a.covariance(b), Windows(v["ref"], n).var),
+    }
+    return {m: every[m]() for m in metrics}
+
+
+def by_block(v: dict[str, np.ndarray], n: int, names: tuple, work: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """What work() makes of all windows of n rows, a block of windows at a time; rows before the first have nothing."""
+    size = len(next(iter(v.values())))
+    out = {m: np.full(size, np.nan) for m in names}
+    step = max(1, _HELD // n)
+    for last in range(n - 1, size, step):
+        stop = min(size, last + step)
+        for m, found in work({k: c[last - n + 1 : stop] for k, c in v.items()}).items():
+            out[m][last:stop] = found
+    return out
+
+
+def arrow_pass(df: DataFrame, s: Series, inputs: list[str], made: list[str], work: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]) -> DataFrame:
+    """df with the double columns that work() makes of each series' rows in order; other columns pass through as they are."""
+    schema = df.select(*df.columns, *[F.lit(None).cast("double").alias(c) for c in made]).schema
+    order = [(c, "ascending") for c in s.order]
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        with np.errstate(all="ignore"):
+            found = work({c: t[c].cast(pa.float64()).to_numpy() for c in inputs})
+        for c in made:
+            t = t.append_column(c, pa.array(found[c], pa.float64(), mask=~np.isfinite(found[c])))
+        return t
+
+    return df.groupBy(*s.keys).applyInArrow(run, schema)
+
+
 def rolling_metrics(df: DataFrame, s: Series, column: str, windows: tuple = WINDOWS, reference: str | None = None, bins: int = BINS, metrics: tuple = METRICS) -> DataFrame:
-    """df with the metrics of one column for every window; reference (the column itself) is for corr, cov and beta."""
+    """df with the metrics of one column for every window; reference (the column itself) is for corr, cov and beta.
+
+    Frames of built-in aggregates where these are all that is asked for: Spark computes a frame's aggregate anew for every
+    row. Moments, quantiles, entropies and pairs come from one Arrow pass, a block of windows at a time.
+    """
     reference = reference or column
     x = F.col(column)
-    rows = df.withColumns({"_x1": s.lag(column), "_r1": s.lag(reference)})
+    if {*metrics} <= {*FRAMED}:
+        made: dict[str, Column] = {}
+        need = {"mean": F.avg(x), "std": F.stddev_samp(x), "var": F.var_samp(x), "min": F.min(x), "max": F.max(x)}
+        of = {"zscore": ("mean", "std"), "range": ("min", "max"), "drawdown": ("max",)}
+        used = {k for m in metrics for k in of.get(m.removeprefix("rolling_"), (m.removeprefix("rolling_"),))}
+        for n in windows:
+            w = s.last(n)
+            made |= {f"_n_{n}": F.count(x).over(w)} | {f"_{k}_{n}": need[k].over(w) for k in used}
+        rows = df.withColumns(made)
+        out = {}
+        for n in windows:
+            c = lambda k: F.col(f"_{k}_{n}")  # noqa: B023, E731
+            every = {"zscore": lambda: div(x - c("mean"), c("std")), "range": lambda: c("max") - c("min"), "drawdown": lambda: div(x, c("max")) - 1}
+            out |= {f"{column}__{m}_{n}": F.when(c("n") >= n, every.get(k, lambda: c(k))()) for m in metrics for k in [m.removeprefix("rolling_")]}  # noqa: B023
+        return rows.withColumns(out).drop(*made)
+    rows = df.withColumns({"_x": x, "_x1": s.lag(column), "_r1": s.lag(reference)})
     rows = rows.withColumns({"_lr": log_return(x, F.col("_x1")), "_ret": simple_return(x, F.col("_x1")), "_ref": simple_return(F.col(reference), F.col("_r1"))})
-    made: dict[str, Column] = {}
-    for n in windows:
-        w = s.last(n)
-        count = F.count(x).over(w)
-        out = {f"_n_{n}": count, f"_mean_{n}": F.avg(x).over(w), f"_std_{n}": F.stddev_samp(x).over(w), f"_var_{n}": F.var_samp(x).over(w), f"_min_{n}": F.min(x).over(w), f"_max_{n}": F.max(x).over(w)}
-        if {"rolling_skewness", "rolling_kurtosis"} & {*metrics}:
-            out |= {f"_g1_{n}": F.skewness(x).over(w), f"_g2_{n}": F.kurtosis(x).over(w)}
-        if {"rolling_quantile_25", "rolling_quantile_75", "rolling_iqr", "rolling_entropy"} & {*metrics}:
-            out[f"_sorted_{n}"] = F.when(count >= n, F.sort_array(F.collect_list(x).over(w)))
-        if "rolling_autocorr" in metrics:
-            out[f"_ac_{n}"] = pair_stats(s, x, F.col("_x1"), n)[0]
-        if {"rolling_volatility", "realized_volatility"} & {*metrics}:
-            out[f"_vol_{n}"] = s.std("_lr", n)
-        if {"rolling_corr", "rolling_cov", "rolling_beta"} & {*metrics}:
-            corr, cov = pair_stats(s, F.col("_ret"), F.col("_ref"), n)
-            out |= {f"_corr_{n}": corr, f"_cov_{n}": cov, f"_rvar_{n}": s.full("_ref", n, F.var_samp("_ref"))}
-        made |= out
-    rows = rows.withColumns(made)
-    out = {}
-    for n in windows:
-        c = {k: F.col(f"_{k}_{n}") for k in ("n", "mean", "std", "var", "min", "max", "g1", "g2", "sorted", "ac", "vol", "corr", "cov", "rvar")}
-        full = c["n"] >= n
-        count = F.lit(float(n))
-        q1, q3 = quantile(c["sorted"], n, 0.25), quantile(c["sorted"], n, 0.75)
-        every = {
-            "rolling_mean": F.when(full, c["mean"]), "rolling_std": F.when(full, c["std"]), "rolling_var": F.when(full, c["var"]),
-            "rolling_skewness": F.when(full, sample_skewness(count, c["g1"], c["min"], c["max"])), "rolling_kurtosis": F.when(full, sample_kurtosis(count, c["g2"], c["min"], c["max"])),
-            "rolling_zscore": F.when(full, div(x - c["mean"], c["std"])), "rolling_min": F.when(full, c["min"]), "rolling_max": F.when(full, c["max"]), "rolling_range": F.when(full, c["max"] - c["min"]),
-            "rolling_quantile_25": q1, "rolling_quantile_75": q3, "rolling_iqr": q3 - q1, "rolling_autocorr": c["ac"], "rolling_entropy": entropy(c["sorted"], bins),
-            "rolling_drawdown": F.when(full, div(x, c["max"]) - 1), "rolling_volatility": c["vol"], "realized_volatility": c["vol"] * F.lit(float(n) ** 0.5),
-            "rolling_corr": c["corr"], "rolling_cov": c["cov"], "rolling_beta": div(c["cov"], c["rvar"]),
-        }
-        out |= {f"{column}__{m}_{n}": every[m] for m in metrics}
-    return rows.withColumns(out).drop("_x1", "_r1", "_lr", "_ret", "_ref", *made)
+    inputs = {"x": "_x", "x1": "_x1", "lr": "_lr", "ret": "_ret", "ref": "_ref"}
+
+    def work(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        v, out = {k: p[c] for k, c in inputs.items()}, {}
+        for n in windows:
+            found = by_block(v, n, metrics, lambda part, n=n: _window_metrics(part, n, bins, metrics))
+            out |= {f"{column}__{m}_{n}": found[m] for m in metrics}
+        return out
+
+    names = [f"{column}__{m}_{n}" for n in windows for m in metrics]
+    return arrow_pass(rows, s, list(inputs.values()), names, work).drop(*inputs.values(), "_r1")
 
 
 def safe_returns(df: DataFrame, s: Series, column: str, method: str = "pct", name: str = "returns") -> DataFrame:
