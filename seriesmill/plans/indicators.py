@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import geometry, indicators, recursive, signals, states, volume
 from ..series import bounded
-from .inputs import BARS, BARS_SQL, S_BARS, Sql, bars, finish, query, r, rounded
+from .inputs import BARS, BARS_SQL, QUERIES, S_BARS, Sql, bars, finish, query, r, rounded
 
 K = "symbol, bar"
 H, L, C, V = "high", "low", "close", "volume"
@@ -130,9 +130,12 @@ WITH {BARS_SQL}, {NUMBERED}, {DI} SELECT {K}, {rounded({'plus_di': 'pdi', 'minus
 )
 
 
-@query("technical_all")
+_PARTS = ("ind_averages", "ind_oscillators", "ind_bands", "ind_volume", "ewm_averages", "ewm_rsi_tsi", "ewm_trend")
+
+
+@query("technical_all", f"SELECT symbol, bar, {', '.join(indicators.TECHNICAL)} FROM " + " JOIN ".join(f"({QUERIES[q].sql}) {q}" + (" USING (symbol, bar)" if k else "") for k, q in enumerate(_PARTS)))
 def technical_all(spark, sf_dir):
-    """Every technical indicator of every bar, in the order of the feature table; its columns have queries with SQL."""
+    """Every technical indicator of every bar, in the order of the feature table."""
     return finish(indicators.technical(bars(spark, sf_dir), BARS), "symbol", "bar", *indicators.TECHNICAL)
 
 

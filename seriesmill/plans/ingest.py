@@ -18,7 +18,19 @@ def registry_slots(spark, sf_dir):
     return registry.slots(registry.registry(spark)).groupBy("family").agg(F.count(F.lit(1)).alias("payloads"))
 
 
-@query("registry_best")
+def _text(x) -> str:
+    return "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
+
+
+#: The catalogue as SQL; the rules below are written once more in SQL.
+_CATALOGUE = "e AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(_text(x[c]) for c in ("provider", "family", "subtype", "endpoint_name", "path", "coverage_role", "live_status", "data_type")) + ")" for x in registry.ENDPOINTS) + ") t(provider, family, subtype, endpoint_name, path, role, status, data_type))"
+_CALLABLE = "path IS NOT NULL AND status NOT IN ('external_provider_required', 'not_available')"
+_PLACE = f"10 * (list_position({list(registry.ROLES)}, role) - 1) + list_position({list(registry.STATUSES)}, status) - 1"
+
+
+@query("registry_best", f"""
+WITH {_CATALOGUE}, p AS (SELECT *, {_PLACE} AS priority FROM e WHERE {_CALLABLE}), c AS (SELECT *, row_number() OVER (PARTITION BY family, subtype ORDER BY priority, provider) AS choice FROM p)
+SELECT family, subtype, provider, priority::INTEGER AS priority, path FROM c WHERE choice = 1""")
 def registry_best(spark, sf_dir):
     """The best callable endpoint of each family and subtype."""
     return registry.resolve_endpoints(registry.registry(spark), best_only=True).select("family", "subtype", "provider", "priority", "path")
@@ -31,7 +43,14 @@ def registry_status(spark, sf_dir):
     return both[0].unionByName(both[1]).groupBy("mode", "status").agg(F.count(F.lit(1)).alias("endpoints"))
 
 
-@query("registry_params")
+_PARAMS = "d AS (SELECT * FROM (VALUES " + ", ".join(f"({_text(x['endpoint_name'])}, {_text(k)}, {_text(v)})" for x in registry.ENDPOINTS for k, v in sorted(x["default_params"].items())) + ") t(endpoint_name, k, v))"
+_SLOTS = "s AS (SELECT * FROM (VALUES " + ", ".join(f"({_text(x['endpoint_name'])}, {_text(t)}, {str(x['supports_timeframe']).upper()})" for x in registry.ENDPOINTS for t in (x["synthetic_timeframes"] if x["supports_timeframe"] else x["extraction_windows"])) + ") t(endpoint_name, slot, timed))"
+_FILLED = "replace(replace(replace(replace(v, '{timeframe}', CASE WHEN timed THEN slot ELSE '' END), '{extraction_window}', CASE WHEN timed THEN '' ELSE slot END), '{asset}', 'BTC'), '{symbol}', 'BTCUSDT')"
+
+
+@query("registry_params", f"""
+WITH {_CATALOGUE}, {_PARAMS}, {_SLOTS}, f AS (SELECT endpoint_name, slot, k, {_FILLED} AS v FROM s JOIN d USING (endpoint_name)), g AS (SELECT endpoint_name, slot, string_agg(k || '=' || v, '&' ORDER BY k) AS params FROM f WHERE v <> '' GROUP BY endpoint_name, slot)
+SELECT endpoint_name, slot, coalesce(params, '') AS params FROM s JOIN e USING (endpoint_name) LEFT JOIN g USING (endpoint_name, slot) WHERE {_CALLABLE}""")
 def registry_params(spark, sf_dir):
     """Request parameters of every live slot."""
     s = registry.slots(registry.registry(spark)).where(registry.callable_live())
