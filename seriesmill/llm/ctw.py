@@ -108,18 +108,36 @@ def token(unit: bytes) -> int:
 # --- the tree ----------------------------------------------------------------------------------------------
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """log Gamma for x >= 0.5, by Stirling's series after a shift of eight."""
-    shift = np.zeros_like(x)
-    for k in range(8):
-        shift += np.log(x + k)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+_SMALL = 1 << 16
+
+
+def _stirling(x: np.ndarray) -> np.ndarray:
+    """log Gamma for large x."""
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+
+
+def _from_counts(first: float) -> np.ndarray:
+    """log Gamma(k + first) for k below _SMALL, from log Gamma(first) on."""
+    start = 0.5 * np.log(np.pi) if first == 0.5 else 0.0
+    return np.concatenate([[start], start + np.cumsum(np.log(np.arange(_SMALL - 1) + first))])
+
+
+_HALF, _ONE = _from_counts(0.5), _from_counts(1.0)
+
+
+def log_gamma(n: np.ndarray, table: np.ndarray, first: float) -> np.ndarray:
+    """log Gamma(n + first) of whole numbers n."""
+    at = np.minimum(n, _SMALL - 1).astype(np.int64)
+    out = table[at]
+    large = n >= _SMALL
+    if large.any():
+        out[large] = _stirling(n[large] + first)
+    return out
 
 
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
-    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - np.log(np.pi)
+    return log_gamma(n0, _HALF, 0.5) + log_gamma(n1, _HALF, 0.5) - log_gamma(n0 + n1, _ONE, 1.0) - np.log(np.pi)
 
 
 def grams(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -148,25 +166,62 @@ def bits(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
 
 
-def levels(gram: np.ndarray, n: np.ndarray, top: int = 2) -> dict[int, tuple]:
-    """From training grams: for each depth down to `top` (keys, n0, n1, log P_w, weight, P(1)), keys sorted."""
-    node, bit = bits(gram)
-    key = (((gram >> 8) << 8)[None, :] | node).ravel()
-    count = np.broadcast_to(n.astype(float), node.shape).ravel()
-    one = bit.ravel() == 1
-    keys, of = np.unique(key, return_inverse=True)
-    n0, n1 = (np.bincount(of[m], count[m], len(keys)) for m in (~one, one))
-    below = log_kt(n0, n1)
-    out = {DEPTH: (keys, n0, n1, below, np.ones(len(keys)), (n1 + 0.5) / (n0 + n1 + 1))}
-    for d in range(DEPTH - 1, top - 1, -1):
-        parent = ((keys >> 8) & ((1 << 8 * d) - 1)) << 8 | keys & 255
-        keys, of = np.unique(parent, return_inverse=True)
-        n0, n1, below = (np.bincount(of, x, len(keys)) for x in (n0, n1, below))
-        own = log_kt(n0, n1)
-        weight = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
-        below = np.logaddexp(own, below) - np.log(2)
-        out[d] = (keys, n0, n1, below, weight, (n1 + 0.5) / (n0 + n1 + 1))
-    return out
+class Subtrees:
+    """Nodes of depth TOP and deeper over different grams with training counts (0 for grams that are only asked for).
+
+    A node without counts has P_w = 1, so it changes no other, and gives one half as any unseen node does. Nodes of one
+    depth are sorted by the bits so far, then by the context from the nearest byte on: those of one parent are side by
+    side, so sums go up and probabilities go down by runs, without a search.
+    """
+
+    TOP = 2
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        node, self.bit = bits(gram)
+        context = gram.view(np.uint64).byteswap() & np.uint64((1 << 56) - 1)
+        key = ((node.astype(np.uint64) << np.uint64(56)) | context[None, :]).ravel()
+        order = np.argsort(key)
+        key, one = key[order], self.bit.ravel()[order]
+        count = np.tile(n.astype(float), 8)[order]
+        first = self._runs(key)
+        self.leaf = np.empty(len(order), np.int64)
+        self.leaf[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        n0, n1 = np.add.reduceat(count * (1 - one), first), np.add.reduceat(count * one, first)
+        self.key, self.below = key[first], log_kt(n0, n1)
+        #: For each depth from the deepest up: the weight of a node's own estimate, that estimate, and parents in the next one.
+        self.levels = [(np.ones(len(n0)), (n1 + 0.5) / (n0 + n1 + 1), None)]
+        for d in range(DEPTH - 1, self.TOP - 1, -1):
+            key = self.key >> np.uint64(8) if d < DEPTH - 1 else self.key >> np.uint64(8 * (8 - DEPTH))
+            first = self._runs(key)
+            self.levels[-1] = (*self.levels[-1][:2], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key)))))
+            n0, n1, below = (np.add.reduceat(x, first) for x in (n0, n1, self.below))
+            own = log_kt(n0, n1)
+            self.key, self.below = key[first], np.logaddexp(own, below) - np.log(2)
+            self.levels.append((1 / (1 + np.exp(np.clip(below - own, -700, 700))), (n1 + 0.5) / (n0 + n1 + 1), None))
+        self.n0, self.n1 = n0, n1
+
+    @staticmethod
+    def _runs(key: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+
+    def sums(self) -> tuple:
+        """(nearest byte, bits so far, n0, n1, sum of log P_w) of the nodes above, as far as they lie here."""
+        key = self.key >> np.uint64(8)
+        first = self._runs(key)
+        key = key[first].astype(np.int64)
+        return (key & 255, key >> 8, *(np.add.reduceat(x, first) for x in (self.n0, self.n1, self.below)))
+
+    def log_probability(self, top: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Log10 probability of each gram's byte in its context, given what crown() says of the nodes above."""
+        at = (self.key >> np.uint64(8)).astype(np.int64)
+        p, rest = top[0][at & 255, at >> 8], top[1][at & 255, at >> 8]
+        for k, (weight, one, _) in enumerate(reversed(self.levels)):
+            if k:
+                parent = self.levels[len(self.levels) - 1 - k][2]
+                p, rest = p[parent], rest[parent]
+            p, rest = p + rest * weight * one, rest * (1 - weight)
+        p = p[self.leaf].reshape(self.bit.shape)
+        return np.log10(np.clip(np.where(self.bit == 1, p, 1 - p), 1e-300, 1)).sum(0)
 
 
 def crown(rows: list) -> tuple[np.ndarray, np.ndarray]:
@@ -189,24 +244,6 @@ def crown(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return out, np.where(seen, left * (1 - w), 0.0)
 
 
-def log_probability(gram: np.ndarray, tree: dict[int, tuple], top: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Log10 probability of each gram's byte in its context."""
-    node, bit = bits(gram)
-    ctx = np.broadcast_to(gram >> 8, node.shape)
-    p, rest = top[0][ctx & 255, node], top[1][ctx & 255, node]
-    for d in range(2, DEPTH + 1):
-        keys, _, _, _, weight, one = tree[d]
-        key = (ctx & ((1 << 8 * d) - 1)) << 8 | node
-        if not len(keys):
-            p, rest = p + rest * 0.5, np.zeros_like(rest)
-            break
-        i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = keys[i] == key
-        p = p + rest * np.where(hit, weight[i] * one[i], 0.5)
-        rest = np.where(hit, rest * (1 - weight[i]), 0.0)
-    return np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-300, 1)).sum(0)
-
-
 # --- Spark -------------------------------------------------------------------------------------------------
 
 
@@ -284,31 +321,46 @@ def _unit_scores(listed: DataFrame) -> DataFrame:
 
     def ask(batches):
         """Grams of each part once, and grams with their training counts, as far as memory allows: repeats do no harm."""
-        wanted: dict[int, np.ndarray] = {}
+        wanted: dict[int, list[np.ndarray]] = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
-        def tell():
-            for p, mine in wanted.items():
-                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(np.zeros(len(mine), np.int64)), pa.array(np.full(len(mine), p, np.int64))], ["gram", "n", "part"])
+        def merged():
+            nonlocal held, size
+            for p, parts in wanted.items():
+                wanted[p] = [np.unique(np.concatenate(parts))]
             if held:
                 keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-                count = np.bincount(at, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
+                held = [(keys, np.bincount(at, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64))]
+            size = sum(len(x[0]) for x in wanted.values()) + sum(len(k) for k, _ in held)
+
+        def tell():
+            for p, (mine,) in wanted.items():
+                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(np.zeros(len(mine), np.int64)), pa.array(np.full(len(mine), p, np.int64))], ["gram", "n", "part"])
+            for keys, count in held:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(count), pa.array(np.full(len(keys), -1, np.int64))], ["gram", "n", "part"])
 
         for b in batches:
-            gram, of = grams(b.column("unit"))
-            n, part = b.column("n").to_numpy(zero_copy_only=False), b.column("part").to_numpy(zero_copy_only=False)
-            keys, at = np.unique(gram, return_inverse=True)
-            count = np.bincount(at, n[of], len(keys)).astype(np.int64)
-            held.append((keys[count > 0], count[count > 0]))
+            code = b.column("unit").dictionary_encode()
+            gram, of = grams(code.dictionary)
+            which, part = code.indices.to_numpy(), b.column("part").to_numpy(zero_copy_only=False)
+            n = np.bincount(which, b.column("n").to_numpy(zero_copy_only=False), len(code.dictionary))
+            some = n[of] > 0
+            if some.any():
+                keys, at = np.unique(gram[some], return_inverse=True)
+                held.append((keys, np.bincount(at, n[of[some]], len(keys)).astype(np.int64)))
+                size += len(keys)
             for p in np.unique(part):
-                mine = np.unique(gram[part[of] == p]) if (part != p).any() else keys
-                wanted[int(p)] = np.union1d(wanted[int(p)], mine) if int(p) in wanted else mine
-            size += len(held[-1][0])
-            if size > _GRAMS or sum(map(len, wanted.values())) > _GRAMS:
-                yield from tell()
-                wanted, held, size = {}, [], 0
+                mine = np.zeros(len(code.dictionary), bool)
+                mine[which[part == p]] = True
+                wanted.setdefault(int(p), []).append(np.unique(gram[mine[of]]))
+                size += len(wanted[int(p)][-1])
+            if size > 2 * _GRAMS:
+                merged()
+                if size > _GRAMS:
+                    yield from tell()
+                    wanted, held, size = {}, [], 0
+        merged()
         yield from tell()
 
     asked = asked_all = materialise(listed.select("unit", "n", "part").mapInArrow(ask, "gram long, n long, part long"), "grams")
@@ -322,10 +374,8 @@ def _unit_scores(listed: DataFrame) -> DataFrame:
 
     def upper(batches):
         for t in groups(batches, ["sub"], _SUBTREE):
-            keys, n0, n1, below, *_ = levels(t["gram"].to_numpy(), t["n"].to_numpy())[2]
-            key, of = np.unique((keys >> 8 & 255) << 8 | keys & 255, return_inverse=True)
-            sums = [np.bincount(of, x, len(key)) for x in (n0, n1, below)]
-            yield pa.RecordBatch.from_arrays([pa.array(key >> 8), pa.array(key & 255), *map(pa.array, sums)], ["ctx", "node", "n0", "n1", "s"])
+            sums = Subtrees(t["gram"].to_numpy(), t["n"].to_numpy()).sums()
+            yield pa.RecordBatch.from_arrays([*map(pa.array, sums)], ["ctx", "node", "n0", "n1", "s"])
 
     high = subtrees(leaves).select("sub", "gram", "n").mapInArrow(upper, "ctx long, node long, n0 double, n1 double, s double")
     # At most 256 * 255 rows, whatever the corpus.
@@ -334,12 +384,15 @@ def _unit_scores(listed: DataFrame) -> DataFrame:
 
     def answer(batches):
         for t in groups(batches, ["sub"], _SUBTREE):
-            gram, n, part = (t[c].to_numpy() for c in ("gram", "n", "part"))
-            own = part < 0
-            tree, wanted = levels(gram[own], n[own]), np.flatnonzero(~own)
-            for k in range(0, len(wanted), 50_000):
-                some = wanted[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[some]), pa.array(gram[some]), pa.array(log_probability(gram[some], tree, sent.value))], ["part", "gram", "lp"])
+            gram, of = np.unique(t["gram"].to_numpy(), return_inverse=True)
+            n, part = np.bincount(of, t["n"].to_numpy(), len(gram)), t["part"].to_numpy()
+            wanted = np.flatnonzero(part >= 0)
+            if not len(wanted):
+                continue
+            lp = Subtrees(gram, n).log_probability(sent.value)[of]
+            for k in range(0, len(wanted), 200_000):
+                some = wanted[k : k + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part[some]), pa.array(t["gram"].to_numpy()[some]), pa.array(lp[some])], ["part", "gram", "lp"])
 
     both = leaves.select("gram", "n", F.lit(-1).cast("long").alias("part")).unionByName(asked.select("gram", F.lit(0).cast("long").alias("n"), "part"))
     told = subtrees(both).select("sub", "gram", "n", "part").mapInArrow(answer, "part long, gram long, lp double")

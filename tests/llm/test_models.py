@@ -208,14 +208,24 @@ def test_probabilities_add_up(spark):
     """Over all bytes in one context."""
     g, of = ctw.grams(pa.array([b"\0\0\nthe ", b"of then ", b"\0\0\nthe "], pa.large_binary()))
     keys, at = np.unique(g, return_inverse=True)
-    tree = ctw.levels(keys, np.bincount(at))
-    low = tree[2]
-    key, ix = np.unique((low[0] >> 8 & 255) << 8 | low[0] & 255, return_inverse=True)
-    sums = [np.bincount(ix, x, len(key)) for x in (low[1], low[2], low[3])]
-    top = ctw.crown(list(zip(key >> 8, key & 255, *sums)))
+    n = np.bincount(at)
     ctx = int(g[3]) >> 8
-    p = ctw.log_probability(np.array([ctx << 8 | b for b in range(256)]), tree, top)
+    every = np.array([ctx << 8 | b for b in range(256)])
+    asked = np.union1d(keys, every)
+    counts = np.zeros(len(asked), np.int64)
+    counts[np.searchsorted(asked, keys)] = n
+    top = ctw.crown(list(zip(*ctw.Subtrees(keys, n).sums())))
+    again = ctw.crown(list(zip(*ctw.Subtrees(asked, counts).sums())))
+    p = ctw.Subtrees(asked, counts).log_probability(top)[np.searchsorted(asked, every)]
     assert 10**p @ np.ones(256) == pytest.approx(1)
+    known = keys >= 0  # grams that are asked for change nothing for those that were counted
+    np.testing.assert_allclose(ctw.Subtrees(keys, n).log_probability(top)[known], ctw.Subtrees(asked, counts).log_probability(again)[np.searchsorted(asked, keys)][known])
+
+
+def test_log_kt():
+    a, b = np.array([0.0, 1, 5, 70000, 3e9]), np.array([0.0, 0, 2, 3, 2e9])
+    want = [math.lgamma(x + 0.5) + math.lgamma(y + 0.5) - math.lgamma(x + y + 1) - math.log(math.pi) for x, y in zip(a, b)]
+    np.testing.assert_allclose(ctw.log_kt(a, b), want, rtol=1e-10, atol=1e-10)
 
 
 def test_awkward_documents(docs, awkward, empty, clashing):
