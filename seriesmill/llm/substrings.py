@@ -188,8 +188,14 @@ def line_bands(texts: DataFrame) -> DataFrame:
 
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
-    """Keys that stand in two different texts. Of texts with one key 64 bits tell any two apart."""
-    return rows.groupBy(key).agg(F.min("t1").alias("_a"), F.max("t1").alias("_b")).where("_a < _b").select(key)
+    """Keys that stand in two different texts, as a table: a join with it can be split where a key is frequent.
+
+    Of texts with one key 64 bits tell any two apart.
+    """
+    found = rows.groupBy(key).agg(F.min("t1").alias("_a"), F.max("t1").alias("_b")).where("_a < _b").select(key)
+    found = materialise(found, "shared")
+    free(rows.sparkSession)
+    return found
 
 
 # --- exact stretches ---------------------------------------------------------------------------------------
@@ -280,11 +286,14 @@ def stretches(docs: DataFrame, found: DataFrame) -> DataFrame:
     """candidates() -> what _stretches() tells of them, as a table."""
     rows = materialise(windows(docs, found), "windows")
     shared = rows.groupBy("k1", "k2").agg(F.min("ord").alias("first"), F.max("ord").alias("_last"), F.min_by("pos", "ord").alias("there")).where("first < _last").drop("_last")
+    shared = materialise(shared, "shared")
+    free(docs.sparkSession)  # what has been shuffled so far
     hits = rows.join(shared, ["k1", "k2"]).select("ord", "pos", "start", "end", "first", "there")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hits = hits.repartition(parts, "ord").sortWithinPartitions("ord", "pos")
     out = materialise(hits.mapInArrow(_stretches, 'kind int, ord long, from int, start int, end int, n_words int, removed boolean, other long, there int'), "stretches")
     drop(rows)
+    drop(shared)
     free(docs.sparkSession)
     return out
 
@@ -329,9 +338,12 @@ def line_links(texts: DataFrame, docs: DataFrame, limit: int = 500) -> DataFrame
     once = materialise(line_bands(texts), "line-bands")
     free(docs.sparkSession)
     spread = once.select("id", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = materialise(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
+    free(docs.sparkSession)
     met = materialise(spread.join(shared, "key", "left_semi"), "collisions")
     drop(once)
+    drop(shared)
+    free(docs.sparkSession)
     wanted = materialise(met.select(F.col("id").alias("_id")).distinct(), "colliding")
     text = docs.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line").alias("id"), "line")
     text = text.join(wanted, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
@@ -343,7 +355,10 @@ def line_links(texts: DataFrame, docs: DataFrame, limit: int = 500) -> DataFrame
 
     s = materialise(text.mapInArrow(sets, "sid long, s binary"), "sets")
     both = met.join(s, met["id"] == s["sid"]).select("key", "id", "s")
-    return bucket_links(both, _compare, limit, ("s",))
+    links = materialise(bucket_links(both, _compare, limit, ("s",)), "line-links")
+    for t in (met, wanted, s):
+        drop(t)
+    return links
 
 
 def _passages(batches):
@@ -422,6 +437,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     copied = leads.where("n_docs > 1").select(*TEXT, "none", "lead")
     size = texts.where(F.col("n_words") >= PASSAGE).select(*TEXT, "n_words", F.element_at("start", 1).alias("start"), F.element_at("end", -1).alias("end")).dropDuplicates(TEXT)
     copied = materialise(copied.join(size, TEXT).withColumn("class", F.xxhash64(*TEXT)), "copied")
+    drop(texts)
     links = links.union(copied.join(whole, (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))).select("class", "node"))
     parts = connected_components(links)
 
