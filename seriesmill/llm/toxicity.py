@@ -1,18 +1,21 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of ordinary and one of toxic text.
 
 Training takes a bounded, documented sample of labelled rows (SAMPLE per class, the least by a hash of doc_id, and of
-those, in that order, what fits SAMPLE_BYTES // 2 = 25.2 million characters; a text that doesn't fit ends nothing). Two
-thirds of it make the dictionaries: the toxic one is built from words of toxic documents that carry a byte run which
-at least MIN_SHARE of the toxic documents hold and which is MIN_RATIO times as frequent there as in ordinary ones (with
-MIN_EVIDENCE nats of evidence). Runs are of five bytes anywhere in a word, or longer with the blank before it counted.
-The ordinary dictionary has ordinary words of the same amount instead. Both share a body of frequent ordinary words and
-end with two fixed lead-ins. A window is one word between the lead-ins (the compressor begins no match in a block's last
-eight bytes, so a word at the end would never match); very long words are cut into windows of 64 bytes. Its distance is
-how many bytes shorter it gets with the toxic dictionary. The last third calibrates: a table of evidence for each
+those, in that order, what fits SAMPLE_BYTES // 2 = 25.2 million characters; a text that doesn't fit ends nothing). The
+toxic dictionary is built from words of toxic documents that carry a byte run which at least MIN_SHARE of the toxic
+documents hold and which is MIN_RATIO times as frequent there as in ordinary ones (with MIN_EVIDENCE nats of evidence).
+Runs are of five bytes anywhere in a word, or longer with the blank before it counted. The ordinary dictionary has
+ordinary words of the same amount instead. Both share a body of frequent ordinary words and end with two fixed lead-ins.
+(Dictionaries trained on whole texts of a class, without that choice of words, were tried: most of such a dictionary
+is ordinary language, and the differences between two of them hide the few words that tell the classes apart.)
+
+A window is WINDOW_WORDS neighbouring words between the lead-ins (the compressor begins no match in a block's last
+eight bytes, so a word at the end would never match). Its distance is how many bytes shorter it gets with the toxic
+dictionary. Two thirds of the sample make the dictionaries; the last third calibrates: a table of evidence for each
 distance and a logistic curve over a text's largest distances, counts and summed evidence give the score.
 
-Scores see the text alone: never label, lang, source or doc_id. Every word of every text is scored; workers keep the
-distances of words they have met.
+Scores see the text alone: never label, lang, source or doc_id. Every window of every text is scored; workers keep the
+distances of windows they have met.
 
 Defined results: null and empty texts are scored like texts without any distance; labels that are null don't train;
 rows of labels that repeat a doc_id count as toxic if one says so; without toxic or without ordinary training rows
@@ -39,6 +42,7 @@ MIN_SHARE, MIN_RATIO, MIN_EVIDENCE, RUN = 0.008, 5.0, 25.0, 5
 LONG_RUNS = (7, 9)
 BODY_BYTES, EXTRA_BYTES = 60_000, 12_000
 LEVEL = 12
+WINDOW_WORDS = 2
 LEAD = b"the of and to in that it was for on are as with his they at be this have from or"
 TAIL = b"which we an there been one has were more when who will would"
 THRESHOLD = 0.3
@@ -52,6 +56,12 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def windows(text: str | None) -> list[bytes]:
+    """Every WINDOW_WORDS neighbouring words without marks around them; words are cut after _WINDOW bytes."""
+    found = [x[k : k + _WINDOW] for w in words(text) if (x := w.strip(_STRIP)) for k in range(0, len(x), _WINDOW)]
+    return [b" ".join(found[i : i + WINDOW_WORDS]) for i in range(max(1, len(found) - WINDOW_WORDS + 1))] if found else []
+
+
 def runs(word: bytes) -> set[bytes]:
     """Runs of RUN bytes, and of LONG_RUNS bytes with the blank before the word."""
     out = {word[i : i + RUN] for i in range(len(word) - RUN + 1)}
@@ -107,28 +117,25 @@ class Model:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def distance(self, word: bytes) -> int:
+    def distance(self, window: bytes) -> int:
+        if self._pair is None:
+            self._pair = _compressor(self.ordinary), _compressor(self.toxic)
         a, b = self._pair
-        w = word.strip(_STRIP)
-        best = _LOW
-        for k in range(0, max(1, len(w)), _WINDOW):
-            window = b" ".join((LEAD, w[k : k + _WINDOW], TAIL))
-            best = max(best, len(a.compress(window)) - len(b.compress(window)))
-        return min(best, _HIGH)
+        framed = b" ".join((LEAD, window, TAIL))
+        return min(max(len(a.compress(framed)) - len(b.compress(framed)), _LOW), _HIGH)
 
     def distances(self, text: str | None) -> np.ndarray:
-        if self._pair is None:
-            self._pair = _compressor(self.ordinary), _compressor(self.toxic)
-        ws = words(text)
-        if not ws:
+        """Distances of all windows of a text, in order."""
+        found = windows(text)
+        if not found:
             return np.zeros(0, np.int64)
         cache = self._cache
         if len(cache) > 1_000_000:
             cache.clear()
-        for w in set(ws):
+        for w in set(found):
             if w not in cache:
                 cache[w] = self.distance(w)
-        return np.fromiter(map(cache.__getitem__, ws), np.int64, len(ws))
+        return np.fromiter(map(cache.__getitem__, found), np.int64, len(found))
 
     def features(self, d: np.ndarray) -> np.ndarray:
         top = np.zeros(3)
@@ -156,18 +163,10 @@ def _text_of(counts: Counter, size: int) -> bytes:
     return b" ".join(reversed(out))
 
 
-def fit(toxic: list[str], ordinary: list[str], share: float | None = None) -> Model:
-    """Texts of both classes -> model; the order of the texts decides which third calibrates.
-
-    share: how many of all labelled rows are toxic; the curve is shifted from the sample's share to it.
-    """
-    if not toxic or not ordinary:
-        return Model(b"", b"")
-    part = lambda x, own: [t for i, t in enumerate(x) if (i % 3 == 2) != own]
-    a_t, b_t = part(toxic, True), part(toxic, False) or toxic
-    a_n, b_n = part(ordinary, True), part(ordinary, False) or ordinary
+def dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
+    """A model without calibration from texts of both classes."""
     # Equal sets of words are copies of one text: they say no more than one of them.
-    sets_t, sets_n = _word_sets(a_t), _word_sets(a_n)
+    sets_t, sets_n = _word_sets(toxic), _word_sets(ordinary)
     n_t, n_n = _shares(sets_t), _shares(sets_n)
 
     def telling(n: int, m: int) -> bool:
@@ -184,9 +183,21 @@ def fit(toxic: list[str], ordinary: list[str], share: float | None = None) -> Mo
     rest = sorted(w for w in of_n if w not in common)
     random.Random(7).shuffle(rest)
     filler = b" ".join(rest)[: len(extra)]
-    model = Model(*(b" ".join([body, own, TAIL, LEAD]) for own in (filler, extra)))
-    d_t, d_n = [model.distances(t) for t in b_t], [model.distances(t) for t in b_n]
-    table = [np.bincount(np.clip(np.concatenate(d), _LOW, _HIGH) - _LOW, minlength=_HIGH - _LOW + 1) if d else 0 for d in (d_t, d_n)]
+    return Model(*(b" ".join([body, own, TAIL, LEAD]) for own in (filler, extra)))
+
+
+def fit(toxic: list[str], ordinary: list[str], share: float | None = None) -> Model:
+    """Texts of both classes -> model; two thirds make the dictionaries, every third text calibrates.
+
+    share: how many of all labelled rows are toxic; the curve is shifted from the sample's share to it.
+    """
+    if not toxic or not ordinary:
+        return Model(b"", b"")
+    away = lambda x: [t for i, t in enumerate(x) if i % 3 != 2]
+    own = lambda x: x[2::3] or x
+    model = dictionaries(away(toxic), away(ordinary))
+    d_t, d_n = [model.distances(t) for t in own(toxic)], [model.distances(t) for t in own(ordinary)]
+    table = [np.bincount(np.clip(np.concatenate(d), _LOW, _HIGH) - _LOW, minlength=_HIGH - _LOW + 1) for d in (d_t, d_n)]
     rate = [(t + 0.5) / (t.sum() + 1) for t in table]
     model.evidence = np.log(rate[0] / rate[1])
     x = np.array([model.features(d) for d in d_t + d_n])

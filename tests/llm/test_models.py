@@ -62,6 +62,36 @@ def test_scores_of_awkward_documents(spark, docs, awkward, empty, clashing, mode
     assert toxicity.drop_toxic(clashing, model).columns == clashing.columns
 
 
+def plain_score(m, text):
+    """The score of a text by plain zstandard calls and formulas, from what a model holds."""
+    import zstandard
+
+    ws = [w.encode().strip(b".,;:!?|*&%$#()[]\"'") for w in WORD.findall(lower(text or ""))]
+    ws = [w[k : k + 64] for w in ws for k in range(0, len(w), 64)]
+    d = []
+    for i in range(max(1, len(ws) - 1) if ws else 0):
+        size = []
+        for raw in (m.ordinary, m.toxic):
+            own = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            how = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=128, dict_size=len(raw), min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
+            own.precompute_compress(compression_params=how)
+            size.append(len(zstandard.ZstdCompressor(dict_data=own, compression_params=how).compress(b" ".join([toxicity.LEAD, *ws[i : i + 2], toxicity.TAIL]))))
+        d.append(max(-12, min(32, size[0] - size[1])))
+    best = [*sorted(d, reverse=True)[:3], 0, 0, 0][:3]
+    over = [sum(x >= k for x in d) for k in (2, 3, 5)]
+    x = [*best, *(math.log(1 + n) for n in over), math.sqrt(over[1] / max(len(d), 1)), max(-30, min(30, sum(m.evidence[x + 12] for x in d))), math.log(1 + len(d))]
+    z = m.weights[0] + sum(w * (v - a) / b for w, v, a, b in zip(m.weights[1:], x, m.mean, m.spread))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_against_plain_compression(spark, model):
+    rows = [(i, t) for i, t in enumerate([toxic_text(7), prose(30, 8), BAD[0], f"{prose(5, 1)}, {BAD[1]}! {prose(5, 2)}", "x" * 150, "é " * 9, ".", "", None, "one"])]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == pytest.approx({d: plain_score(model, t) for d, t in rows})
+    kept = {r["doc_id"] for r in toxicity.drop_toxic(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert kept == {d for d, s in got.items() if s < toxicity.THRESHOLD}
+
+
 def test_labels_without_a_class_score_zero(spark, docs):
     none = spark.createDataFrame([(1, 0, None)], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in toxicity.score(docs, toxicity.train(docs, none)).collect()} == {0.0}
