@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, text_keys
 
 KINDS = ("email", "ip", "card", "phone")
 _E = "A-Za-z0-9._%+-"
@@ -106,7 +106,7 @@ def terms(text: str = "text") -> Column:
 
 def find(docs: DataFrame, alpha: float = ALPHA, min_texts: int = MIN_TEXTS) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, text_key, email, ip, card, phone, term): spans of every row."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.struct(*text_keys(F.col("text"))))
     tagged = base_spans(rows)
     every = F.concat(*KINDS)
     near = f"named_struct('entity', xxhash64(s.value), 'terms', transform({_near_sql('text', 's')}, w -> xxhash64(w)))"
@@ -157,7 +157,7 @@ def sanitise(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     spans = found.select(F.col("text_key").alias("__sm_key"), F.array_sort(tags).alias("__sm_s")).dropDuplicates(["__sm_key"])
     spans = spans.withColumn("__sm_s", F.expr("filter(__sm_s, (x, i) -> not exists(slice(__sm_s, 1, i), y -> y.end > x.start))"))
     text = F.coalesce("text", F.lit(""))
-    out = docs.join(spans, F.xxhash64(text) == F.col("__sm_key"), "left")
+    out = docs.join(spans, F.struct(*text_keys(text)) == F.col("__sm_key"), "left")
     pieces = "transform(__sm_s, (x, i) -> concat(substring(text, cast(if(i = 0, 0L, __sm_s[i - 1].end) as int) + 1, cast(x.start - if(i = 0, 0L, __sm_s[i - 1].end) as int)), x.tag))"
     whole = F.expr(f"if(__sm_s is null or size(__sm_s) = 0, text, concat(array_join({pieces}, ''), substring(text, cast(__sm_s[size(__sm_s) - 1].end as int) + 1)))")
     return out.withColumn("text", whole).select(*docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_links, forest, groups, split_hot, starts
-from .common import drop, materialise, small_batches
+from .common import drop, materialise, small_batches, text_keys
 from .components import connected_components
 
 SHINGLE = 4
@@ -51,7 +51,8 @@ _CHUNK = 1 << 15
 
 
 def text_key() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+    """128 bits of hashes that stand for a text."""
+    return F.struct(*text_keys(F.col("text")))
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -83,7 +84,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, text_key long, fp long); text_key is a hash of the text, for joining back."""
+    """docs (doc_id, text) -> (doc_id, text_key, fp long); text_key stands for the text, for joining back."""
     small_batches(docs.sparkSession)
 
     def work(batches):
@@ -92,7 +93,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(fps, pa.int64())], ["doc_id", "text_key", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(work, f"doc_id {kind}, text_key long, fp long")
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(work, f"doc_id {kind}, text_key struct<t1:bigint,t2:bigint>, fp long")
 
 
 def _patterns(most: int, n: int = HAMMING) -> list[np.ndarray]:
@@ -231,7 +232,7 @@ def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_key().alias("text_key"), "text")
-    return rows.mapInArrow(work, f"doc_id {kind}, text_key long, fp long, n int, low long, high long, bands array<long>")
+    return rows.mapInArrow(work, f"doc_id {kind}, text_key struct<t1:bigint,t2:bigint>, fp long, n int, low long, high long, bands array<long>")
 
 
 def second_word(hashes: np.ndarray) -> np.ndarray:
