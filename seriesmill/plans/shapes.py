@@ -169,7 +169,14 @@ def tda_wasserstein(spark, sf_dir):
     return finish(bounded(points(spark, sf_dir), POINTS, 40, lambda d, s: tda.rolling_wasserstein_profile(d, s, "value", 20)), "series", "event_id", "wasserstein")
 
 
-@query("tda_wasserstein_regime")
+_BACK = "OVER (PARTITION BY series ORDER BY ts, event_id ROWS BETWEEN 39 PRECEDING AND 20 PRECEDING)"
+_LOGS = f"""x AS (SELECT series, ts, event_id, CASE WHEN value > 0 AND x1 > 0 THEN ln(value / x1) END AS x FROM (SELECT event_type AS series, ts, event_id, value, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS x1 FROM events) p),
+l AS (SELECT *, list_sort({S_POINTS.full('x', 20, 'list(x)')}) AS a, CASE WHEN count(x) {_BACK} = 20 THEN list_sort(list(x) {_BACK}) END AS b, {S_POINTS.avg('x', 20)} AS m FROM x),
+w AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN list_sum(list_transform(list_zip(a, b), lambda z: abs(z[1] - z[2]))) / 20 END AS w FROM l),
+q AS (SELECT *, {S_POINTS.avg('w', 20)} AS usual, {S_POINTS.lag('m', 20)} AS before FROM w)"""
+
+
+@query("tda_wasserstein_regime", f"WITH {_LOGS} SELECT series, event_id, {r('w')} AS wasserstein, CASE WHEN w > usual THEN coalesce(sign(m - before), 0) ELSE 0 END::DOUBLE AS wasserstein_position FROM q")
 def tda_wasserstein_regime(spark, sf_dir):
     """Distances of log returns with their position."""
     return finish(bounded(points(spark, sf_dir), POINTS, 82, lambda d, s: tda.wasserstein_distances(d, s, "value", 20)), "series", "event_id", "wasserstein", "wasserstein_position")
