@@ -4,7 +4,8 @@ Catalyst has no recurrence, so one grouped pass computes every recursive column
 Only final values need no Python: ema_last() folds them in the JVM.
 
 Smoothing forgets: after 45 / alpha rows an old value weighs less than 1e-19 of the result. So long series are cut into
-chunks with HALO rows before each (series.bounded), and no task holds a whole hot series.
+chunks with halo() rows before each (series.bounded; HALO for the indicators here, kama_halo() for adaptive averages),
+and no task holds a whole hot series.
 
 Exponential averages start at the first value (adjust=False); a gap of g rows leaves the old value the weight
 (1 - alpha)^g, renormalised.
@@ -12,6 +13,7 @@ Exponential averages start at the first value (adjust=False); a gap of g rows le
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -26,6 +28,16 @@ from ..series import Series
 HALO = 4096
 
 
+def halo(rate: float, passes: int = 1) -> int:
+    """Rows after which averages of this rate, one after another, have forgotten a value: its weight is under 1e-19."""
+    return math.ceil(45 / rate) * passes
+
+
+def kama_halo(er_window: int = 10, slow: int = 30) -> int:
+    """Rows of halo for kama(): its rate is never below the square of the slow one."""
+    return halo((2 / (slow + 1)) ** 2) + er_window
+
+
 def _wilder(x: pd.Series, n: int) -> pd.Series:
     return x.ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -67,14 +69,54 @@ def spanning_edges(points: np.ndarray) -> np.ndarray:
     return np.sort(np.array(out))
 
 
+def loops(points: np.ndarray) -> np.ndarray:
+    """(birth, death) of the loops of a growing point cloud (Vietoris-Rips, coefficients modulo 2).
+
+    An edge that closes a loop bears it; the first triangle whose boundary, reduced by those before it, ends at that
+    edge fills it. Loops that are filled as they are born are left out. For clouds of up to some hundred points: there
+    are as many triangles as triples.
+    """
+    n = len(points)
+    far = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(2))
+    i, j = np.triu_indices(n, 1)
+    order = np.argsort(far[i, j], kind="stable")
+    i, j = i[order], j[order]
+    length, number = far[i, j], np.zeros((n, n), np.int64)
+    number[i, j] = number[j, i] = np.arange(len(i))
+    part, open_ = np.arange(n), set()
+    for e, (a, b) in enumerate(zip(i, j)):
+        if part[a] == part[b]:
+            open_.add(e)
+        else:
+            part[part == part[b]] = part[a]
+    corners = np.array(list(itertools.combinations(range(n), 3)), np.int64).reshape(-1, 3)
+    sides = np.sort(np.stack([number[corners[:, x], corners[:, y]] for x, y in ((0, 1), (0, 2), (1, 2))], 1), axis=1)
+    lowest: dict[int, set[int]] = {}
+    out = []
+    for k in np.argsort(sides[:, 2], kind="stable"):
+        if not open_:
+            break
+        column = set(sides[k].tolist())
+        while column and (low := max(column)) in lowest:
+            column = column ^ lowest[low]
+        if column:
+            lowest[low] = column
+            open_.discard(low)
+            if length[sides[k, 2]] > length[low]:
+                out.append((length[low], length[sides[k, 2]]))
+    return np.array(sorted(out)).reshape(-1, 2)
+
+
 def compute_persistence_diagram(points: np.ndarray, max_dim: int = 0) -> list[np.ndarray]:
-    """(birth, death) arrays by dimension: components exactly, higher dimensions empty."""
+    """(birth, death) arrays of components (dimension 0) and, for max_dim 1, of loops; higher dimensions are an error."""
     points = np.asarray(points, float)
     if points.ndim != 2 or len(points) < 2:
         raise ValueError("points must be two-dimensional with at least two rows")
+    if max_dim not in {0, 1}:
+        raise ValueError("max_dim must be 0 or 1")
     deaths = spanning_edges(points)
     zero = np.c_[np.zeros(len(deaths) + 1), np.append(deaths, np.inf)]
-    return [zero, *[np.zeros((0, 2)) for _ in range(max_dim)]]
+    return [zero, loops(points)][: max_dim + 1]
 
 
 def persistence_entropy(bars: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,7 +127,7 @@ def persistence_entropy(bars: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, F.coalesce(F.ln("_t") - F.try_divide("_s", "_t"), F.lit(0.0)).alias("entropy"))
 
 
-def _profile(x: np.ndarray, window: int, dim: int, delay: int) -> np.ndarray:
+def _profile(x: np.ndarray, window: int, dim: int, delay: int, max_dim: int = 0) -> np.ndarray:
     out = np.zeros(len(x))
     for t in range(window - 1, len(x)):
         w = x[t - window + 1 : t + 1]
@@ -93,21 +135,24 @@ def _profile(x: np.ndarray, window: int, dim: int, delay: int) -> np.ndarray:
             continue
         n = window - (dim - 1) * delay
         if n >= 2:
-            out[t] = spanning_edges(np.stack([w[i * delay : i * delay + n] for i in range(dim)], 1)).sum()
+            cloud = np.stack([w[i * delay : i * delay + n] for i in range(dim)], 1)
+            out[t] = spanning_edges(cloud).sum() + (np.diff(loops(cloud), axis=1).sum() if max_dim else 0.0)
     return out
 
 
-def rolling_persistence_profile(df: DataFrame, s: Series, column: str, window: int = 30, embed_dim: int = 2, embed_delay: int = 1, normalize_to_100: bool = True, span: int = 200, name: str = "persistence") -> DataFrame:
-    """Total persistence of the delay embedding of each window; 0 where a window isn't full.
+def rolling_persistence_profile(df: DataFrame, s: Series, column: str, window: int = 30, embed_dim: int = 2, embed_delay: int = 1, normalize_to_100: bool = True, span: int = 200, name: str = "persistence", max_dim: int = 0) -> DataFrame:
+    """Total persistence of the delay embedding of each window, with max_dim 1 loops included; 0 where a window isn't full.
 
     With normalize_to_100 it is 100 times its share of the greatest in the last `span` rows, so the operator looks back
     over window + span rows and can run in chunks.
     """
     if window < 2 or embed_dim < 1 or embed_delay < 1 or window <= (embed_dim - 1) * embed_delay + 1:
         raise ValueError("window must hold at least two embedded points; embed_dim and embed_delay must be positive")
+    if max_dim not in {0, 1}:
+        raise ValueError("max_dim must be 0 or 1")
 
     def work(p: pd.DataFrame) -> dict[str, pd.Series]:
-        return {name: pd.Series(_profile(p[column].to_numpy(float), window, embed_dim, embed_delay), p.index)}
+        return {name: pd.Series(_profile(p[column].to_numpy(float), window, embed_dim, embed_delay, max_dim), p.index)}
 
     df = grouped(df, s, [column], [name], work)
     if not normalize_to_100:

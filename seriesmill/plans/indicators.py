@@ -95,7 +95,7 @@ WITH RECURSIVE {BARS_SQL}, {NUMBERED}, m AS (SELECT *, abs(close - pc) AS mv, la
 x AS (SELECT symbol, bar, rn, close, pow(coalesce(abs(close - c10) / nullif({full('mv', 10, 'sum(mv)')}, 0), 0) * {_FAST - _SLOW} + {_SLOW}, 2) AS rate FROM m),
 k AS (SELECT symbol, rn, close AS y FROM x WHERE rn = 10 UNION ALL SELECT x.symbol, x.rn, k.y + x.rate * (x.close - k.y) FROM k JOIN x ON x.symbol = k.symbol AND x.rn = k.rn + 1)
 SELECT x.symbol AS symbol, bar, {r('y')} AS kama_10_2_30 FROM x LEFT JOIN k ON k.symbol = x.symbol AND k.rn = x.rn""")(
-    frames(recursive.HALO, lambda d, s: recursive.compute_kama(d, s, "close"), "kama_10_2_30")
+    frames(recursive.kama_halo(), lambda d, s: recursive.compute_kama(d, s, "close"), "kama_10_2_30")
 )
 
 query("ewm_kalman", f"""

@@ -72,6 +72,7 @@ def quality(raw: DataFrame, rows: DataFrame, keys: list[str], min_records: int =
 
 # --- detection and routing ---------------------------------------------------------------------------------
 
+# The keys and words by which payloads are told apart.
 _MINING_KEYS = ("miner_ratio", "hash_rate", "hashrate", "miner_inflow_btc", "miner_outflow_btc", "miner_netflow_btc", "difficulty")
 _CHAIN_KEYS = ("mvrv", "nvt", "sopr", "long_term_holder_supply", "short_term_holder_supply", "accumulation_score", "distribution_score", "exchange_balance_btc")
 _MINING_WORDS = ("miner", "mining", "hash_rate", "hashrate", "difficulty", "network_health")
@@ -135,6 +136,7 @@ def detect(payloads: DataFrame) -> DataFrame:
     return rows.withColumns({"canonical_type": canonical, "confidence": F.when(F.col("_rank") == 99, "low").when(F.col("_rank") == len(rules) - 1, "medium").otherwise("high")}).drop("_type", "_book", "_top", "_all", "_rank")
 
 
+# Families of inputs and outputs, and words that lead to one.
 OFFICIAL_FAMILIES = ("prices_ohlcv", "volume_orderflow", "liquidity_microstructure", "institutional_flows", "liquidations", "derivatives_open_interest", "sentiment_positioning", "mining_network_health", "onchain_holder_behavior")
 INPUT_FAMILIES = ("prices_ohlcv", "liquidity_microstructure", "volume_orderflow", "institutional_flows", "liquidations", "derivatives_open_interest", "sentiment_positioning", "on_chain_miners", "options_volatility")
 _CHAIN_ROUTE = (*_CHAIN_WORDS, "accumulation", "distribution", "exchange_balance", "realized_cap", "supply_in_profit", "supply_in_loss", "long_term_holder", "short_term_holder")

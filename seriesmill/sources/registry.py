@@ -14,129 +14,130 @@ BASE_URLS = {"coinglass": "https://open-api-v4.coinglass.com", "cryptoquant": "h
 WINDOW_TYPES = ("snapshot", "event_list", "heatmap")
 
 # The endpoints. One line each:
-#   subtype  data type (ts: time_series, candles, or type@window)  role  live status  [path  parameters]
+#   subtype  data type (type@window for those with an extraction window)  role  live status  [path  parameters]
 # under a heading of provider and family. Parameters: futures, all (several exchanges), options, etf, index, book, map.
 _TABLE = """
 coinglass prices_ohlcv
-  spot_ohlcv candles primary supported /api/spot/price/history futures
-  futures_ohlcv candles primary supported /api/futures/price/history futures
-  index_price ts primary derived /api/spot/price/history futures
-  mark_price ts primary derived /api/futures/price/history futures
+  spot_ohlcv candlestick primary supported /api/spot/price/history futures
+  futures_ohlcv candlestick primary supported /api/futures/price/history futures
+  index_price time_series primary derived /api/spot/price/history futures
+  mark_price time_series primary derived /api/futures/price/history futures
 coinglass liquidity_microstructure
-  orderbook_conventional ts primary supported /api/futures/orderbook/ask-bids-history futures
+  orderbook_conventional time_series primary supported /api/futures/orderbook/ask-bids-history futures
   orderbook_large_trades event_list@latest primary supported /api/futures/orderbook/large-limit-order book
   orderbook_whale_orders event_list@latest primary derived /api/futures/orderbook/large-limit-order book
-  market_depth ts primary supported /api/futures/orderbook/aggregated-ask-bids-history all
-  bid_ask_spread ts primary derived /api/futures/orderbook/ask-bids-history futures
+  market_depth time_series primary supported /api/futures/orderbook/aggregated-ask-bids-history all
+  bid_ask_spread time_series primary derived /api/futures/orderbook/ask-bids-history futures
   liquidity_walls event_list@latest primary derived /api/futures/orderbook/large-limit-order book
 coinglass volume_orderflow
-  cvd ts primary supported /api/futures/cvd/history futures
-  taker_buy_sell_volume ts primary supported /api/futures/aggregated-taker-buy-sell-volume/history all
-  volume_delta ts primary derived /api/futures/cvd/history futures
-  buy_sell_pressure ts primary derived /api/futures/aggregated-taker-buy-sell-volume/history all
-  aggressive_volume ts primary derived /api/futures/volume/footprint-history futures
+  cvd time_series primary supported /api/futures/cvd/history futures
+  taker_buy_sell_volume time_series primary supported /api/futures/aggregated-taker-buy-sell-volume/history all
+  volume_delta time_series primary derived /api/futures/cvd/history futures
+  buy_sell_pressure time_series primary derived /api/futures/aggregated-taker-buy-sell-volume/history all
+  aggressive_volume time_series primary derived /api/futures/volume/footprint-history futures
 coinglass institutional_flows
-  etf_flows ts tertiary supported /api/etf/bitcoin/flow-history etf
-  stablecoin_flows ts tertiary partial /api/index/stableCoin-marketCap-history index
+  etf_flows time_series tertiary supported /api/etf/bitcoin/flow-history etf
+  stablecoin_flows time_series tertiary partial /api/index/stableCoin-marketCap-history index
 coinglass liquidations
-  long_liquidations ts primary supported /api/futures/liquidation/aggregated-history all
-  short_liquidations ts primary supported /api/futures/liquidation/aggregated-history all
-  long_short_liquidations ts primary supported /api/futures/liquidation/aggregated-history all
+  long_liquidations time_series primary supported /api/futures/liquidation/aggregated-history all
+  short_liquidations time_series primary supported /api/futures/liquidation/aggregated-history all
+  long_short_liquidations time_series primary supported /api/futures/liquidation/aggregated-history all
   liquidation_heatmap heatmap@24h primary supported /api/futures/liquidation/aggregated-heatmap/model1 map
   liquidation_clusters event_list@24h primary derived /api/futures/liquidation/aggregated-heatmap/model1 map
   liquidation_map snapshot@latest primary supported /api/futures/liquidation/aggregated-map map
 coinglass derivatives_open_interest
-  open_interest ts primary supported /api/futures/open-interest/history futures
-  open_interest_change ts primary derived /api/futures/open-interest/history futures
-  funding_rate ts primary supported /api/futures/funding-rate/history futures
-  basis ts primary supported /api/futures/basis/history futures
-  futures_premium ts primary derived /api/futures/basis/history futures
+  open_interest time_series primary supported /api/futures/open-interest/history futures
+  open_interest_change time_series primary derived /api/futures/open-interest/history futures
+  funding_rate time_series primary supported /api/futures/funding-rate/history futures
+  basis time_series primary supported /api/futures/basis/history futures
+  futures_premium time_series primary derived /api/futures/basis/history futures
 coinglass sentiment_positioning
-  long_short_ratio ts primary supported /api/futures/global-long-short-account-ratio/history futures
-  top_trader_long_short_ratio ts primary supported /api/futures/top-long-short-account-ratio/history futures
-  account_long_short_ratio ts primary supported /api/futures/global-long-short-account-ratio/history futures
-  position_long_short_ratio ts primary supported /api/futures/top-long-short-position-ratio/history futures
-  fear_greed ts primary supported /api/index/fear-greed-history index
-  sentiment_index ts primary derived /api/index/fear-greed-history index
+  long_short_ratio time_series primary supported /api/futures/global-long-short-account-ratio/history futures
+  top_trader_long_short_ratio time_series primary supported /api/futures/top-long-short-account-ratio/history futures
+  account_long_short_ratio time_series primary supported /api/futures/global-long-short-account-ratio/history futures
+  position_long_short_ratio time_series primary supported /api/futures/top-long-short-position-ratio/history futures
+  fear_greed time_series primary supported /api/index/fear-greed-history index
+  sentiment_index time_series primary derived /api/index/fear-greed-history index
 coinglass options_volatility
-  options_open_interest ts secondary supported /api/option/exchange-oi-history options
-  options_volume ts secondary supported /api/option/exchange-vol-history options
-  put_call_ratio ts secondary derived /api/option/exchange-oi-history options
+  options_open_interest time_series secondary supported /api/option/exchange-oi-history options
+  options_volume time_series secondary supported /api/option/exchange-vol-history options
+  put_call_ratio time_series secondary derived /api/option/exchange-oi-history options
   max_pain snapshot@latest secondary supported /api/option/max-pain options_latest
 cryptoquant institutional_flows
-  exchange_inflow ts primary partial
-  exchange_outflow ts primary partial
-  exchange_netflow ts primary partial
-  exchange_reserve ts primary partial
-  stablecoin_flows ts secondary partial
+  exchange_inflow time_series primary partial
+  exchange_outflow time_series primary partial
+  exchange_netflow time_series primary partial
+  exchange_reserve time_series primary partial
+  stablecoin_flows time_series secondary partial
 cryptoquant derivatives_open_interest
-  open_interest ts tertiary partial
-  funding_rate ts tertiary partial
-  estimated_leverage_ratio ts primary partial
+  open_interest time_series tertiary partial
+  funding_rate time_series tertiary partial
+  estimated_leverage_ratio time_series primary partial
 cryptoquant sentiment_positioning
-  long_short_ratio ts secondary partial
-  sentiment_index ts secondary partial
+  long_short_ratio time_series secondary partial
+  sentiment_index time_series secondary partial
 cryptoquant on_chain_miners
-  miner_reserve ts primary partial
-  miner_inflow ts primary partial
-  miner_outflow ts primary partial
-  miner_outflow_multiple ts primary partial
-  mpi ts primary partial
-  hash_rate ts secondary partial
-  difficulty ts secondary partial
+  miner_reserve time_series primary partial
+  miner_inflow time_series primary partial
+  miner_outflow time_series primary partial
+  miner_outflow_multiple time_series primary partial
+  mpi time_series primary partial
+  hash_rate time_series secondary partial
+  difficulty time_series secondary partial
 glassnode prices_ohlcv
-  spot_ohlcv candles secondary partial
-  futures_ohlcv candles secondary partial
-  index_price ts secondary partial
+  spot_ohlcv candlestick secondary partial
+  futures_ohlcv candlestick secondary partial
+  index_price time_series secondary partial
 glassnode volume_orderflow
-  cvd ts secondary partial
-  volume_delta ts secondary partial
-  buy_sell_pressure ts secondary partial
+  cvd time_series secondary partial
+  volume_delta time_series secondary partial
+  buy_sell_pressure time_series secondary partial
 glassnode institutional_flows
-  etf_flows ts primary partial
-  exchange_inflow ts secondary partial
-  exchange_outflow ts secondary partial
-  exchange_netflow ts secondary partial
-  exchange_reserve ts secondary partial
-  stablecoin_flows ts primary partial
+  etf_flows time_series primary partial
+  exchange_inflow time_series secondary partial
+  exchange_outflow time_series secondary partial
+  exchange_netflow time_series secondary partial
+  exchange_reserve time_series secondary partial
+  stablecoin_flows time_series primary partial
 glassnode liquidations
-  long_liquidations ts secondary partial
-  short_liquidations ts secondary partial
-  long_short_liquidations ts secondary partial
+  long_liquidations time_series secondary partial
+  short_liquidations time_series secondary partial
+  long_short_liquidations time_series secondary partial
 glassnode derivatives_open_interest
-  open_interest ts secondary partial
-  open_interest_change ts secondary partial
-  funding_rate ts secondary partial
-  basis ts secondary partial
-  futures_premium ts secondary partial
-  estimated_leverage_ratio ts secondary partial
+  open_interest time_series secondary partial
+  open_interest_change time_series secondary partial
+  funding_rate time_series secondary partial
+  basis time_series secondary partial
+  futures_premium time_series secondary partial
+  estimated_leverage_ratio time_series secondary partial
 glassnode sentiment_positioning
-  long_short_ratio ts tertiary partial
-  fear_greed ts tertiary partial
-  sentiment_index ts tertiary partial
+  long_short_ratio time_series tertiary partial
+  fear_greed time_series tertiary partial
+  sentiment_index time_series tertiary partial
 glassnode on_chain_miners
-  miner_reserve ts secondary partial
-  miner_inflow ts secondary partial
-  miner_outflow ts secondary partial
-  miner_outflow_multiple ts secondary partial
-  mpi ts secondary partial
-  hash_rate ts primary partial
-  difficulty ts primary partial
-  miner_revenue ts primary partial
+  miner_reserve time_series secondary partial
+  miner_inflow time_series secondary partial
+  miner_outflow time_series secondary partial
+  miner_outflow_multiple time_series secondary partial
+  mpi time_series secondary partial
+  hash_rate time_series primary partial
+  difficulty time_series primary partial
+  miner_revenue time_series primary partial
 glassnode options_volatility
-  implied_volatility ts primary partial
-  realized_volatility ts primary partial
-  options_open_interest ts primary partial
-  options_volume ts primary partial
-  put_call_ratio ts primary partial
-  skew ts primary partial
+  implied_volatility time_series primary partial
+  realized_volatility time_series primary partial
+  options_open_interest time_series primary partial
+  options_volume time_series primary partial
+  put_call_ratio time_series primary partial
+  skew time_series primary partial
   gamma_exposure heatmap@24h primary partial
   max_pain snapshot@latest primary partial
 volmex options_volatility
-  bviv ts primary external_provider_required
+  bviv time_series primary external_provider_required
 cme_cf_benchmarks options_volatility
-  bvx ts primary external_provider_required
+  bvx time_series primary external_provider_required
 """
+# The request parameters that the endpoints name.
 _SERIES = {"interval": "{timeframe}", "limit": "600"}
 PARAMS = {
     "futures": {"exchange": "Binance", "symbol": "BTCUSDT"} | _SERIES,
@@ -180,7 +181,6 @@ def _parse() -> list[dict[str, Any]]:
             continue
         subtype, kind, role, status, *rest = words
         kind, _, window = kind.partition("@")
-        kind = {"ts": "time_series", "candles": "candlestick"}.get(kind, kind)
         path, params = rest or (None, None)
         out.append(endpoint(provider, family, subtype, kind, role, status, path, PARAMS.get(params), [window] if window else None))
     return out

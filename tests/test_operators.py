@@ -367,6 +367,23 @@ def test_persistence(spark):
         tda.rolling_persistence_profile(ohlc(spark, 5), S, "close", 2, embed_dim=3)
 
 
+def test_loops(spark):
+    t = np.linspace(0, 2 * np.pi, 12, endpoint=False)
+    circle = np.c_[np.cos(t), np.sin(t)]
+    np.testing.assert_allclose(tda.loops(circle), [[2 * np.sin(np.pi / 12), np.sqrt(3)]])
+    two = np.r_[circle, circle + [10, 0]]
+    assert len(tda.loops(two)) == 2 and len(tda.loops(circle[:3])) == len(tda.loops(np.zeros((5, 2)))) == 0
+    np.testing.assert_allclose(tda.compute_persistence_diagram([[0, 0], [1, 0], [1, 1], [0, 1]], 1)[1], [[1, np.sqrt(2)]])
+    with pytest.raises(ValueError, match="max_dim"):
+        tda.compute_persistence_diagram(circle, 2)
+    with pytest.raises(ValueError, match="max_dim"):
+        tda.rolling_persistence_profile(ohlc(spark, 5), S, "close", 4, max_dim=-1)
+    x = np.array(col(ohlc(spark, 20), "close"))
+    got = col(tda.rolling_persistence_profile(ohlc(spark, 20), S, "close", 8, normalize_to_100=False, max_dim=1), "persistence")
+    clouds = [np.c_[x[k : k + 7], x[k + 1 : k + 8]] for k in range(13)]
+    np.testing.assert_allclose(got[7:], [tda.spanning_edges(c).sum() + sum(d - b for b, d in tda.loops(c)) for c in clouds])
+
+
 def test_persistence_against_brute_force(spark):
     x = np.array(col(ohlc(spark, 30), "close"))
     got = col(tda.rolling_persistence_profile(ohlc(spark, 30), S, "close", 8, normalize_to_100=False), "persistence")

@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no sample data")
 
 from seriesmill.plans import registry  # noqa: E402
 
-#: Runs over many payloads of one small table; test_pipeline.py covers the same plan.
+#: Runs over many payloads of one small table; test_whole_run of test_sources.py covers the same plan.
 SLOW = {"frame_pipeline_blocks"}
 
 

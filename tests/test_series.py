@@ -97,3 +97,16 @@ def test_patterns_see_every_row_once(bars):
 
 def test_largest_of_nothing(spark):
     assert series.largest(spark.createDataFrame([], "k string, t long"), S) == 0
+
+
+def test_kama_forgets_what_lies_before_its_halo():
+    """A step far back changes nothing in the rows behind the halo."""
+    from seriesmill.operators import recursive
+
+    n = recursive.kama_halo()
+    assert n > 45 * (31 / 2) ** 2
+    flat = pd.Series([100.0 + 0.01 * (i % 2) for i in range(n + 50)])
+    stepped = flat.copy()
+    stepped.iloc[:20] = 1000.0
+    a, b = recursive.kama(flat), recursive.kama(stepped)
+    assert (a - b).iloc[n + 20 :].abs().max() < 1e-12
