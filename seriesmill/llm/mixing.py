@@ -4,8 +4,8 @@ Each row gets an exponential key -ln(u) / w, where u in (0, 1) comes from the MD
 quality weight: the smallest keys of a source come first, so heavier rows come earlier. Rows are taken in key order
 until their source's budget is full; whole epochs of the source come before that fraction.
 
-A running sum over a source would put a hot source into one task. So the key's range is cut into buckets (1 -
-exp(-key) is near uniform), sums by (source, bucket) are made first, running sums over those few rows give each
+A running sum over a source would put a hot source into one task. So the key's range is cut into buckets of about as
+many rows each (place() makes keys near uniform, whatever the weights are), sums by (source, bucket) are made first, running sums over those few rows give each
 bucket its start, and rows are then summed inside (source, bucket). The number of buckets follows the number of rows.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a null doc_id draws as
@@ -55,7 +55,23 @@ def targets(sizes: DataFrame, total_share: float = 1.5, ceiling: float = 2.0, sh
 def draw(doc_id: Column, weight: Column) -> Column:
     """The exponential key of a row; the same in every run."""
     u = (F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    return -F.log(u) / F.when(weight > 0, weight).otherwise(1.0)
+    return -F.log(u) / _sound(weight)
+
+
+def _sound(weight: Column) -> Column:
+    return F.when(weight > 0, weight).otherwise(1.0)
+
+
+def place(rows: DataFrame, key: Column, weight: Column) -> Column:
+    """A number from 0 to 1 that grows with the key, near uniform over rows: their share with a smaller key, about.
+
+    Keys of weight w are exponential at rate w; weights count by powers of two (at most 65 of them reach the driver).
+    """
+    power = F.greatest(F.lit(-32.0), F.least(F.lit(32.0), F.round(F.log2(_sound(weight)))))
+    found = rows.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total = sum(r["n"] for r in found)
+    parts = [F.lit(r["n"] / total) * (1 - F.exp(F.lit(-(2.0 ** r["p"])) * key)) for r in found if r["p"] is not None]
+    return sum(parts[1:], parts[0]) if parts else 1 - F.exp(-key)
 
 
 def mix(docs: DataFrame, weight: str | None = None, size: str | None = None, total_share: float = 1.5, ceiling: float = 2.0, shares: tuple = SHARES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -69,7 +85,8 @@ def mix(docs: DataFrame, weight: str | None = None, size: str | None = None, tot
     w = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
     rows = docs.select(*own, words.alias("__sm_size"), draw(F.col("doc_id"), w).alias("__sm_key")).withColumnRenamed("__sm_size", "size")
     buckets = max(1, math.ceil(docs.count() / bucket_rows))
-    rows = rows.withColumn("__sm_bucket", F.least(F.floor((1 - F.exp(-F.col("__sm_key"))) * buckets), F.lit(buckets - 1)).cast("int"))
+    at = place(docs, F.col("__sm_key"), w) if weight and buckets > 1 else 1 - F.exp(-F.col("__sm_key"))
+    rows = rows.withColumn("__sm_bucket", F.least(F.floor(at * buckets), F.lit(buckets - 1)).cast("int"))
     part = rows.groupBy("source", "__sm_bucket").agg(F.sum("size").alias("__sm_sum"))
     t = targets(part.groupBy("source").agg(F.sum("__sm_sum").alias("source_size")), total_share, ceiling, shares)
     t = t.withColumnRenamed("source", "__sm_s")

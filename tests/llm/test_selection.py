@@ -90,6 +90,30 @@ def test_heavier_rows_come_earlier(spark):
     assert abs(rep.count() - 3000) <= 4
 
 
+def test_buckets_are_even_whatever_the_weights(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, 0.01).when(F.col("id") % 3 == 1, 30.0).otherwise(1.0).alias("w"))
+    key = mixing.draw(F.col("doc_id"), F.col("w"))
+    sizes = [r["count"] for r in rows.groupBy(F.floor(mixing.place(rows, key, F.col("w")) * 20)).count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 1.6 * 1000 and min(sizes) > 0.5 * 1000
+    df = rows.select("doc_id", F.lit("s").alias("source"), F.lit(10).alias("n"), "w")
+    whole, cut = ({r["doc_id"]: r["taken"] for r in mixing.mix(df, weight="w", size="n", bucket_rows=b).collect()} for b in (50_000, 500))
+    assert whole == cut
+
+
+def test_rows_are_taken_as_the_narrow_mix_says(spark, docs, awkward, clashing, empty):
+    """Texts moved once give the rows that repeat() gives; equal rows share what they are taken."""
+    narrow = mixing.narrow(docs)
+    got = mixing.take(docs, mixing.mix(narrow, size="words"))
+    want = mixing.repeat(mixing.mix(docs), ["doc_id", "source", "text"])
+    assert sorted(map(str, got.select("doc_id", "source", "text").collect())) == sorted(map(str, want.collect()))
+    assert got.columns == docs.columns and mixing.take(clashing, mixing.mix(mixing.narrow(clashing), size="words")).columns == clashing.columns
+    assert mixing.take(empty, mixing.mix(mixing.narrow(empty), size="words")).count() == 0
+    same = spark.createDataFrame([(1, "a b c d", "s")] * 5 + [(2, "e f g h", "s")], "doc_id long, text string, source string")
+    for total in (0.4, 1.0, 1.3, 1.7):
+        mixed = mixing.mix(mixing.narrow(same), size="words", total_share=total)
+        assert sorted(map(str, mixing.take(same, mixed).collect())) == sorted(map(str, mixing.repeat(mixing.mix(same, total_share=total), same.columns).collect()))
+
+
 def test_draw_is_exponential(spark):
     k = [r[0] for r in spark.range(20000).select(mixing.draw(F.col("id"), F.lit(2.0)).alias("k")).collect()]
     assert np.mean(k) == pytest.approx(0.5, rel=0.03) and min(k) > 0
