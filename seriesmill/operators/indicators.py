@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import div, typical_price, weighted_close
-from ..series import CHUNK_ROWS, Series, bounded, running_sum
+from ..series import CHUNK_ROWS, Series, bounded, largest, running_sum
 from .recursive import HALO, RECURSIVE, recursive_indicators
 
 FIB = (0.236, 0.382, 0.5, 0.618)
@@ -95,17 +95,18 @@ def compute_tr(df: DataFrame, s: Series) -> DataFrame:
     return df.withColumn("tr", true_range(s))
 
 
-def vwap(df: DataFrame, s: Series, chunk_rows: int = CHUNK_ROWS, bucket: Column | None = None, name: str = "vwap") -> DataFrame:
+def vwap(df: DataFrame, s: Series, chunk_rows: int = CHUNK_ROWS, bucket: Column | None = None, name: str = "vwap", longest: int | None = None) -> DataFrame:
     """Volume-weighted typical price since the first row of the series."""
     v = F.col("volume").cast("double")
-    df = running_sum(df, s, {"_pv": typical_price(F.col("high"), F.col("low"), F.col("close")) * v, "_cv": v}, chunk_rows, bucket)
+    df = running_sum(df, s, {"_pv": typical_price(F.col("high"), F.col("low"), F.col("close")) * v, "_cv": v}, chunk_rows, bucket, longest)
     return df.withColumn(name, div(F.col("_pv"), F.col("_cv"))).drop("_pv", "_cv")
 
 
-def obv(df: DataFrame, s: Series, chunk_rows: int = CHUNK_ROWS, bucket: Column | None = None, name: str = "obv", halo: int = 1) -> DataFrame:
+def obv(df: DataFrame, s: Series, chunk_rows: int = CHUNK_ROWS, bucket: Column | None = None, name: str = "obv", halo: int = 1, longest: int | None = None) -> DataFrame:
     """Running sum of volume by the sign of the close's change; the first change and a missing volume count 0."""
-    df = bounded(df, s, halo, lambda d, t: d.withColumn("_ch", F.coalesce(F.signum(t.diff("close")), F.lit(0.0))), chunk_rows, bucket)
-    return running_sum(df, s, {name: F.col("_ch") * F.coalesce(F.col("volume").cast("double"), F.lit(0.0))}, chunk_rows, bucket).drop("_ch")
+    longest = largest(df, s) if longest is None else longest
+    df = bounded(df, s, halo, lambda d, t: d.withColumn("_ch", F.coalesce(F.signum(t.diff("close")), F.lit(0.0))), chunk_rows, bucket, longest)
+    return running_sum(df, s, {name: F.col("_ch") * F.coalesce(F.col("volume").cast("double"), F.lit(0.0))}, chunk_rows, bucket, longest).drop("_ch")
 
 
 def ohlc_to_series(df: DataFrame, mode: str = "weighted") -> DataFrame:
@@ -137,5 +138,6 @@ def technical(bars: DataFrame, s: Series, chunk_rows: int = CHUNK_ROWS, bucket:
     if "volume" not in bars.columns:
         bars = bars.withColumn("volume", F.lit(0.0))
     own = bars.columns
-    out = bounded(bars, s, HALO, lambda d, t: recursive_indicators(frame_indicators(d, t), t, RECURSIVE), chunk_rows, bucket)
-    return obv(vwap(out, s, chunk_rows, bucket), s, chunk_rows, bucket).select(*own, *TECHNICAL)
+    longest = largest(bars, s)
+    out = bounded(bars, s, HALO, lambda d, t: recursive_indicators(frame_indicators(d, t), t, RECURSIVE), chunk_rows, bucket, longest)
+    return obv(vwap(out, s, chunk_rows, bucket, longest=longest), s, chunk_rows, bucket, longest=longest).select(*own, *TECHNICAL)

@@ -112,13 +112,14 @@ def largest(df: DataFrame, s: Series) -> int:
     return df.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def bounded(df: DataFrame, s: Series, halo: int, operator: Callable[[DataFrame, Series], DataFrame], chunk_rows: int = CHUNK_ROWS, bucket: Column | None = None) -> DataFrame:
+def bounded(df: DataFrame, s: Series, halo: int, operator: Callable[[DataFrame, Series], DataFrame], chunk_rows: int = CHUNK_ROWS, bucket: Column | None = None, longest: int | None = None) -> DataFrame:
     """operator(df, s) for an operator that looks back over at most `halo` rows, in chunks if a series is long.
 
+    longest is largest(df, s), for callers that stack several operators: the source is counted once then.
     Smoothing with decay looks back without end, but what lies before the halo weighs less than a double can hold when
     halo is large enough (recursive.py states how large).
     """
-    if largest(df, s) <= chunk_rows:
+    if (largest(df, s) if longest is None else longest) <= chunk_rows:
         return operator(df, s)
     rows = row_numbers(df, s, bucket).withColumn("_chunk", F.expr(f"_rn div {chunk_rows}"))
     late = F.col("_rn") % chunk_rows >= chunk_rows - halo
@@ -127,11 +128,11 @@ def bounded(df: DataFrame, s: Series, halo: int, operator: Callable[[DataFrame,
     return operator(rows, s.with_key("_chunk")).where("_halo = 0").drop("_rn", "_chunk", "_halo")
 
 
-def running_sum(df: DataFrame, s: Series, sums: dict[str, Column], chunk_rows: int = CHUNK_ROWS, bucket: Column | None = None) -> DataFrame:
+def running_sum(df: DataFrame, s: Series, sums: dict[str, Column], chunk_rows: int = CHUNK_ROWS, bucket: Column | None = None, longest: int | None = None) -> DataFrame:
     """df with sums from the first row of a series up to each row; a null adds nothing and is null in its own row."""
     rows = df.withColumns({f"_v_{k}": v for k, v in sums.items()})
     own = {k: F.when(F.col(f"_v_{k}").isNotNull(), F.sum(f"_v_{k}").over(s.upto)) for k in sums}
-    if largest(df, s) <= chunk_rows:
+    if (largest(df, s) if longest is None else longest) <= chunk_rows:
         return rows.withColumns(own).drop(*(f"_v_{k}" for k in sums))
     rows = rows.withColumn("_bucket", default_bucket(df, s) if bucket is None else bucket)
     part = rows.groupBy(*s.keys, "_bucket").agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in sums])
@@ -143,10 +144,10 @@ def running_sum(df: DataFrame, s: Series, sums: dict[str, Column], chunk_rows: i
     return out.select(*df.columns, *sums)
 
 
-def carry_forward(df: DataFrame, s: Series, columns: dict[str, Column], chunk_rows: int = CHUNK_ROWS, bucket: Column | None = None) -> DataFrame:
+def carry_forward(df: DataFrame, s: Series, columns: dict[str, Column], chunk_rows: int = CHUNK_ROWS, bucket: Column | None = None, longest: int | None = None) -> DataFrame:
     """df with the last non-null value of each column up to each row (forward fill), in two levels like running_sum()."""
     rows = df.withColumns({f"_v_{k}": v for k, v in columns.items()})
-    if largest(df, s) <= chunk_rows:
+    if (largest(df, s) if longest is None else longest) <= chunk_rows:
         return rows.withColumns({k: F.last(f"_v_{k}", True).over(s.upto) for k in columns}).drop(*(f"_v_{k}" for k in columns))
     rows = rows.withColumn("_bucket", default_bucket(df, s) if bucket is None else bucket)
     at = F.struct(*s.order)
