@@ -3,16 +3,16 @@
 The model's text is what the baseline counts: the words, lower-cased (A-Z), each with one blank behind it, and one end
 symbol (byte 0xFF, which UTF-8 never has). A byte is coded as eight binary decisions. The context of a decision is the
 bits of the byte so far and the bytes before it, word after word: DEPTH symbols, the SINGLE nearest bytes and beyond them
-pairs of bytes (each by its lower four bits), so that a context reaches SPAN bytes back, or to the last two bytes of the
-word before. Every node of the context tree keeps how often the training text decided 0 and 1 there; a node's
+pairs of bytes (each by its lower four bits), so that a context reaches SPAN bytes back, or to the last byte of the word
+before. Every node of the context tree keeps how often the training text decided 0 and 1 there; a node's
 Krichevsky-Trofimov probability P_e is weighted against the product of its children's: P_w = P_e / 2 + prod
 P_w(children) / 2. With all counts fixed, a decision's probability is the mixture over all depths that these weights
 imply; below the last node that training has seen it is one half, as for any unseen node. A text's score is the log10
 probability of all its bytes, so it can be set against the baseline's.
 
-A unit is a word with its blank (or the end symbol) behind the three bytes before it: the last two of the word before
-(blank where it has one only) and its blank; 0, 0 and a line feed at the beginning of a text. All that the contexts of
-its bytes can hold stands in a unit, so units that repeat are scored once.
+A unit is a word with its blank (or the end symbol) behind the two bytes before it: the last one of the word before and
+its blank; 0 and a line feed at the beginning of a text. All that the contexts of its bytes can hold stands in a unit, so
+units that repeat are scored once.
 
 Everything scales with the corpus and nothing of its size is broadcast. Units are counted by input block. The tree is
 cut into subtrees by the last two context bytes and dealt out by them; only the two upper levels (at most 256 * 255
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import groups
-from .common import drop, in_bucket, materialise, new_path, open_fs, small_batches
+from .common import drop, free, in_bucket, materialise, new_path, open_fs, small_batches
 from .flat import Words, chunks
 
 DEPTH, SINGLE = 7, 4
@@ -56,7 +56,7 @@ _LOG10 = np.log(10.0)
 
 
 #: Bytes before a unit that it carries along, and what they are at the beginning of a text.
-BEFORE, _BEGIN = 3, np.array([0, 0, 10], np.uint8)
+BEFORE, _BEGIN = 2, np.array([0, 10], np.uint8)
 
 
 def binary_array(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -89,11 +89,7 @@ def units(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     byte = np.arange(int(size.sum())) + np.repeat(w.start - (np.cumsum(size) - size), size)
     out[mine + byte] = w.data[byte]
     out[head[ends] + BEFORE] = END[0]
-    # The last two bytes of the word before; a word of one byte leaves the blank.
-    follows = head[at] + length[at]
-    out[follows + 1] = w.data[w.end - 1] if n else 0
-    long = size > 1
-    out[follows[long]] = w.data[w.end[long] - 2]
+    out[head[at] + length[at]] = w.data[w.end - 1] if n else 0  # the last byte of the word before
     first = np.append(0, ends[:-1] + 1)[: len(texts)]
     out[head[first][:, None] + np.arange(BEFORE)] = _BEGIN
     return binary_array(out, length), np.diff(w.first) + 1
@@ -320,53 +316,43 @@ def _unit_scores(listed: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def ask(batches):
-        """Grams of each part once, and grams with their training counts, as far as memory allows: repeats do no harm."""
-        wanted: dict[int, list[np.ndarray]] = {}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        """Grams of each part with their training counts, each once as far as memory allows: repeats do no harm."""
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         size = 0
 
         def merged():
-            nonlocal held, size
-            for p, parts in wanted.items():
-                wanted[p] = [np.unique(np.concatenate(parts))]
-            if held:
-                keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-                held = [(keys, np.bincount(at, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64))]
-            size = sum(len(x[0]) for x in wanted.values()) + sum(len(k) for k, _ in held)
+            nonlocal size
+            for p, parts in held.items():
+                keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                held[p] = [(keys, np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64))]
+            size = sum(len(x[0][0]) for x in held.values())
 
         def tell():
-            for p, (mine,) in wanted.items():
-                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(np.zeros(len(mine), np.int64)), pa.array(np.full(len(mine), p, np.int64))], ["gram", "n", "part"])
-            for keys, count in held:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(count), pa.array(np.full(len(keys), -1, np.int64))], ["gram", "n", "part"])
+            for p, ((keys, count),) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(count), pa.array(np.full(len(keys), p, np.int64))], ["gram", "n", "part"])
 
         for b in batches:
-            code = b.column("unit").dictionary_encode()
-            gram, of = grams(code.dictionary)
-            which, part = code.indices.to_numpy(), b.column("part").to_numpy(zero_copy_only=False)
-            n = np.bincount(which, b.column("n").to_numpy(zero_copy_only=False), len(code.dictionary))
-            some = n[of] > 0
-            if some.any():
-                keys, at = np.unique(gram[some], return_inverse=True)
-                held.append((keys, np.bincount(at, n[of[some]], len(keys)).astype(np.int64)))
-                size += len(keys)
+            part = b.column("part").to_numpy(zero_copy_only=False)
             for p in np.unique(part):
-                mine = np.zeros(len(code.dictionary), bool)
-                mine[which[part == p]] = True
-                wanted.setdefault(int(p), []).append(np.unique(gram[mine[of]]))
-                size += len(wanted[int(p)][-1])
+                mine = b if (part == p).all() else b.filter(pa.array(part == p))
+                code = mine.column("unit").dictionary_encode()
+                gram, of = grams(code.dictionary)
+                n = np.bincount(code.indices.to_numpy(), mine.column("n").to_numpy(zero_copy_only=False), len(code.dictionary))
+                keys, at = np.unique(gram, return_inverse=True)
+                held.setdefault(int(p), []).append((keys, np.bincount(at, n[of], len(keys)).astype(np.int64)))
+                size += len(keys)
             if size > 2 * _GRAMS:
                 merged()
                 if size > _GRAMS:
                     yield from tell()
-                    wanted, held, size = {}, [], 0
+                    held, size = {}, 0
         merged()
         yield from tell()
 
-    asked = asked_all = materialise(listed.select("unit", "n", "part").mapInArrow(ask, "gram long, n long, part long"), "grams")
+    asked = materialise(listed.select("unit", "n", "part").mapInArrow(ask, "gram long, n long, part long"), "grams")
     sub = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("sub")
-    leaves = materialise(asked.where("part = -1").groupBy("gram").agg(F.sum("n").alias("n")), "leaves")
-    asked = asked.where("part >= 0").select("gram", "part")
+    leaves = materialise(asked.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 0"), "leaves")
+    free(spark)
 
     def subtrees(rows: DataFrame) -> DataFrame:
         """Rows of whole subtrees side by side, so that a worker streams through them."""
@@ -381,6 +367,7 @@ def _unit_scores(listed: DataFrame) -> DataFrame:
     # At most 256 * 255 rows, whatever the corpus.
     top = crown([tuple(r) for r in high.groupBy("ctx", "node").agg(F.sum("n0"), F.sum("n1"), F.sum("s")).collect()])
     sent = spark.sparkContext.broadcast(top)
+    free(spark)
 
     def answer(batches):
         for t in groups(batches, ["sub"], _SUBTREE):
@@ -397,8 +384,9 @@ def _unit_scores(listed: DataFrame) -> DataFrame:
     both = leaves.select("gram", "n", F.lit(-1).cast("long").alias("part")).unionByName(asked.select("gram", F.lit(0).cast("long").alias("n"), "part"))
     told = subtrees(both).select("sub", "gram", "n", "part").mapInArrow(answer, "part long, gram long, lp double")
     path = _answers(told, "part", "gram-scores")
-    drop(asked_all)
+    drop(asked)
     drop(leaves)
+    free(spark)
 
     def score(batches):
         held, keys, lp = None, None, None
@@ -437,6 +425,8 @@ def score(docs: DataFrame) -> DataFrame:
     listed = counted.join(tokens, "tok").select("block", "unit", "n", "c", F.spark_partition_id().cast("long").alias("part"))
     listed = materialise(listed, "units")
     drop(counted)
+    drop(tokens)
+    free(spark)
     small_batches(spark)
     path = _answers(_unit_scores(listed), "block", "unit-scores")
     drop(listed)

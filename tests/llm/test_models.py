@@ -143,9 +143,9 @@ def test_held_out_accuracy_on_the_sample_data(spark):
 
 def plain_units(text):
     words = [w.encode() for w in WORD.findall(lower(text or ""))]
-    past, out = b"\0\0\n", []
+    past, out = b"\0\n", []
     for w in [*(w + b" " for w in words), b"\xff"]:
-        out.append(past[-3:] + w)
+        out.append(past[-2:] + w)
         past = b" " + w
     return out
 
@@ -236,7 +236,7 @@ def test_scores_against_a_plain_tree(spark):
 
 def test_probabilities_add_up(spark):
     """Over all bytes in one context."""
-    g, of = ctw.grams(pa.array([b"\0\0\nthe ", b"of then ", b"\0\0\nthe "], pa.large_binary()))
+    g, of = ctw.grams(pa.array([b"\0\nthe ", b"f then ", b"\0\nthe "], pa.large_binary()))
     keys, at = np.unique(g, return_inverse=True)
     n = np.bincount(at)
     ctx = int(g[3]) >> 8
