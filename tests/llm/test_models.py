@@ -69,13 +69,14 @@ def plain_score(m, text):
     ws = [w.encode().strip(b".,;:!?|*&%$#()[]\"'") for w in WORD.findall(lower(text or ""))]
     ws = [w[k : k + 64] for w in ws for k in range(0, len(w), 64)]
     d = []
-    for i in range(max(1, len(ws) - 1) if ws else 0):
+    ws = [w for w in ws if w]
+    for i in range(max(1, len(ws) - toxicity.WINDOW_WORDS + 1) if ws else 0):
         size = []
         for raw in (m.ordinary, m.toxic):
             own = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             how = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=128, dict_size=len(raw), min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
             own.precompute_compress(compression_params=how)
-            size.append(len(zstandard.ZstdCompressor(dict_data=own, compression_params=how).compress(b" ".join([toxicity.LEAD, *ws[i : i + 2], toxicity.TAIL]))))
+            size.append(len(zstandard.ZstdCompressor(dict_data=own, compression_params=how).compress(b" ".join([toxicity.LEAD, *ws[i : i + toxicity.WINDOW_WORDS], toxicity.TAIL]))))
         d.append(max(-12, min(32, size[0] - size[1])))
     best = [*sorted(d, reverse=True)[:3], 0, 0, 0][:3]
     over = [sum(x >= k for x in d) for k in (2, 3, 5)]
@@ -84,7 +85,15 @@ def plain_score(m, text):
     return 1 / (1 + math.exp(-z))
 
 
-def test_scores_against_plain_compression(spark, model):
+@pytest.mark.parametrize("size", [1, 2])
+def test_scores_against_plain_compression(spark, monkeypatch, size):
+    monkeypatch.setattr(toxicity, "WINDOW_WORDS", size)
+    model = toxicity.fit([toxic_text(i) for i in range(60)], [prose(80, 5000 + i) for i in range(200)], 0.2)
+    rows = [toxic_text(7), prose(30, 8), BAD[0], f"{prose(5, 1)}, {BAD[1]}! {prose(5, 2)}", "x" * 150, "é " * 9, ". ;", "", None, "one"]
+    assert [model.score(t) for t in rows] == pytest.approx([plain_score(model, t) for t in rows])
+
+
+def test_table_scores_against_plain_compression(spark, model):
     rows = [(i, t) for i, t in enumerate([toxic_text(7), prose(30, 8), BAD[0], f"{prose(5, 1)}, {BAD[1]}! {prose(5, 2)}", "x" * 150, "é " * 9, ".", "", None, "one"])]
     got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert got == pytest.approx({d: plain_score(model, t) for d, t in rows})
