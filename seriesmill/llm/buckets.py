@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,12 +35,14 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[keep], ids[label[keep]]
 
 
-def split_hot(rows: DataFrame, limit: int) -> DataFrame:
+def split_hot(rows: DataFrame, limit: int, weight: Column | None = None, counted: int = 1) -> DataFrame:
     """rows (key, id, home, ...) with group columns (key, i, j): chunk pairs of hot buckets, (key, 0, 0) of others.
 
-    The table of hot keys has at most rows / limit entries; it is joined, not broadcast by hand.
+    The table of hot keys has at most rows / limit entries; it is joined, not broadcast by hand. Rows count 1 each, or
+    their weight; one id in `counted` is counted, for all.
     """
-    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    some = rows if counted == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(counted)) == 0)
+    hot = some.groupBy("key").agg(((F.count(F.lit(1)) if weight is None else F.sum(weight)) * counted).alias("_n")).where(F.col("_n") > limit)
     hot = hot.select(F.col("key").alias("_k"), F.ceil(F.col("_n") / limit).cast("int").alias("_c"))
     rows = rows.join(hot, F.col("key") == F.col("_k"), "left").drop("_k").withColumn("_c", F.coalesce("_c", F.lit(1)))
     rows = rows.withColumn("_g", F.pmod(F.xxhash64("id", F.lit(7)), F.col("_c")).cast("int"))
@@ -48,15 +50,15 @@ def split_hot(rows: DataFrame, limit: int) -> DataFrame:
     return rows.select("*", F.least("_g", "_o").alias("i"), F.greatest("_g", "_o").alias("j")).drop("_o", "_c")
 
 
-def groups(batches: Iterator[pa.RecordBatch], by: list[str], most: int = 1 << 18) -> Iterator[pa.Table]:
-    """Tables of whole groups from sorted batches; about `most` rows each, or one larger group."""
+def groups(batches: Iterator[pa.RecordBatch], by: list[str], most: int = 1 << 18, room: int = 64 << 20) -> Iterator[pa.Table]:
+    """Tables of whole groups from sorted batches; about `most` rows or `room` bytes each, or one larger group."""
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
             n += batch.num_rows
-        if n >= most:
+        if n >= most or sum(b.nbytes for b in held) >= room:
             t = pa.Table.from_batches(held).combine_chunks()
             start = last_start(t, by)
             if start:
@@ -81,10 +83,10 @@ def last_start(t: pa.Table, by: list[str]) -> int:
     return int(starts(t, by)[-1])
 
 
-def bucket_links(rows: DataFrame, compare: Callable, limit: int = 2000, columns: tuple = ()) -> DataFrame:
+def bucket_links(rows: DataFrame, compare: Callable, limit: int = 2000, columns: tuple = (), counted: int = 1) -> DataFrame:
     """rows (key long, id long, ...) -> links (a, b): compare(table, starts) gives both ends as arrays for whole groups."""
     by = ["key", "i", "j"]
-    rows = split_hot(rows, limit).select(*by, "_g", "id", *columns)
+    rows = split_hot(rows, limit, counted=counted).select(*by, "_g", "id", *columns)
 
     def work(batches):
         for t in groups(batches, by):

@@ -10,8 +10,10 @@ is 1, and all values of the rest. A fingerprint's home is its nearest anchor; it
 covering radius plus the block's threshold, so a partner's home is always among them. Per anchor, homes are compared
 with the copies on all 64 bits. Equal fingerprints are one item from the start, so copies cost nothing here.
 
-Similarity 0.8 (similar_documents): sets of five-word shingles meet by MinHash bands, their 128-bit prints leave out
-what is far apart, and the rest is verified by the exact Jaccard similarity of the sets.
+Similarity 0.8 (similar_documents): sets of five-word shingles have prints of 128 bits in two words, each word in three
+blocks. Prints within 11 bits differ by at most 1 in one of the six blocks (6 * 2 > 11), so they meet at an anchor. Pairs
+at 0.8 often differ in more bits than anchors can cover; those meet in MinHash bands, which are added to the method. What
+meets is gathered in clusters, and there the exact Jaccard similarity of the sets decides, without a table of pairs.
 
 Defined results: null and empty texts have fingerprint 0 and link like any other; rows that repeat a doc_id are all
 kept; a null doc_id is never the least of a component unless all are null; an empty table gives an empty result.
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_links, forest, groups, split_hot, starts
-from .common import drop, materialise, small_batches, text_keys
+from .common import drop, free, materialise, small_batches, text_keys
 from .components import connected_components
 
 SHINGLE = 4
@@ -37,8 +39,9 @@ SEED = 42
 BLOCKS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 RADIUS = 4
 HAMMING = 15
-#: Blocks for both words of the wide fingerprints. Anchors can't cover WIDE_RADIUS; wide_links() meets by bands instead.
-WIDE_BLOCKS = (tuple((k, 16, 1) for k in range(0, 64, 16)),) * 2
+#: Blocks of the two words of the wide prints, and how many of the 128 bits may differ in a pair that an anchor brings
+#: together: prints of unrelated texts that share a block's anchor are hardly ever so close.
+WIDE_BLOCKS, ANCHOR_RADIUS = (((0, 21, 1), (21, 21, 1), (42, 22, 1)),) * 2, 28
 #: At similarity 0.8 19 of the 128 bits differ in the mean (spread 4; 24 for sets of five); beyond, nothing is verified.
 WIDE_RADIUS, WIDE_SHINGLE = 44, 5
 BAND_ROWS, BANDS = 4, 32
@@ -48,6 +51,10 @@ _MUL = _RNG.integers(1, 1 << 63, BAND_ROWS * BANDS, dtype=np.uint64) | np.uint64
 _ADD = _RNG.integers(0, 1 << 63, BAND_ROWS * BANDS, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 15
+#: Shingles that weigh as much as one more row where sets are dealt out, and pairs of rows that are compared at a time.
+_SHINGLES, _PAIRS = 512, 1 << 16
+#: Of the rows of anchors one in so many is counted to tell which anchors are hot.
+_COUNTED = 16
 
 
 def text_key() -> Column:
@@ -183,10 +190,10 @@ def fingerprint_links(fps: DataFrame, limit: int = 2000) -> DataFrame:
     return _found(rows, _compare, limit, ("home",))
 
 
-def _found(rows: DataFrame, compare, limit: int, columns: tuple) -> DataFrame:
+def _found(rows: DataFrame, compare, limit: int, columns: tuple, counted: int = 1) -> DataFrame:
     """The links among anchored rows, as a table; the rows' own table, which is far larger, goes."""
     rows = materialise(rows, "anchors")
-    links = materialise(bucket_links(rows, compare, limit, columns), "found-links")
+    links = materialise(bucket_links(rows, compare, limit, columns, counted), "found-links")
     drop(rows)
     return links
 
@@ -243,83 +250,146 @@ def second_word(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _met(t: pa.Table, bounds: np.ndarray, every: bool):
-    """Pairs (a, b), a > b, of bucket members that may be similar, in pieces.
+def _homes(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether the anchor of a row is the code word next to its print's own block, of which there is just one."""
+    out = np.zeros(len(key), bool)
+    for word, blocks in enumerate(WIDE_BLOCKS):
+        for number, (first, bits, _) in enumerate(blocks):
+            mine = np.flatnonzero(key >> 40 == (word << 4) + number)
+            block = ((low, high)[word][mine] >> np.uint64(first)) & np.uint64((1 << bits) - 1)
+            away = block ^ (key[mine].view(np.uint64) & np.uint64((1 << bits) - 1))
+            out[mine] = (away >> np.uint64(HAMMING) == 0) & (np.bitwise_count(away) <= 1)
+    return out
+
+
+def _near(radius: int, anchored: bool):
+    """A compare function for bucket_links(): rows (homes only, if anchored) against all rows within radius bits."""
+
+    def compare(t: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, side, i, j = (t[c].to_numpy() for c in ("id", "_g", "i", "j"))
+        low, high = ids.view(np.uint64), t["high"].to_numpy().view(np.uint64)
+        home = np.flatnonzero(_homes(t["key"].to_numpy(), low, high)) if anchored else np.arange(t.num_rows)
+        group = np.searchsorted(bounds, home, "right") - 1
+        first, size = bounds[group], np.diff(bounds)[group]
+        ends, at = np.cumsum(size), 0
+        left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        while at < len(home):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + _PAIRS, "right")))
+            some = size[at:stop]
+            x = np.repeat(home[at:stop], some)
+            y = np.arange(len(x)) + np.repeat(first[at:stop] - (np.cumsum(some) - some), some)
+            close = np.flatnonzero((np.bitwise_count(low[x] ^ low[y]) + np.bitwise_count(high[x] ^ high[y]) <= radius) & (ids[x] != ids[y]))
+            x, y = x[close], y[close]
+            keep = (i[x] == j[x]) | (side[x] != side[y])
+            left.append(ids[x[keep]])
+            right.append(ids[y[keep]])
+            held += int(keep.sum())
+            if held > 1 << 18:  # a large group of close prints: keep a forest of its links only
+                a, b = forest(np.concatenate(left), np.concatenate(right))
+                left, right, held = [a], [b], len(a)
+            at = stop
+        return np.concatenate(left), np.concatenate(right)
+
+    return compare
+
 
-    All pairs of different parts if `every`; otherwise, for each member, that with the least id and the closest one.
+def anchored_pairs(items: DataFrame, limit: int = 2000) -> DataFrame:
+    """Prints (low, high) -> links (a, b) of low words that connect what meets at an anchor within ANCHOR_RADIUS bits.
+
+    No pair within 11 bits is missed.
     """
-    ids, side, n, part = (t[c].to_numpy() for c in ("id", "_g", "n", "part"))
-    i, j, low, high = t["i"].to_numpy(), t["j"].to_numpy(), t["low"].to_numpy().view(np.uint64), t["high"].to_numpy().view(np.uint64)
-
-    def close(x, y):
-        """(whether y may be similar to x and has a lesser id, differing bits)."""
-        far = np.bitwise_count(low[x] ^ low[y]) + np.bitwise_count(high[x] ^ high[y])
-        fits = (far <= WIDE_RADIUS) & (ids[x] > ids[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
-        return fits & ((i[x] == j[x]) | (side[x] != side[y])) & ((part[x] != part[y]) | (not every)), far
-
-    sizes = np.diff(bounds)
-    two = bounds[:-1][sizes == 2]
-    x, y = np.concatenate([two, two + 1]), np.concatenate([two + 1, two])
-    keep = close(x, y)[0]
-    left, right, held = [ids[x[keep]]], [ids[y[keep]]], 0
-    for k in np.flatnonzero(sizes > 2):
-        s, e = bounds[k], bounds[k + 1]
-        step = max(1, (1 << 18) // (e - s))
-        others = np.arange(s, e)
-        for first in range(s, e, step):
-            mine = np.arange(first, min(e, first + step))
-            fits, far = close(mine[:, None], others[None, :])
-            if every:
-                x, y = np.nonzero(fits)
-            else:
-                x = np.flatnonzero(fits.any(axis=1))
-                fits, far = fits[x], far[x]
-                least = np.where(fits, ids[s:e][None, :], np.iinfo(np.int64).max).argmin(axis=1)
-                near = np.where(fits, far, 255).argmin(axis=1)
-                x, y = np.concatenate([x, x]), np.concatenate([least, near])
-            left.append(ids[mine[x]])
-            right.append(ids[s + y])
-            held += len(x)
-            if held > 1 << 18:
-                yield np.concatenate(left), np.concatenate(right)
-                left, right, held = [], [], 0
-    if left:
-        yield np.concatenate(left), np.concatenate(right)
-
-
-def wide_candidates(rows: DataFrame, every: bool, limit: int) -> DataFrame:
-    """rows (key, id, n, low, high, part) -> different pairs (a, b) that meet in a bucket, as _met() picks them."""
-    by = ["key", "i", "j"]
-    rows = split_hot(rows, limit).select(*by, "_g", "id", "n", "low", "high", "part")
 
-    def work(batches):
-        for t in groups(batches, by):
-            for a, b in _met(t, np.append(starts(t, by), t.num_rows), every):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def spread(batches):
+        for b in batches:
+            low, high = (b.column(c).to_numpy(zero_copy_only=False) for c in ("low", "high"))
+            for k in range(0, len(low), 1024):
+                for word, blocks in enumerate(WIDE_BLOCKS):
+                    key, index, _ = anchors((low, high)[word][k : k + 1024], blocks)
+                    index = index + k
+                    yield pa.RecordBatch.from_arrays([pa.array(key + (word << 44)), pa.array(low[index]), pa.array(high[index])], ["key", "id", "high"])
+
+    rows = items.select("low", "high").mapInArrow(spread, "key long, id long, high long")
+    return _found(rows, _near(ANCHOR_RADIUS, True), limit, ("high",), min(_COUNTED, max(1, limit // 100)))
+
+
+def banded_pairs(items: DataFrame, limit: int = 2000) -> DataFrame:
+    """Prints (low, high, bands) -> links (a, b) of low words that connect what shares a band within WIDE_RADIUS bits."""
+    rows = items.select(F.explode("bands").alias("key"), F.col("low").alias("id"), "high")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    return _found(rows.join(shared, "key", "left_semi"), _near(WIDE_RADIUS, False), limit, ("high",))
+
+
+def _alike(t: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links of similarity 0.8 or more in each group, by the sets of shingles themselves.
+
+    A row is compared with those behind it that aren't linked with it yet.
+    """
+    ids, side, n, i, j = (t[c].to_numpy() for c in ("id", "_g", "n", "i", "j"))
+    low, high = t["low"].to_numpy().view(np.uint64), t["high"].to_numpy().view(np.uint64)
+    sets = t["s"].combine_chunks()
+    sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+    cut, values = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy()
+    left, right = [], []
+    for s, e in zip(bounds[:-1], bounds[1:]):
+        if e - s < 2:
+            continue
+        code = np.unique(values[cut[s] : cut[e]], return_inverse=True)[1]
+        start, size = cut[s:e] - cut[s], np.diff(cut[s : e + 1])
+        mark, label = np.zeros(len(code), bool), np.arange(e - s)
+        for x in range(e - s - 1):
+            rest = x + 1 + np.flatnonzero(label[x + 1 :] != label[x])
+            a, b = s + x, s + rest
+            far = np.bitwise_count(low[a] ^ low[b]) + np.bitwise_count(high[a] ^ high[b])
+            fits = (far <= WIDE_RADIUS) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & ((i[a] == j[a]) | (side[a] != side[b]))
+            y = rest[fits]
+            if not len(y):
+                continue
+            mine, many = code[start[x] : start[x] + size[x]], size[y]
+            before = np.cumsum(many) - many
+            mark[mine] = True
+            shared = np.add.reduceat(mark[code[np.arange(many.sum()) + np.repeat(start[y] - before, many)]], before, dtype=np.int64)
+            mark[mine] = False
+            y = y[9 * shared >= 4 * (size[x] + many)]
+            if len(y):
+                joined, one = np.unique(label[y], return_index=True)
+                left.append(np.full(len(one), ids[a]))
+                right.append(ids[s + y[one]])
+                label[np.isin(label, joined)] = label[x]
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(left), np.concatenate(right)
 
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return rows.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(work, "a long, b long").distinct()
 
+def _verified(clusters: DataFrame, items: DataFrame, docs: DataFrame, size: int, limit: int) -> DataFrame:
+    """clusters (node, component) of low words -> links (a, b) that connect all pairs of similarity 0.8 or more in a cluster.
 
-def _verified(pairs: DataFrame, items: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets of shingles have a Jaccard similarity of at least 0.8, from the texts themselves."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    wanted = materialise(items.join(wanted, F.col("fp") == F.col("_id"), "left_semi").select("fp", F.col("least_text").alias("_t")), "wanted")
+    Each set goes to its cluster once (to each pair of chunks of a large cluster), and links come out, not pairs.
+    """
+    wanted = items.join(clusters, items["low"] == clusters["node"], "left").select(F.coalesce("component", "low").alias("key"), F.col("fp").alias("id"), "n", "low", "high", F.col("least_text").alias("_t"))
+    several = wanted.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    wanted = materialise(wanted.join(several, "key", "left_semi"), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    text = docs.select(text_key().alias("text_key"), "text").join(F.broadcast(wanted) if few else wanted, F.col("text_key") == F.col("_t"))
+    texts = wanted.select("id", "_t")
+    text = docs.select(text_key().alias("text_key"), "text").join(F.broadcast(texts) if few else texts, F.col("text_key") == F.col("_t"))
 
     def sets(batches):
         for b in batches:
             s = [np.unique(shingle_hashes(t.as_py(), size)).view(np.int64) for t in b.column("text")]
             ends = np.cumsum([0, *map(len, s)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *s])))], ["fp", "s"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *s])))], ["id", "s"])
 
     # Copies of a text give the same set; one row of it goes on.
-    s = materialise(text.select("fp", "text").mapInArrow(sets, "fp long, s array<long>").groupBy("fp").agg(F.any_value("s").alias("s")), "shingle-sets")
-    both = pairs.join(s.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(s.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    links = materialise(both.where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "found-links")
-    drop(s)
+    s = text.select("id", "text").mapInArrow(sets, "id long, s array<long>").groupBy("id").agg(F.any_value("s").alias("s"))
+    by = ["key", "i", "j"]
+    rows = split_hot(wanted.drop("_t"), limit, 1 + F.col("n") / _SHINGLES).select(*by, "_g", "id", "n", "low", "high").join(s, "id")
+
+    def work(batches):
+        for t in groups(batches, by):
+            a, b = _alike(t, np.append(starts(t, by), t.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    links = materialise(rows.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(work, "a long, b long"), "found-links")
     drop(wanted)
     return links
 
@@ -328,22 +398,15 @@ def wide_links(items: DataFrame, docs: DataFrame, size: int = WIDE_SHINGLE, limi
     """Distinct (fp, n, low, high, bands, least_text) -> links (a, b) that connect all pairs of similarity 0.8 or more.
 
     A pair of similarity 0.8 shares none of the bands with probability (1 - 0.8 ** BAND_ROWS) ** BANDS, under 1e-7. What
-    meets and lies within WIDE_RADIUS is verified on the sets: first one or two partners of each member of a bucket,
-    then, once those are linked, all pairs of members that aren't in one component yet.
+    meets at an anchor or in a band is connected to clusters, and all pairs of a cluster within WIDE_RADIUS are verified.
     """
-    rows = items.select(F.explode("bands").alias("key"), F.col("fp").alias("id"), "n", "low", "high")
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
-    rows = materialise(rows.join(shared, "key", "left_semi"), "band-rows")
-    first = materialise(wide_candidates(rows.withColumn("part", F.col("id")), False, limit), "candidates")
-    links = _verified(first, items, docs, size)
-    parts = connected_components(links)
-    left = rows.join(parts, rows["id"] == parts["node"], "left").select(*rows.columns, F.coalesce("component", "id").alias("part"))
-    rest = materialise(wide_candidates(left, True, limit).join(first, ["a", "b"], "left_anti"), "candidates")
-    drop(rows)
-    more = _verified(rest, items, docs, size)
-    drop(first)
-    drop(rest)
-    return links.union(more)
+    met = anchored_pairs(items, limit), banded_pairs(items, limit)
+    free(items.sparkSession)
+    clusters = connected_components(met[0].union(met[1]))
+    links = _verified(clusters, items, docs, size, limit)
+    for x in met:
+        drop(x)
+    return links
 
 
 def similar_documents(docs: DataFrame, size: int = WIDE_SHINGLE, limit: int = 2000) -> DataFrame:

@@ -195,6 +195,35 @@ def test_similarity_is_exact_at_the_threshold(spark):
     assert all(comp[d] == 1000 for d in range(1000, 1030))
 
 
+def test_every_pair_within_eleven_of_128_bits_meets(spark):
+    """The anchors of the wide prints, over chunk pairs as well; prints that nothing is near meet nothing."""
+    r, pairs, rows = random.Random(4), [], []
+    for k in range(80):
+        x = r.getrandbits(128)
+        for y in (x, x ^ (1 << k % 64) ^ sum(1 << b for b in r.sample(sorted({*range(128)} - {k % 64}), 10 if k % 2 else k % 11))):
+            rows.append(tuple(v - (1 << 64) if v >> 63 else v for v in (y & (2**64 - 1), y >> 64)))
+        pairs.append(frozenset((rows[-2][0], rows[-1][0])))
+    for limit in (2000, 2):
+        found = simhash.anchored_pairs(spark.createDataFrame(rows, "low long, high long"), limit)
+        assert {frozenset((x["a"], x["b"])) for x in found.collect()} == set(pairs)
+
+
+@pytest.mark.parametrize("limit", [2000, 60])
+def test_a_large_group_of_near_texts_makes_no_table_of_pairs(spark, limit):
+    """Edits of one text, similar to some others of them and not to most: classes as by brute force, few rows."""
+    r, w, rows = random.Random(6), prose(150, 77).split(), []
+    for i in range(240):
+        edits = set(r.sample(range(150), r.randrange(12)))
+        rows.append((i, " ".join(f"e{i}x{k}" if k in edits else x for k, x in enumerate(w))))
+    rows += [(300 + i, t) for i, (_, t) in enumerate(rows[:20])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = simhash.wide_fingerprints(df, 5).dropDuplicates(["fp"])
+    assert 200 < simhash.banded_pairs(prints, limit).count() < 20 * 240
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(df, limit=limit).collect()}
+    want = plain_components(rows, lambda a, b: jaccard(a, b) >= 0.8)
+    assert [got[d] for d, _ in rows] == want and 20 < len(set(want)) < 200
+
+
 # --- passages ----------------------------------------------------------------------------------------------
 
 
