@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links between ids -> (id, least id of its component) for every id that isn't the least."""
@@ -93,6 +95,7 @@ def bucket_links(rows: DataFrame, compare: Callable, limit: int = 2000, columns:
             a, b = compare(t, np.append(starts(t, by), t.num_rows))
             a, b = forest(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        give_back()
 
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return rows.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(work, "a long, b long")

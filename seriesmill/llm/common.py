@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
 _OWN: dict[str, str] = {}
+_CACHES: dict[str, Callable[[], None]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,6 +79,26 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 6 << 20)
 
 
+def turn_to(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """In a Python worker, which outlives its tasks: lets go of what other operators have cached there.
+
+    forget: what lets go of this operator's own cache once another one is turned to.
+    """
+    for name in [x for x in _CACHES if x != operator]:
+        _CACHES.pop(name)()
+    if forget:
+        _CACHES[operator] = forget
+
+
+def give_back() -> None:
+    """In a Python worker at the end of a task: memory that is free, but still held by allocators, goes to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

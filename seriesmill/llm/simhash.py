@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_links, forest, groups, split_hot, starts
-from .common import drop, free, materialise, small_batches, text_keys
+from .common import drop, free, give_back, materialise, small_batches, text_keys, turn_to
 from .components import connected_components
 
 SHINGLE = 4
@@ -95,6 +95,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def work(batches):
+        turn_to("simhash")
         for b in batches:
             fps = [fingerprint(shingle_hashes(t.as_py(), size)) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(fps, pa.int64())], ["doc_id", "text_key", "fp"])
@@ -224,6 +225,7 @@ def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def work(batches):
+        turn_to("simhash")
         for b in batches:
             fp, n, low, high, bands = [], [], [], [], []
             for t in b.column("text"):
@@ -236,6 +238,7 @@ def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
             ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *bands])))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), listed], ["doc_id", "text_key", "fp", "n", "low", "high", "bands"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_key().alias("text_key"), "text")
@@ -307,6 +310,7 @@ def anchored_pairs(items: DataFrame, limit: int = 2000) -> DataFrame:
                     key, index, _ = anchors((low, high)[word][k : k + 1024], blocks)
                     index = index + k
                     yield pa.RecordBatch.from_arrays([pa.array(key + (word << 44)), pa.array(low[index]), pa.array(high[index])], ["key", "id", "high"])
+        give_back()
 
     rows = items.select("low", "high").mapInArrow(spread, "key long, id long, high long")
     return _found(rows, _near(ANCHOR_RADIUS, True), limit, ("high",), min(_COUNTED, max(1, limit // 100)))
@@ -387,6 +391,7 @@ def _verified(clusters: DataFrame, items: DataFrame, docs: DataFrame, size: int,
         for t in groups(batches, by):
             a, b = _alike(t, np.append(starts(t, by), t.num_rows))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        give_back()
 
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     links = materialise(rows.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(work, "a long, b long"), "found-links")

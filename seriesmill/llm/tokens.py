@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ShardFile, materialise, new_path, open_fs, small_batches
+from .common import ShardFile, materialise, new_path, open_fs, small_batches, turn_to
 
 HEAD, TAIL = b"SMSST001", b"SMSSTEND"
 BLOCK_BYTES = 1 << 16
@@ -324,6 +324,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end: int | None = 1
     small_batches(spark)
 
     def work(batches):
+        turn_to("tokens", _LOADED.clear)
         tok = tokenizer(tokenizer_path, end)
         kind, about = f"<u{tok.width}", {"tokenizer": tokenizer_path.rsplit("/", 1)[-1], "end": end}
         out, done = None, []

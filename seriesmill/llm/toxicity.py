@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_bucket, small_batches
+from .common import in_bucket, small_batches, turn_to
 
 SAMPLE = 3000
 SAMPLE_BYTES = 48 << 20
@@ -51,6 +51,8 @@ CLASSES = (4, 2)  # held out: crc32(doc_id as text) mod 4 is 2
 _STRIP = b".,;:!?|*&%$#()[]\"'"
 _WINDOW = 64
 _LOW, _HIGH = -12, 32
+#: Distances of different words that a worker keeps.
+_WORDS = 400_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -131,7 +133,7 @@ class Model:
         if not found:
             return np.zeros(0, np.int64)
         cache = self._cache
-        if len(cache) > 1_000_000:
+        if len(cache) > _WORDS:
             cache.clear()
         for w in set(found):
             if w not in cache:
@@ -257,6 +259,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
 
     def work(batches):
+        turn_to("toxicity")
         m = sent.value
         for b in batches:
             s = [m.score(t.as_py()) for t in b.column("text")]
@@ -274,6 +277,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
 
     def work(batches):
+        turn_to("toxicity")
         m = sent.value
         for b in batches:
             keep = [m.score(t.as_py()) < THRESHOLD for t in b.column("text")]

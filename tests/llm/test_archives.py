@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from seriesmill.llm import tokens, warc
+from seriesmill.llm import common, tokens, warc
 
 from .conftest import prose, sample_data
 
@@ -108,6 +108,15 @@ def test_word_cache_gives_what_the_library_gives(tokenizer_file):
         assert np.frombuffer(own.ids(t), width).tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_a_worker_that_turns_to_another_operator_lets_go(tokenizer_file):
+    common.turn_to("tokens", tokens._LOADED.clear)
+    tokens.tokenizer(tokenizer_file).ids("some words")
+    common.turn_to("tokens", tokens._LOADED.clear)
+    assert tokens._LOADED
+    common.turn_to("simhash")
+    assert not tokens._LOADED and not common._CACHES
+
+
 @pytest.mark.parametrize("width", [2, 4])
 def test_shard_lookup(tmp_path, width):
     r = random.Random(1)
