@@ -12,13 +12,14 @@ probability of all its bytes, so it can be set against the baseline's.
 
 A unit is a word with its blank (or the end symbol) behind the three bytes before it: the last two of the word before
 (blank where it has one only) and its blank; 0, 0 and a line feed at the beginning of a text. All that the contexts of
-its bytes can hold stands in a unit, so units that repeat are scored once.
+its bytes can hold stands in a unit, so units that repeat in a chunk of texts are scored once.
 
-Everything scales with the corpus and nothing of its size is broadcast. Units are counted by input block. The tree is
-cut into subtrees by the last two context bytes and dealt out by them; only the two upper levels (at most 256 * 255
-nodes) pass through the driver. What a block needs (the scores of the units it holds, and before that the probabilities
-of the byte grams that a set of units holds) is asked for by (block, key), answered by a shuffle, and written as one
-folder a block, which the task of that block reads.
+Everything scales with the corpus and nothing of its size is broadcast. Texts are taken in chunks, neighbouring rows of
+one file split. A chunk asks for its byte grams, each once with its count in training rows, and for its words: sorted
+and compressed blocks of bytes, one for each part of the tree. The tree is cut into subtrees by the last two context
+bytes and dealt out by them; only the two upper levels (at most 256 * 255 nodes) pass through the driver. A part answers
+a block with another one that holds just the probabilities, in the order of the question. The chunk is then read again,
+which gives the same grams in the same order (a check value of each block holds it to that), and looks them up.
 
 Baseline: words lower-cased (A-Z) and one end per text; sum of log10((c + 1) / (N + V + 1)) over a text's tokens.
 
@@ -34,25 +35,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as pads
 import xxhash
+from pyarrow import fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import groups
-from .common import drop, free, in_bucket, materialise, new_path, open_fs, small_batches
-from .flat import Words, chunks
+from .common import free, give_back, in_bucket, materialise, new_path, open_fs, remove, small_batches
+from .flat import Words, chunks, mixed
 
 DEPTH, SINGLE = 7, 4
 #: Bytes before a byte that its context reaches back.
 SPAN = SINGLE + 2 * (DEPTH - SINGLE)
 CLASSES = (7, 2)  # held out: crc32(doc_id as text) mod 7 is 2
 END = b"\xff"
-_MOST = 600_000
-#: Rows of subtrees that a worker holds, about, or one larger subtree.
+#: Bytes of text in a chunk, or one larger text.
+_CHUNK = 16 << 20
+#: Units whose grams are told at a time.
+_UNITS = 200_000
+#: Grams of subtrees that are worked on at a time, about, or one larger subtree.
 _SUBTREE = 1 << 16
-#: Grams that a task holds before it tells them.
-_GRAMS = 3_000_000
-_LOG10 = np.log(10.0)
 
 
 #: Bytes before a unit that it carries along, and what they are at the beginning of a text.
@@ -99,10 +100,19 @@ def units(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     return binary_array(out, length), np.diff(w.first) + 1
 
 
-def token(unit: bytes) -> int:
-    """Key of the baseline's token in a unit: a hash of the word; 0 for the end."""
-    word = unit[BEFORE:-1]
-    return (xxhash.xxh3_64_intdigest(word) >> 1 or 1) if word else 0
+def tokens(batch: pa.Array) -> np.ndarray:
+    """Keys of the baseline's tokens in units: a sum of 64-bit words, one for each byte and place of the word; 0 for the end."""
+    data, sizes = flat_bytes(batch)
+    size = sizes - BEFORE - 1
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    byte = data[place + np.repeat(np.cumsum(sizes) - sizes + BEFORE, size)]
+    out = np.zeros(len(sizes), np.uint64)
+    some = size > 0
+    if some.any():
+        found = np.add.reduceat(mixed((place.astype(np.uint64) << np.uint64(8) | byte) + np.uint64(1)), first[some])
+        out[some] = np.maximum(found, np.uint64(1))
+    return out
 
 
 # --- the tree ----------------------------------------------------------------------------------------------
@@ -166,24 +176,32 @@ def bits(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
 
 
+def _runs(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin; there is at least one key."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+
+
 class Subtrees:
     """Nodes of depth TOP and deeper over different grams with training counts (0 for grams that are only asked for).
 
     A node without counts has P_w = 1, so it changes no other, and gives one half as any unseen node does. Nodes of one
     depth are sorted by the bits so far, then by the context from the nearest byte on: those of one parent are side by
-    side, so sums go up and probabilities go down by runs, without a search.
+    side, so sums go up and probabilities go down by runs, without a search. Trees of different bits so far share no
+    node, so the decisions of a large subtree may be taken one by one.
     """
 
     TOP = 2
 
-    def __init__(self, gram: np.ndarray, n: np.ndarray):
-        node, self.bit = bits(gram)
+    def __init__(self, gram: np.ndarray, n: np.ndarray, decisions: slice = slice(8)):
+        node, self.bit = (x[decisions] for x in bits(gram))
         context = gram.view(np.uint64).byteswap() & np.uint64((1 << 56) - 1)
         key = ((node.astype(np.uint64) << np.uint64(56)) | context[None, :]).ravel()
-        order = np.argsort(key)
+        by = np.arange(len(gram)) if (context[1:] >= context[:-1]).all() else np.argsort(context)
+        # Decisions come one after another, and so do their nodes; the sort of bytes keeps contexts in order.
+        order = np.concatenate([j * len(gram) + by[np.argsort(x[by].astype(np.uint8), kind="stable")] for j, x in enumerate(node)])
         key, one = key[order], self.bit.ravel()[order]
-        count = np.tile(n.astype(float), 8)[order]
-        first = self._runs(key)
+        count = np.tile(n.astype(float), len(node))[order]
+        first = _runs(key)
         self.leaf = np.empty(len(order), np.int64)
         self.leaf[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
         n0, n1 = np.add.reduceat(count * (1 - one), first), np.add.reduceat(count * one, first)
@@ -192,7 +210,7 @@ class Subtrees:
         self.levels = [(np.ones(len(n0)), (n1 + 0.5) / (n0 + n1 + 1), None)]
         for d in range(DEPTH - 1, self.TOP - 1, -1):
             key = self.key >> np.uint64(8) if d < DEPTH - 1 else self.key >> np.uint64(8 * (8 - DEPTH))
-            first = self._runs(key)
+            first = _runs(key)
             self.levels[-1] = (*self.levels[-1][:2], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key)))))
             n0, n1, below = (np.add.reduceat(x, first) for x in (n0, n1, self.below))
             own = log_kt(n0, n1)
@@ -200,14 +218,10 @@ class Subtrees:
             self.levels.append((1 / (1 + np.exp(np.clip(below - own, -700, 700))), (n1 + 0.5) / (n0 + n1 + 1), None))
         self.n0, self.n1 = n0, n1
 
-    @staticmethod
-    def _runs(key: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-
     def sums(self) -> tuple:
         """(nearest byte, bits so far, n0, n1, sum of log P_w) of the nodes above, as far as they lie here."""
         key = self.key >> np.uint64(8)
-        first = self._runs(key)
+        first = _runs(key)
         key = key[first].astype(np.int64)
         return (key & 255, key >> 8, *(np.add.reduceat(x, first) for x in (self.n0, self.n1, self.below)))
 
@@ -248,215 +262,325 @@ def crown(rows: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, block): block names the file split that a row is read from; other inputs are written first."""
+    """(doc_id, text, block): block names the file split that a row is read from, in one task and always in one order.
+
+    Inputs that don't come straight from files, or from very many small ones, are written first.
+    """
     name = F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("block")
+    rows = docs.select("doc_id", "text")
+    run = rows._jdf.queryExecution()
     try:
-        return docs.select("doc_id", "text", name)
+        if "Exchange" not in run.executedPlan().toString() and len(docs.inputFiles()) <= 4 * run.toRdd().getNumPartitions():
+            return docs.select("doc_id", "text", name)
     except AnalysisException:
-        return materialise(docs.select("doc_id", "text"), "texts").select("doc_id", "text", name)
+        pass
+    return materialise(rows, "texts").select("doc_id", "text", name)
+
+
+def sortable(gram: np.ndarray) -> np.ndarray:
+    """Grams as words that sort by the context from the nearest byte on, then by the byte: subtrees lie side by side."""
+    x = gram.view(np.uint64).byteswap()
+    return (x << np.uint64(8)) | (x >> np.uint64(56))
+
+
+def from_sortable(key: np.ndarray) -> np.ndarray:
+    return ((key >> np.uint64(8)) | (key << np.uint64(56))).byteswap().view(np.int64)
+
+
+def pack(values: np.ndarray, size: int) -> bytes:
+    """The lowest `size` bytes of 64-bit words, first all lowest bytes, then all second ones; compressed."""
+    raw = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T)
+    return pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def unpack(block: bytes, n: int, size: int) -> np.ndarray:
+    raw = np.frombuffer(pa.Codec("zstd").decompress(block, n * size), np.uint8)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = raw.reshape(size, n).T
+    return out.view("<u8").ravel()
+
+
+#: Bytes of a log probability: seven bits of exponent and 33 of mantissa, exact to 6e-11 of its value.
+_LP, _LOW, _BASE = 5, np.uint64(19), np.uint64(960 << 52)
+
+
+def shortened(lp: np.ndarray) -> np.ndarray:
+    """Log probabilities (from -300 to 0) as whole numbers of _LP bytes; one above -2^-60 becomes that."""
+    return (np.maximum(-lp, 2.0**-60).view(np.uint64) - _BASE + np.uint64(1 << 18)) >> _LOW
+
+
+def lengthened(short: np.ndarray) -> np.ndarray:
+    return -((short << _LOW) + _BASE).view(np.float64)
+
+
+def _chunked(batches, most: int):
+    """(block, number of the chunk in it, its rows as batches); chunks don't depend on how rows are batched."""
+    held, size, block, number, over = [], 0, None, 0, set()
+    for b in batches:
+        blocks = b.column("block").to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8
+        at = 0
+        for stop in [*(np.flatnonzero(np.diff(blocks)) + 1), b.num_rows]:
+            if at < stop and blocks[at] != block:
+                if held:
+                    yield block, number, held
+                over.add(block)
+                held, size, block, number = [], 0, int(blocks[at]), 0
+                if block in over:
+                    raise RuntimeError("rows of a file split don't come in one piece")
+            while at < stop:
+                until = min(stop, at + 1 + int(np.searchsorted(np.cumsum(sizes[at:stop]), most - size)))
+                held.append(b.slice(at, until - at))
+                size += int(sizes[at:until].sum())
+                at = until
+                if size >= most:
+                    yield block, number, held
+                    held, size, number = [], 0, number + 1
+    if held:
+        yield block, number, held
+
+
+class _Chunk:
+    """Units of a chunk (each once, and which one every unit is) and how many each row has."""
+
+    def __init__(self, rows: list[pa.RecordBatch]):
+        found = [units(texts) for b in rows for _, _, texts in chunks(b.column("text"))]
+        code = pa.chunked_array([u for u, _ in found]).combine_chunks().dictionary_encode()
+        self.units, self.which = code.dictionary, code.indices.to_numpy()
+        self.counts = np.concatenate([c for _, c in found])
+
+    def grams(self):
+        """(first unit, index of each gram's unit, order that sorts the grams, sorted grams) for some units after others."""
+        for k in range(0, len(self.units), _UNITS):
+            gram, of = grams(self.units[k : k + _UNITS])
+            key = sortable(gram)
+            order = np.argsort(key)
+            yield k, of, order, key[order]
 
 
-def _merged(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
-    """Unit counts of several batches as one: each unit once."""
-    if len(parts) == 1:
-        return parts[0]
-    t = pa.table({"unit": pa.chunked_array([p[0] for p in parts]), "n": pa.chunked_array([pa.array(p[1]) for p in parts])})
-    t = t.group_by("unit").aggregate([("n", "sum")]).combine_chunks()
-    return t["unit"].combine_chunks(), t["n_sum"].to_numpy()
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, with their sums; keys come as some sorted runs."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = _runs(key)
+    return key[first], np.add.reduceat(n[order], first)
 
 
-def _count_units(docs: DataFrame) -> DataFrame:
-    """(block, unit, tok, n): units of every block with their count in training rows; counts may come in parts."""
+def _dealt(key: np.ndarray, parts: int, shift: int):
+    """(part, indices of its keys) of sorted keys; keys that are equal above their lowest `shift` bits share one."""
+    part = (mixed(key >> np.uint64(shift)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+    order = np.argsort(part, kind="stable")
+    if len(order):
+        first = _runs(part[order])
+        for at, stop in zip(first, [*first[1:], len(order)]):
+            yield int(part[order[at]]), order[at:stop]
+
+
+def _check(key: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(np.ascontiguousarray(key)) >> 1
+
+
+#: Bits below what a key is dealt by: a gram goes with its subtree, a token by itself.
+_GRAM, _TOKEN = 48, 0
+
+
+def _ask(docs: DataFrame, parts: int, chunk_bytes: int = _CHUNK) -> DataFrame:
+    """(part, block, chunk, size, check, keys, n): what every chunk asks of every part; tokens are asked of parts from `parts` on."""
 
     def work(batches):
-        held: dict[int, list] = {}
-        size = 0
-        for b in batches:
-            blocks = b.column("block").to_numpy(zero_copy_only=False)
-            for block in np.unique(blocks):
-                mine = b.filter(pa.array(blocks == block)) if (blocks != block).any() else b
-                for first, stop, texts in chunks(mine.column("text")):
-                    found, counts = units(texts)
-                    train = mine.column("train").slice(first, stop - first).to_numpy(zero_copy_only=False).astype(bool)
-                    code = found.dictionary_encode()
-                    n = np.bincount(code.indices.to_numpy()[np.repeat(train, counts)], minlength=len(code.dictionary))
-                    held.setdefault(int(block), []).append((code.dictionary, n))
-                    size += len(code.dictionary)
-            if size > _MOST:  # as far as memory allows: what repeats across batches is counted once more
-                held = {k: [_merged(v)] for k, v in held.items()}
-                size = sum(len(v[0][0]) for v in held.values())
-                if size > _MOST // 2:
-                    yield from parts(held)
-                    held, size = {}, 0
-        yield from parts(held)
-
-    def parts(held):
-        for block, found in held.items():
-            every, n = _merged(found)
-            for k in range(0, len(every), 20_000):
-                us = every[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(us), block)), us.cast(pa.binary()), pa.array([token(u) for u in us.to_pylist()], pa.int64()), pa.array(n[k : k + 20_000], pa.int64())], ["block", "unit", "tok", "n"])
+        for block, number, rows in _chunked(batches, chunk_bytes):
+            chunk = _Chunk(rows)
+            train = np.concatenate([b.column("train").to_numpy(zero_copy_only=False) for b in rows]).astype(bool)
+            n = np.bincount(chunk.which[np.repeat(train, chunk.counts)], minlength=len(chunk.units))
+            found = []
+            for k, of, order, key in chunk.grams():
+                first = _runs(key)
+                found.append((key[first], np.add.reduceat(n[k + of[order]], first)))
+            words = tokens(chunk.units)
+            word = words > 0
+            asked = [(0, _GRAM, *_summed(*map(np.concatenate, zip(*found))))]
+            if word.any():
+                asked.append((parts, _TOKEN, *_summed(words[word], n[word])))
+            del chunk, found
+            for base, shift, key, count in asked:
+                for part, mine in _dealt(key, parts, shift):
+                    some = key[mine]
+                    cols = [[base + part], [block], [number], [len(some)], [_check(some)], [pack(some, 8)], [pack(count[mine], 4)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.int64()] * 5 + [pa.binary()] * 2)], ["part", "block", "chunk", "size", "check", "keys", "n"])
+        give_back()
 
     train = ~in_bucket(F.col("doc_id"), *CLASSES)
-    return docs.select("text", "block", train.alias("train")).mapInArrow(work, "block long, unit binary, tok long, n long")
+    return docs.select("text", "block", train.alias("train")).mapInArrow(work, "part long, block long, chunk long, size long, check long, keys binary, n binary")
 
 
-def _answers(rows: DataFrame, by: str, name: str) -> str:
-    """Write rows as one folder for each value of `by`; a block's rows meet in one task."""
+def _written(rows: DataFrame, by: list[str], name: str) -> str:
+    """Write rows as one folder for each value of `by`, the rows of which meet in one task."""
     path = new_path(rows.sparkSession, name)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(n, by).write.partitionBy(by).parquet(path)
+    rows.repartition(n, *by).write.partitionBy(*by).parquet(path)
     return path
 
 
-def _load(path: str, by: str, value: int) -> pa.Table:
-    fs, local = open_fs(f"{path}/{by}={value}")
+def _load(path: str) -> pa.Table | None:
+    fs, local = open_fs(path)
+    if fs.get_file_info(local).type == pafs.FileType.NotFound:
+        return None
     return pads.dataset(local, filesystem=fs, format="parquet").to_table()
 
 
-def _unit_scores(listed: DataFrame) -> DataFrame:
-    """listed (block, unit, n, c, part) -> (block, unit, lp, c): log10 probability of every unit."""
-    spark = listed.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def ask(batches):
-        """Grams of each part with their training counts, each once as far as memory allows: repeats do no harm."""
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        size = 0
-
-        def merged():
-            nonlocal size
-            for p, parts in held.items():
-                keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-                held[p] = [(keys, np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64))]
-            size = sum(len(x[0][0]) for x in held.values())
-
-        def tell():
-            for p, ((keys, count),) in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(count), pa.array(np.full(len(keys), p, np.int64))], ["gram", "n", "part"])
+class _Asked:
+    """What is asked of a part: each key once with its count, and which of them every question holds."""
+
+    def __init__(self, t: pa.Table):
+        self.t, self.sizes = t, t["size"].to_numpy()
+        key = np.concatenate([unpack(x.as_py(), n, 8) for x, n in zip(t["keys"], self.sizes)])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = _runs(key)
+        count = np.concatenate([unpack(x.as_py(), n, 4) for x, n in zip(t["n"], self.sizes)]).astype(np.int64)
+        self.key, self.n = key[first], np.add.reduceat(count[order], first)
+        self.at = np.empty(len(key), np.int32)
+        self.at[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(key))))
+
+    def answers(self, values: np.ndarray, size: int):
+        """A row for each question: the values of its keys."""
+        stop = np.cumsum(self.sizes)
+        for i, (a, b) in enumerate(zip(stop - self.sizes, stop)):
+            block = pa.array([pack(values[self.at[a:b]], size)], pa.binary())
+            row = self.t.slice(i, 1).select(["block", "chunk", "size", "check"]).combine_chunks().to_batches()[0]
+            yield [*row.columns, block]
+
+
+def _subtrees(key: np.ndarray, n: np.ndarray):
+    """(start, stop, Subtrees) over sorted keys, whole subtrees at a time; a large one comes in eight, decision by decision."""
+    first = _runs(key >> np.uint64(_GRAM)) if len(key) else []
+    start = 0
+    for at, stop in zip(first, [*first[1:], len(key)]):
+        if stop - start > _SUBTREE and at > start:
+            yield start, at, Subtrees(from_sortable(key[start:at]), n[start:at])
+            start = at
+        if stop - start > 4 * _SUBTREE:
+            for j in range(8):
+                yield start, stop, Subtrees(from_sortable(key[start:stop]), n[start:stop], slice(j, j + 1))
+            start = stop
+    if start < len(key):
+        yield start, len(key), Subtrees(from_sortable(key[start:]), n[start:])
+
+
+def _answers(spark, asked: str, parts: int) -> tuple[str, int, int]:
+    """(folder of the answers by block and chunk, number of words in training rows, number of different ones)."""
+    every = spark.range(0, 2 * parts, 1, 2 * parts)
 
+    def upper(batches):
         for b in batches:
-            part = b.column("part").to_numpy(zero_copy_only=False)
-            for p in np.unique(part):
-                mine = b if (part == p).all() else b.filter(pa.array(part == p))
-                code = mine.column("unit").dictionary_encode()
-                gram, of = grams(code.dictionary)
-                n = np.bincount(code.indices.to_numpy(), mine.column("n").to_numpy(zero_copy_only=False), len(code.dictionary))
-                keys, at = np.unique(gram, return_inverse=True)
-                held.setdefault(int(p), []).append((keys, np.bincount(at, n[of], len(keys)).astype(np.int64)))
-                size += len(keys)
-            if size > 2 * _GRAMS:
-                merged()
-                if size > _GRAMS:
-                    yield from tell()
-                    held, size = {}, 0
-        merged()
-        yield from tell()
-
-    asked = materialise(listed.select("unit", "n", "part").mapInArrow(ask, "gram long, n long, part long"), "grams")
-    sub = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("sub")
-    leaves = materialise(asked.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 0"), "leaves")
-    free(spark)
+            for part in b.column("id").to_pylist():
+                t = _load(f"{asked}/part={part}")
+                if t is None:
+                    continue
+                mine = _Asked(t)
+                seen = mine.n > 0
+                key, n = mine.key[seen], mine.n[seen]
+                if part >= parts:
+                    yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([-1]), *(pa.array([float(x)]) for x in (n.sum(), len(n), 0))], ["ctx", "node", "n0", "n1", "s"])
+                else:
+                    for _, _, trees in _subtrees(key, n):
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, trees.sums())], ["ctx", "node", "n0", "n1", "s"])
+        give_back()
+
+    high = every.mapInArrow(upper, "ctx long, node long, n0 double, n1 double, s double")
+    # At most 256 * 255 rows and one, whatever the corpus.
+    high = [tuple(r) for r in high.groupBy("ctx", "node").agg(F.sum("n0"), F.sum("n1"), F.sum("s")).collect()]
+    words, different = next((r[2:4] for r in high if r[0] < 0), (0, 0))
+    sent = spark.sparkContext.broadcast(crown([r for r in high if r[0] >= 0]))
 
-    def subtrees(rows: DataFrame) -> DataFrame:
-        """Rows of whole subtrees side by side, so that a worker streams through them."""
-        return rows.withColumn("sub", sub).repartition(parts, "sub").sortWithinPartitions("sub")
+    def answer(batches):
+        for b in batches:
+            for part in b.column("id").to_pylist():
+                t = _load(f"{asked}/part={part}")
+                if t is None:
+                    continue
+                mine = _Asked(t)
+                if part >= parts:
+                    values, size = mine.n, 8
+                else:
+                    lp = np.zeros(len(mine.key))
+                    for start, stop, trees in _subtrees(mine.key, mine.n):
+                        lp[start:stop] += trees.log_probability(sent.value)
+                    values, size = shortened(lp), _LP
+                for cols in mine.answers(values, size):
+                    yield pa.RecordBatch.from_arrays([pa.array([part]), *cols], ["part", "block", "chunk", "size", "check", "found"])
+        give_back()
+
+    told = every.mapInArrow(answer, "part long, block long, chunk long, size long, check long, found binary")
+    return _written(told, ["block", "chunk"], "answers"), int(words), int(different)
+
+
+def _found(answers: dict, key: np.ndarray, base: int, parts: int, shift: int, size: int) -> np.ndarray:
+    """The values of sorted keys, from the answers of all parts."""
+    out = np.zeros(len(key), np.uint64)
+    for part, mine in _dealt(key, parts, shift):
+        n, check, found = answers.get(base + part, (0, 0, b""))
+        if (n, check) != (len(mine), _check(key[mine])):
+            raise RuntimeError("a file split gave other rows when it was read again")
+        out[mine] = unpack(found, n, size)
+    return out
 
-    def upper(batches):
-        for t in groups(batches, ["sub"], _SUBTREE):
-            sums = Subtrees(t["gram"].to_numpy(), t["n"].to_numpy()).sums()
-            yield pa.RecordBatch.from_arrays([*map(pa.array, sums)], ["ctx", "node", "n0", "n1", "s"])
-
-    high = subtrees(leaves).select("sub", "gram", "n").mapInArrow(upper, "ctx long, node long, n0 double, n1 double, s double")
-    # At most 256 * 255 rows, whatever the corpus.
-    top = crown([tuple(r) for r in high.groupBy("ctx", "node").agg(F.sum("n0"), F.sum("n1"), F.sum("s")).collect()])
-    sent = spark.sparkContext.broadcast(top)
-    free(spark)
 
-    def answer(batches):
-        for t in groups(batches, ["sub"], _SUBTREE):
-            gram, of = np.unique(t["gram"].to_numpy(), return_inverse=True)
-            n, part = np.bincount(of, t["n"].to_numpy(), len(gram)), t["part"].to_numpy()
-            wanted = np.flatnonzero(part >= 0)
-            if not len(wanted):
-                continue
-            lp = Subtrees(gram, n).log_probability(sent.value)[of]
-            for k in range(0, len(wanted), 200_000):
-                some = wanted[k : k + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[some]), pa.array(t["gram"].to_numpy()[some]), pa.array(lp[some])], ["part", "gram", "lp"])
-
-    both = leaves.select("gram", "n", F.lit(-1).cast("long").alias("part")).unionByName(asked.select("gram", F.lit(0).cast("long").alias("n"), "part"))
-    told = subtrees(both).select("sub", "gram", "n", "part").mapInArrow(answer, "part long, gram long, lp double")
-    path = _answers(told, "part", "gram-scores")
-    drop(asked)
-    drop(leaves)
-    free(spark)
+def score(docs: DataFrame, chunk_bytes: int = _CHUNK) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
-    def score(batches):
-        held, keys, lp = None, None, None
-        for b in batches:
-            code = b.column("unit").dictionary_encode()
-            gram, of = grams(code.dictionary)
-            which, part = code.indices.to_numpy(), b.column("part").to_numpy(zero_copy_only=False)
-            out = np.zeros(b.num_rows)
-            for p in np.unique(part):
-                if p != held:
-                    t = _load(path, "part", p)
-                    keys, lp, held = t["gram"].to_numpy(), t["lp"].to_numpy(), p
-                    order = np.argsort(keys)
-                    keys, lp = keys[order], lp[order]
-                mine = np.zeros(len(code.dictionary), bool)
-                mine[which[part == p]] = True
-                each = np.flatnonzero(mine[of])
-                total = np.bincount(of[each], lp[np.searchsorted(keys, gram[each])], len(code.dictionary))
-                out[part == p] = total[which[part == p]]
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("unit"), pa.array(out), b.column("c")], ["block", "unit", "lp", "c"])
-
-    return listed.select("block", "unit", "c", "part").mapInArrow(score, "block long, unit binary, lp double, c long")
-
-
-def score(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
+    chunk_bytes: bytes of text that a task takes at a time; it changes no result.
+    """
     spark = docs.sparkSession
     small_batches(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = located(docs)
     ends = rows.where(~in_bucket(F.col("doc_id"), *CLASSES)).count()
-    counted = materialise(_count_units(rows), "unit-counts")
-    tokens = materialise(counted.groupBy("tok").agg(F.sum("n").alias("c")), "tokens")
-    n, v = tokens.where("tok <> 0 and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    n, v = n + ends, v + (ends > 0)
-    # Rows of one token come together, those of a very frequent one in several parts.
-    listed = counted.join(tokens, "tok").select("block", "unit", "n", "c", F.spark_partition_id().cast("long").alias("part"))
-    listed = materialise(listed, "units")
-    drop(counted)
-    drop(tokens)
+    asked = _written(_ask(rows, parts, chunk_bytes), ["part"], "asked")
+    free(spark)  # here, where nothing holds the frame any more
+    path, n, v = _answers(spark, asked, parts)
     free(spark)
+    remove(spark, asked)
     small_batches(spark)
-    path = _answers(_unit_scores(listed), "block", "unit-scores")
-    drop(listed)
-    small_batches(spark)
+    n, v = n + ends, v + (ends > 0)
 
     def work(batches):
-        held = known = lp = c = base = None
-        for b in batches:
-            blocks = b.column("block").to_numpy(zero_copy_only=False)
-            runs = np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1)) if len(blocks) else []
-            for start, stop in zip(runs, [*runs[1:], len(blocks)]):
-                mine = b.slice(start, stop - start)
-                if blocks[start] != held:
-                    held = int(blocks[start])
-                    t = _load(path, "block", held)
-                    known, lp, c = t["unit"].combine_chunks().cast(pa.large_binary()), t["lp"].to_numpy(), t["c"].to_numpy()
-                    base = np.log10((c + 1.0) / (n + v + 1.0))
-                for some, until, texts in chunks(mine.column("text")):
-                    found, counts = units(texts)
-                    code = found.dictionary_encode()
-                    at = pc.index_in(code.dictionary, value_set=known).to_numpy()[code.indices.to_numpy()]
-                    word = np.diff(np.frombuffer(found.buffers()[1], np.int64)) > BEFORE + 1
-                    first = np.cumsum(counts) - counts
-                    total = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
-                    cols = [total(word.astype(np.int64)) + 1, total((word & (c[at] > 0)).astype(np.int64)) + int(ends > 0), total(np.where(word, base[at], 0.0)) + np.log10((ends + 1.0) / (n + v + 1.0)), total(lp[at])]
-                    yield pa.RecordBatch.from_arrays([mine.column("doc_id").slice(some, until - some), *map(pa.array, cols)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        for block, number, held in _chunked(batches, chunk_bytes):
+            t = _load(f"{path}/block={block}/chunk={number}")
+            if t is None:
+                raise RuntimeError("a file split gave other rows when it was read again")
+            answers = {p: tuple(rest) for p, *rest in zip(*(t[x].to_pylist() for x in ("part", "size", "check", "found")))}
+            chunk = _Chunk(held)
+            # Sorted grams of some units at a time: those that differ, and which of them each gram is.
+            some = []
+            for k, of, order, key in chunk.grams():
+                first = _runs(key)
+                at = np.empty(len(key), np.int32)
+                at[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(key))))
+                some.append((k, of.astype(np.int32), key[first], at))
+            keys = np.sort(np.concatenate([x[2] for x in some]), kind="stable")
+            keys = keys[_runs(keys)]
+            found = lengthened(_found(answers, keys, 0, parts, _GRAM, _LP))
+            lp = np.zeros(len(chunk.units))
+            for k, of, key, at in some:
+                of_units = np.bincount(of, found[np.searchsorted(keys, key)][at])
+                lp[k : k + len(of_units)] = of_units
+            del some, keys, found
+            words = tokens(chunk.units)
+            keys, at = np.unique(words, return_inverse=True)
+            real = keys > 0
+            c = np.full(len(keys), ends, np.int64)  # of the end, which every text has once
+            c[real] = _found(answers, keys[real], parts, parts, _TOKEN, 8).astype(np.int64)
+            c = c[at]
+            base = np.log10((c + 1.0) / (n + v + 1.0))
+            first = np.cumsum(chunk.counts) - chunk.counts
+            cols = [chunk.counts, np.add.reduceat((c > 0).astype(np.int64)[chunk.which], first), np.add.reduceat(base[chunk.which], first), np.add.reduceat(lp[chunk.which], first)]
+            del chunk
+            ids = pa.chunked_array([b.column("doc_id") for b in held])
+            for k in range(0, len(ids), 100_000):
+                some = slice(k, k + 100_000)
+                yield pa.RecordBatch.from_arrays([ids[some].combine_chunks(), *(pa.array(x[some]) for x in cols)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = rows.mapInArrow(work, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")

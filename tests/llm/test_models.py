@@ -243,6 +243,87 @@ def test_scores_against_a_plain_tree(spark):
         np.testing.assert_allclose(a[5:], b[5:], rtol=1e-9)
 
 
+def test_chunks_are_the_same_however_rows_are_batched():
+    texts, blocks = ["a" * (i * 7 % 50) if i % 9 else None for i in range(200)], [3] * 90 + [5] * 110
+    whole = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(blocks), pa.array(range(200))], ["text", "block", "i"])
+    found = []
+    for size in (1, 7, 64, 200):
+        batches = [whole.slice(k, size) for k in range(0, 200, size)]
+        found.append([(b, n, [i for x in held for i in x.column("i").to_pylist()]) for b, n, held in ctw._chunked(batches, 300)])
+        with pytest.raises(RuntimeError):
+            list(ctw._chunked([*batches, whole.slice(0, 1)], 300))
+    assert all(f == found[0] for f in found) and [i for *_, rows in found[0] for i in rows] == list(range(200))
+    assert len(found[0]) > 10 and len({x[:2] for x in found[0]}) == len(found[0])
+
+
+def test_chunks_ask_for_each_gram_once_in_packed_blocks(spark, tmp_path):
+    """A row for each chunk and part, a few bytes for each gram: not a row for each gram."""
+    texts = [prose(400, i) for i in range(30)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/texts")
+    asked = ctw._ask(ctw.located(spark.read.parquet(f"{tmp_path}/texts")), 4, 20_000).collect()
+    assert len({(r["part"], r["block"], r["chunk"]) for r in asked}) == len(asked)
+    by_chunk, packed = {}, 0
+    for r in asked:
+        if r["part"] < 4:
+            by_chunk.setdefault(r["chunk"], []).append(ctw.unpack(r["keys"], r["size"], 8))
+            packed += len(r["keys"]) + len(r["n"])
+    assert len(by_chunk) > 3
+    keys = [ctw.from_sortable(np.concatenate(k)) for k in by_chunk.values()]
+    assert all(len(np.unique(k)) == len(k) for k in keys) and packed < 8 * sum(map(len, keys))
+    every, _ = ctw.grams(pa.array([u for t in texts for u in plain_units(t)], pa.large_binary()))
+    assert set(np.concatenate(keys).tolist()) == set(every.tolist())
+
+
+def test_scores_do_not_depend_on_chunks_or_files(spark, tmp_path):
+    rows = [(i, prose(60, i % 11) if i % 10 else None) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r["doc_id"]: r for r in ctw.score(docs).collect()}
+    docs.repartition(2).write.parquet(f"{tmp_path}/two")
+    docs.repartition(40).write.parquet(f"{tmp_path}/forty")
+    two = spark.read.parquet(f"{tmp_path}/two")
+    for got in (ctw.score(two, 2_000), ctw.score(two.repartition(3)), ctw.score(spark.read.parquet(f"{tmp_path}/forty"))):
+        got = got.collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r[:5] == want[r["doc_id"]][:5]
+            np.testing.assert_allclose(r[5:], want[r["doc_id"]][5:], rtol=1e-9)
+
+
+def test_blocks_of_bytes():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 1 << 40, 1000, dtype=np.uint64)
+    for size in (5, 8):
+        np.testing.assert_array_equal(ctw.unpack(ctw.pack(x, size), 1000, size), x)
+    lp = -np.concatenate([10 ** rng.uniform(-17, 2.47, 5000), [1e-17, 300.0]])
+    short = ctw.shortened(lp)
+    assert short.max() < 1 << 40
+    np.testing.assert_allclose(ctw.lengthened(short), lp, rtol=1e-10)
+    g = rng.integers(0, 1 << 63, 1000)
+    key = np.sort(ctw.sortable(g))
+    assert sorted(ctw.from_sortable(key).tolist()) == sorted(g.tolist()) and (np.diff((key >> np.uint64(48)).astype(np.int64)) >= 0).all()
+    good = {p: (len(at), ctw._check(key[at]), ctw.pack(key[at], 8)) for p, at in ctw._dealt(key, 3, 48)}
+    np.testing.assert_array_equal(ctw._found(good, key, 0, 3, 48, 8), key)
+    with pytest.raises(RuntimeError):  # other rows than those that asked
+        ctw._found(good, key[1:], 0, 3, 48, 8)
+
+
+def test_tokens_of_units():
+    us = [u for t in ["a b ab ba a", "", "b\0 \0b \0\0 \0 b", "x" * 3000, "x" * 2999] for u in plain_units(t)]
+    keys = ctw.tokens(pa.array(us, pa.large_binary())).tolist()
+    words = [u[ctw.BEFORE : -1] for u in us]
+    assert len(dict(zip(words, keys))) == len(set(keys)) == len(set(words)) and all((k == 0) == (w == b"") for w, k in zip(words, keys))
+
+
+def test_decisions_of_a_subtree_one_by_one():
+    g, _ = ctw.grams(pa.array([u for i in range(9) for u in plain_units(prose(30, i))], pa.large_binary()))
+    keys, n = np.unique(g, return_counts=True)
+    whole, single = ctw.Subtrees(keys, n), [ctw.Subtrees(keys, n, slice(j, j + 1)) for j in range(8)]
+    rows = sorted(zip(*whole.sums()))
+    np.testing.assert_allclose(sorted(r for x in single for r in zip(*x.sums())), rows)
+    top = ctw.crown(rows)
+    np.testing.assert_allclose(sum(x.log_probability(top) for x in single), whole.log_probability(top))
+
+
 def test_probabilities_add_up(spark):
     """Over all bytes in one context."""
     g, of = ctw.grams(pa.array([b"\0\0\nthe ", b"of then ", b"\0\0\nthe "], pa.large_binary()))
