@@ -40,7 +40,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, give_back, in_bucket, materialise, new_path, open_fs, remove, small_batches
+from .common import give_back, in_bucket, materialise, new_path, open_fs, remove, small_batches
 from .flat import Words, chunks, mixed
 
 DEPTH, SINGLE = 7, 4
@@ -52,6 +52,8 @@ END = b"\xff"
 _CHUNK = 16 << 20
 #: Units whose grams are told at a time.
 _UNITS = 200_000
+#: Lets Spark delete a job's shuffle files when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Grams of subtrees that are worked on at a time, about, or one larger subtree.
 _SUBTREE = 1 << 16
 
@@ -414,10 +416,14 @@ def _ask(docs: DataFrame, parts: int, chunk_bytes: int = _CHUNK) -> DataFrame:
 
 
 def _written(rows: DataFrame, by: list[str], name: str) -> str:
-    """Write rows as one folder for each value of `by`, the rows of which meet in one task."""
-    path = new_path(rows.sparkSession, name)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(n, *by).write.partitionBy(*by).parquet(path)
+    """Write rows as one folder for each value of `by`, the rows of which meet in one task; leaves no shuffle files."""
+    conf, path = rows.sparkSession.conf, new_path(rows.sparkSession, name)
+    n, before = int(conf.get("spark.sql.shuffle.partitions")), conf.get(_CLEAN, "false")
+    conf.set(_CLEAN, "true")
+    try:
+        rows.repartition(n, *by).write.partitionBy(*by).parquet(path)
+    finally:
+        conf.set(_CLEAN, before)
     return path
 
 
@@ -537,9 +543,7 @@ def score(docs: DataFrame, chunk_bytes: int = _CHUNK) -> DataFrame:
     rows = located(docs)
     ends = rows.where(~in_bucket(F.col("doc_id"), *CLASSES)).count()
     asked = _written(_ask(rows, parts, chunk_bytes), ["part"], "asked")
-    free(spark)  # here, where nothing holds the frame any more
     path, n, v = _answers(spark, asked, parts)
-    free(spark)
     remove(spark, asked)
     small_batches(spark)
     n, v = n + ends, v + (ends > 0)

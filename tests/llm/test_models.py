@@ -289,6 +289,16 @@ def test_scores_do_not_depend_on_chunks_or_files(spark, tmp_path):
             np.testing.assert_allclose(r[5:], want[r["doc_id"]][5:], rtol=1e-9)
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Shuffles of what was written would stand beside the tables for the rest of the run."""
+    stores = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {b.name() for b in (found.apply(i) for found in [stores.getAllBlocks()] for i in range(found.size())) if b.name().startswith("shuffle_")}
+    before = shuffles()
+    path = ctw._written(spark.range(1000).withColumn("part", F.col("id") % 3), ["part"], "some")
+    assert shuffles() <= before and spark.read.parquet(path).count() == 1000
+    assert spark.conf.get(ctw._CLEAN) == "false"
+
+
 def test_blocks_of_bytes():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 1 << 40, 1000, dtype=np.uint64)
