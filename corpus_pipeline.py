@@ -18,6 +18,10 @@ from seriesmill.llm import toxicity as tox
 from seriesmill.llm.common import drop, materialise, table
 from seriesmill.llm.queries import quality_weight, tokenizer_file
 
+#: Words that a worker's cache of the last stage may hold: less than tokens alone has, since workers and executors
+#: come with the memory of the stages before.
+WORDS = 200_000
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the compression-distance model scores as toxic."""
@@ -42,7 +46,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the mix, from shards that were written and read back."""
-    return tokens.token_table(docs, tokenizer_file("word_bpe_49k.json"))
+    return tokens.token_table(docs, tokenizer_file("word_bpe_49k.json"), words=WORDS)
 
 
 STAGES = [

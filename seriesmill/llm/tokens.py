@@ -230,6 +230,10 @@ class ShardReader:
 # --- tokenizing --------------------------------------------------------------------------------------------
 
 
+#: Words that a worker's cache may hold; 919,000 took 254 MB, with their pieces.
+WORDS = 1_000_000
+
+
 class WordTokenizer:
     """Whole texts to ids, with a cache of words.
 
@@ -239,7 +243,7 @@ class WordTokenizer:
     tokenizer. The cache is dropped when it holds `most` words.
     """
 
-    def __init__(self, path: str, end: int | None = 1, most: int = 1_000_000):
+    def __init__(self, path: str, end: int | None = 1, most: int = WORDS):
         import regex
         from tokenizers import Tokenizer
 
@@ -306,11 +310,11 @@ def _split(text: str) -> list[str]:
 _LOADED: dict[tuple, WordTokenizer] = {}
 
 
-def tokenizer(path: str, end: int | None = 1) -> WordTokenizer:
+def tokenizer(path: str, end: int | None = 1, most: int = WORDS) -> WordTokenizer:
     """One tokenizer and cache per worker process."""
-    if (path, end) not in _LOADED:
-        _LOADED[path, end] = WordTokenizer(path, end)
-    return _LOADED[path, end]
+    if (path, end, most) not in _LOADED:
+        _LOADED[path, end, most] = WordTokenizer(path, end, most)
+    return _LOADED[path, end, most]
 
 
 # --- Spark -------------------------------------------------------------------------------------------------
@@ -318,14 +322,14 @@ def tokenizer(path: str, end: int | None = 1) -> WordTokenizer:
 MANIFEST = "path string, docs long, ids long, first binary, last binary, bytes long"
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end: int | None = 1, shard_bytes: int = SHARD_BYTES, shards: int | None = None) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer_path: str, end: int | None = 1, shard_bytes: int = SHARD_BYTES, shards: int | None = None, words: int = WORDS) -> DataFrame:
     """docs (doc_id, text) -> manifest of shards in ascending doc_id order, with `start`, the ids before each."""
     spark = docs.sparkSession
     small_batches(spark)
 
     def work(batches):
         turn_to("tokens", _LOADED.clear)
-        tok = tokenizer(tokenizer_path, end)
+        tok = tokenizer(tokenizer_path, end, words)
         kind, about = f"<u{tok.width}", {"tokenizer": tokenizer_path.rsplit("/", 1)[-1], "end": end}
         out, done = None, []
         for b in batches:
@@ -372,9 +376,9 @@ def _batch(rows: list, kind: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, types.get(kind, pa.int64())), *(pa.array(c, pa.int64()) for c in rest)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def token_table(docs: DataFrame, tokenizer_path: str, end: int | None = 1, folder: str | None = None) -> DataFrame:
-    """Write the shards of docs, read them back."""
+def token_table(docs: DataFrame, tokenizer_path: str, end: int | None = 1, folder: str | None = None, words: int = WORDS) -> DataFrame:
+    """Write the shards of docs, read them back; words: how many a worker's cache may hold."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("string" if kind == "string" else "long"))
     folder = folder or new_path(docs.sparkSession, "shards")
-    return read(write(docs, folder, tokenizer_path, end), "string" if kind == "string" else "long")
+    return read(write(docs, folder, tokenizer_path, end, words=words), "string" if kind == "string" else "long")

@@ -34,8 +34,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import in_bucket, small_batches, turn_to
+from .common import give_back, in_bucket, small_batches, turn_to
 
 SAMPLE = 3000
 SAMPLE_BYTES = 48 << 20
@@ -239,7 +240,9 @@ def sample(docs: DataFrame, labels: DataFrame, toxic: int, most: int = SAMPLE) -
             size += r["n"]
     if not listed:
         return []
-    wanted = docs.sparkSession.createDataFrame(taken or listed[:1], rows.select("doc_id", "key").schema)
+    # An Arrow table is a local relation; a list would start Python workers of its own, that no other stage uses.
+    kinds = to_arrow_schema(rows.select("doc_id", "key").schema)
+    wanted = docs.sparkSession.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*(taken or listed[:1])), kinds)], schema=kinds))
     rows = rows.join(F.broadcast(wanted), ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.any_value(F.substring("text", 1, room)).alias("text"))
     held = [(r["doc_id"], r["text"]) for r in rows.collect()]
     held.sort(key=lambda r: (str(r[0])[::-1], r[1]))  # one order in every run, apart from that of the table
@@ -282,5 +285,6 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             keep = [m.score(t.as_py()) < THRESHOLD for t in b.column("text")]
             yield b.filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(work, docs.schema)

@@ -108,6 +108,27 @@ def test_word_cache_gives_what_the_library_gives(tokenizer_file):
         assert np.frombuffer(own.ids(t), width).tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_a_word_cache_can_be_small(spark, docs, tokenizer_file):
+    common.turn_to("tokens", tokens._LOADED.clear)
+    own, whole = tokens.tokenizer(tokenizer_file, 1, 50), tokens.WordTokenizer(tokenizer_file)
+    texts = [prose(20, i) for i in range(60)]
+    for t in texts:
+        assert own.ids(t) == whole.ids(t)
+        assert len(own.cache) <= 50 + 20
+    common.turn_to("simhash")
+    plain = tokens.token_table(docs, tokenizer_file).collect()
+    assert sorted(tokens.token_table(docs, tokenizer_file, words=50).collect(), key=str) == sorted(plain, key=str)
+
+
+def test_the_pipeline_keeps_fewer_words_than_the_operator(spark, docs, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    pytest.importorskip("public_tokenizers")
+    asked = []
+    monkeypatch.setattr(tokens, "token_table", lambda *x, words=tokens.WORDS: asked.append(words))
+    pipeline.token_shards(spark, docs, "")
+    assert len(asked) == 1 and asked[0] < tokens.WORDS
+
+
 def test_a_worker_that_turns_to_another_operator_lets_go(tokenizer_file):
     common.turn_to("tokens", tokens._LOADED.clear)
     tokens.tokenizer(tokenizer_file).ids("some words")

@@ -116,6 +116,20 @@ def test_training_leaves_held_out_rows_alone(spark):
     assert toxicity.sample(df, labels, 1, most=40) == got
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_the_sample_starts_no_workers_of_its_own(spark, monkeypatch, kind):
+    """A list of rows would be an RDD of Python, whose workers stay beside those of the operators."""
+    df = spark.createDataFrame([(i, prose(20, i)) for i in range(40)], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int").withColumn("doc_id", F.col("doc_id").cast(kind))
+    before = toxicity.sample(df, labels, 1)
+
+    def none(*_, **__):
+        raise AssertionError("an RDD of Python")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", none)
+    assert before and toxicity.sample(df, labels, 1) == before
+
+
 def test_a_huge_text_does_not_end_the_sample(spark, monkeypatch):
     ids = [i for i in range(60) if bucket(i, 4) != 2]
     df = spark.createDataFrame([(i, prose(40, i)) for i in ids], "doc_id long, text string")
