@@ -83,7 +83,8 @@ def typical_price(high: Column, low: Column, close: Column) -> Column:
 def unix_seconds(c: Column) -> Column:
     """Whole seconds since 1970 from seconds, milliseconds, numeric text or ISO-8601 text; else null."""
     text = c.cast("string")
-    n = number(text)
+    # Text that begins like a date is no number: trying the cast throws and catches an error in every row.
+    n = number(F.when(~text.rlike("^[0-9]{4}-[0-9]{2}"), text))
     whole = F.when(n > MILLISECONDS_FROM, F.floor(n / 1000)).otherwise(F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n)))
     return F.coalesce(whole.cast("long"), F.unix_seconds(F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))))
 

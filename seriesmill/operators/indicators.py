@@ -131,13 +131,16 @@ TECHNICAL = (
 )
 
 
-def technical(bars: DataFrame, s: Series, chunk_rows: int = CHUNK_ROWS, bucket: Column | None = None) -> DataFrame:
-    """bars with every column of TECHNICAL; without open, high, low and close as they are. A missing volume is 0."""
+def technical(bars: DataFrame, s: Series, chunk_rows: int = CHUNK_ROWS, bucket: Column | None = None, longest: int | None = None) -> DataFrame:
+    """bars with every column of TECHNICAL; without open, high, low and close as they are. A missing volume is 0.
+
+    longest: no series has more rows; without it they are counted.
+    """
     if not {"open", "high", "low", "close"} <= {*bars.columns}:
         return bars
     if "volume" not in bars.columns:
         bars = bars.withColumn("volume", F.lit(0.0))
     own = bars.columns
-    longest = largest(bars, s)
+    longest = largest(bars, s) if longest is None else longest
     out = bounded(bars, s, HALO, lambda d, t: recursive_indicators(frame_indicators(d, t), t, RECURSIVE), chunk_rows, bucket, longest)
     return obv(vwap(out, s, chunk_rows, bucket, longest=longest), s, chunk_rows, bucket, longest=longest).select(*own, *TECHNICAL)

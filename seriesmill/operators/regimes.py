@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import first_true, log_return
 from ..series import Series
-from .rolling import WINDOWS, Windows, arrow_pass, by_block, ratio
+from .rolling import INPUTS, METRICS, WINDOWS, Windows, arrow_pass, by_block, every_window, ratio, with_inputs
 
 FLAGS = (
     "high_volatility_regime", "low_volatility_regime", "trend_expansion", "mean_reversion_zone", "outlier_positive", "outlier_negative",
@@ -24,26 +26,39 @@ def label(z: Column, vol: Column, drawdown: Column, low: Column, high: Column) -
     )
 
 
+NUMBERS, QUARTILES = ("zscore", "volatility", "drawdown"), ("q1", "q3")
+
+
+def window_numbers(x: np.ndarray, lr: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """NUMBERS of every window of n rows, and QUARTILES of the volatility over n rows."""
+
+    def numbers(v: dict) -> dict:
+        w = Windows(v["x"], n)
+        now = w.w[:, -1]
+        return {"zscore": ratio(now - w.mean, np.sqrt(w.var)), "volatility": np.sqrt(Windows(v["lr"], n).var), "drawdown": ratio(now, w.high) - 1}
+
+    def quartiles(v: dict) -> dict:
+        w = Windows(v["v"], n)
+        return {"q1": w.quantile(0.25), "q3": w.quantile(0.75)}
+
+    found = by_block({"x": x, "lr": lr}, n, NUMBERS, numbers)
+    return found | by_block({"v": found["volatility"]}, n, QUARTILES, quartiles)
+
+
 def classify_columns(df: DataFrame, s: Series, columns: list[str], windows: tuple = WINDOWS) -> DataFrame:
     """df with {column}__{zscore, volatility, drawdown, regime}_{n}; quartiles are those of the volatility in the window.
 
     One Arrow pass makes the numbers of all columns and windows.
     """
     rows = df.withColumns({f"_x_{c}": F.col(c) for c in columns} | {f"_lr_{c}": log_return(F.col(c), s.lag(c)) for c in columns})
-    numbers, quartiles = ("zscore", "volatility", "drawdown"), ("q1", "q3")
-
-    def statistics(v: dict, n: int) -> dict:
-        x = Windows(v["x"], n)
-        now = x.w[:, -1]
-        return {"zscore": ratio(now - x.mean, np.sqrt(x.var)), "volatility": np.sqrt(Windows(v["lr"], n).var), "drawdown": ratio(now, x.high) - 1}
+    numbers, quartiles = NUMBERS, QUARTILES
 
     def work(p: dict) -> dict:
         out = {}
         for c in columns:
             for n in windows:
-                found = by_block({"x": p[f"_x_{c}"], "lr": p[f"_lr_{c}"]}, n, numbers, lambda v, n=n: statistics(v, n))
-                spread = by_block({"v": found["volatility"]}, n, quartiles, lambda v, n=n: (lambda w: {"q1": w.quantile(0.25), "q3": w.quantile(0.75)})(Windows(v["v"], n)))
-                out |= {f"{c}__{k}_{n}": found[k] for k in numbers} | {f"_{k}_{c}_{n}": spread[k] for k in quartiles}
+                found = window_numbers(p[f"_x_{c}"], p[f"_lr_{c}"], n)
+                out |= {f"{c}__{k}_{n}": found[k] for k in numbers} | {f"_{k}_{c}_{n}": found[k] for k in quartiles}
         return out
 
     of = [(c, n) for c in columns for n in windows]
@@ -64,6 +79,34 @@ def classify_statistical_regime(df: DataFrame, s: Series, column: str, window: i
     return classify_series(df, s, column, (window,)).withColumnRenamed(f"{column}__regime_{window}", "stat_regime")
 
 
+def last_statistics(df: DataFrame, s: Series, column: str, windows: tuple = WINDOWS, metrics: tuple = METRICS) -> DataFrame:
+    """One row a series: the last values of rolling_metrics() and classify_series(), from one Arrow pass.
+
+    Only these leave the pass. A label is that of the last row, since every row has one.
+    """
+    keys, order = [*s.keys], [(c, "ascending") for c in s.order]
+    names = [f"{column}__{m}_{n}" for n in windows for m in metrics] + [f"{column}__{k}_{n}" for n in windows for k in NUMBERS]
+    ends = [f"_{k}_{n}" for n in windows for k in (*NUMBERS, *QUARTILES)]
+    rows = with_inputs(df, s, column).select(*keys, *s.order, *INPUTS.values())
+    schema = rows.select(*keys, *[F.lit(None).cast("double").alias(c) for c in (*names, *ends)]).schema
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, sort_keys=order, null_placement="at_start"))
+        v = {c: t[c].cast(pa.float64()).to_numpy() for c in INPUTS.values()}
+        with np.errstate(all="ignore"):
+            found = every_window(v, column, windows, metrics)
+            now = {n: window_numbers(v["_x"], v["_lr"], n) for n in windows}
+        found |= {f"{column}__{k}_{n}": now[n][k] for n in windows for k in NUMBERS}
+        some = {c: x[np.isfinite(x)] for c, x in found.items()}
+        cells = {c: some[c][-1] if len(some[c]) else None for c in names}
+        cells |= {f"_{k}_{n}": x[-1] if np.isfinite(x[-1]) else None for n in windows for k, x in now[n].items()}
+        return pa.table([t[k].slice(0, 1) for k in keys] + [pa.array([cells[c]], pa.float64()) for c in (*names, *ends)], names=[*keys, *names, *ends])
+
+    last = rows.groupBy(*keys).applyInArrow(run, schema)
+    labels = {f"{column}__regime_{n}": label(*[F.col(f"_{k}_{n}") for k in (*NUMBERS, *QUARTILES)]) for n in windows}
+    return last.withColumns(labels).drop(*ends)
+
+
 def last_regimes(df: DataFrame, s: Series, columns: list[str], windows: tuple = WINDOWS) -> DataFrame:
     """One row a series with the last values and labels of every column and window."""
     df = classify_columns(df, s, columns, windows)
@@ -75,7 +118,8 @@ def last_regimes(df: DataFrame, s: Series, columns: list[str], windows: tuple =
 def regime_flags(stats: DataFrame, keys: list[str]) -> DataFrame:
     """Flags of a block from long rows (ordinal, zscore, regime, skewness, kurtosis), one for each column and window.
 
-    The z-score of the least ordinal decides mean_reversion_zone (0 if there is none).
+    The z-score of the least ordinal decides mean_reversion_zone (0 if there is none). An ordinal may be a struct; it
+    should be unique in a block.
     """
     z = F.coalesce(F.max(F.abs(F.col("zscore"))), F.lit(0.0))
     first = F.coalesce(F.min_by("zscore", F.when(F.col("zscore").isNotNull(), F.col("ordinal"))), F.lit(0.0))

@@ -147,6 +147,26 @@ def arrow_pass(df: DataFrame, s: Series, inputs: list[str], made: list[str], wor
     return df.groupBy(*s.keys).applyInArrow(run, schema)
 
 
+#: What _window_metrics() takes, by the columns of with_inputs().
+INPUTS = {"x": "_x", "x1": "_x1", "lr": "_lr", "ret": "_ret", "ref": "_ref"}
+
+
+def with_inputs(df: DataFrame, s: Series, column: str, reference: str | None = None) -> DataFrame:
+    """df with the columns of INPUTS."""
+    x, reference = F.col(column), reference or column
+    rows = df.withColumns({"_x": x, "_x1": s.lag(column), "_r1": s.lag(reference)})
+    return rows.withColumns({"_lr": log_return(x, F.col("_x1")), "_ret": simple_return(x, F.col("_x1")), "_ref": simple_return(F.col(reference), F.col("_r1"))}).drop("_r1")
+
+
+def every_window(p: dict[str, np.ndarray], column: str, windows: tuple, metrics: tuple, bins: int = BINS) -> dict[str, np.ndarray]:
+    """{column}__{metric}_{n} of a series' rows from the columns of INPUTS."""
+    v, out = {k: p[c] for k, c in INPUTS.items()}, {}
+    for n in windows:
+        found = by_block(v, n, metrics, lambda part, n=n: _window_metrics(part, n, bins, metrics))
+        out |= {f"{column}__{m}_{n}": found[m] for m in metrics}
+    return out
+
+
 def rolling_metrics(df: DataFrame, s: Series, column: str, windows: tuple = WINDOWS, reference: str | None = None, bins: int = BINS, metrics: tuple = METRICS) -> DataFrame:
     """df with the metrics of one column for every window; reference (the column itself) is for corr, cov and beta.
 
@@ -170,19 +190,9 @@ def rolling_metrics(df: DataFrame, s: Series, column: str, windows: tuple = WIND
             every = {"zscore": lambda: div(x - c("mean"), c("std")), "range": lambda: c("max") - c("min"), "drawdown": lambda: div(x, c("max")) - 1}
             out |= {f"{column}__{m}_{n}": F.when(c("n") >= n, every.get(k, lambda: c(k))()) for m in metrics for k in [m.removeprefix("rolling_")]}  # noqa: B023
         return rows.withColumns(out).drop(*made)
-    rows = df.withColumns({"_x": x, "_x1": s.lag(column), "_r1": s.lag(reference)})
-    rows = rows.withColumns({"_lr": log_return(x, F.col("_x1")), "_ret": simple_return(x, F.col("_x1")), "_ref": simple_return(F.col(reference), F.col("_r1"))})
-    inputs = {"x": "_x", "x1": "_x1", "lr": "_lr", "ret": "_ret", "ref": "_ref"}
-
-    def work(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        v, out = {k: p[c] for k, c in inputs.items()}, {}
-        for n in windows:
-            found = by_block(v, n, metrics, lambda part, n=n: _window_metrics(part, n, bins, metrics))
-            out |= {f"{column}__{m}_{n}": found[m] for m in metrics}
-        return out
-
     names = [f"{column}__{m}_{n}" for n in windows for m in metrics]
-    return arrow_pass(rows, s, list(inputs.values()), names, work).drop(*inputs.values(), "_r1")
+    work = lambda p: every_window(p, column, windows, metrics, bins)
+    return arrow_pass(with_inputs(df, s, column, reference), s, list(INPUTS.values()), names, work).drop(*INPUTS.values())
 
 
 def safe_returns(df: DataFrame, s: Series, column: str, method: str = "pct", name: str = "returns") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events, indicators, microstructure, patterns, regimes, rolling
 from ..operators.recursive import HALO
-from ..series import Series
+from ..series import Series, largest
 from ..sources import ingest, readers, sinks
 from ..storage import materialise
 
@@ -30,6 +30,11 @@ def tail(df: DataFrame, s: Series, rows: int) -> DataFrame:
     return df.withColumn("_t", F.row_number().over(w)).where(F.col("_t") <= rows).drop("_t")
 
 
+def spread(spark: SparkSession) -> int:
+    """Partitions for work that isn't told by its bytes."""
+    return 3 * spark.sparkContext.defaultParallelism
+
+
 def nested(df: DataFrame, keys: list[str], name: str, order: tuple[str, ...]) -> DataFrame:
     """Rows of a block as one sorted array of structs; a block is one payload, so this is bounded by one document."""
     rest = [c for c in df.columns if c not in {*keys, *order}]
@@ -71,24 +76,24 @@ def long_series(blocks: DataFrame, candles: DataFrame, levels: DataFrame, trades
 
 def statistics(series: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(statistics, regimes, flags) of each block: last values of every metric and window, and the block's flags."""
-    s = Series((*BLOCK, "metric"), ("ts", "pos"))
-    cut = tail(series, s, 2 * max(WINDOWS) + 2)
-    rows = regimes.classify_series(rolling.rolling_metrics(cut, s, "value", WINDOWS, metrics=tuple(m for m in rolling.METRICS if m != "rolling_entropy")), s, "value", WINDOWS)
-    made = [c for c in rows.columns if c.startswith("value__")]
-    at = F.struct("ts", "pos")
-    last = materialise(rows.groupBy(*BLOCK, "metric", "ordinal").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in made]), "statistics")
+    s = Series((*BLOCK, "metric", "ordinal"), ("ts", "pos"))
+    # Tails are few bytes but much work, and adaptive execution would give them to few tasks. (Keys in the order that
+    # the tails already have would be no exchange of their own.)
+    cut = tail(series, s, 2 * max(WINDOWS) + 2).repartition(spread(series.sparkSession), *reversed(s.keys))
+    last = materialise(regimes.last_statistics(cut, s, "value", WINDOWS, tuple(m for m in rolling.METRICS if m != "rolling_entropy")), "statistics")
+    made = [c for c in last.columns if c.startswith("value__")]
     part = lambda names: F.map_from_entries(F.array(*[F.struct(F.concat(F.col("metric"), F.lit(c.removeprefix("value"))), F.col(c).cast("string")) for c in names]))
     g = last.groupBy(*BLOCK).agg(F.collect_list(part([c for c in made if c.split("__")[1].startswith(("rolling", "realized"))])).alias("a"), F.collect_list(part([c for c in made if not c.split("__")[1].startswith(("rolling", "realized"))])).alias("b"))
     merge = lambda c: F.map_filter(F.map_from_entries(F.flatten(F.transform(c, F.map_entries))), lambda _, v: v.isNotNull())
     stats, regs = g.select(*BLOCK, merge("a").alias("statistics")), g.select(*BLOCK, merge("b").alias("statistical_regimes"))
-    cells = F.array(*[F.struct((F.col("ordinal") * 1000 + F.lit(i)).alias("ordinal"), F.col(f"value__zscore_{n}").alias("zscore"), F.col(f"value__regime_{n}").alias("regime"), F.col(f"value__rolling_skewness_{n}").alias("skewness"), F.col(f"value__rolling_kurtosis_{n}").alias("kurtosis")) for i, n in enumerate(WINDOWS)])
+    cells = F.array(*[F.struct(F.struct("ordinal", "metric", F.lit(i).alias("i")).alias("ordinal"), F.col(f"value__zscore_{n}").alias("zscore"), F.col(f"value__regime_{n}").alias("regime"), F.col(f"value__rolling_skewness_{n}").alias("skewness"), F.col(f"value__rolling_kurtosis_{n}").alias("kurtosis")) for i, n in enumerate(WINDOWS)])
     flags = regimes.regime_flags(last.select(*BLOCK, F.inline(cells)), BLOCK)
     return stats, regs, flags.select(*BLOCK, F.struct(*regimes.FLAGS).alias("flags"))
 
 
 def blocks_of(spark: SparkSession, payloads: DataFrame) -> DataFrame:
     """One row a block with all nested frames and sections that families are written from."""
-    cat = materialise(catalogue(payloads), "catalogue")
+    cat = materialise(catalogue(payloads.repartition(spread(spark), *BLOCK)), "catalogue")
     candles = materialise(ingest.candles(cat).where("ts is not null"), "candles")
     levels, trades = materialise(ingest.levels(cat), "levels"), materialise(ingest.trades(cat), "trades")
     series = materialise(long_series(cat, candles, levels, trades), "series")
@@ -112,14 +117,21 @@ def blocks_of(spark: SparkSession, payloads: DataFrame) -> DataFrame:
     cols = ["ts", "pos", "metric", "value", "direction", "severity", "event_type", "reason"]
     evs = nested(outliers.select(*BLOCK, *cols).unionByName(own.select(*BLOCK, *cols)), BLOCK, "events", ("ts", "pos", "metric"))
 
-    ref = series.withColumn("_r", F.min(F.struct("ordinal", "metric")).over(W.partitionBy(*BLOCK))).where("metric = _r.metric").drop("_r")
-    flat = ref.select(*BLOCK, "ts", "pos", *[F.col("value").alias(c) for c in ("open", "high", "low", "close")], F.lit(None).cast("double").alias("volume"))
-    bars = flat.join(candles.select(*BLOCK).distinct(), BLOCK, "left_anti").unionByName(candles.select(*BLOCK, "ts", "pos", "open", "high", "low", "close", "volume"))
+    # One row a block that has no candles: the metric that it is seen as. Joined, not a window over all rows of a block.
+    first = series.groupBy(*BLOCK).agg(F.min(F.struct("ordinal", "metric")).alias("_r")).select(*BLOCK, F.col("_r.metric").alias("metric"))
+    first = materialise(first.join(candles.select(*BLOCK).distinct(), BLOCK, "left_anti"), "reference")
+    flat = series.join(first, [*BLOCK, "metric"]).select(*BLOCK, "ts", "pos", *[F.col("value").alias(c) for c in ("open", "high", "low", "close")], F.lit(None).cast("double").alias("volume"))
+    own = candles.select(*BLOCK, "ts", "pos", "open", "high", "low", "close", "volume")
+    bars = flat.unionByName(own)
     # Indicators of candles, and of the candles that other blocks are seen as, from one plan.
     # Running sums begin at a series' first row: they see all of it, what is bounded or forgets its tail.
+    # Blocks that are seen as candles have no volume, so no VWAP, and an OBV of 0.
     sums = ["vwap", "obv"]
-    tech = last_map(indicators.technical(tail(bars, bar, HALO), bar), bar, [c for c in indicators.TECHNICAL if c not in sums], "_near")
-    tech = tech.join(last_map(indicators.obv(indicators.vwap(bars, bar), bar), bar, sums, "_whole"), BLOCK)
+    near = materialise(tail(bars, bar, HALO), "tails")
+    tech = last_map(indicators.technical(near.repartition(spread(spark), *BLOCK), bar, longest=HALO), bar, [c for c in indicators.TECHNICAL if c not in sums], "_near")
+    longest = largest(own, bar)
+    whole = last_map(indicators.obv(indicators.vwap(own, bar, longest=longest), bar, longest=longest), bar, sums, "_whole")
+    tech = tech.join(whole.unionByName(first.select(*BLOCK, F.create_map(F.lit("obv"), F.lit("0.0")).alias("_whole"))), BLOCK)
     tech = tech.select(*BLOCK, F.map_concat("_near", "_whole").alias("view_technical"))
     side = lambda k, name: nested(levels.where(F.col("side") == k).drop("side"), BLOCK, name, ("pos",))
     frame = nested(series.select(*BLOCK, "ts", "pos", "metric", "value"), BLOCK, "series", ("ts", "pos", "metric"))

@@ -228,13 +228,22 @@ def classify(detected: DataFrame) -> DataFrame:
 BLOCK = ["source_name"]
 
 
+def _texts(blocks: DataFrame, keep: list, paths: tuple) -> DataFrame:
+    """keep, and the text at each path of a payload as _t0, _t1...: a payload is read through once a path."""
+    return blocks.select(*keep, *[_json("payload", p).alias(f"_t{i}") for i, p in enumerate(paths)])
+
+
 def _rows(blocks: DataFrame, *paths: str, keep: tuple = ()) -> DataFrame:
     """Records of the first of the paths that has any, with their position."""
-    lists = [_list(_json("payload", p)) for p in paths]
+    own = [*BLOCK, *keep]
+    rows = _texts(blocks, own, paths)
+    # A column of its own for each list, so that it is parsed once and not wherever it is named.
+    rows = rows.select(*own, *[_list(F.col(f"_t{i}")).alias(f"_l{i}") for i in range(len(paths))])
+    lists = [F.col(f"_l{i}") for i in range(len(paths))]
     chosen = lists[-1]
     for x in reversed(lists[:-1]):
         chosen = F.when(F.size(x) > 0, x).otherwise(chosen)
-    return blocks.select(*BLOCK, *keep, F.posexplode(chosen).alias("pos", "m"))
+    return rows.select(*own, F.posexplode(chosen).alias("pos", "m"))
 
 
 def _cell(*names: str) -> Column:
@@ -255,27 +264,28 @@ def candles(blocks: DataFrame) -> DataFrame:
 def levels(blocks: DataFrame) -> DataFrame:
     """(source_name, side, pos, price, quantity, notional) of order books; of a list of snapshots the last counts."""
     books = blocks.where("data_type = 'orderbook_conventional'")
-    snapshots = _list(_json("payload", "$.records"))
-    n = F.size(snapshots)
-    books = books.withColumn("_last", F.get(snapshots, n - 1))
-    part = lambda side, name: books.select(*BLOCK, F.lit(side).alias("side"), F.posexplode(_list(F.when(n > 0, F.col("_last")[name]).otherwise(_json("payload", f"$.{name}")))).alias("pos", "m"))
-    rows = part("bid", "bids").unionByName(part("ask", "asks"))
+    books = _texts(books, BLOCK, ("$.records", "$.bids", "$.asks")).withColumn("_l", _list(F.col("_t0")))
+    last = F.get("_l", F.size("_l") - 1)
+    # Both sides from one reading of the payloads.
+    sides = [F.struct(F.lit(side).alias("side"), F.when(F.size("_l") > 0, last[name]).otherwise(F.col(text)).alias("t")) for side, name, text in (("bid", "bids", "_t1"), ("ask", "asks", "_t2"))]
+    rows = books.select(*BLOCK, F.inline(F.array(*sides))).select(*BLOCK, "side", F.posexplode(_list(F.col("t"))).alias("pos", "m"))
     return rows.select(*BLOCK, "side", "pos", number(_cell("price")).alias("price"), number(_cell("quantity_btc", "quantity", "amount")).alias("quantity"), number(_cell("notional_usdt", "notional_usd", "notional")).alias("notional"))
 
 
 def trades(blocks: DataFrame) -> DataFrame:
     """Events of large trades and whale orders, with ages; buys and sells of separate lists are one frame."""
-    b = blocks.where("data_type in ('orderbook_large_trades', 'orderbook_whale_orders')").withColumn("_kind", F.col("data_type"))
+    b = blocks.where("data_type in ('orderbook_large_trades', 'orderbook_whale_orders')")
     names = ("large_buy_trades", "large_sell_trades", "whale_buy_orders", "whale_sell_orders", "records")
-    lists = [_list(_json("payload", f"$.{n}")) for n in names]
-    rows = b.select(*BLOCK, F.col("_kind").alias("kind"), "snapshot_at", F.posexplode(F.concat(*lists)).alias("pos", "m"))
+    own = [*BLOCK, F.col("data_type").alias("kind"), _time(F.col("snapshot_at")).alias("snapshot_at")]
+    texts = _texts(b, own, tuple(f"$.{n}" for n in names))
+    rows = texts.select(*BLOCK, "kind", "snapshot_at", F.posexplode(F.concat(*[_list(F.col(f"_t{i}")) for i in range(len(names))])).alias("pos", "m"))
     ts, placed = _time(_cell("timestamp", "timestamp_utc", "time")), _time(_cell("placed_at", "placed_at_utc"))
     snap = _time(_cell("snapshot_time", "snapshot_time_utc"))
     rows = rows.withColumns({"ts": ts, "placed_at": placed, "snapshot_time": snap})
     return rows.select(
         *BLOCK, "kind", "pos", F.when(F.col("kind") == "orderbook_whale_orders", "whale_order").otherwise("large_trade").alias("event_type"), _cell("side").alias("side"), number(_cell("price")).alias("price"),
         number(_cell("quantity_btc", "quantity", "amount")).alias("quantity"), number(_cell("notional_usdt", "notional_usd", "notional")).alias("notional"), "ts", "placed_at", "snapshot_time",
-        F.coalesce(number(_cell("age_seconds")), F.when(F.col("kind") == "orderbook_large_trades", age_seconds(_time(F.col("snapshot_at")), F.col("ts")))).alias("age_seconds"),
+        F.coalesce(number(_cell("age_seconds")), F.when(F.col("kind") == "orderbook_large_trades", age_seconds(F.col("snapshot_at"), F.col("ts")))).alias("age_seconds"),
         F.coalesce(number(_cell("active_duration_seconds")), age_seconds(F.col("snapshot_time"), F.col("placed_at"))).alias("active_duration_seconds"),
     )
 

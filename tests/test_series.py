@@ -66,6 +66,13 @@ def test_running_sums_and_fill_in_two_levels(bars):
     same(tda.wasserstein_regime_signal(bars, S, "close", 103, 100, 95, 98, chunk_rows=50, bucket=bucket()), tda.wasserstein_regime_signal(bars, S, "close", 103, 100, 95, 98), "regime_signal")
 
 
+def test_last_statistics_are_those_of_all_rows(bars):
+    every = regimes.classify_series(rolling.rolling_metrics(bars, S, "x", (20, 50)), S, "x", (20, 50))
+    made = [c for c in every.columns if c.startswith("x__")]
+    want = every.groupBy("k").agg(F.lit(0).alias("t"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("t"))).alias(c) for c in made])
+    same(regimes.last_statistics(bars, S, "x", (20, 50)).withColumn("t", F.lit(0)), want, *made)
+
+
 def test_sum_is_null_in_rows_without_a_value(bars):
     got = running_sum(bars, S, {"total": F.col("x")}).where("k = 'cold'").orderBy("t").toPandas()
     want = got["x"].cumsum()

@@ -167,6 +167,38 @@ def test_running_sums_of_long_blocks(spark):
     assert float(got["sma_20"]) == pytest.approx(sum(b["close"] for b in bars[-20:]) / 20)
 
 
+def test_long_blocks_are_counted_once(spark, monkeypatch):
+    """Only candles have running sums to make: their blocks are counted, and no others."""
+    counted = []
+    count = lambda df, s: counted.append(df.count()) or 1000
+    monkeypatch.setattr(pipeline, "largest", count, raising=False)
+    monkeypatch.setattr(pipeline.indicators, "largest", count)
+    rows = [{"side": "buy", "price": 5 + i % 3, "amount": 1, "timestamp_utc": synthetic.BASE_TS + i} for i in range(30)]
+    bars = [{"timestamp_utc": synthetic.BASE_TS + 60 * i, "open": 1, "high": 3, "low": 1, "close": 2, "volume_btc": 1} for i in range(7)]
+    docs = [("t", {"metadata": {"data_type": "orderbook_large_trades"}, "records": rows}), ("c", {"metadata": {"data_type": "ohlcv"}, "candles": bars})]
+    got = pipeline.blocks_of(spark, spark.createDataFrame([(k, json.dumps(d)) for k, d in docs], "source_name string, payload string"))
+    seen = {r["source_name"]: r["view_technical"] for r in got.select("source_name", "view_technical").collect()}
+    assert counted == [7]
+    assert seen["t"]["obv"] == "0.0" and "vwap" not in seen["t"] and seen["c"]["obv"] == "0.0" and seen["c"]["vwap"] == "2.0"
+
+
+def test_flags_do_not_hang_on_the_order_of_rows(spark):
+    """Of metrics of one rank the first by name decides mean_reversion_zone."""
+    rows = [("b", m, 2, None, i, float(v)) for m, last in (("a", 3), ("z", 30), ("m", 31)) for i, v in enumerate([*(j % 7 for j in range(29)), last])]
+    names = "source_name string, metric string, ordinal int, ts timestamp, pos int, value double"
+    for order in (rows, rows[::-1]):
+        flags = pipeline.statistics(spark.createDataFrame(order, names).coalesce(1))[2].first()["flags"]
+        assert flags["mean_reversion_zone"] is True
+
+
+def test_seconds_of_text(spark):
+    from seriesmill.functions.scalar import unix_seconds
+
+    texts = ["2024-01-05T00:00:01Z", "2024-01-05", "2024", "1.0e-5", "1700000000000", "2024-x", "-7.5", ""]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", unix_seconds(F.col("x")).alias("s")).orderBy("i").collect()
+    assert [r["s"] for r in got] == [1704412801, 1704412800, 2024, 0, 1700000000, None, -7, None]
+
+
 def test_archives_of_payloads(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         z.writestr("a.json", '{"candles": []}')
