@@ -40,8 +40,8 @@ def pair_stats(s: Series, x: Column, y: Column, n: int, min_periods: int | None
 
 #: Metrics that frames of built-in aggregates give at little cost; all others come from one Arrow pass over the series.
 FRAMED = ("rolling_mean", "rolling_std", "rolling_var", "rolling_zscore", "rolling_min", "rolling_max", "rolling_range", "rolling_drawdown")
-#: Values of all windows that the Arrow pass holds at a time.
-_HELD = 4_000_000
+#: Values of all windows that the Arrow pass holds at a time; some metrics hold them ten times over.
+_HELD = 500_000
 
 
 def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:

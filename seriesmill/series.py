@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of one chunk of a series; series of fewer rows aren't cut.
-CHUNK_ROWS = 500_000
+#: Rows of one chunk of a series; series of fewer rows aren't cut. A Python worker holds a chunk and its results.
+CHUNK_ROWS = 100_000
 
 
 @dataclass(frozen=True)
